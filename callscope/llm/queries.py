@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, secrets, tokens
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
+    "op5_bpe_roundtrip": tokens.op5,
+    "op6_best_fit_packing": packing.op6,
+    "op10_secret_scan": secrets.op10,
 }
 
 ORACLES: dict[str, str] = {}
