@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
@@ -182,21 +182,29 @@ def _forests(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
 
 
+def fresh(name: str) -> Column:
+    """The same integer, as an expression: a join on it deals out both of its sides anew, which adaptive execution can split.
+
+    (A side that keeps an aggregate's partitioning can't be split where a key is hot.)
+    """
+    return F.col(name).bitwiseOR(F.lit(0).cast("long")).alias(name)
+
+
 def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
     """(node, component): for every node of the undirected edges (u, v: long) the smallest node that it reaches.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) over staged tables, after each task
     has reduced its own edges to a forest. Group minima are combined before their shuffle, and hot nodes only meet
-    the rest in equi-joins that adaptive execution splits. Nodes without edges don't appear.
+    their minima in equi-joins that adaptive execution splits. Nodes without edges don't appear.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = stage.keep(pairs.mapInArrow(_forests, "u long, v long").distinct(), f"{name}-0")
     state, n = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), 0
     while state[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(fresh("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(fresh("u"), "m")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         n += 1
         now = stage.keep(small.where("u <> v").distinct(), f"{name}-{n}")
