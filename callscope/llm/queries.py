@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality, secrets, tokens
+from . import ngram_join, packing, quality, repeats, secrets, tokens
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
     "op4_ngram_jaccard": ngram_join.op4,
     "op5_bpe_roundtrip": tokens.op5,
     "op6_best_fit_packing": packing.op6,
+    "op7_substring_dedup": repeats.op7,
     "op10_secret_scan": secrets.op10,
 }
 
