@@ -96,9 +96,9 @@ _FOLDED[65:91] = _BYTES[97:123]
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of several texts: byte spans, 64-bit hashes, and the first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, white: np.ndarray = WHITE):
         self.data, self.offsets = data, offsets
-        solid = ~WHITE[data]
+        solid = ~white[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.empty(len(data), bool)

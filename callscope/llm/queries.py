@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import near_vectors, ngram_join, packing, quality, repeats, secrets, tokens, top_k
+from . import licenses, near_vectors, ngram_join, packing, quality, repeats, secrets, tokens, top_k, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
     "op2_embedding_near_dedup": near_vectors.op2,
+    "op3_license_scan": licenses.op3,
     "op4_ngram_jaccard": ngram_join.op4,
     "op5_bpe_roundtrip": tokens.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_substring_dedup": repeats.op7,
+    "op8_warc_roundtrip": warc.op8,
     "op9_exact_top_k": top_k.op9,
     "op10_secret_scan": secrets.op10,
 }
