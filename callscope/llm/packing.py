@@ -81,11 +81,15 @@ def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
     return found or [()]
 
 
-def _complete(counts: np.ndarray, capacity: int, branch: dict[int, int], hope: float) -> list[Pattern] | None:
-    """A packing that takes filling number branch[depth] (the best one elsewhere); None once its waste exceeds `hope`."""
-    plan, counts, waste = [], counts.copy(), 0
-    while (left := np.flatnonzero(counts)).size:
-        top, number = int(left[-1]), branch.get(len(plan), 0)
+class _State:
+    """What is left at one depth of the search, and the waste so far."""
+
+    def __init__(self, counts: np.ndarray, plan: list[Pattern], waste: int):
+        self.counts, self.plan, self.waste = counts, plan, waste
+
+    def step(self, capacity: int, number: int) -> _State:
+        """The state after filling around the largest length left, with the filling of that number."""
+        counts, top = self.counts.copy(), int(np.flatnonzero(self.counts)[-1])
         counts[top] -= 1
         found = fillings(counts, capacity - top, number + 1)
         counts[top] += 1
@@ -93,28 +97,35 @@ def _complete(counts: np.ndarray, capacity: int, branch: dict[int, int], hope: f
         sizes, uses = np.unique(pattern, return_counts=True)
         times = int((counts[sizes] // uses).min())
         counts[sizes] -= uses * times
-        plan.append((pattern, times))
-        waste += times * (capacity - sum(pattern))
-        if counts.any() and waste > hope:
-            return None
-    return plan
+        return _State(counts, [*self.plan, (pattern, times)], self.waste + times * (capacity - sum(pattern)))
 
 
-def pack(counts: np.ndarray, capacity: int = CAPACITY, branches: int = 64, width: int = 3) -> list[Pattern]:
+def pack(counts: np.ndarray, capacity: int = CAPACITY, width: int = 3, effort: float = 1.0) -> list[Pattern]:
     """(lengths of one sequence, how many such sequences): uses counts[s] pieces of every length s exactly.
 
-    The first packing always takes the best fitting completion. While it needs more sequences than the lower bound, up to
-    `branches` others that differ from it at one depth are tried, each only as long as its waste can still beat the best.
+    The first packing always takes the best fitting completion. While it needs more sequences than the lower bound, the search
+    goes back, from the deepest choices to the first, takes another of the `width` best fillings there, and goes on from it only as long as the
+    waste leaves hope to beat the best packing known. `effort` bounds the steps of that, as a multiple of those of the first packing.
     """
     number = lambda plan: sum(times for _, times in plan)
     volume, bound = int((counts * np.arange(capacity + 1)).sum()), lower_bound(counts, capacity)
-    best = _complete(counts, capacity, {}, np.inf)
-    for k in range(branches):
-        if number(best) <= bound:
-            break
-        other = _complete(counts, capacity, {k // (width - 1): 1 + k % (width - 1)}, (number(best) - 1) * capacity - volume)
-        if other is not None and number(other) < number(best):
-            best = other
+    state, marks, every = _State(counts.copy(), [], 0), [], 16
+    while state.counts.any():
+        if len(state.plan) % every == 0:
+            marks.append(state)
+        state = state.step(capacity, 0)
+    best, left = state.plan, int(effort * len(state.plan)) + 1
+    for mark in reversed(marks):
+        for other in range(1, width):
+            hope = (number(best) - 1) * capacity - volume
+            if left <= 0 or number(best) <= bound or mark.waste > hope:
+                break
+            state = mark.step(capacity, other)
+            left -= 1
+            while state.counts.any() and state.waste <= hope and left > 0:
+                state, left = state.step(capacity, 0), left - 1
+            if not state.counts.any() and number(state.plan) < number(best):
+                best = state.plan
     return best
 
 
