@@ -4,11 +4,11 @@ Two sets of sizes m <= n with Jaccard similarity 3/4 or more share at least need
 the shingles, their prefixes of n - need(n) + r members therefore share at least r: a longer prefix asks for more matches.
 
 1. Screen. One pass over the texts makes every set. Prefixes in hash order with r = n // 16 + 1 are matched against each other as packed
-   runs of hashes, one entry for a shingle and task; what doesn't find r of its shingles elsewhere links with nothing new. Equal sets are
-   one class from here on.
-2. Collapse. Classes that are left and agree on most of a few minima of permuted hashes are verified against one leader each, so that
-   large groups of near copies become one component in linear work.
-3. Join. Shingles of the same prefixes that occur in several components are ordered by frequency. Each document picks how many matches
+   runs of hashes, one entry for a shingle and task. A pair shares the r of its smaller set, so what doesn't find need(n) // 16 + 1 of its
+   shingles elsewhere links with nothing new. Equal sets are one class from here on.
+2. Collapse. Classes that are left and agree on some of a few minima of permuted hashes are verified against one leader each, in a few
+   turns with other leaders, so that large groups of near copies become one component in linear work. Leaders are those whose minima most others share.
+3. Join. Shingles of prefixes with r = n // 4 + 1 that occur in several components are ordered by frequency. Each document picks how many matches
    r it asks for, by the estimated number of candidates of the prefix that r takes (its postings, divided by r). Pairs of different
    components that share the smaller r of the two are verified on their whole sets.
 
@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import U, Stage, Words, components, fresh, load, mix, parallelism, shingle_sets, texts_of
 
 WORDS = 5
+#: Prefixes ask for n // SCREEN + 1 matches in the screen, n // EXACT + 1 in the join.
+SCREEN, EXACT = 16, 4
+#: What verifying a candidate costs, in postings; turns of the collapse.
+VERIFY, TURNS = 64, 3
 NOBODY = np.iinfo(np.int64).min
 FLUSH = 1 << 20
 
@@ -38,9 +42,14 @@ def need(n):
     return (3 * n + 3) // 4
 
 
-def prefix(n):
-    """The length of the hash-ordered prefix that asks for n // 16 + 1 matches."""
-    return n - need(n) + 1 + n // 16
+def prefix(n, part=SCREEN):
+    """The length of the hash-ordered prefix that asks for n // part + 1 matches."""
+    return n - need(n) + 1 + n // part
+
+
+def least(n: str, part: int) -> str:
+    """SQL: a set of n shares more than this many members of its prefix with each set it links to, the smallest of which has need(n) members."""
+    return f"(((3 * {n} + 3) div 4) div {part})"
 
 
 def signature(found: np.ndarray) -> tuple[int, int]:
@@ -146,7 +155,7 @@ def _minima(number: int):
 
 def _prefixes(batches):
     for batch in batches:
-        found = [np.frombuffer(raw, U)[: prefix(n)].astype(np.int64) for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        found = [np.frombuffer(raw, U)[: prefix(n, EXACT)].astype(np.int64) for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["component", "node", "n", "tokens"])
 
 
@@ -170,13 +179,25 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
 
 
-def leaders(sets: DataFrame, minima: int = 8) -> DataFrame:
-    """(u, v): for each node u the leader v that most of its minima name, if it isn't u and may link by size."""
-    keys = sets.mapInArrow(_minima(minima), "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key"))
-    heads = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"))).alias("head"))
-    named = keys.join(heads.select(fresh("key"), "head.v", "head.m"), "key").where("node <> v and 4 * least(n, m) >= 3 * greatest(n, m)")
-    votes = named.groupBy("node", "v").agg(F.count("*").alias("votes")).groupBy("node").agg(F.max(F.struct("votes", "v")).alias("top"))
-    return votes.select(F.col("node").alias("u"), F.col("top.v").alias("v"))
+def fame(stage: Stage, sets: DataFrame, minima: int = 16) -> DataFrame:
+    """(key, node, n, fame): the minima of each node, and how many nodes share them. Sets near the middle of a group have the most."""
+    keys = stage.keep(sets.mapInArrow(_minima(minima), "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select(fresh("key"), "nodes")
+    known = keys.join(shared, "key").groupBy("node").agg(F.sum("nodes").alias("fame")).select(fresh("node"), "fame")
+    return stage.keep(keys.join(shared.select("key"), "key", "left_semi").join(known, "node"), "fame")
+
+
+def leaders(keys: DataFrame, known: DataFrame | None, turn: int, votes: int = 4) -> DataFrame:
+    """(u, v): for each node u the leader v of another component that most of its minima name, if `votes` or more do.
+
+    The leader of a minimum is the most famous of the nodes that share it; after the first turn, fame is shaken by a hash.
+    """
+    own = keys.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")) if known else keys.withColumn("component", F.col("node"))
+    luck = F.lit(1.0) if turn == 0 else 0.6 + 0.4 * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1024)) / 1024
+    heads = own.groupBy("key").agg(F.max(F.struct((F.col("fame") * luck).alias("f"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("head"))
+    met = own.join(heads.select(fresh("key"), "head.v", "head.m", "head.c"), "key").where("component <> c and 4 * least(n, m) >= 3 * greatest(n, m)")
+    best = met.groupBy("node", "v").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).groupBy("node").agg(F.max(F.struct("votes", "v")).alias("top"))
+    return best.select(F.col("node").alias("u"), F.col("top.v").alias("v"))
 
 
 def candidates(stage: Stage, sets: DataFrame, known: DataFrame, choices: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
@@ -186,12 +207,14 @@ def candidates(stage: Stage, sets: DataFrame, known: DataFrame, choices: tuple[i
     tokens = stage.keep(rows.select("component", "node", "n", F.explode("tokens").alias("token")), "tokens")
     many = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df")).where("a <> b").select(fresh("token"), "df")
     postings = stage.keep(tokens.join(many, "token").select("token", "df", "component", "node", "n"), "postings")
-    enough = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("m")).where("shared >= m div 16 + 1").select(fresh("node"), "shared")
+    enough = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("m")).where(f"shared > {least('m', EXACT)}").select(fresh("node"), "shared")
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = postings.join(enough, "node").withColumn("rank", F.row_number().over(order)).withColumn("cost", F.sum(F.col("df") - 1).over(order))
-    base = F.expr("shared - ((3 * n + 3) div 4) div 16")
-    # The cost of asking for r matches: the postings of the prefix that r takes, divided by r.
-    costs = F.array(*(F.max(F.when(F.col("rank") <= base + (r - 1), F.col("cost"))).over(Window.partitionBy("node")) / r for r in choices))
+    base = F.expr(f"shared - {least('n', EXACT)}")
+    # The cost of asking for r matches: the postings of the prefix that r takes, and VERIFY for each candidate, of which there are at most postings / r.
+    # More than what a pair surely shares can't be asked for.
+    taken = lambda r: F.max(F.when(F.col("rank") <= base + (r - 1), F.col("cost"))).over(Window.partitionBy("node"))
+    costs = F.array(*(F.when(F.lit(r) <= F.expr(f"{least('n', EXACT)} + 1"), taken(r) * (1 + VERIFY / r)).otherwise(F.lit(float("inf"))) for r in choices))
     chosen = F.element_at(F.array(*map(F.lit, choices)), F.array_position(costs, F.array_min(costs)).cast("int"))
     index = stage.keep(ranked.withColumn("r", chosen).where(F.col("rank") <= base + F.col("r") - 1).select("token", "node", "n", "component", "r"), "index")
     one, other = index.select("token", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "r"))), index.select("token", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "r")))
@@ -210,10 +233,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     meta = screen.where("n is not null").select("doc_id", "n", "s1", "s2")
     classes = stage.keep(meta.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     hits = screen.where("doc_id is not null").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
-    alive = stage.keep(classes.join(hits, F.col("node") == F.col("doc_id")).where("hits >= n div 16 + 1").select("doc_id", "n", "s1", "s2"), "alive")
+    alive = stage.keep(classes.join(hits, F.col("node") == F.col("doc_id")).where(f"hits > {least('n', SCREEN)}").select("doc_id", "n", "s1", "s2"), "alive")
     sets = stage.keep(docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary"), "sets")
-    links = stage.keep(verified(leaders(sets), sets), "links")
-    known = stage.keep(components(stage, links, "known"), "known")
+    links, known, keys = None, None, fame(stage, sets)
+    for turn in range(TURNS):
+        found = stage.keep(verified(leaders(keys, known, turn), sets), f"links-{turn}")
+        links = links.union(found) if links else found
+        known = stage.keep(components(stage, links, f"turn-{turn}"), f"known-{turn}")
     more = stage.keep(verified(candidates(stage, sets, known), sets), "more")
     final = stage.keep(components(stage, links.union(more), "final"), "components")
     stage.drop("tokens", "postings", "index", "sets", "alive")
