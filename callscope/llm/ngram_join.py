@@ -8,9 +8,9 @@ the shingles, their prefixes of n - need(n) + r members therefore share at least
    shingles elsewhere links with nothing new. Equal sets are one class from here on.
 2. Collapse. Classes that are left and agree on some of a few minima of permuted hashes are verified against one leader each, in a few
    turns with other leaders, so that large groups of near copies become one component in linear work. Leaders are those whose minima most others share.
-3. Join. Shingles of prefixes with r = n // 4 + 1 that occur in several components are ordered by frequency. Each document picks how many matches
-   r it asks for, by the estimated number of candidates of the prefix that r takes (its postings, divided by r). Pairs of different
-   components that share the smaller r of the two are verified on their whole sets.
+3. Join. Shingles that occur in several components are ordered by frequency, all others come before them. A set with fewer than need(n) of
+   them is done. Each other picks how many matches r it asks for, by the estimated cost of the prefix that r takes: its postings, and
+   the candidates among them (postings / r at most). Pairs of different components that share the smaller r of the two are verified on their whole sets.
 
 Links inside a component that is known needn't be found again: components are the result. Every verification is exact on
 64-bit shingle hashes.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import U, Stage, Words, components, fresh, load, mix, parallelism, shingle_sets, texts_of
 
 WORDS = 5
-#: Prefixes ask for n // SCREEN + 1 matches in the screen, n // EXACT + 1 in the join.
-SCREEN, EXACT = 16, 4
+#: Prefixes of the screen ask for n // SCREEN + 1 matches.
+SCREEN = 16
 #: What verifying a candidate costs, in postings; turns of the collapse.
 VERIFY, TURNS = 64, 3
 NOBODY = np.iinfo(np.int64).min
@@ -42,9 +42,9 @@ def need(n):
     return (3 * n + 3) // 4
 
 
-def prefix(n, part=SCREEN):
-    """The length of the hash-ordered prefix that asks for n // part + 1 matches."""
-    return n - need(n) + 1 + n // part
+def prefix(n):
+    """The length of the hash-ordered prefix that asks for n // SCREEN + 1 matches."""
+    return n - need(n) + 1 + n // SCREEN
 
 
 def least(n: str, part: int) -> str:
@@ -114,8 +114,8 @@ def _screen_out(buckets: int, k: int):
     return run
 
 
-def _screen_in(table: pa.Table) -> pa.Table:
-    """The documents that came to this bucket, and for each owner how many of its hashes came from elsewhere, too."""
+def _screen_in(table: pa.Table, buckets: int) -> pa.Table:
+    """What came to this bucket, dealt out by home (a hash of doc_id): documents, and for each owner how many of its hashes came from elsewhere, too."""
     hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), U)
     who = np.frombuffer(b"".join(table["who"].to_pylist()), np.int64)
     order = np.argsort(hashes)
@@ -126,7 +126,26 @@ def _screen_in(table: pa.Table) -> pa.Table:
     docs = table.filter(table["ids"].is_valid())
     flat = [pa.chunked_array([x.flatten() for x in docs[c].chunks], pa.int64()).combine_chunks() for c in ("ids", "sizes", "s1", "s2", "local")]
     none = pa.nulls(len(owners), pa.int64())
-    return pa.table([pa.concat_arrays([a, b]) for a, b in zip(flat, (pa.array(owners), none, none, none, pa.array(hits)), strict=True)], ["doc_id", "n", "s1", "s2", "hits"])
+    columns = [pa.concat_arrays([a, b]) for a, b in zip(flat, (pa.array(owners), none, none, none, pa.array(hits)), strict=True)]
+    home = (mix(columns[0].fill_null(0).to_numpy().astype(U)) % U(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(buckets + 1)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(edges, c.take(pa.array(order))) for c in columns]
+    return pa.table([pa.array(np.arange(buckets, dtype=np.int32)), *lists], ["home", "ids", "n", "s1", "s2", "hits"]).filter(pa.array(np.diff(edges) > 0))
+
+
+def _screen_home(table: pa.Table) -> pa.Table:
+    """One row per document, with all its hits."""
+    flat = {c: table[c].combine_chunks().flatten() for c in ("ids", "n", "s1", "s2", "hits")}
+    docs = np.asarray(flat["n"].is_valid())
+    ids, hits = flat["ids"].fill_null(NOBODY).to_numpy(), flat["hits"].to_numpy()
+    owners, at = np.unique(ids[~docs], return_inverse=True)
+    total = np.append(np.bincount(at, hits[~docs], len(owners)).astype(np.int64), 0)
+    place = np.searchsorted(owners, ids[docs])
+    found = np.append(owners, NOBODY)[place] == ids[docs]
+    kept = {c: x.filter(pa.array(docs)) for c, x in flat.items()}
+    kept["hits"] = pa.array(hits[docs] + np.where(found, total[place], 0))
+    return pa.table(list(kept.values()), ["doc_id", "n", "s1", "s2", "hits"])
 
 
 def _whole_sets(k: int):
@@ -153,9 +172,9 @@ def _minima(number: int):
     return run
 
 
-def _prefixes(batches):
+def _tokens(batches):
     for batch in batches:
-        found = [np.frombuffer(raw, U)[: prefix(n, EXACT)].astype(np.int64) for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        found = [np.frombuffer(raw, np.int64) for raw in batch.column("found").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["component", "node", "n", "tokens"])
 
 
@@ -203,18 +222,18 @@ def leaders(keys: DataFrame, known: DataFrame | None, turn: int, votes: int = 4)
 def candidates(stage: Stage, sets: DataFrame, known: DataFrame, choices: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
     """(u, v): pairs of different components of `known` whose adaptive prefixes share enough shingles."""
     member = sets.join(known, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "n", "found")
-    rows = member.mapInArrow(_prefixes, "component long, node long, n long, tokens array<long>")
+    rows = member.mapInArrow(_tokens, "component long, node long, n long, tokens array<long>")
     tokens = stage.keep(rows.select("component", "node", "n", F.explode("tokens").alias("token")), "tokens")
     many = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df")).where("a <> b").select(fresh("token"), "df")
     postings = stage.keep(tokens.join(many, "token").select("token", "df", "component", "node", "n"), "postings")
-    enough = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("m")).where(f"shared > {least('m', EXACT)}").select(fresh("node"), "shared")
+    enough = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("m")).where("shared >= (3 * m + 3) div 4").select(fresh("node"), "shared")
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = postings.join(enough, "node").withColumn("rank", F.row_number().over(order)).withColumn("cost", F.sum(F.col("df") - 1).over(order))
-    base = F.expr(f"shared - {least('n', EXACT)}")
+    base = F.expr("shared - (3 * n + 3) div 4 + 1")
     # The cost of asking for r matches: the postings of the prefix that r takes, and VERIFY for each candidate, of which there are at most postings / r.
     # More than what a pair surely shares can't be asked for.
     taken = lambda r: F.max(F.when(F.col("rank") <= base + (r - 1), F.col("cost"))).over(Window.partitionBy("node"))
-    costs = F.array(*(F.when(F.lit(r) <= F.expr(f"{least('n', EXACT)} + 1"), taken(r) * (1 + VERIFY / r)).otherwise(F.lit(float("inf"))) for r in choices))
+    costs = F.array(*(F.when(F.lit(r) <= F.expr("(3 * n + 3) div 4"), taken(r) * (1 + VERIFY / r)).otherwise(F.lit(float("inf"))) for r in choices))
     chosen = F.element_at(F.array(*map(F.lit, choices)), F.array_position(costs, F.array_min(costs)).cast("int"))
     index = stage.keep(ranked.withColumn("r", chosen).where(F.col("rank") <= base + F.col("r") - 1).select("token", "node", "n", "component", "r"), "index")
     one, other = index.select("token", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "r"))), index.select("token", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "r")))
@@ -228,12 +247,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     stage = Stage(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sent = docs.mapInArrow(_screen_out(parallelism(spark), words), "bucket int, ids array<long>, sizes array<long>, s1 array<long>, s2 array<long>, local array<long>, hashes binary, who binary")
-    screen = stage.keep(sent.groupBy("bucket").applyInArrow(_screen_in, "doc_id long, n long, s1 long, s2 long, hits long"), "screen")
-    meta = screen.where("n is not null").select("doc_id", "n", "s1", "s2")
+    buckets = parallelism(spark)
+    sent = docs.mapInArrow(_screen_out(buckets, words), "bucket int, ids array<long>, sizes array<long>, s1 array<long>, s2 array<long>, local array<long>, hashes binary, who binary")
+    dealt = sent.groupBy("bucket").applyInArrow(lambda t: _screen_in(t, buckets), "home int, ids array<long>, n array<long>, s1 array<long>, s2 array<long>, hits array<long>")
+    screen = stage.keep(dealt.groupBy("home").applyInArrow(_screen_home, "doc_id long, n long, s1 long, s2 long, hits long"), "screen")
+    meta = screen.select("doc_id", "n", "s1", "s2")
     classes = stage.keep(meta.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    hits = screen.where("doc_id is not null").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
-    alive = stage.keep(classes.join(hits, F.col("node") == F.col("doc_id")).where(f"hits > {least('n', SCREEN)}").select("doc_id", "n", "s1", "s2"), "alive")
+    found = screen.where(f"n > 0 and doc_id is not null and hits > {least('n', SCREEN)}").select("doc_id", "n", "s1", "s2").distinct()
+    alive = stage.keep(found.join(classes.select(F.col("node").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"), "alive")
     sets = stage.keep(docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary"), "sets")
     links, known, keys = None, None, fame(stage, sets)
     for turn in range(TURNS):
