@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import series, totals  # noqa: F401
+from .queries.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "d1_hourly_series"
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
