@@ -64,11 +64,20 @@ def _block(table: dict[int, np.ndarray]):
     return run
 
 
-def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer products: in double precision where no sum can leave its integers."""
-    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q) < 2.0**52:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+def _exact(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in double precision where no sum of products can leave its integers, else in 64-bit integers."""
+    most = float(np.abs(x.astype(np.int64)).max(initial=0)) * float(np.abs(q.astype(np.int64)).max(initial=0)) * x.shape[1]
+    kind = np.float64 if most < 2.0**52 else np.int64
+    return x.astype(kind), q.astype(kind)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores in descending order, ties by smaller id."""
+    if len(scores) > k:
+        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        scores, ids = scores[keep], ids[keep]
+    order = np.lexsort((ids, -scores))[:k]
+    return scores[order], ids[order]
 
 
 def _search(k: int):
@@ -80,22 +89,24 @@ def _search(k: int):
                 (matrix_of(t["raw"].to_pylist(), np.int32, width), t["far"].to_pylist(), np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)) for t in (queries, candidates)
             )
             qd, xd = (np.frombuffer(b"".join(d), np.float64).reshape(n, -1) for d, n in ((qd, len(q)), (xd, len(x))))
-            squares = (x.astype(np.float64) ** 2).sum(1)
+            squares, own_squares = ((v.astype(np.float64) ** 2).sum(1) for v in (x, q))
+            x, q = _exact(x, q)
+            xd = np.ascontiguousarray(xd.T)
             for i in range(len(q)):
                 low = np.zeros(len(x))
-                for p in range(xd.shape[1]):
-                    np.maximum(low, np.abs(xd[:, p] - qd[i, p]), out=low)
-                own = float((q[i].astype(np.float64) ** 2).sum())
+                for far, d in zip(xd, qd[i], strict=True):
+                    np.maximum(low, np.abs(far - d), out=low)
+                own = own_squares[i]
                 # Roundings of distances are far below one part in 10**9 of the squares.
                 bound = (own + squares - low**2) / 2 + 1e-9 * (own + squares) + 1
                 order = np.argsort(-bound)
-                best, at, step = [], 0, 64
-                while at < len(order) and (len(best) < k or bound[order[at]] >= -best[-1][0]):
+                scores, ids, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 256
+                while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1]):
                     part = order[at : at + step]
                     part = part[xi[part] != qi[i]]
-                    best = sorted([*best, *zip((-_products(x[part], q[i])).tolist(), xi[part].tolist(), strict=True)])[:k]
+                    scores, ids = _best(np.concatenate((scores, (x[part] @ q[i]).astype(np.int64))), np.concatenate((ids, xi[part])), k)
                     at, step = at + step, 2 * step
-                out += [(int(qi[i]), v, -s) for s, v in best]
+                out += zip([int(qi[i])] * len(ids), ids.tolist(), scores.tolist(), strict=True)
         return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     return run
