@@ -6,11 +6,13 @@ the shingles, their prefixes of n - need(n) + r members therefore share at least
 1. Screen. One pass over the texts makes every set. Prefixes in hash order with r = n // 16 + 1 are matched against each other as packed
    runs of hashes, one entry for a shingle and task. A pair shares the r of its smaller set, so what doesn't find need(n) // 16 + 1 of its
    shingles elsewhere links with nothing new. Equal sets are one class from here on.
-2. Collapse. Classes that are left and agree on some of a few minima of permuted hashes are verified against one leader each, in a few
-   turns with other leaders, so that large groups of near copies become one component in linear work. Leaders are those whose minima most others share.
+2. Collapse. Classes that agree on some of a few minima of permuted hashes are a family with one leader each, the one whose minima most others
+   share, and are verified against it. So large groups of near copies become one component in linear work. Members that don't link to their
+   leader meet the rest of their family in blocks of sets, of which only a forest of the links comes back.
 3. Join. Shingles that occur in several components are ordered by frequency, all others come before them. A set with fewer than need(n) of
    them is done. Each other picks how many matches r it asks for, by the estimated cost of the prefix that r takes: its postings, and
-   the candidates among them (postings / r at most). Pairs of different components that share the smaller r of the two are verified on their whole sets.
+   the candidates among them (postings / r at most). Pairs of different components and families that share the smaller r of the two are
+   verified on their whole sets.
 
 Links inside a component that is known needn't be found again: components are the result. Every verification is exact on
 64-bit shingle hashes.
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Stage, Words, components, fresh, load, mix, parallelism, shingle_sets, texts_of
+from .common import U, Stage, Words, components, forest, fresh, load, mix, parallelism, shingle_sets, texts_of
 
 WORDS = 5
 #: Prefixes of the screen ask for n // SCREEN + 1 matches.
 SCREEN = 16
-#: What verifying a candidate costs, in postings; turns of the collapse.
-VERIFY, TURNS = 64, 3
+#: What verifying a candidate costs, in postings; sets in a block of a family.
+VERIFY, BLOCK = 64, 256
 NOBODY = np.iinfo(np.int64).min
 FLUSH = 1 << 20
 
@@ -175,7 +177,7 @@ def _minima(number: int):
 def _tokens(batches):
     for batch in batches:
         found = [np.frombuffer(raw, np.int64) for raw in batch.column("found").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["component", "node", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["family", "component", "node", "n", "tokens"])
 
 
 def _similar(batches):
@@ -206,26 +208,64 @@ def fame(stage: Stage, sets: DataFrame, minima: int = 16) -> DataFrame:
     return stage.keep(keys.join(shared.select("key"), "key", "left_semi").join(known, "node"), "fame")
 
 
-def leaders(keys: DataFrame, known: DataFrame | None, turn: int, votes: int = 4) -> DataFrame:
-    """(u, v): for each node u the leader v of another component that most of its minima name, if `votes` or more do.
+def leaders(keys: DataFrame, votes: int = 4) -> DataFrame:
+    """(u, v): for each node u the leader v that most of its minima name, if `votes` or more do and it isn't u itself.
 
-    The leader of a minimum is the most famous of the nodes that share it; after the first turn, fame is shaken by a hash.
+    The leader of a minimum is the most famous of the nodes that share it.
     """
-    own = keys.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")) if known else keys.withColumn("component", F.col("node"))
-    luck = F.lit(1.0) if turn == 0 else 0.6 + 0.4 * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1024)) / 1024
-    heads = own.groupBy("key").agg(F.max(F.struct((F.col("fame") * luck).alias("f"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("head"))
-    met = own.join(heads.select(fresh("key"), "head.v", "head.m", "head.c"), "key").where("component <> c and 4 * least(n, m) >= 3 * greatest(n, m)")
+    heads = keys.groupBy("key").agg(F.max(F.struct("fame", F.col("node").alias("v"), F.col("n").alias("m"))).alias("head"))
+    met = keys.join(heads.select(fresh("key"), "head.v", "head.m"), "key").where("node <> v and 4 * least(n, m) >= 3 * greatest(n, m)")
     best = met.groupBy("node", "v").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).groupBy("node").agg(F.max(F.struct("votes", "v")).alias("top"))
     return best.select(F.col("node").alias("u"), F.col("top.v").alias("v"))
 
 
-def candidates(stage: Stage, sets: DataFrame, known: DataFrame, choices: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
-    """(u, v): pairs of different components of `known` whose adaptive prefixes share enough shingles."""
-    member = sets.join(known, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "n", "found")
-    rows = member.mapInArrow(_tokens, "component long, node long, n long, tokens array<long>")
-    tokens = stage.keep(rows.select("component", "node", "n", F.explode("tokens").alias("token")), "tokens")
-    many = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df")).where("a <> b").select(fresh("token"), "df")
-    postings = stage.keep(tokens.join(many, "token").select("token", "df", "component", "node", "n"), "postings")
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A forest of the links between two blocks of sets."""
+    pairs = []
+    if left.num_rows and right.num_rows:
+        sets, nodes = [np.frombuffer(raw, U) for raw in right["found"].to_pylist()], right["node"].to_numpy()
+        sizes = np.array([len(x) for x in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for u, raw in zip(left["node_l"].to_pylist(), left["found_l"].to_pylist(), strict=True):
+            own = np.frombuffer(raw, U)
+            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            times = high - low
+            at = np.repeat(low - np.concatenate(([0], times.cumsum()[:-1])), times) + np.arange(times.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            v = nodes[(100 * common >= 75 * (len(own) + sizes - common)) & (nodes != u)]
+            pairs.append(np.column_stack((np.full(len(v), u), v)))
+    edges = forest(np.concatenate(pairs)) if pairs else np.zeros((0, 2), np.int64)
+    return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
+
+
+def family_links(stage: Stage, sets: DataFrame, families: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v): a forest of the links inside families (node, family), as far as `known` lacks them.
+
+    Members that aren't of the leader's component meet all members of the family, in blocks of BLOCK sets. A group of near copies that all
+    link to their leader takes no work here.
+    """
+    component = F.coalesce("component", "node")
+    lead = families.select("family").distinct().join(known.select(F.col("node").alias("family"), "component"), "family", "left").select(fresh("family"), F.coalesce("component", "family").alias("lead"))
+    member = families.join(known, "node", "left").select("node", "family", component.alias("component")).join(lead, "family").withColumn("outside", F.col("component") != F.col("lead"))
+    blocks = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("nb"), F.ceil(F.count_if("outside") / BLOCK).cast("long").alias("no")).where("no > 0")
+    placed = stage.keep(member.join(blocks.select(fresh("family"), "nb", "no"), "family").select("node", "family", "outside", "nb", "no"), "placed")
+    mine = F.xxhash64("node")
+    rows = sets.join(placed, "node").select("node", "found", "family", "outside", F.pmod(mine, "nb").alias("own_b"), F.pmod(mine, "no").alias("own_o"), "nb", "no")
+    left = rows.where("outside").select("node", "found", "family", "own_o", F.explode(F.expr("sequence(0L, nb - 1)"))).toDF("node_l", "found_l", "family_l", "o_l", "b_l")
+    right = rows.select("node", "found", "family", F.explode(F.expr("sequence(0L, no - 1)")).alias("o"), F.col("own_b").alias("b"))
+    return left.groupBy("family_l", "o_l", "b_l").cogroup(right.groupBy("family", "o", "b")).applyInArrow(_block_links, "u long, v long")
+
+
+def candidates(stage: Stage, sets: DataFrame, families: DataFrame, known: DataFrame, choices: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """(u, v): pairs of different components of `known` and of different families whose adaptive prefixes share enough shingles."""
+    placed = stage.keep(families.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "groups")
+    member = sets.join(placed, "node").select("family", "component", "node", "n", "found")
+    rows = member.mapInArrow(_tokens, "family long, component long, node long, n long, tokens array<long>")
+    tokens = stage.keep(rows.select("family", "component", "node", "n", F.explode("tokens").alias("token")), "tokens")
+    many = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("family").alias("c"), F.max("family").alias("d"), F.count("*").alias("df")).where("a <> b and c <> d").select(fresh("token"), "df")
+    postings = stage.keep(tokens.join(many, "token").select("token", "df", "family", "component", "node", "n"), "postings")
     enough = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("m")).where("shared >= (3 * m + 3) div 4").select(fresh("node"), "shared")
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = postings.join(enough, "node").withColumn("rank", F.row_number().over(order)).withColumn("cost", F.sum(F.col("df") - 1).over(order))
@@ -235,9 +275,9 @@ def candidates(stage: Stage, sets: DataFrame, known: DataFrame, choices: tuple[i
     taken = lambda r: F.max(F.when(F.col("rank") <= base + (r - 1), F.col("cost"))).over(Window.partitionBy("node"))
     costs = F.array(*(F.when(F.lit(r) <= F.expr("(3 * n + 3) div 4"), taken(r) * (1 + VERIFY / r)).otherwise(F.lit(float("inf"))) for r in choices))
     chosen = F.element_at(F.array(*map(F.lit, choices)), F.array_position(costs, F.array_min(costs)).cast("int"))
-    index = stage.keep(ranked.withColumn("r", chosen).where(F.col("rank") <= base + F.col("r") - 1).select("token", "node", "n", "component", "r"), "index")
-    one, other = index.select("token", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "r"))), index.select("token", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "r")))
-    met = one.join(other, "token").where("node_u < node_v and component_u <> component_v and 4 * least(n_u, n_v) >= 3 * greatest(n_u, n_v)")
+    index = stage.keep(ranked.withColumn("r", chosen).where(F.col("rank") <= base + F.col("r") - 1).select("token", "node", "n", "component", "family", "r"), "index")
+    one, other = index.select("token", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "family", "r"))), index.select("token", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "family", "r")))
+    met = one.join(other, "token").where("node_u < node_v and component_u <> component_v and family_u <> family_v and 4 * least(n_u, n_v) >= 3 * greatest(n_u, n_v)")
     counted = met.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v")).agg(F.count("*").alias("matches"), F.min(F.least("r_u", "r_v")).alias("r"))
     return counted.where("matches >= r").select("u", "v")
 
@@ -256,12 +296,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = screen.where(f"n > 0 and doc_id is not null and hits > {least('n', SCREEN)}").select("doc_id", "n", "s1", "s2").distinct()
     alive = stage.keep(found.join(classes.select(F.col("node").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"), "alive")
     sets = stage.keep(docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary"), "sets")
-    links, known, keys = None, None, fame(stage, sets)
-    for turn in range(TURNS):
-        found = stage.keep(verified(leaders(keys, known, turn), sets), f"links-{turn}")
-        links = links.union(found) if links else found
-        known = stage.keep(components(stage, links, f"turn-{turn}"), f"known-{turn}")
-    more = stage.keep(verified(candidates(stage, sets, known), sets), "more")
+    led = stage.keep(leaders(fame(stage, sets)), "led")
+    families = stage.keep(sets.select("node").distinct().join(led, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("family")), "families")
+    links = stage.keep(verified(led, sets), "links-0")
+    known = stage.keep(components(stage, links, "turn-0"), "known-0")
+    links = links.union(stage.keep(family_links(stage, sets, families, known), "links-1"))
+    known = stage.keep(components(stage, links, "turn-1"), "known-1")
+    more = stage.keep(verified(candidates(stage, sets, families, known), sets), "more")
     final = stage.keep(components(stage, links.union(more), "final"), "components")
     stage.drop("tokens", "postings", "index", "sets", "alive")
     named = classes.join(final, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
