@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import records, series, totals  # noqa: F401
+from .queries import live, records, series, totals  # noqa: F401
 from .queries.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "d1_hourly_series"
