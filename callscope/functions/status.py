@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Statuses, failure kinds and the phrases that mark them, in the order in which they are tried.
@@ -59,28 +59,53 @@ def kind_prefix(error: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(F.trim(error), r"^\[([^\]]+)\]", 1)), F.lit(""))
 
 
-def derived_kind(status: Column, error: Column) -> Column:
-    low = F.lower(blank(error))
+def _derived(s: Column, low: Column) -> Column:
     chain = reduce(lambda c, p: c.when(F.contains(low, F.lit(p[0])), p[1]), PHRASES[1:], F.when(F.contains(low, F.lit(PHRASES[0][0])), PHRASES[0][1]))
-    return chain.when((norm(status) == "http_200") & (low == ""), None).when(norm(status).startswith("http_"), norm(status)).when(low != "", "untyped_failure")
+    return chain.when((s == "http_200") & (low == ""), None).when(s.startswith("http_"), s).when(low != "", "untyped_failure")
 
 
-def failure(status: Column, error: Column, kind: Column | None = None) -> Column:
-    """struct(kind, class, actionable): class is none, service_failure, client_failure or client_abort; only service failures are actionable."""
-    given = F.nullif(blank(kind), F.lit("")) if kind is not None else F.lit(None).cast("string")
-    s, low = norm(status), F.lower(blank(error))
-    quiet = (low == "") & ((s.isin(*SUCCESS) & given.isNull()) | s.isin(*IN_FLIGHT) | ((s == "") & given.isNull()))
-    found = F.coalesce(given, kind_prefix(error), derived_kind(status, error))
-    k = F.lower(F.coalesce(found, F.lit("")))
+def derived_kind(status: Column, error: Column) -> Column:
+    return _derived(norm(status), F.lower(blank(error)))
+
+
+def _quiet(s: Column, low: Column, given: Column) -> Column:
+    return (low == "") & ((s.isin(*SUCCESS) & given.isNull()) | s.isin(*IN_FLIGHT) | ((s == "") & given.isNull()))
+
+
+def _label(s: Column, low: Column, given: Column, k: Column) -> Column:
     limited = (s == "http_429") | (k == "upstream_http_429")
     client = reduce(lambda a, p: a | F.contains(low, F.lit(p)), CLIENT_PHRASES, (k == "request_body_stream_error_client_closed") | s.startswith("http_4"))
     fine = (low == "") & (((k == "") & s.isin("success", "completed", "http_200")) | ((s == "warning_success") & k.isin("", ABORT)))
-    label = (
-        F.when(quiet | ((s == "warning_success") & (k == ABORT) & (low == "")), "none")
+    return (
+        F.when(_quiet(s, low, given) | ((s == "warning_success") & (k == ABORT) & (low == "")), "none")
         .when((k == ABORT) | F.contains(low, F.lit(PHRASES[0][0])), "client_abort")
         .when(limited, "service_failure").when(client, "client_failure").when(fine, "none").otherwise("service_failure")
-    )
-    return F.struct(F.when(~quiet & ((label != "none") | (s == "warning_success")), found).alias("kind"), label.alias("class"), (label == "service_failure").alias("actionable"))
+    )
+
+
+def _struct(s: Column, low: Column, given: Column, found: Column, label: Column) -> Column:
+    return F.struct(F.when(~_quiet(s, low, given) & ((label != "none") | (s == "warning_success")), found).alias("kind"), label.alias("class"), (label == "service_failure").alias("actionable"))
+
+
+def failure(status: Column, error: Column, kind: Column | None = None) -> Column:
+    """struct(kind, class, actionable): class is none, service_failure, client_failure or client_abort; only service failures are actionable."""
+    given = F.nullif(blank(kind), F.lit("")) if kind is not None else F.lit(None).cast("string")
+    s, low = norm(status), F.lower(blank(error))
+    found = F.coalesce(given, kind_prefix(error), _derived(s, low))
+    return _struct(s, low, given, found, _label(s, low, given, F.lower(F.coalesce(found, F.lit("")))))
+
+
+def with_failure(rows: DataFrame, status: str = "status", error: str = "error_message") -> DataFrame:
+    """rows with ok (success-like), flying, kind, class and actionable. In steps, so that each part is evaluated once."""
+    s, low, none = F.col("__s"), F.col("__low"), F.lit(None).cast("string")
+    out = rows.withColumns({"__s": norm(F.col(status)), "__low": F.lower(blank(F.col(error)))})
+    out = out.withColumn("__kind", F.coalesce(kind_prefix(F.col(error)), _derived(s, low)))
+    out = out.withColumn("class", _label(s, low, none, F.lower(F.coalesce("__kind", F.lit("")))))
+    quiet = _quiet(s, low, none)
+    return out.withColumns({
+        "ok": s.isin(*SUCCESS) | ((s == "http_200") & (low == "")), "flying": s.isin(*IN_FLIGHT), "actionable": F.col("class") == "service_failure",
+        "kind": F.when(~quiet & ((F.col("class") != "none") | (s == "warning_success")), F.col("__kind")),
+    }).drop("__s", "__low", "__kind")
 
 
 def resolved(stored_class: Column, stored_kind: Column, derived: Column) -> Column:
@@ -111,8 +136,9 @@ def normalised(error: Column) -> Column:
         (r"(https?://[^\s'\"?#]+)[^\s'\"]*", "$1"), (r"\b\d{4,}\b", ""), ("request failed:", "request failed"), ("exception recovered:", "exception"), (r"\s+", " "),
     ):
         out = F.regexp_replace(out, pattern, by)
-    out = F.trim(out)
-    out = F.when(code.isNotNull() & ~F.contains(out, code), F.concat(F.lit("http "), code, F.lit(": "), out)).otherwise(out)
+    prefixed = lambda x: F.when(x["code"].isNotNull() & ~F.contains(x["text"], x["code"]), F.concat(F.lit("http "), x["code"], F.lit(": "), x["text"])).otherwise(x["text"])
+    # One evaluation of the chain, though its result is used three times.
+    out = F.get(F.transform(F.array(F.struct(F.trim(out).alias("text"), code.alias("code"))), prefixed), F.lit(0))
     typed = F.when(F.trim(error).startswith("{"), F.get_json_object(F.trim(error), "$.error.type"))
     return F.nullif(F.when(typed.isNotNull(), F.concat(F.lit("json error: "), typed)).otherwise(F.substring(out, 1, 160)), F.lit(""))
 

@@ -8,19 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import histogram, status, timing
-from ..functions.status import failure, in_flight, non_success, success_like, terminal
 
 HOUR = timing.HOUR
 
 
-def _se() -> tuple[Column, Column]:
-    return F.col("status"), F.col("error_message")
-
-
 def classified(calls: DataFrame) -> DataFrame:
     """calls with ok (success-like), flying, kind, class and actionable."""
-    found = calls.withColumn("__failure", failure(*_se())).withColumns({"ok": success_like(*_se()), "flying": in_flight(F.col("status"))})
-    return found.withColumns({"kind": F.col("__failure.kind"), "class": F.col("__failure.class"), "actionable": F.col("__failure.actionable")}).drop("__failure")
+    return status.with_failure(calls)
+
+
+def lost() -> Column:
+    """Over classified calls: interrupted, or terminal and failed."""
+    return (status.norm(F.col("status")) == "interrupted") | (~F.col("flying") & (F.col("class") != "none"))
 
 
 def total(c: Column, digits: int = 10) -> Column:
@@ -31,7 +30,7 @@ def counts() -> list[Column]:
     """Counts and sums over classified, priced calls."""
     return [
         F.count("*").alias("n"), F.count_if(F.col("ok") & (F.col("class") == "none")).alias("success"), F.count_if(~F.col("flying") & (F.col("class") != "none")).alias("failure"),
-        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), total(F.col("cost")).alias("cost"), total(F.when(non_success(*_se()), F.col("cost"))).alias("non_success_cost"),
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), total(F.col("cost")).alias("cost"), total(F.when(lost(), F.col("cost"))).alias("non_success_cost"),
     ]
 
 
@@ -94,7 +93,7 @@ def account_rollup(calls: DataFrame, width: int = HOUR) -> DataFrame:
     usage = [F.sum(f"{c}_tokens").alias(f"{c}_tokens") for c in ("input", "output", "cache", "total")]
     return classified(calls).groupBy(timing.floor_to(F.col("epoch"), width).alias("bucket"), F.coalesce("account", F.lit(-1)).alias("account")).agg(
         F.count("*").alias("n"), F.count_if(F.col("ok") & (F.col("class") == "none")).alias("success"), F.count_if(~F.col("flying") & (F.col("class") != "none")).alias("failure"), F.count_if("flying").alias("flying"), *usage,
-        total(F.col("cost")).alias("cost"), total(F.when(non_success(*_se()), F.col("cost"))).alias("non_success_cost"), F.max_by("t_total", F.when(F.col("t_total").isNotNull(), F.struct("epoch", "id"))).alias("last_ms"),
+        total(F.col("cost")).alias("cost"), total(F.when(lost(), F.col("cost"))).alias("non_success_cost"), F.max_by("t_total", F.when(F.col("t_total").isNotNull(), F.struct("epoch", "id"))).alias("last_ms"),
     )
 
 

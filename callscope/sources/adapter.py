@@ -14,6 +14,22 @@ NOW = 1706659200
 DAY, HOUR = 86400, 3600
 
 
+_ERRORS = (
+    ("http_429", "HTTP 429: Too Many Requests"), ("http_401", "HTTP 401 incorrect api key provided"), ("http_502", "HTTP 502 upstream stream error"), ("failed", "[downstream_closed] user cancelled"), ("interrupted", ""),
+)
+_FINE = {"click": "http_200", "purchase": "warning_success", "view": "success"}
+
+
+def _statuses(spark: SparkSession) -> DataFrame:
+    """Status and error message by kind of event: fifty rows, so that both are columns and no long expressions to those who filter on them."""
+    rows = []
+    for kind in ("error", "signup", *_FINE):
+        for r5, (state, message) in enumerate(_ERRORS):
+            for r23 in (False, True):
+                rows.append((kind, r5, r23, *((state, message) if kind == "error" else (_FINE.get(kind) or ("running" if r23 else "completed"), None))))
+    return spark.createDataFrame(rows, "event_type string, r5 long, r23 boolean, status string, error_message string")
+
+
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per call."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "cast(get_json_object(props, '$.k') as bigint) k")
@@ -21,15 +37,12 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id + 1 id", "concat('inv-', event_id) invoke_id", "ts occurred_at", f"timestampdiff(SECOND, {EPOCH}, ts) epoch", "user_id", "k", "value", "event_type",
         "if(event_id % 10 = 0, 'xy', 'proxy') source", "if(event_id % 17 = 0, null, concat('conv-', user_id)) conversation", "if(user_id % 11 = 0, null, user_id % 7 + 1) account",
         "element_at(array('model-a', 'model-b', 'model-c-2026-01-01'), cast(k % 3 as int) + 1) model", "element_at(array('low', 'medium', 'high', null), cast(k % 4 as int) + 1) effort",
-        """case event_type
-             when 'error' then element_at(array('http_429', 'http_401', 'http_502', 'failed', 'interrupted'), cast(event_id % 5 as int) + 1)
-             when 'signup' then if(event_id % 23 = 0, 'running', 'completed') when 'click' then 'http_200' when 'purchase' then 'warning_success' else 'success' end status""",
-        """if(event_type = 'error', element_at(array('HTTP 429: Too Many Requests', 'HTTP 401 incorrect api key provided', 'HTTP 502 upstream stream error',
-             '[downstream_closed] user cancelled', ''), cast(event_id % 5 as int) + 1), null) error_message""",
+        "event_id % 5 r5", "event_id % 23 = 0 r23",
         "cast(floor(value * 100) as bigint) input_tokens", "cast(floor(floor(value * 100) * (k % 10) / 10) as bigint) cache_tokens", "cast(floor(value * 10) as bigint) output_tokens",
         "if(event_id % 29 = 0, null, value * 20) t_total", "k * 0.1D t_read", "0.5D t_parse", "if(event_id % 13 = 0, null, 5.0D) t_connect", "value * 4 t_ttfb", "value * 12 t_stream",
         "if(event_type in ('view', 'purchase'), value * 4 + 10, null) first_token", "value * 20000 t_long", "event_id % 101 = 0 broken",
     )
+    calls = calls.join(F.broadcast(_statuses(spark)), ["event_type", "r5", "r23"], "left").drop("r5", "r23")
     calls = calls.withColumns({"reasoning_tokens": F.expr("output_tokens div 4"), "total_tokens": F.expr("input_tokens + output_tokens")})
     body = F.to_json(
         F.struct(
