@@ -129,10 +129,20 @@ def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_by
         if total >= shard_bytes:
             total, shard = 0, shard + 1
     shards = spark.createDataFrame(rows, "block long, shard int")
-    typed = keyed.join(firsts, ["sha", "size"], "left").withColumn("refers_to", F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")))
-    placed = typed.withColumn("block", block).join(F.broadcast(shards), "block").select("shard", "page_id", "url", "html", "refers_to")
-    sorted_ = placed.repartition(max(shard + 1, parallelism(spark)), "shard").sortWithinPartitions("shard", "page_id", "url", "html")
-    manifest = stage.keep(sorted_.mapInArrow(_write(root, roll_bytes, date), _MANIFEST), "manifest")
+    placed = keyed.withColumn("block", block).join(F.broadcast(shards), "block").withColumn("place", F.expr("coalesce(page_id, -9223372036854775808L)"))
+    keys = ["shard", "place", "sha", "size"]
+    refers = F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")).alias("refers_to")
+    types = placed.select(*keys, "page_id").join(firsts, ["sha", "size"], "left").select(*keys, refers).distinct()
+    # Payloads are shuffled once, by shard; record types come to them there.
+    parts, setting = max(shard + 1, parallelism(spark)), "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        met = placed.select(*keys, "page_id", "url", "html").repartition(parts, "shard").hint("merge").join(types.repartition(parts, "shard"), keys)
+        sorted_ = met.sortWithinPartitions(*keys).select("shard", "page_id", "url", "html", "refers_to")
+        manifest = stage.keep(sorted_.mapInArrow(_write(root, roll_bytes, date), _MANIFEST), "manifest")
+    finally:
+        spark.conf.set(setting, before)
     final = stage.keep(manifest.withColumn("root", F.lit(root)).repartition(parallelism(spark), "name").mapInArrow(_commit, _MANIFEST), "committed")
     stage.drop("firsts")
     return final
