@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, near_vectors, ngram_join, packing, quality, repeats, secrets, tokens, top_k, warc
+from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repeats, secrets, tokens, top_k, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_secret_scan": secrets.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": oracles.NEAR_VECTORS,
+    "op4_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op9_exact_top_k": oracles.TOP_K,
+}
