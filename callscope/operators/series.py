@@ -74,6 +74,16 @@ def wall_time(slices: DataFrame, *keys: str) -> DataFrame:
     return new.groupBy(*keys).agg(F.sum("gain").alias("wall_ms"), F.sum(F.col("finish") - F.col("begin")).alias("sum_ms"), F.count("*").alias("slices"), F.count_if("starts").alias("calls"))
 
 
+def segments(slices: DataFrame, *keys: str) -> DataFrame:
+    """The merged segments (begin, finish) of each group: a mergeable partial of wall time, as unions of unions are unions."""
+    order = Window.partitionBy(*keys).orderBy("begin", "finish")
+    reach = F.max("finish").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("begin") <= F.col("reach"), 0).otherwise(1)).over(order)
+    marked = slices.withColumn("reach", reach).withColumn("island", island)
+    merged = marked.groupBy(*keys, "island").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.count_if("starts").alias("calls"))
+    return merged.drop("island")
+
+
 def rolling_minute(calls: DataFrame) -> DataFrame:
     """For every second with calls of an account, the sums of the last 60 seconds."""
     seconds = calls.where("account is not null").groupBy("account", "epoch").agg(F.sum("total_tokens").alias("tokens"), F.count("*").alias("n"))

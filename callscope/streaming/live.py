@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import totals
+from ..operators import series, totals
 
 
 def read_calls(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
@@ -34,6 +34,24 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return totals.merged([spark.read.parquet(path)], ["hour", "source"], sums=["n", "success", "failure", "tokens", "cost", "non_success_cost"])
 
 
+def segment_rollup(stream: DataFrame, path: str, checkpoint: str):
+    """H13: appends the merged interval segments of every batch by account and hour, one folder per batch id."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = series.segments(series.hour_slices(batch), "account", "bucket")
+        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_wall_time(spark: SparkSession, path: str) -> DataFrame:
+    """Wall time and calls of each account and hour over the segments of all batches."""
+    rows = spark.read.parquet(path)
+    wall = series.wall_time(rows.withColumn("starts", F.lit(False)), "account", "bucket").select("account", "bucket", "wall_ms")
+    calls = rows.groupBy("account", "bucket").agg(F.sum("calls").alias("calls")).toDF("a", "b", "calls")
+    return wall.join(calls, wall["account"].eqNullSafe(calls["a"]) & (wall["bucket"] == calls["b"])).select("account", "bucket", "wall_ms", "calls")
+
+
 def rebuilt(old: DataFrame, calls: DataFrame, dirty: DataFrame) -> DataFrame:
     """H2: old hourly rows, but for dirty hours (hour), which are computed anew from all calls."""
     touched = calls.join(dirty, F.expr("epoch div 3600 * 3600") == dirty["hour"], "left_semi")

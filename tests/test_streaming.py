@@ -4,7 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import totals
+from callscope.operators import series, totals
 from callscope.sources import adapter
 from callscope.streaming import live
 
@@ -46,6 +46,14 @@ def test_hourly_rollup(spark, source, tmp_path):
     assert rows(got) == rows(totals.totals(calls, totals.hour(), "source").select(got.columns))
 
 
+def test_wall_time(spark, source, tmp_path):
+    path, calls = source
+    live.segment_rollup(live.read_calls(spark, path, calls), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    want = series.wall_time(series.hour_slices(calls), "account", "bucket").select("account", "bucket", "wall_ms", "calls")
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, live.read_wall_time(spark, f"{tmp_path}/out").collect()), key=lambda r: key((r[0] or 0, *r[1:]))) == sorted(map(tuple, want.collect()), key=lambda r: key((r[0] or 0, *r[1:])))
+
+
 def test_minutes_and_windows(spark, source):
     path, calls = source
     want = calls.groupBy(F.expr("epoch div 60 * 60").alias("minute")).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
