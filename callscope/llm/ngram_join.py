@@ -80,7 +80,7 @@ def _packed(buckets: int, ids: list, sizes: list, signs: list, tokens: list[np.n
     names = np.array([NOBODY if i is None else i for i in ids], np.int64)
     hashes, who = hashes[first], np.where(times > 1, NOBODY, names[who[first]])
     bucket = (mix(hashes) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((who, bucket))  # runs of one owner compress
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     cut = [order[edges[b] : edges[b + 1]] for b in range(buckets)]
     home = int(signs[0][0] % buckets) if signs else 0
@@ -174,10 +174,22 @@ def _minima(number: int):
     return run
 
 
-def _tokens(batches):
-    for batch in batches:
-        found = [np.frombuffer(raw, np.int64) for raw in batch.column("found").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["family", "component", "node", "n", "tokens"])
+def _tokens(whole: bool):
+    """The members of each set, or those of the prefix that the screen takes."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(raw, np.int64)[: None if whole else prefix(n)] for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["family", "component", "node", "n", "tokens"])
+
+    return run
+
+
+def crossing(tokens: DataFrame) -> DataFrame:
+    """(token, df): shingles that nodes of different components and of different families share."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("component", "family") for n, f in (("low", F.min), ("high", F.max))]
+    many = tokens.groupBy("token").agg(*ends, F.count("*").alias("df")).where("low_component <> high_component and low_family <> high_family")
+    return many.select(fresh("token"), "df")
 
 
 def _similar(batches):
@@ -262,10 +274,15 @@ def candidates(stage: Stage, sets: DataFrame, families: DataFrame, known: DataFr
     """(u, v): pairs of different components of `known` and of different families whose adaptive prefixes share enough shingles."""
     placed = stage.keep(families.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "groups")
     member = sets.join(placed, "node").select("family", "component", "node", "n", "found")
-    rows = member.mapInArrow(_tokens, "family long, component long, node long, n long, tokens array<long>")
-    tokens = stage.keep(rows.select("family", "component", "node", "n", F.explode("tokens").alias("token")), "tokens")
-    many = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("family").alias("c"), F.max("family").alias("d"), F.count("*").alias("df")).where("a <> b and c <> d").select(fresh("token"), "df")
-    postings = stage.keep(tokens.join(many, "token").select("token", "df", "family", "component", "node", "n"), "postings")
+    exploded = lambda df, whole: df.mapInArrow(_tokens(whole), "family long, component long, node long, n long, tokens array<long>").select("family", "component", "node", "n", F.explode("tokens").alias("token"))
+    # What the screen asks for, but now of other components and families: most sets end here.
+    prefixes = stage.keep(exploded(member, False), "prefixes")
+    hits = prefixes.join(crossing(prefixes), "token").groupBy("node").agg(F.count("*").alias("hits"), F.first("n").alias("m")).where(f"hits > {least('m', SCREEN)}")
+    member = member.join(stage.keep(hits.select("node"), "left"), "node", "left_semi").select("family", "component", "node", "n", "found")
+    stage.drop("prefixes")
+    tokens = stage.keep(exploded(member, True), "tokens")
+    postings = stage.keep(tokens.join(crossing(tokens), "token").select("token", "df", "family", "component", "node", "n"), "postings")
+    stage.drop("tokens")
     enough = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("m")).where("shared >= (3 * m + 3) div 4").select(fresh("node"), "shared")
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = postings.join(enough, "node").withColumn("rank", F.row_number().over(order)).withColumn("cost", F.sum(F.col("df") - 1).over(order))
@@ -276,6 +293,7 @@ def candidates(stage: Stage, sets: DataFrame, families: DataFrame, known: DataFr
     costs = F.array(*(F.when(F.lit(r) <= F.expr("(3 * n + 3) div 4"), taken(r) * (1 + VERIFY / r)).otherwise(F.lit(float("inf"))) for r in choices))
     chosen = F.element_at(F.array(*map(F.lit, choices)), F.array_position(costs, F.array_min(costs)).cast("int"))
     index = stage.keep(ranked.withColumn("r", chosen).where(F.col("rank") <= base + F.col("r") - 1).select("token", "node", "n", "component", "family", "r"), "index")
+    stage.drop("postings")
     one, other = index.select("token", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "family", "r"))), index.select("token", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "family", "r")))
     met = one.join(other, "token").where("node_u < node_v and component_u <> component_v and family_u <> family_v and 4 * least(n_u, n_v) >= 3 * greatest(n_u, n_v)")
     counted = met.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v")).agg(F.count("*").alias("matches"), F.min(F.least("r_u", "r_v")).alias("r"))
@@ -297,6 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     alive = stage.keep(found.join(classes.select(F.col("node").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"), "alive")
     sets = stage.keep(docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary"), "sets")
     led = stage.keep(leaders(fame(stage, sets)), "led")
+    stage.drop("keys", "fame")
     families = stage.keep(sets.select("node").distinct().join(led, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("family")), "families")
     links = stage.keep(verified(led, sets), "links-0")
     known = stage.keep(components(stage, links, "turn-0"), "known-0")
@@ -304,7 +323,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     known = stage.keep(components(stage, links, "turn-1"), "known-1")
     more = stage.keep(verified(candidates(stage, sets, families, known), sets), "more")
     final = stage.keep(components(stage, links.union(more), "final"), "components")
-    stage.drop("tokens", "postings", "index", "sets", "alive")
+    stage.drop("index", "sets", "alive", "placed", "groups")
     named = classes.join(final, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
     named = stage.keep(named, "named")
     return meta.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
