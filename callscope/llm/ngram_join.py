@@ -313,7 +313,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = stage.keep(meta.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     found = screen.where(f"n > 0 and doc_id is not null and hits > {least('n', SCREEN)}").select("doc_id", "n", "s1", "s2").distinct()
     alive = stage.keep(found.join(classes.select(F.col("node").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"), "alive")
-    sets = stage.keep(docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary"), "sets")
+    # Sets are met by node several times: bucketed, they stay where they are, and only the other side is shuffled.
+    whole = docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary")
+    sets = stage.keep_bucketed(whole, "sets", "node")
     led = stage.keep(leaders(fame(stage, sets)), "led")
     stage.drop("keys", "fame")
     families = stage.keep(sets.select("node").distinct().join(led, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("family")), "families")
