@@ -38,9 +38,11 @@ _HEX_BYTE[list(b"0123456789abcdef")] = True
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Numbers of the texts that may hold a span of any kind."""
     found = []
-    inside = np.concatenate(([False], _HEX_BYTE[data], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    found.append(edges[::2][edges[1::2] - edges[::2] >= 16])
+    inside, edge = np.concatenate(([False], _HEX_BYTE[data], [False])), np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # a run ends with its text
+    starts = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
+    ends = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
+    found.append(starts[ends - starts >= 16])
     raw = data.tobytes()
     low = raw.lower()
     for where, word in [(raw, b"AKIA"), *((low, stem) for stem in STEMS)]:

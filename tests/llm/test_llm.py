@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callscope.llm import licenses, near_vectors, ngram_join, packing, quality, repeats, secrets, tokens, top_k, warc
@@ -424,6 +425,14 @@ def test_secrets(spark, odd, nothing):
     assert "0123456789abcdef" not in clean[15]["text"] and clean[15]["n_chars"] == len(clean[15]["text"]) and clean[1]["text"] == prose(1, 300)
 
 
+def test_hex_runs_end_with_their_text():
+    texts = ["ends in abc", "0123456789abcdef0123", "fedcba9876543210", None, "", "0123456789abcdef", "0" * 15, "1" * 15, "f", "é" + "a" * 16, "b" * 16]
+    found = {i: spans for i, _, spans in secrets._found(pa.array(texts))}
+    assert found == {i: spans for i, t in enumerate(texts) if (spans := secrets.scan(t or ""))} and sorted(found) == [1, 2, 5, 9, 10]
+    few = pa.array(["x"]).slice(1), pa.array([None, ""], pa.string())
+    assert [list(secrets._found(column)) for column in few] == [[], []]
+
+
 def test_assignments():
     text = 'KEY_A = "Zx91kQpLmN82vbTT"\nname = "plain words here"\nclient.credentials := KEY_A\ndb_pwd: \'S3cure-Pass!word9\'\nauthor = "Someone"\npasswordHint = "short"'
     assert [text[a:b] for a, b in secrets.lexed(text)] == ["Zx91kQpLmN82vbTT", "S3cure-Pass!word9"]
