@@ -13,6 +13,8 @@ empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -61,20 +63,25 @@ def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
     reach.reverse()
     found: list[tuple[int, ...]] = []
 
-    def down(i: int, rest: int, taken: tuple[int, ...]) -> None:
-        if not rest:
-            found.append(taken)
-        elif i < len(sizes) and reach[i] >> rest & 1 and len(found) < most:
-            s = sizes[i]
-            for n in range(min(int(counts[s]), rest // s), -1, -1):
-                down(i + 1, rest - n * s, taken + (s,) * n)
-                if len(found) >= most:
-                    return
+    def search(total: int) -> None:
+        todo = [(0, total, (), room)]  # from the i-th length on: the rest to fill, what is taken, how often the next length is at most
+        while todo and len(found) < most:
+            i, rest, taken, limit = todo.pop()
+            if not rest:
+                found.append(taken)
+                continue
+            i = bisect_left(sizes, -rest, i, key=neg)  # lengths over the rest are passed at once
+            if i < len(sizes) and reach[i] >> rest & 1:
+                s = sizes[i]
+                n = min(int(counts[s]), rest // s, limit)
+                if n:
+                    todo.append((i, rest, taken, n - 1))
+                todo.append((i + 1, rest - n * s, taken + (s,) * n, room))
 
     total = reach[0].bit_length() - 1
     while total > 0 and len(found) < most:
         if reach[0] >> total & 1:
-            down(0, total, ())
+            search(total)
             if total + (sizes[-1] if sizes else 0) <= room or found:
                 break
         total -= 1

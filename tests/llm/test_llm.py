@@ -328,6 +328,21 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert over <= 1
 
 
+def test_packing_with_every_short_length():
+    counts = np.zeros(2049, np.int64)
+    counts[1:1024] = 3
+    counts[1024] = 2
+    plan = packing.pack(counts)
+    used = np.zeros(2049, np.int64)
+    for pattern, times in plan:
+        assert sum(pattern) <= 2048 and times > 0
+        np.add.at(used, list(pattern), times)
+    assert (used == counts).all() and sum(n for _, n in plan) <= packing.lower_bound(counts, 2048) + 1
+    only = np.where(np.arange(2049) < 1024, counts, 0)  # the least sum that is taken lies behind a thousand lengths
+    only[2:1024] = 1
+    assert packing.fillings(only, 1030, 3)[0] == (1023, 7) and len(packing.fillings(only, 1030, 3)) == 3
+
+
 # 7 --------------------------------------------------------------------------------------------------------
 
 
