@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
 Every whole text is screened on its bytes with numpy and substring search; only texts that hold a possible match are
-lexed. The lexer reads name-literal pairs (``name = "literal"``, ``name: literal``, ``name := literal``), follows names
-that are assigned to other names (constants), and scores each literal by the most sensitive name that it reaches.
+lexed. The lexer reads name-literal pairs (``name = "literal"``, ``name: literal``, ``name := literal``, ``name: type = "literal"``,
+``table["name"] = "literal"``, ``--name=literal``, ``--name literal``), follows names that are assigned to other names (constants,
+wherever they stand), and scores each literal by the most sensitive name that it reaches.
 
 Cases: null and empty texts have no spans; repeated rows are scanned each; rows with a null id are kept; offsets are code points, ends are exclusive.
 """
@@ -25,14 +26,25 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 PAIR = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.-]*)["']?[\x20\t]*(?::=|=>|=|:)[\x20\t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=~$-]+)""", re.A)
+_QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+_LITERAL = rf"({_QUOTED}|[A-Za-z0-9+/_.=~$-]+)"
+_TYPE = r"(?:&(?:'\w+[\x20\t]+)?(?:mut[\x20\t]+)?|\*)?[A-Za-z_$][\w$.]*(?:[<\[][\w$.,|<>\[\]&*:'\x20\t]{0,80}[>\]])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z_$][\w$.]*)*\??"
+#: Other forms of a pair, each read beside PAIR, so that none takes the text of another: typed names, subscripts, flags.
+TYPED = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[?!]?[\x20\t]*:[\x20\t]*{_TYPE}(?:[\x20\t]*=[\x20\t]*(?=[\"'])|[\x20\t]+=[\x20\t]+){_LITERAL}", re.A)
+SUBSCRIPT = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[\"']?\][\x20\t]*(?:=>|=|:)[\x20\t]*{_LITERAL}", re.A)
+FLAG = re.compile(rf"(?<![\w$.-])--?([A-Za-z_][\w.-]*)(?:[\x20\t]*[=:][\x20\t]*|[\x20\t]+)(?!-){_LITERAL}", re.A)
 #: How sensitive a name is that has this word in it.
 NAMED = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 0.9, "privatekey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.7,
 }
-STEMS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"accesskey", b"access_key", b"privatekey", b"private_key", b"credential", b"auth")
+#: What the screen looks for, in lower case and without what may stand between the words of a name: all words of NAMED hold one of these.
+STEMS = [w.encode() for w in NAMED if not any(x != w and x in w for x in NAMED)]
+_BETWEEN = b"_-.$"
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
+_SOLID_BYTE = np.ones(256, bool)
+_SOLID_BYTE[list(_BETWEEN)] = False
 
 
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -43,16 +55,17 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
     ends = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
     found.append(starts[ends - starts >= 16])
+    found = [np.searchsorted(offsets, np.concatenate(found), "right") - 1]
     raw = data.tobytes()
-    low = raw.lower()
-    for where, word in [(raw, b"AKIA"), *((low, stem) for stem in STEMS)]:
+    low, solid = raw.translate(None, _BETWEEN).lower(), np.concatenate(([0], np.cumsum(_SOLID_BYTE[data])))[offsets]
+    for where, ends, word in [(raw, offsets, b"AKIA"), *((low, solid, stem) for stem in STEMS)]:
         at, hits = where.find(word), []
         while at >= 0:
-            text = int(np.searchsorted(offsets, at, "right"))
-            hits.append(at)
-            at = where.find(word, max(at + 1, int(offsets[text]) if text < len(offsets) else len(where)))
+            text = int(np.searchsorted(ends, at, "right"))
+            hits.append(text - 1)
+            at = where.find(word, max(at + 1, int(ends[text]) if text < len(ends) else len(where)))
         found.append(np.array(hits, np.int64))
-    return np.unique(np.searchsorted(offsets, np.concatenate(found), "right") - 1)
+    return np.unique(np.concatenate(found))
 
 
 def name_score(name: str) -> float:
@@ -70,21 +83,51 @@ def literal_score(literal: str) -> float:
     return min(1.0, len(literal) / 16) * min(1.0, entropy / 3)
 
 
-def lexed(text: str, least: float = 0.5) -> list[tuple[int, int]]:
-    """Spans of the literals that a sensitive name holds, directly or through constants, in the order of the text."""
-    constants: dict[str, tuple[int, int]] = {}
-    best: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
+def _pairs(text: str) -> list[tuple[str, int, int, bool]]:
+    """(name, start and end of the literal, whether it is quoted) in the order of the names."""
+    typed = {m.start(1): m for m in TYPED.finditer(text)}
+    quoted = lambda m: text[m.start(2)] in "\"'"
+    found = [m for m in PAIR.finditer(text) if m.start(1) not in typed or not quoted(typed[m.start(1)])]  # else its literal is the type
+    found += [*typed.values(), *SUBSCRIPT.finditer(text), *(m for m in FLAG.finditer(text) if m[0].startswith("--") or text[m.end(1)] in "=:")]
+    out = []
+    for m in sorted(found, key=lambda m: (m.start(1), m.start(2))):
         start, end = m.span(2)
-        if quoted := text[start] in "\"'":
-            start, end = start + 1, end - 1
+        out.append((m[1], start + quoted(m), end - quoted(m), quoted(m)))
+    return out
+
+
+def _reached(text: str, pairs: list[tuple[str, int, int, bool]]) -> list[int]:
+    """For each pair the one whose literal it holds: an unquoted literal that is a name means the last pair of that name before, else the first one after."""
+    first: dict[str, int] = {}
+    for i, (name, *_) in enumerate(pairs):
+        first.setdefault(name, i)
+    last: dict[str, int] = {}
+    to = []
+    for i, (name, start, end, quoted) in enumerate(pairs):
         value = text[start:end]
-        span = constants.get(value) if not quoted else None
-        span = span or (start, end)
-        constants[m[1]] = span
-        score = name_score(m[1]) * literal_score(text[span[0] : span[1]])
-        best[span] = max(best.get(span, 0.0), score)
-    return sorted(s for s, score in best.items() if score >= least)
+        to.append(i if quoted else last.get(value, first.get(value, i)))
+        last[name] = i
+    ends: dict[int, int] = {}
+    for i in range(len(pairs)):
+        path, on = [i], {i}
+        while (at := path[-1]) not in ends and to[at] not in on:
+            path.append(to[at])
+            on.add(to[at])
+        end = ends.get(at, at)
+        if end == at and to[at] != at and at not in ends:
+            end = min(path[path.index(to[at]) :])  # names that only mean each other
+        ends.update(dict.fromkeys(path, end))
+    return [ends[i] for i in range(len(pairs))]
+
+
+def lexed(text: str, least: float = 0.5) -> list[tuple[int, int]]:
+    """Spans of the literals that a sensitive name holds, directly or through constants, in the order of the text."""
+    pairs, best = _pairs(text), {}
+    for (name, *_), i in zip(pairs, _reached(text, pairs), strict=True):
+        span = pairs[i][1:3]
+        if weight := name_score(name):
+            best[span] = max(best.get(span, 0.0), weight)
+    return sorted(s for s, weight in best.items() if weight * literal_score(text[s[0] : s[1]]) >= least)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:

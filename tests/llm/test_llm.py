@@ -454,6 +454,32 @@ def test_assignments():
     assert secrets.name_score("dbAccessKey") == 0.9 and secrets.name_score("monkey") == 0
 
 
+def test_screen_is_no_narrower_than_the_lexer():
+    secret = "Zx91kQpLmN82vbTT"
+    names = ["s3.access-key", "ssl.private.key", "api.key", "api-key", "pass-phrase", "pass_word", "sec_ret", "to.ken", "my$to__ken", "dbPassWd", "authorization", "x-Auth-y"]
+    texts = [t for n in names for t in (f"{n}: {secret}{secret}", "a-b_c.", "", "pass", "word of the day")]
+    assert all(secrets.name_score(n) >= 0.6 for n in names) and all(any(s.decode() in w for s in secrets.STEMS) for w in secrets.NAMED)
+    found = {i: spans for i, _, spans in secrets._found(pa.array(texts))}
+    assert found == {i: spans for i, t in enumerate(texts) if (spans := secrets.scan(t))} and len(found) == len(names)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'apiKey: string = "%s"', 'password: str = "%s"', "private apiKey?:string='%s';", 'let token: Option<&str> = "%s"', "static TOKEN: &'static str = \"%s\"", 'secret: dict[str, str] | None = "%s"',
+        'config["password"] = "%s"', "config['db.password']=%s", "run --password=%s", "run --password %s --verbose", "java -Dssl.private.key=%s", "run --set=access.key=%s", "run --verbose access.key=%s",
+        'client.secret = LATER\nLATER = "%s"', 'a.secret = B\nB = C\nC: str = "%s"', 'K = "%s"\napi.key = K', "passphrase: %s = x",
+    ],
+)
+def test_forms_of_assignments(text):
+    assert [(text % "Zx91kQpLmN82vbTT")[a:b] for a, b in secrets.lexed(text % "Zx91kQpLmN82vbTT")] == ["Zx91kQpLmN82vbTT"]
+
+
+def test_names_that_mean_each_other():
+    assert secrets.lexed("auth.token = secretname1\nsecretname1 = auth.token\nx = x") == secrets.lexed("x = x") + [(13, 24)]
+    assert secrets.lexed("token = token\n" * 20000) == []
+
+
 # pipeline -------------------------------------------------------------------------------------------------
 
 
