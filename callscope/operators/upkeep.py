@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import timing
+from ..functions import cost, timing
 from .totals import classified
 
 
@@ -104,3 +104,14 @@ def backfilled(calls: DataFrame, bodies: DataFrame, usage: Column) -> DataFrame:
     found = bodies.select("id", usage.alias("u"))
     met = calls.join(found, "id", "left")
     return met.withColumns({"input_tokens": F.coalesce("input_tokens", "u.input"), "output_tokens": F.coalesce("output_tokens", "u.output")}).drop("u")
+
+
+def recosted(calls: DataFrame, prices: DataFrame, version: str, threshold: int = 272_000) -> DataFrame:
+    """Every call, its cost and price_version brought to that version of the catalog.
+
+    Only calls without a cost, or priced by another version, are priced; what `prices` can't price stays as it was.
+    """
+    old = F.col("cost").isNull() | ~F.col("price_version").eqNullSafe(F.lit(version))
+    anew = cost.priced(calls.where(old).drop("cost", "price_version"), prices, threshold=threshold).select("id", F.col("cost").alias("new_cost"))
+    met = calls.join(anew, "id", "left")
+    return met.withColumns({"price_version": F.when(F.col("new_cost").isNotNull(), version).otherwise(F.col("price_version")), "cost": F.coalesce("new_cost", "cost")}).drop("new_cost")

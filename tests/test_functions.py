@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscope.functions import cost, histogram, status, timing
-from callscope.operators import records, series
+from callscope.operators import records, series, upkeep
 from callscope.plans import ranges
 
 
@@ -92,6 +92,15 @@ def test_cost(spark):
     assert tuple(one(spark, cost.saved(F.lit(10), F.lit(4), F.lit(True)))) == (6, 60.0) and one(spark, cost.saved(F.lit(10), F.lit(4), F.lit(False))) is None
 
 
+def test_costs_are_backfilled(spark):
+    prices = spark.createDataFrame([("m", 2.0, 10.0, 0.5, None, None)], "price_model string, input_price double, output_price double, read_price double, write_price double, reasoning_price double")
+    given = [(1, "m", 0.5, "v2"), (2, "m", None, None), (3, "m", 0.5, "v1"), (4, "m", 0.5, None), (5, "x", None, "v2"), (6, "x", 0.5, "v1"), (7, "m", None, "v2")]
+    calls = spark.createDataFrame([(*r, 1_000_000, 0, 0, 0, "{}") for r in given], "id long, model string, cost double, price_version string, input_tokens long, cache_tokens long, output_tokens long, reasoning_tokens long, payload string")
+    out = upkeep.recosted(calls, prices, "v2", threshold=2_000_000)
+    got = sorted(tuple(r) for r in out.select("id", "model", "cost", "price_version").collect())
+    assert got == [(1, "m", 0.5, "v2"), (2, "m", 2.0, "v2"), (3, "m", 2.0, "v2"), (4, "m", 2.0, "v2"), (5, "x", None, "v2"), (6, "x", 0.5, "v1"), (7, "m", 2.0, "v2")] and out.columns == ["id", *(c for c in calls.columns if c != "id")]
+
+
 def test_timing_rules(spark):
     assert one(spark, timing.first_byte_total(F.lit(1.0), F.lit(2.0), F.lit(None).cast("double"), F.lit(4.0))) is None
     assert one(spark, timing.first_byte_total(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(0.0))) is None
