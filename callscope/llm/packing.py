@@ -94,13 +94,15 @@ class _State:
     def __init__(self, counts: np.ndarray, plan: list[Pattern], waste: int):
         self.counts, self.plan, self.waste = counts, plan, waste
 
-    def step(self, capacity: int, number: int) -> _State:
-        """The state after filling around the largest length left, with the filling of that number."""
+    def step(self, capacity: int, number: int) -> _State | None:
+        """The state after filling around the largest length left, with the filling of that number, if there are so many."""
         counts, top = self.counts.copy(), int(np.flatnonzero(self.counts)[-1])
         counts[top] -= 1
         found = fillings(counts, capacity - top, number + 1)
         counts[top] += 1
-        pattern = (top, *found[min(number, len(found) - 1)])
+        if number >= len(found):
+            return None
+        pattern = (top, *found[number])
         sizes, uses = np.unique(pattern, return_counts=True)
         times = int((counts[sizes] // uses).min())
         counts[sizes] -= uses * times
@@ -128,6 +130,8 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY, width: int = 3, effort: f
             if left <= 0 or number(best) <= bound or mark.waste > hope:
                 break
             state = mark.step(capacity, other)
+            if state is None:  # an exact fit, or no further filling: nothing else to try here
+                break
             left -= 1
             while state.counts.any() and state.waste <= hope and left > 0:
                 state, left = state.step(capacity, 0), left - 1

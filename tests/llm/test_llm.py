@@ -343,6 +343,12 @@ def test_packing_with_every_short_length():
     assert packing.fillings(only, 1030, 3)[0] == (1023, 7) and len(packing.fillings(only, 1030, 3)) == 3
 
 
+def test_exact_fits_use_up_no_steps():
+    uses = [7, 8, 6, 5, 2, 7, 4, 5, 15, 8, 8, 10, 3, 12, 9, 9, 8, 7, 13, 10, 10, 5, 8, 5, 5, 8, 8, 3, 3, 8]  # lengths 20 to 49
+    counts = np.array([0] * 20 + uses + [0] * 51)
+    assert sum(n for _, n in packing.pack(counts, 100)) <= 84  # 85 while steps went to the same packing again
+
+
 # 7 --------------------------------------------------------------------------------------------------------
 
 
