@@ -19,23 +19,30 @@ def priced(calls: DataFrame, prices: DataFrame, surcharge: tuple[str, ...] = ("m
 
     The price of the model itself counts before that of the model without its date. `prices` is a dimension of a few rows per model.
     Models in `surcharge` cost twice as much for input and one and a half times for output beyond `threshold` input tokens; the tier priority doubles all.
+    What depends on the call alone is settled before the join, so that it is evaluated once.
     """
-    own = prices.select([F.col(c).alias(f"own_{c}") for c in prices.columns])
-    found = calls.join(F.broadcast(own), F.col("model") == F.col("own_price_model"), "left").join(F.broadcast(prices), base_model(F.col("model")) == F.col("price_model"), "left")
-    price = lambda c: F.when(F.col("own_price_model").isNotNull(), F.col(f"own_{c}")).otherwise(F.col(c))
-    known = F.col("own_price_model").isNotNull() | F.col("price_model").isNotNull()
-    tokens = {c: F.greatest(F.coalesce(F.col(f"{c}_tokens"), F.lit(0)), F.lit(0)) for c in ("input", "cache", "output", "reasoning")}
-    cached = F.when(price("read_price").isNotNull(), tokens["cache"]).otherwise(0)
-    fresh = F.greatest(tokens["input"] - cached, F.lit(0))
-    split = price("write_price").isNotNull()
-    long = base_model(F.col("model")).isin(*surcharge) & (tokens["input"] > threshold)
+    tokens = {f"__{c}": F.greatest(F.coalesce(F.col(f"{c}_tokens"), F.lit(0)), F.lit(0)) for c in ("input", "cache", "output", "reasoning")}
     tier = F.when(F.lower(F.trim(F.get_json_object("payload", "$.serviceTier"))) == "priority", 2.0).otherwise(1.0)
-    of = lambda n, p, more: F.coalesce(n / F.lit(1e6) * p, F.lit(0.0)) * F.when(long, more).otherwise(1.0) * tier
+    base = base_model(F.col("model"))
+    found = calls.withColumns(tokens | {"__tier": tier, "__base": base})
+    found = found.withColumns({
+        "__long": F.col("__base").isin(*surcharge) & (F.col("__input") > threshold), "__some": F.col("__input") + F.col("__cache") + F.col("__output") + F.col("__reasoning") > 0,
+    })
+    # One row for each model without its date, with the prices of all its dates.
+    own = F.struct(*(c for c in prices.columns if c != "price_model"))
+    dated = prices.groupBy(base_model(F.col("price_model")).alias("__base")).agg(F.map_from_entries(F.collect_list(F.struct("price_model", own))).alias("__prices"))
+    found = found.join(F.broadcast(dated), "__base", "left")
+    found = found.withColumn("__price", F.coalesce(F.try_element_at("__prices", F.col("model")), F.try_element_at("__prices", F.col("__base"))))
+    price = lambda c: F.col(f"__price.{c}")
+    cached = F.when(price("read_price").isNotNull(), F.col("__cache")).otherwise(0)
+    fresh = F.greatest(F.col("__input") - cached, F.lit(0))
+    split = price("write_price").isNotNull()
+    of = lambda n, p, more: F.coalesce(n / F.lit(1e6) * p, F.lit(0.0)) * F.when(F.col("__long"), more).otherwise(1.0) * F.col("__tier")
     parts = {
         "input": of(F.when(~split, fresh), price("input_price"), 2.0), "cache_write": of(F.when(split, fresh), price("write_price"), 2.0), "cache_read": of(cached, price("read_price"), 2.0),
-        "output": of(tokens["output"], price("output_price"), 1.5), "reasoning": of(tokens["reasoning"], price("reasoning_price"), 1.5),
+        "output": of(F.col("__output"), price("output_price"), 1.5), "reasoning": of(F.col("__reasoning"), price("reasoning_price"), 1.5),
     }
-    billed = known & (sum((t for t in tokens.values()), F.lit(0)) > 0)
+    billed = F.col("__price").isNotNull() & F.col("__some")
     out = found.withColumns({f"cost_{c}": F.when(billed, e) for c, e in parts.items()})
     return out.withColumn("cost", sum((F.col(f"cost_{c}") for c in PARTS[1:]), F.col(f"cost_{PARTS[0]}"))).select(*calls.columns, *(f"cost_{c}" for c in PARTS), "cost")
 

@@ -54,6 +54,11 @@ def terminal(status: Column) -> Column:
     return ~in_flight(status)
 
 
+def live_phase(status: Column, first_byte: Column, account: Column) -> Column:
+    """queued, requesting or responding, for a call in flight."""
+    return F.when(norm(status) == "pending", "queued").when(first_byte.isNotNull(), "responding").when(account.isNotNull(), "requesting").otherwise("queued")
+
+
 def kind_prefix(error: Column) -> Column:
     """The text of a leading [...] of the error; null if there is none."""
     return F.nullif(F.trim(F.regexp_extract(F.trim(error), r"^\[([^\]]+)\]", 1)), F.lit(""))

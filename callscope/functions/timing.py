@@ -19,6 +19,29 @@ def floor_to(epoch: Column, width: int, offset: int = 0) -> Column:
     return (F.floor((epoch - offset) / width) * width + offset).cast("long")
 
 
+def instant(epoch: int) -> Column:
+    """An instant as a timestamp without zone, as calls store it."""
+    return F.expr(f"TIMESTAMP_NTZ '{datetime.fromtimestamp(epoch, timezone.utc):%Y-%m-%d %H:%M:%S}'")
+
+
+def within(rows: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows of [start, end). Where they have the stored time, the bounds are on that, so that a scan can skip what lies outside."""
+    stored = "occurred_at" in rows.columns
+    at, bound = (F.col("occurred_at"), instant) if stored else (F.col("epoch"), F.lit)
+    rows = rows.where(at >= bound(start)) if start is not None else rows
+    return rows.where(at < bound(end)) if end is not None else rows
+
+
+def with_margin(rows: DataFrame, width: int, margin: int) -> DataFrame:
+    """rows in cuts of `width` seconds (cut), those of the last `margin` seconds of a cut in the next one, too (own is false there).
+
+    A window over the last `margin` seconds of a hot key can so be taken by key and cut.
+    """
+    cut, late = F.expr(f"epoch div {width}"), F.expr(f"pmod(epoch, {width}) >= {width - margin}")
+    both = F.array(F.struct(cut.alias("cut"), F.lit(True).alias("own")), F.when(late, F.struct((cut + 1).alias("cut"), F.lit(False).alias("own"))))
+    return rows.select("*", F.explode(F.array_compact(both)).alias("__cut")).select(*rows.columns, "__cut.cut", "__cut.own")
+
+
 def clock(epoch: str, zone: str) -> str:
     """SQL: the wall clock of a zone at an instant, as a timestamp without zone."""
     return f"convert_timezone('UTC', '{zone}', timestampadd(SECOND, {epoch}, {_EPOCH}))"

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timing
-from .totals import classified, total
+from .totals import EXACT, classified, percentiles, total
 
 
 def scan(calls: DataFrame, start: int, end: int, source: str | None = None, ceiling: int | None = None) -> DataFrame:
     """Calls of [start, end), of a source, with ids up to a snapshot. All are plain predicates, pushed to the scan where columns are stored."""
-    out = calls.where((F.col("epoch") >= start) & (F.col("epoch") < end))
+    out = timing.within(calls, start, end)
     out = out.where(F.col("source") == source) if source else out
     return out.where(F.col("id") <= ceiling) if ceiling is not None else out
 
@@ -26,6 +26,28 @@ def final_attempt(attempts: DataFrame, value: str) -> DataFrame:
     return attempts.groupBy("id").agg(F.max_by(value, F.struct("attempt_index", "attempt_id")).alias(f"final_{value}"))
 
 
+#: Fields of the payload, by both of their spellings, and the columns that hold them.
+PAYLOAD = {
+    "prompt_cache_key": ("promptCacheKey", "string"), "upstream_account_id": ("upstreamAccountId", "long"), "request_model": ("requestModel", "string"), "response_model": ("responseModel", "string"),
+    "reasoning_effort": ("reasoningEffort", "string"), "service_tier": ("serviceTier", "string"), "endpoint": ("endpoint", "string"), "sticky_key": ("stickyKey", "string"), "proxy_name": ("proxyDisplayName", "string"),
+    "requester_ip": ("requesterIp", "string"), "upstream_host": ("upstreamBaseUrlHost", "string"),
+}
+
+
+def with_payload(calls: DataFrame) -> DataFrame:
+    """calls with the fields of PAYLOAD, blank ones null. The text is parsed once, whatever spelling its names have."""
+    snake = lambda name: "".join(f"_{c.lower()}" if c.isupper() else c for c in name)
+    names = [n for name, _ in PAYLOAD.values() for n in dict.fromkeys((name, snake(name)))]
+    parsed = calls.withColumn("__p", F.from_json("payload", ", ".join(f"{n} string" for n in names)))
+    text = lambda name: F.coalesce(*(F.nullif(F.trim(F.col(f"__p.{n}")), F.lit("")) for n in dict.fromkeys((name, snake(name)))))
+    return parsed.withColumns({column: text(name).cast(kind) for column, (name, kind) in PAYLOAD.items()}).drop("__p")
+
+
+def model_of(*columns: str) -> Column:
+    """The first of some names that isn't blank, else unknown."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns), F.lit("unknown"))
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key, without a window: one aggregate with map-side combine."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *(c for c in rows.columns if c not in (*order, key)))).alias("__last")).select(key, "__last.*")
@@ -46,7 +68,7 @@ def retry_after_failure(calls: DataFrame) -> DataFrame:
 
 def working_set(calls: DataFrame, now: int, window: int = 300) -> DataFrame:
     """Conversations with a call in flight or activity in the last seconds."""
-    rows = classified(calls.where((F.col("epoch") < now) & F.col("conversation").isNotNull())).groupBy("conversation").agg(
+    rows = classified(timing.within(calls, end=now).where(F.col("conversation").isNotNull())).groupBy("conversation").agg(
         F.count_if("flying").alias("flying"), F.max("epoch").alias("last_seen"), F.max(F.when(~F.col("flying"), F.col("epoch"))).alias("last_terminal"), F.count("*").alias("n")
     )
     return rows.where((F.col("flying") > 0) | (F.col("last_seen") >= now - window))
@@ -59,6 +81,46 @@ def page(rows: DataFrame, sort: str = "epoch", descending: bool = True, number:
     return rows.orderBy(way(sort), way("id")).offset((number - 1) * size).limit(size)
 
 
+#: What records can be sorted by.
+SORTS = {"time": "epoch", "tokens": "total_tokens", "cost": "cost", "total": "t_total", "ttfb": "t_ttfb", "status": "status"}
+
+
+def record_filters(**given) -> list[Column]:
+    """Predicates of a record list over classified, priced calls with their payload fields; what isn't given doesn't filter."""
+    text = lambda c: lambda v: F.lower(F.trim(F.col(c))) == v.strip().lower()
+    model = given.get("model_target") == "response" and "response_model" or "request_model"
+    named = F.coalesce(F.col("response_model"), F.col("request_model"), F.col("model"))
+    rules = {
+        "start": lambda v: F.col("occurred_at") >= timing.instant(v), "end": lambda v: F.col("occurred_at") < timing.instant(v), "snapshot": lambda v: F.col("id") <= v,
+        "model": text(model), "models": lambda v: F.col(model).isin(*v), "rerouted": lambda v: (F.col("response_model").isNotNull() & (named != F.col("request_model"))) == F.lit(v),
+        "status": text("status"), "endpoint": text("endpoint"), "invoke_id": lambda v: F.col("invoke_id") == v, "failure_class": lambda v: F.col("class") == v, "failure_kind": text("kind"),
+        "prompt_cache_key": lambda v: F.col("conversation") == v, "sticky_key": lambda v: F.col("sticky_key") == v, "upstream_account": lambda v: F.col("account") == v,
+        "upstream_scope": lambda v: F.col("account").isNull() == F.lit(v == "none"), "proxy_display_name": text("proxy_name"), "service_tier": text("service_tier"),
+        "effort": text("effort"), "efforts": lambda v: F.col("effort").isin(*v), "requester_ip": text("requester_ip"), "source": lambda v: F.col("source") == v,
+        "min_tokens": lambda v: F.col("total_tokens") >= v, "max_tokens": lambda v: F.col("total_tokens") <= v, "min_total_ms": lambda v: F.col("t_total") >= v, "max_total_ms": lambda v: F.col("t_total") <= v,
+        "min_cost": lambda v: F.col("cost") >= v, "max_cost": lambda v: F.col("cost") <= v,
+        "keyword": lambda v: _any(F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(v.lower())) for c in ("invoke_id", "model", "conversation", "error_message", "endpoint", "requester_ip")),
+    }
+    unknown = set(given) - set(rules) - {"model_target"}
+    if unknown:
+        raise ValueError(f"unknown filters {sorted(unknown)}")
+    return [rules[name](value) for name, value in given.items() if name in rules and value is not None]
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def record_list(rows: DataFrame, sort: str = "time", descending: bool = True, number: int = 1, size: int = 50, **filters) -> DataFrame:
+    """One page of the records under filters, each with the number of all that match; missing values come last."""
+    met = rows.where(_all(record_filters(**filters)))
+    shown = page(met, SORTS[sort], descending, number, size)
+    return shown.join(F.broadcast(met.agg(F.count("*").alias("total"))))
+
+
 def after(rows: DataFrame, sort: str, value, last_id: int, size: int = 50) -> DataFrame:
     """The page after a cursor (value, id) in descending order: a filter and a top-k, however deep it is."""
     return rows.where((F.col(sort) < value) | ((F.col(sort) == value) & (F.col("id") < last_id))).orderBy(F.desc(sort), F.desc("id")).limit(size)
@@ -72,11 +134,13 @@ def locate(rows: DataFrame, sort: str, row_id: int, size: int = 50) -> DataFrame
 
 
 def facets(rows: DataFrame, fields: list[str], filters: dict[str, Column], top: int) -> DataFrame:
-    """Values and counts of each field under all filters but its own, most frequent first."""
+    """Values and counts of each field under all filters but its own, most frequent first, and whether the field has more than are shown."""
     keep = {f: [c for name, c in filters.items() if name != f] for f in fields}
     parts = F.array(*(F.struct(F.lit(f).alias("field"), F.when(_all(keep[f]), F.nullif(F.trim(F.col(f).cast("string")), F.lit(""))).alias("value")) for f in fields))
     counted = rows.select(F.explode(parts).alias("f")).where("f.value is not null").groupBy("f.field", "f.value").agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top + 1)
+    more = F.max("rank").over(Window.partitionBy("field")) > top  # at most top + 1 rows of a field
+    return ranked.withColumn("has_more", more).where(F.col("rank") <= top)
 
 
 def _all(filters: list[Column]) -> Column:
@@ -86,16 +150,26 @@ def _all(filters: list[Column]) -> Column:
     return out
 
 
-def summary(rows: DataFrame) -> DataFrame:
+def summary(rows: DataFrame, exact: int = EXACT) -> DataFrame:
     """Token, latency and exception figures of a set of records."""
     stream = F.when(F.col("t_stream") > 0, F.col("t_stream"))
-    p95 = lambda c: F.round(F.percentile(c, 0.95), 6)
-    found = classified(rows)
-    return found.agg(
+    found = classified(rows).withColumn("__all", F.lit(0))
+    p95 = percentiles(found, ["__all"], {"ttfb_p95": F.col("t_ttfb"), "stream_p95": stream, "total_p95": F.col("t_total")}, (0.95,), exact)
+    sums = found.groupBy("__all").agg(
         F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"), F.round(F.avg("total_tokens"), 6).alias("tokens_mean"), F.max("total_tokens").alias("tokens_most"), F.sum("cache_tokens").alias("cache_read"), F.sum("output_tokens").alias("output"),
-        total(F.col("cost")).alias("cost"), F.round(F.avg("t_ttfb"), 6).alias("ttfb_mean"), p95(F.col("t_ttfb")).alias("ttfb_p95"), p95(stream).alias("stream_p95"), F.count(stream).alias("streamed"), p95(F.col("t_total")).alias("total_p95"),
+        total(F.col("cost")).alias("cost"), F.round(F.avg("t_ttfb"), 6).alias("ttfb_mean"), F.count(stream).alias("streamed"),
         F.count_if(F.col("class") == "service_failure").alias("service_failures"), F.count_if(F.col("class") == "client_failure").alias("client_failures"),
     )
+    shown = (F.round(F.col(c)[0], 6).alias(c) for c in ("ttfb_p95", "stream_p95", "total_p95"))
+    return sums.join(p95, "__all").select(*(c for c in sums.columns if c != "__all"), *shown)
+
+
+def node_profiles(attempts: DataFrame, exact: int = EXACT) -> DataFrame:
+    """Success rate and latency percentiles of each node, without probes."""
+    rows = attempts.where("not is_probe")
+    rates = rows.groupBy("proxy_key").agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_success").cast("double")), 9).alias("success_rate"))
+    p = percentiles(rows, ["proxy_key"], {"ms": F.col("latency_ms")}, (0.5, 0.95), exact)
+    return rates.join(p, "proxy_key").select("proxy_key", "n", "success_rate", F.round(F.col("ms")[0], 6).alias("p50"), F.round(F.col("ms")[1], 6).alias("p95"))
 
 
 TRAILING = {"1m": 60, "15m": 900, "1h": 3600, "1d": 86400, "7d": 604800}
@@ -131,6 +205,21 @@ def quota_windows(samples: DataFrame, calls: DataFrame, now: int) -> DataFrame:
     return calls.join(F.broadcast(last), "account").where("epoch >= start and epoch < end").groupBy("account", "start", "end").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
 
 
+def failure_penalties(attempts: DataFrame, window: int = 300, cut: int = 3600) -> DataFrame:
+    """For every second in which a route used a node: its transport failures of the last `window` seconds since its last success.
+
+    attempts: route, proxy_key, epoch, id, is_success, penalised. Seconds are taken by key and cut of time with the window carried over, as what
+    is older than the window never counts; so no key is one task.
+    """
+    key = ["route", "proxy_key"]
+    last = attempts.groupBy(*key, "epoch").agg(F.max(F.when(F.col("is_success"), F.col("id"))).alias("__ok"), F.collect_list(F.when(F.col("penalised"), F.col("id"))).alias("__bad"))  # a second of one key
+    tail = F.size(F.filter("__bad", lambda i: F.col("__ok").isNull() | (i > F.col("__ok"))))
+    seconds = timing.with_margin(last.select(*key, "epoch", tail.alias("failures"), F.col("__ok").isNotNull().alias("ok")), cut, window)
+    run = F.count_if("ok").over(Window.partitionBy(*key, "cut").orderBy("epoch"))
+    since = Window.partitionBy(*key, "cut", "run").orderBy("epoch").rangeBetween(-window, 0)
+    return seconds.withColumn("run", run).select(*key, "epoch", "own", F.sum("failures").over(since).cast("long").alias("penalty")).where("own").drop("own")
+
+
 def duplicates(accounts: DataFrame) -> DataFrame:
     """Pairs of accounts that share an identity."""
     a, b = (accounts.select(F.col("account").alias(x), "identity") for x in ("first", "second"))
@@ -171,6 +260,41 @@ def usage_of(body: Column) -> Column:
     )
 
 
+def stream_summary(body: Column) -> Column:
+    """struct(usage, kind, tier) of an event stream body: the last usage, the last terminal event, and the service tier of the event that says most.
+
+    Terminal events say more than those of the beginning, these more than all others; among equals the last counts, but auto yields to any other tier.
+    """
+    lines = F.filter(F.split(body, r"\r?\n"), lambda line: line.startswith("data:"))
+    of = lambda e, *paths: F.coalesce(*(F.get_json_object(e, f"$.{p}") for p in paths))
+    kind, tier = (lambda e: of(e, "type")), (lambda e: of(e, "response.service_tier", "service_tier"))
+    events = F.transform(lines, lambda line, i: F.struct(
+        kind(F.trim(F.substring(line, 6, 1 << 30))).alias("kind"), tier(F.trim(F.substring(line, 6, 1 << 30))).alias("tier"),
+        of(F.trim(F.substring(line, 6, 1 << 30)), "response.usage", "usage").alias("usage"), i.alias("place"),
+    ))
+    rank = lambda k: F.when(k.isin("response.completed", "response.failed"), 2).when(k.isin("response.created", "response.in_progress"), 1).otherwise(0)
+    last = lambda xs: F.try_element_at(xs, F.lit(-1))
+    best = F.array_max(F.transform(F.filter(events, lambda e: e["tier"].isNotNull()), lambda e: F.struct(rank(e["kind"]).alias("rank"), (e["tier"] != "auto").alias("named"), e["place"].alias("place"), e["tier"].alias("tier"))))
+    return F.struct(
+        last(F.filter(events, lambda e: e["usage"].isNotNull()))["usage"].alias("usage"), last(F.filter(events, lambda e: rank(e["kind"]) == 2))["kind"].alias("kind"), best["tier"].alias("tier"),
+    )
+
+
+def latest_quota(snapshots: DataFrame) -> DataFrame:
+    """One row: the last snapshot, or where there is none a degraded one of zeros."""
+    none = snapshots.sparkSession.range(1).select(F.lit(True).alias("__always"))
+    last = snapshots.orderBy(F.desc("captured"), F.desc("id")).limit(1).withColumn("__there", F.lit(True))
+    met = none.join(last, F.lit(True), "left")
+    zero = lambda f: F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name)
+    return met.select(*(zero(f) for f in snapshots.schema.fields), F.col("__there").isNull().alias("degraded"))
+
+
+def last_activity(live: DataFrame, archived: DataFrame) -> DataFrame:
+    """account, first_seen, last_seen: the archives' own summaries (account, first_seen, last_seen) and those of live calls, merged."""
+    own = live.where("account is not null").groupBy("account").agg(F.min("epoch").alias("first_seen"), F.max("epoch").alias("last_seen"))
+    return own.unionByName(archived).groupBy("account").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 def stream_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row per data line of an event stream body, with its place."""
     return bodies.select("*", F.posexplode(F.split(body, r"\r?\n")).alias("place", "line")).where(F.col("line").startswith("data:")).withColumn("event", F.trim(F.substring("line", 6, 1 << 30))).drop("line")

@@ -14,7 +14,7 @@ DAY, HOUR = timing.DAY, timing.HOUR
 def series(calls: DataFrame, start: int, end: int, width: int, zone: str = "UTC") -> DataFrame:
     """One row per bucket of [start, end): counts, calls in flight, tokens, cost, means and p95 of latencies; empty buckets hold zeros and null latencies."""
     bucket = timing.zone_bucket("epoch", width, zone)
-    inside = classified(calls.where((F.col("epoch") >= start) & (F.col("epoch") < end))).withColumn("bucket", bucket)
+    inside = classified(timing.within(calls, start, end)).withColumn("bucket", bucket)
     v = F.when(F.col("t_ttfb") > 0, F.col("t_ttfb"))
     found = inside.groupBy("bucket").agg(
         *counts(), F.count_if("flying").alias("flying"), F.count(v).alias("ttfb_n"), F.round(F.avg(v), 6).alias("ttfb_mean"), F.round(F.percentile(v, 0.95), 6).alias("ttfb_p95"),
@@ -30,9 +30,19 @@ def rebucketed(rollup: DataFrame, width: int, zone: str, sums: list[str]) -> Dat
     return rollup.groupBy(timing.zone_bucket("hour", width, zone).alias("bucket")).agg(*(F.sum(c).alias(c) for c in sums))
 
 
+def days_in_zones(hours: DataFrame, zones: tuple[str, ...], other: str) -> DataFrame:
+    """zone, used, bucket, n: hourly counts (hour, n) by local day of each zone; where a zone isn't whole hours from UTC at any of the hours, of `other`."""
+    named = hours.sparkSession.createDataFrame([(z,) for z in zones], "zone string")
+    offset = lambda zone: F.unix_seconds(F.convert_timezone(F.lit("UTC"), zone, F.timestamp_seconds("hour").cast("timestamp_ntz")).cast("timestamp")) - F.unix_seconds(F.timestamp_seconds("hour").cast("timestamp_ntz").cast("timestamp"))
+    rows = hours.join(F.broadcast(named))  # a few zones
+    fit = rows.groupBy("zone").agg(F.every(offset(F.col("zone")) % HOUR == 0).alias("whole"))
+    met = rows.join(F.broadcast(fit), "zone").withColumn("used", F.when(F.col("whole"), F.col("zone")).otherwise(other)).withColumn("__o", offset(F.col("used")))
+    return met.groupBy("zone", "used", (F.col("hour") - F.pmod(F.col("hour") + F.col("__o"), F.lit(DAY))).alias("bucket")).agg(F.sum("n").alias("n"))
+
+
 def concurrency(calls: DataFrame, start: int, end: int, width: int) -> DataFrame:
     """Distinct conversations of every complete bucket, zeros included."""
-    inside = calls.where((F.col("epoch") >= start) & (F.col("epoch") < end) & F.col("conversation").isNotNull())
+    inside = timing.within(calls, start, end).where(F.col("conversation").isNotNull())
     found = inside.groupBy(timing.floor_to(F.col("epoch"), width, start).alias("bucket")).agg(F.countDistinct("conversation").alias("conversations"))
     return timing.spine(calls.sparkSession, start, end - (end - start) % width, width).join(found, "bucket", "left").fillna(0)
 
@@ -50,7 +60,7 @@ def distinct_minutes(calls: DataFrame, *keys: str) -> DataFrame:
 
 def spans(calls: DataFrame, start: int, end: int, top: int = 80) -> DataFrame:
     """First and last call of the conversations of a range, the latest active ones first."""
-    inside = calls.where((F.col("epoch") >= start) & (F.col("epoch") < end) & F.col("conversation").isNotNull())
+    inside = timing.within(calls, start, end).where(F.col("conversation").isNotNull())
     found = inside.groupBy("conversation").agg(F.min("epoch").alias("first_seen"), F.max("epoch").alias("last_seen"), F.count("*").alias("n"))
     return found.orderBy(F.desc("last_seen"), F.desc("n"), "conversation").limit(top)
 
@@ -85,15 +95,16 @@ def segments(slices: DataFrame, *keys: str) -> DataFrame:
 
 
 def rolling_minute(calls: DataFrame) -> DataFrame:
-    """For every second with calls of an account, the sums of the last 60 seconds."""
+    """For every second with calls of an account, the sums of the last 60 seconds. Windows are taken by account and hour, so that no account is one task."""
     seconds = calls.where("account is not null").groupBy("account", "epoch").agg(F.sum("total_tokens").alias("tokens"), F.count("*").alias("n"))
-    last = Window.partitionBy("account").orderBy("epoch").rangeBetween(-59, 0)
-    return seconds.select("account", "epoch", F.sum("tokens").over(last).alias("tokens_60s"), F.sum("n").over(last).alias("calls_60s"))
+    last = Window.partitionBy("account", "cut").orderBy("epoch").rangeBetween(-59, 0)
+    sums = timing.with_margin(seconds, HOUR, 59).select("account", "epoch", "own", F.sum("tokens").over(last).alias("tokens_60s"), F.sum("n").over(last).alias("calls_60s"))
+    return sums.where("own").drop("own")
 
 
 def last_seconds(calls: DataFrame, now: int, number: int = 300) -> DataFrame:
     """One row per second before now; available from the first second that was seen."""
-    inside = calls.where((F.col("epoch") >= now - number) & (F.col("epoch") < now))
+    inside = timing.within(calls, now - number, now)
     found = inside.groupBy(F.col("epoch").alias("second")).agg((F.sum("input_tokens") * 4).alias("bytes"))
     first = found.agg(F.min("second").alias("first"))
     return timing.spine(calls.sparkSession, now - number, now, 1).withColumnRenamed("bucket", "second").join(found, "second", "left").join(F.broadcast(first)).select(
@@ -103,7 +114,7 @@ def last_seconds(calls: DataFrame, now: int, number: int = 300) -> DataFrame:
 
 def running_day(calls: DataFrame, day: int, now: int, width: int = 600) -> DataFrame:
     """Running tokens and cost of one day; buckets after now are null."""
-    found = calls.where((F.col("epoch") >= day) & (F.col("epoch") < min(day + DAY, now))).groupBy(timing.floor_to(F.col("epoch"), width, day).alias("bucket")).agg(F.sum("total_tokens").alias("tokens"), F.sum("cost").alias("cost"))
+    found = timing.within(calls, day, min(day + DAY, now)).groupBy(timing.floor_to(F.col("epoch"), width, day).alias("bucket")).agg(F.sum("total_tokens").alias("tokens"), F.sum("cost").alias("cost"))
     rows = timing.spine(calls.sparkSession, day, day + DAY, width).join(found, "bucket", "left").fillna(0)
     order = Window.partitionBy(F.lit(day)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most a day of buckets
     past = lambda c: F.when(F.col("bucket") < now, c)
@@ -119,7 +130,7 @@ def calendar(calls: DataFrame, levels: int = 4, zone: str = "UTC") -> DataFrame:
 
 def heatmap(calls: DataFrame, start: int, end: int) -> DataFrame:
     """Calls of each weekday and hour, and levels at 0.25, 0.55 and 0.85 of the largest cell."""
-    inside = calls.where((F.col("epoch") >= start) & (F.col("epoch") < end))
+    inside = timing.within(calls, start, end)
     cells = inside.groupBy(((F.floor(F.col("epoch") / DAY) + 3) % 7).alias("weekday"), F.floor(F.col("epoch") % DAY / HOUR).alias("hour")).agg(F.count("*").alias("n"))
     most = cells.agg(F.max("n").alias("most"))
     share = F.col("n") / F.col("most")
@@ -129,16 +140,16 @@ def heatmap(calls: DataFrame, start: int, end: int) -> DataFrame:
 def same_progress(calls: DataFrame, day: int, now: int) -> DataFrame:
     """Totals of a day so far, and of the day before up to the same time of day."""
     elapsed = now - day
-    part = lambda name, start: calls.where((F.col("epoch") >= start) & (F.col("epoch") < start + elapsed)).agg(F.count("*").alias("n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), total(F.col("cost")).alias("cost")).withColumn("part", F.lit(name))
+    part = lambda name, start: timing.within(calls, start, start + elapsed).agg(F.count("*").alias("n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), total(F.col("cost")).alias("cost")).withColumn("part", F.lit(name))
     return part("now", day).unionByName(part("before", day - DAY))
 
 
-def long_term(calls: DataFrame, success: Column) -> DataFrame:
-    """Every call in three dimensions (overall, model and effort, upstream), by day: calls, tokens of non-null samples, timings of successes; speed is a ratio of sums."""
+def long_term(calls: DataFrame, success: Column, grain: str = "day") -> DataFrame:
+    """Every call in three dimensions (overall, model and effort, upstream), by day or hour: calls, tokens of non-null samples, timings of successes; speed is a ratio of sums."""
     dims = F.array(F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("series")), F.struct(F.lit("model").alias("dimension"), F.concat_ws("/", "model", F.coalesce("effort", F.lit("unspecified"))).alias("series")), F.struct(F.lit("upstream").alias("dimension"), F.coalesce(F.concat(F.lit("account:"), F.col("account").cast("string")), F.lit("other")).alias("series")))
     rows = calls.withColumn("good", success).withColumn("d", F.explode(dims)).select("*", "d.*")
     stream = F.when(F.col("good") & (F.col("t_stream") > 0), F.col("t_stream"))
-    return rows.groupBy("dimension", "series", F.floor(F.col("epoch") / DAY).alias("day")).agg(
+    return rows.groupBy("dimension", "series", F.floor(F.col("epoch") / {"day": DAY, "hour": HOUR}[grain]).alias(grain)).agg(
         F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"), F.count(F.when(F.col("good"), F.col("t_total"))).alias("timed"), F.round(F.avg(F.when(F.col("good"), F.col("t_total"))), 6).alias("mean_ms"),
         F.round(F.sum(F.when(stream.isNotNull(), F.col("output_tokens"))) / (F.sum(stream) / 1000), 6).alias("tokens_per_second"),
     )

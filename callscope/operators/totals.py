@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import histogram, status, timing
 
 HOUR = timing.HOUR
+#: Up to so many rows a group's percentiles are exact.
+EXACT = 1_000_000
 
 
 def classified(calls: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def failures(calls: DataFrame) -> DataFrame:
     return found.groupBy(hour(), "source", "class", "actionable", "category").agg(F.count("*").alias("n"))
 
 
-STAGES = {"total": "t_total", "requestRead": "t_read", "requestParse": "t_parse", "upstreamConnect": "t_connect", "upstreamFirstByte": "t_ttfb", "upstreamStream": "t_stream"}
+STAGES = {"total": "t_total", "requestRead": "t_read", "requestParse": "t_parse", "upstreamConnect": "t_connect", "upstreamFirstByte": "t_ttfb", "upstreamStream": "t_stream", "responseParse": "t_answer", "persistence": "t_store"}
 
 
 def stages(calls: DataFrame) -> DataFrame:
@@ -72,12 +74,26 @@ def stage_rollup(calls: DataFrame) -> DataFrame:
     return stages(calls.where("source = 'proxy'")).groupBy(hour(), "stage").agg(F.count("*").alias("n"), total(F.col("ms")).alias("ms"), F.max("ms").alias("most"), histogram.build(F.col("ms")).alias("hist"))
 
 
-def stage_report(calls: DataFrame) -> DataFrame:
-    """Exact percentiles of each stage; for groups of the size of a retention window."""
-    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return stages(calls.where("source = 'proxy'")).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), p.alias("__p"), F.max("ms").alias("most")).select(
-        "stage", "n", "mean", *(F.round(F.col("__p")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 90, 99))), "most"
-    )
+def percentiles(rows: DataFrame, keys: list[str], values: dict[str, Column], at: tuple[float, ...], exact: int) -> DataFrame:
+    """keys, and for each named value an array of its percentiles: exact in groups of at most `exact` rows, those of its histogram beyond.
+
+    So no reducer ever holds the values of a group that grows with the input.
+    """
+    rows = rows.select(*keys, *(v.alias(name) for name, v in values.items()))
+    rolled = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *(histogram.build(F.col(name)).alias(f"__{name}") for name in values))
+    few = rolled.where(F.col("__n") <= exact).select(*keys).withColumn("__few", F.lit(True))
+    held = rows.join(F.broadcast(few), keys, "left_semi").groupBy(*keys).agg(*(F.percentile(name, F.array(*map(F.lit, at))).alias(name) for name in values))
+    known = rolled.join(held.withColumn("__few", F.lit(True)), keys, "left")
+    coarse = lambda name: F.array(*(histogram.percentile(F.col(f"__{name}"), p) for p in at))
+    return known.select(*keys, *(F.when(F.col("__few"), F.col(name)).otherwise(coarse(name)).alias(name) for name in values))
+
+
+def stage_report(calls: DataFrame, exact: int = EXACT) -> DataFrame:
+    """Count, mean, percentiles and largest value of each stage."""
+    rows = stages(calls.where("source = 'proxy'"))
+    rolled = rows.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.max("ms").alias("most"))
+    found = percentiles(rows, ["stage"], {"ms": F.col("ms")}, (0.5, 0.9, 0.99), exact)
+    return rolled.join(found, "stage").select("stage", "n", "mean", *(F.round(F.col("ms")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 90, 99))), "most")
 
 
 def conversation_rollup(calls: DataFrame, *more: str) -> DataFrame:

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cost, timing
+from ..functions import cost, status, timing
+from ..sources.archive import manifest
 from .totals import classified
 
 
-def write_archive(rows: DataFrame, path: str, cutoff: int) -> DataFrame:
-    """Writes rows older than the cutoff as Parquet by day and returns the manifest: day, rows, coverage, and a checksum of ids."""
-    old = rows.where(F.col("epoch") < cutoff).withColumn("day", F.floor(F.col("epoch") / 86400))
-    old.repartition("day").write.mode("append").partitionBy("day").parquet(path)
-    return manifest(old)
+def reconciled(stored: DataFrame, fresh: DataFrame, known: DataFrame, found: DataFrame, scope: str = "source") -> DataFrame:
+    """Rollup rows with `complete`: those computed anew, but where a source lacks days of its manifest, or they hold other rows, the stored ones.
 
-
-def manifest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.floor(F.col("epoch") / 86400).alias("day")).agg(F.count("*").alias("n"), F.min("epoch").alias("first"), F.max("epoch").alias("last"), F.sum("id").alias("id_sum"))
+    known and found are manifests by scope and day: what was written, and what the sources hold now.
+    """
+    keys = [scope, "day"]
+    a, b = (m.select(*keys, F.struct("n", "checksum").alias(name)) for m, name in ((known, "known"), (found, "found")))
+    refused = a.join(b, keys, "full").where(~F.col("known").eqNullSafe(F.col("found"))).select(scope).distinct()
+    return fresh.join(refused, scope, "left_anti").withColumn("complete", F.lit(True)).unionByName(stored.join(refused, scope, "left_semi").withColumn("complete", F.lit(False)))
 
 
 def billing_tier(explicit: Column, requested: Column, response: Column, api_key: Column) -> Column:
@@ -73,13 +74,27 @@ def hidden_conversations(calls: DataFrame, limit: int) -> DataFrame:
     return born.agg(F.count("*").alias("total")).join(F.broadcast(shown)).select("total", "shown", (F.col("total") - F.col("shown")).alias("hidden"))
 
 
-def stream_error_pairs(attempts: DataFrame, apart: int) -> DataFrame:
-    """Accounts whose two latest attempts both failed in the stream, close to each other, and until when that counts."""
-    order = Window.partitionBy("account").orderBy(F.desc("epoch"), F.desc("attempt_id"))
-    two = attempts.where("account is not null").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
-    bad = F.lower(F.coalesce("error_message", F.lit(""))).contains("upstream stream error")
-    found = two.groupBy("account").agg(F.count("*").alias("n"), F.every(bad).alias("bad"), F.min("epoch").alias("first"), F.max("epoch").alias("last"))
-    return found.where((F.col("n") == 2) & F.col("bad") & (F.col("last") - F.col("first") <= apart)).select("account", (F.col("last") + apart).alias("until"))
+def stream_error_escapes(attempts: DataFrame, apart: int = 300, cut: int = 3600) -> DataFrame:
+    """account, hour, escaped, until: after the last attempt that ended in each hour, whether the latest two of the account failed in the stream within `apart` seconds.
+
+    A pair that counts lies in an hour and the `apart` seconds before it, so rows are taken by account and hour; no account is one task.
+    """
+    done = attempts.where("account is not null").where(status.terminal(F.col("status")))
+    bad = F.coalesce(status.derived_kind(F.col("status"), F.col("error_message")) == "upstream_stream_error", F.lit(False))
+    rows = timing.with_margin(done.select("account", "epoch", "attempt_id", bad.alias("bad")), cut, apart)
+    two = rows.withColumn("rank", F.row_number().over(Window.partitionBy("account", "cut").orderBy(F.desc("epoch"), F.desc("attempt_id")))).where("rank <= 2")
+    found = two.groupBy("account", "cut").agg(F.max("own").alias("own"), F.count("*").alias("n"), F.every("bad").alias("bad"), F.min("epoch").alias("first"), F.max("epoch").alias("last"))
+    escaped = (F.col("n") == 2) & F.col("bad") & (F.col("last") - F.col("first") <= apart)
+    return found.where("own").select("account", (F.col("cut") * cut).alias("hour"), escaped.alias("escaped"), F.when(escaped, F.col("last") + apart).alias("until"))
+
+
+def task_runs(runs: DataFrame, kind: str | None = None, status: str | None = None, start: int | None = None, end: int | None = None, number: int = 1, size: int = 20) -> DataFrame:
+    """One page of runs (id, kind, status, epoch), the newest first, each with the number of all that match; blank filters don't filter."""
+    met = timing.within(runs, start, end)
+    for column, value in (("kind", kind), ("status", status)):
+        met = met.where(F.col(column) == value.strip()) if value and value.strip() else met
+    shown = met.orderBy(F.desc("epoch"), F.desc("id")).offset((max(number, 1) - 1) * min(max(size, 1), 100)).limit(min(max(size, 1), 100))
+    return shown.join(F.broadcast(met.agg(F.count("*").alias("total"))))
 
 
 def coverage(calls: DataFrame, ceiling: int) -> DataFrame:

@@ -3,10 +3,68 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import totals as T
-from ..sources import adapter
+from ..sources import adapter, archive
 from ..streaming import live
 from .registry import calls, paid, query
-from .series import START
+from .series import SLICES, START, wall_sql
+
+
+def stream(spark, d):
+    """The calls as a stream, with the time of their start."""
+    return adapter.invocation_stream(spark, d).withColumn("at", F.timestamp_seconds("epoch"))
+
+
+def drained(spark, name, start):
+    """The folder that a query has written by the time all that is there is read; `start` takes that folder and one for the checkpoint."""
+    root = archive.shared_dir(spark, name)
+    start(f"{root}/out", f"{root}/check").awaitTermination()
+    return f"{root}/out"
+
+
+@query("h1_streamed_rollup", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n, count(*) FILTER (WHERE ok AND fclass = 'none') AS success, CAST(sum(total_tokens) AS BIGINT) AS tokens, round(coalesce(sum(cost), 0), 9) AS cost FROM paid GROUP BY 1, 2")
+def h1(spark, d):
+    from ..functions import cost
+
+    rows = cost.priced(stream(spark, d), adapter.pricing(spark), threshold=20_000)
+    path = drained(spark, "h1", lambda out, check: live.hourly_rollup(rows, out, check))
+    return live.read_rollup(spark, path).select("hour", "source", "n", "success", "tokens", F.round("cost", 9).alias("cost"))
+
+
+@query("h3_streamed_minutes", "SELECT epoch // 60 * 60 AS minute, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1 HAVING epoch // 60 * 60 + 60 <= (SELECT max(epoch) FROM calls) - 600")
+def h3(spark, d):
+    """Minutes that the watermark has closed, ten minutes before the last call."""
+    path = drained(spark, "h3", lambda out, check: live.by_batch(live.minute_series(stream(spark, d)), out, check))
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("h4_streamed_in_progress", """SELECT conversation, count(*) FILTER (WHERE flying) AS running, count(*) FILTER (WHERE flying AND retry) AS retried FROM (SELECT *, coalesce(last_value(CASE WHEN NOT flying THEN fclass <> 'none' END IGNORE NULLS) OVER
+ (PARTITION BY conversation ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS retry FROM calls WHERE conversation IS NOT NULL) GROUP BY 1""")
+def h4(spark, d):
+    path = drained(spark, "h4", lambda out, check: live.by_batch(live.in_progress(stream(spark, d)), out, check, mode="update"))
+    return live.latest_of(spark, path, "conversation")
+
+
+@query("h6_streamed_activity", """, seen AS (SELECT *, epoch + CAST(floor(coalesce(t_total, 0) / 1000) AS BIGINT) AS ended FROM calls WHERE NOT flying), w AS (SELECT account, total_tokens, unnest(range(ended // 10 * 10 - 50, ended // 10 * 10 + 10, 10)) AS start FROM seen WHERE account IS NOT NULL)
+ SELECT account, start, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM w GROUP BY 1, 2 HAVING start + 60 <= (SELECT max(ended) FROM seen WHERE account IS NOT NULL) - 600""")
+def h6(spark, d):
+    """Windows of a minute that begin every ten seconds, of calls by the second at which their end is seen."""
+    rows = live.sliding_activity(live.observed(adapter.invocation_stream(spark, d)).where("account is not null"), step="10 seconds")
+    path = drained(spark, "h6", lambda out, check: live.by_batch(rows, out, check))
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("h7_streamed_network", """, s AS (SELECT unnest(['global', 'source:' || source] || CASE WHEN account IS NOT NULL THEN ['account:' || account] ELSE [] END) AS scope, epoch, input_tokens FROM calls),
+ g AS (SELECT *, unnest(['second', 'minute', 'five_minutes']) AS grain, unnest([1, 60, 300]) AS width FROM s), r AS (SELECT scope, grain, CAST(epoch // width * width AS BIGINT) AS start, CAST(sum(input_tokens) * 4 AS BIGINT) AS bytes FROM g GROUP BY ALL)
+ SELECT scope, grain, start, bytes, grain = 'five_minutes' AND start = (SELECT max(epoch) // 300 * 300 FROM calls) AS open FROM r""")
+def h7(spark, d):
+    path = drained(spark, "h7", lambda out, check: live.network_rollup(stream(spark, d), out, check))
+    return live.read_network(spark, path)
+
+
+@query("h13_streamed_wall_time", f", {SLICES} SELECT account, bucket, wall_ms, calls FROM ({wall_sql('account').split(SLICES)[1]})")
+def h13(spark, d):
+    path = drained(spark, "h13", lambda out, check: live.segment_rollup(stream(spark, d), out, check))
+    return live.read_wall_time(spark, path)
 
 
 @query("h2_rebuilt_hours", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2")
@@ -18,20 +76,41 @@ def h2(spark, d):
     return live.rebuilt(old, all_, late.select(T.hour()).distinct()).select("hour", "source", "n", "tokens")
 
 
-@query("h8_node_weights")
+#: The weight machine as a walk from attempt to attempt of each node.
+WALK = """, steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY proxy_key ORDER BY epoch, id) AS rn FROM nodes),
+walk(proxy_key, rn, id, epoch, weight, failures, rate, mean) AS (SELECT DISTINCT proxy_key, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.7::DOUBLE, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM nodes
+ UNION ALL SELECT proxy_key, rn, id, epoch, CASE WHEN is_success AND w < 0.25 THEN 0.25 ELSE w END, failures, rate, mean FROM (SELECT *, greatest(least(CASE WHEN is_success AND is_probe AND v <= 0 THEN 0.55 ELSE v END, 8.0), -8.0) AS w
+ FROM (SELECT *, CASE WHEN is_success THEN old + greatest(0.55 - coalesce(least(mean / 9000.0, 0.35), 0.0), 0.08) ELSE old - least(0.5 + 0.18 * failures, 1.2) END AS v
+ FROM (SELECT s.proxy_key, s.rn, s.id, s.epoch, s.is_success, s.is_probe, k.weight AS old, CASE WHEN s.is_success THEN 0 ELSE k.failures + 1 END AS failures,
+   CASE WHEN k.rate IS NULL THEN CAST(s.is_success AS DOUBLE) ELSE 0.9 * k.rate + 0.1 * CAST(s.is_success AS DOUBLE) END AS rate,
+   CASE WHEN NOT s.is_success OR s.latency_ms IS NULL THEN k.mean WHEN k.mean IS NULL THEN s.latency_ms ELSE 0.8 * k.mean + 0.2 * s.latency_ms END AS mean
+  FROM walk k JOIN steps s ON s.proxy_key = k.proxy_key AND s.rn = k.rn + 1))))
+"""
+
+
+@query("h8_node_weights", f"{WALK} SELECT id, proxy_key, round(weight, 6) AS weight, failures, round(rate, 6) AS success_rate, round(mean, 6) AS latency_mean FROM walk WHERE rn > 0", recursive=True)
 def h8(spark, d):
-    return live.node_weights(adapter.node_attempts(calls(spark, d)))
+    found = live.node_weights(adapter.node_attempts(calls(spark, d)))
+    return found.select("id", "proxy_key", F.round("weight", 6).alias("weight"), "failures", *(F.round(c, 6).alias(c) for c in ("success_rate", "latency_mean")))
 
 
-@query("h8b_weight_replay")
+@query("h8b_weight_replay", f"{WALK} SELECT proxy_key, epoch // 3600 * 3600 AS hour, round(arg_max(weight, rn), 6) AS weight, arg_max(weight, rn) > 0 AS positive FROM walk WHERE rn > 0 GROUP BY 1, 2", recursive=True)
 def h8b(spark, d):
     """Hours of each node with positive weight at their end, from the replay of all attempts."""
     rows = adapter.node_attempts(calls(spark, d))
     weights = live.node_weights(rows).join(rows.select("id", "epoch"), "id")
-    return weights.groupBy("proxy_key", T.hour()).agg(F.max_by("weight", F.struct("epoch", "id")).alias("weight")).withColumn("positive", F.col("weight") > 0)
+    last = weights.groupBy("proxy_key", T.hour()).agg(F.max_by("weight", F.struct("epoch", "id")).alias("weight"))
+    return last.select("proxy_key", "hour", F.round("weight", 6).alias("weight"), (F.col("weight") > 0).alias("positive"))
 
 
-@query("h9_route_health")
+@query("h9_route_health", """, steps AS MATERIALIZED (SELECT id, account, model, epoch, event_type = 'error' AS failed, row_number() OVER (PARTITION BY account, model ORDER BY epoch, id) AS rn FROM calls WHERE account IS NOT NULL),
+ walk(account, model, rn, id, streak, began, last, until, level, state) AS (SELECT DISTINCT account, model, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM steps
+ UNION ALL SELECT account, model, rn, id, streak, began, last, until, level, CASE WHEN until > epoch THEN 'cooling_down' WHEN level > 0 THEN 'degraded' ELSE 'healthy' END
+ FROM (SELECT *, CASE WHEN NOT failed THEN 0 WHEN cools THEN epoch + least(15 * (1 << least(old_level, 10)), 60) ELSE old_until END AS until, CASE WHEN NOT failed THEN 0 WHEN cools THEN old_level + 1 ELSE old_level END AS level
+ FROM (SELECT *, failed AND (streak >= 5 OR epoch - began >= 30) AS cools
+ FROM (SELECT s.*, k.until AS old_until, k.level AS old_level, CASE WHEN s.failed THEN k.streak + 1 ELSE 0 END AS streak, CASE WHEN s.failed THEN s.epoch ELSE k.last END AS last,
+   CASE WHEN s.failed AND (k.streak = 0 OR s.epoch - k.last > 30) THEN s.epoch ELSE k.began END AS began FROM walk k JOIN steps s ON s.account = k.account AND s.model = k.model AND s.rn = k.rn + 1))))
+ SELECT id, state FROM walk WHERE rn > 0""", recursive=True)
 def h9(spark, d):
     return live.route_health(calls(spark, d))
 

@@ -2,18 +2,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cost, status
+from ..functions import cost, status, timing
 from ..operators import records as R
 from ..operators import totals as T
 from ..sources import adapter
 from ..sources.adapter import NOW
-from .registry import calls, paid, query
+from .registry import SNAPSHOT, calls, paid, query, snapshot
 from .series import START
 
 
-@query("a1_range_scan", f"SELECT id, epoch, source FROM calls WHERE epoch >= {START} AND epoch < {START + 86400 * 3} AND source = 'proxy' AND id <= 9000")
+@query("a1_range_scan", f"SELECT id, epoch, source FROM calls WHERE epoch >= {START} AND epoch < {START + 86400 * 3} AND source = 'proxy' AND id <= {SNAPSHOT}")
 def a1(spark, d):
-    return R.scan(calls(spark, d), START, START + 3 * 86400, "proxy", 9000).select("id", "epoch", "source")
+    c = calls(spark, d)
+    return R.scan(c, START, START + 3 * 86400, "proxy", snapshot(c)).select("id", "epoch", "source")
 
 
 @query("a3_live_and_archive", "SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls")
@@ -24,13 +25,14 @@ def a3(spark, d):
 
 @query("a5_attempts_with_accounts", f"SELECT attempt_id, attempt_index, name FROM attempts LEFT JOIN accounts USING (account) WHERE epoch >= {START} AND epoch < {START + 86400}")
 def a5(spark, d):
-    rows = adapter.attempts(calls(spark, d)).where(f"epoch >= {START} and epoch < {START + 86400}")
+    near = timing.within(calls(spark, d), START - 1, START + 86400)  # a second try begins a second later
+    rows = timing.within(adapter.attempts(near), START, START + 86400)
     return rows.join(F.broadcast(adapter.accounts(spark)), "account", "left").select("attempt_id", "attempt_index", "name")
 
 
-@query("a10_latest_quota", "SELECT id, epoch AS captured, value AS used_amount FROM calls WHERE event_type = 'purchase' ORDER BY epoch DESC, id DESC LIMIT 1")
+@query("a10_latest_quota", "SELECT id, epoch AS captured, value AS used_amount, FALSE AS degraded FROM calls WHERE event_type = 'purchase' ORDER BY epoch DESC, id DESC LIMIT 1")
 def a10(spark, d):
-    return adapter.quota_snapshots(calls(spark, d)).orderBy(F.desc("captured"), F.desc("id")).limit(1).select("id", "captured", "used_amount")
+    return R.latest_quota(adapter.quota_snapshots(calls(spark, d))).select("id", "captured", "used_amount", "degraded")
 
 
 @query("b33_scarcity", "SELECT account, round(0.65 * max(short_percent) / 100 + 0.35 * max(long_percent) / 100, 9) AS scarcity FROM samples GROUP BY 1")
@@ -45,14 +47,24 @@ def b35(spark, d):
     return calls(spark, d).select("id", R.usage_of(body).alias("u")).select("id", "u.*")
 
 
-@query("b36_stream_usage", "SELECT id, output_tokens AS output, 'response.completed' AS kind FROM calls WHERE id % 7 = 0")
+@query("b36_stream_usage", """SELECT id, output_tokens AS output, CASE WHEN event_type = 'error' THEN 'response.failed' ELSE 'response.completed' END AS kind,
+ CASE WHEN k % 5 = 0 THEN 'priority' WHEN k % 5 = 1 THEN 'default' WHEN k % 5 = 2 THEN 'flex' ELSE 'auto' END AS tier FROM calls""")
 def b36(spark, d):
-    line = lambda kind, n: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(n.alias("output_tokens")).alias("usage"))))
-    bodies = calls(spark, d).where("id % 7 = 0").select("id", F.concat_ws("\n", F.lit("event: x"), line("response.created", F.lit(0)), line("response.in_progress", F.lit(1)), line("response.completed", F.col("output_tokens"))).alias("body"))
-    kind = F.get_json_object("event", "$.type")
-    rank = F.when(kind.isin("response.completed", "response.failed"), 2).otherwise(1)
-    last = R.stream_events(bodies).groupBy("id").agg(F.max_by("event", F.struct(rank, "place")).alias("event"))
-    return last.select("id", R.usage_of(F.col("event"))["output"].alias("output"), F.get_json_object("event", "$.type").alias("kind"))
+    """Bodies of every call: usage at the end, a tier in the first event, in the last, in both, or only auto."""
+    def line(kind, output, tier):
+        usage = F.when(output.isNotNull(), F.struct(output.alias("output_tokens")))
+        return F.concat(F.lit("data: "), F.to_json(F.struct(kind.alias("type"), F.struct(usage.alias("usage"), tier.alias("service_tier")).alias("response"))))
+
+    k, none = F.col("k") % 5, F.lit(None)
+    early = F.when(k == 2, "flex").otherwise("auto")  # what the end says wins, unless it says nothing
+    late = F.when(k == 0, "priority").when(k == 1, "default").when(k == 3, "auto")
+    end = F.when(F.col("event_type") == "error", "response.failed").otherwise("response.completed")
+    body = F.concat_ws(
+        "\n", F.lit("event: x"), line(F.lit("response.created"), F.lit(0), F.lit("auto")), line(F.lit("response.in_progress"), F.lit(1), early), line(F.lit("response.output_text.delta"), none.cast("long"), F.lit("delta")),
+        line(end, F.col("output_tokens"), late), F.lit("data: [DONE]"),
+    )
+    found = calls(spark, d).select("id", R.stream_summary(body).alias("s"))
+    return found.select("id", R.usage_of(F.concat(F.lit('{"usage":'), F.col("s.usage"), F.lit("}")))["output"].alias("output"), "s.kind", "s.tier")
 
 
 @query("b38_live_phases", "SELECT CASE WHEN t_ttfb IS NOT NULL THEN 'responding' WHEN account IS NOT NULL THEN 'requesting' ELSE 'queued' END AS phase, count(*) AS n FROM calls WHERE flying GROUP BY 1")
@@ -101,10 +113,23 @@ def c25(spark, d):
     return R.summary(paid(spark, d).where("model = 'model-b'"))
 
 
-@query("c26_facets", """SELECT field, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM (SELECT 'model' AS field, model AS value, count(*) AS n FROM calls WHERE source = 'proxy' GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM calls WHERE source = 'proxy' AND model = 'model-a' GROUP BY 2
- UNION ALL SELECT 'source', source, count(*) FROM calls WHERE model = 'model-a' GROUP BY 2 UNION ALL SELECT 'account', CAST(account AS VARCHAR), count(*) FROM calls WHERE source = 'proxy' AND model = 'model-a' AND account IS NOT NULL GROUP BY 2)) WHERE rank <= 5""")
+#: The payload's fields of a call.
+PAYLOADS = """, sent AS (SELECT *, CASE WHEN NOT broken THEN model END AS request_model, CASE WHEN NOT broken AND k % 6 = 0 THEN model || '-mini' END AS response_model, CASE WHEN NOT broken THEN ['/v1/responses', '/v1/chat/completions', '/v1/responses/compact'][k % 3 + 1] END AS endpoint,
+ CASE WHEN status = 'http_429' THEN 'http_429' WHEN status = 'http_401' THEN 'invalid_api_key' WHEN status = 'http_502' THEN 'upstream_stream_error' WHEN status = 'failed' THEN 'downstream_closed' END AS kind, CASE WHEN NOT broken AND k % 7 <> 0 THEN conversation END AS sticky_key,
+ CASE WHEN NOT broken THEN conversation END AS prompt_cache_key, CASE WHEN NOT broken THEN '10.0.0.' || user_id % 9 END AS requester_ip, CASE WHEN NOT broken THEN 'node-' || user_id % 5 END AS proxy_name, CASE WHEN NOT broken AND k % 5 = 0 THEN 'priority' END AS service_tier,
+ CASE WHEN NOT broken THEN effort END AS reasoning_effort FROM paid)
+"""
+FACETS = ("model", "request_model", "response_model", "endpoint", "kind", "sticky_key", "prompt_cache_key", "requester_ip", "proxy_name", "account", "service_tier", "reasoning_effort")
+_FACET_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM sent WHERE source = 'proxy' AND {f} IS NOT NULL {'' if f == 'model' else chr(65) + 'ND model = ' + repr('model-a')} {'' if f == 'endpoint' else chr(65) + 'ND endpoint = ' + repr('/v1/responses')} GROUP BY 2"
+    for f in FACETS
+)
+
+
+@query("c26_facets", f"{PAYLOADS} SELECT * FROM (SELECT field, value, n, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY field) > 5 AS has_more FROM ({_FACET_SQL})) WHERE rank <= 5")
 def c26(spark, d):
-    return R.facets(calls(spark, d), ["model", "status", "source", "account"], {"model": F.col("model") == "model-a", "source": F.col("source") == "proxy"}, 5)
+    rows = T.classified(R.with_payload(calls(spark, d))).where("source = 'proxy'")
+    return R.facets(rows, list(FACETS), {"model": F.col("model") == "model-a", "endpoint": F.col("endpoint") == "/v1/responses"}, 5)
 
 
 @query("c31_roster", "SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'oauth') AS oauth, count(*) FILTER (WHERE kind = 'api_key') AS api_key, count(*) FILTER (WHERE NOT enabled) AS attention, CAST(sum(n) AS BIGINT) AS calls FROM accounts LEFT JOIN (SELECT account, count(*) AS n FROM calls GROUP BY 1) USING (account)")
@@ -115,8 +140,7 @@ def c31(spark, d):
 
 @query("c33_node_profiles", "SELECT proxy_key, count(*) AS n, round(avg(CASE WHEN is_success THEN 1.0 ELSE 0.0 END), 9) AS success_rate, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM nodes WHERE NOT is_probe GROUP BY 1")
 def c33(spark, d):
-    p = lambda q: F.round(F.percentile("latency_ms", q), 6)
-    return adapter.node_attempts(calls(spark, d)).where("not is_probe").groupBy("proxy_key").agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_success").cast("double")), 9).alias("success_rate"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    return R.node_profiles(adapter.node_attempts(calls(spark, d)))
 
 
 @query("c34_distinct_conversations", "SELECT source, count(DISTINCT conversation) AS conversations, count(DISTINCT conversation) FILTER (WHERE flying) AS flying FROM calls GROUP BY 1")
@@ -216,20 +240,25 @@ def e10(spark, d):
     return met.groupBy("identity", "first", "second").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("calls"))
 
 
-@query("e14_conversation_accounts", "SELECT conversation, account, count(*) AS n, max(epoch) AS last_seen FROM calls WHERE conversation IS NOT NULL AND id <= 5000 GROUP BY 1, 2")
+@query("e14_conversation_accounts", f"SELECT conversation, account, count(*) AS n, max(epoch) AS last_seen FROM calls WHERE conversation IS NOT NULL AND id <= {SNAPSHOT} GROUP BY 1, 2")
 def e14(spark, d):
-    return calls(spark, d).where("conversation is not null and id <= 5000").groupBy("conversation", "account").agg(F.count("*").alias("n"), F.max("epoch").alias("last_seen"))
+    c = calls(spark, d)
+    return c.where(F.col("conversation").isNotNull() & (F.col("id") <= snapshot(c))).groupBy("conversation", "account").agg(F.count("*").alias("n"), F.max("epoch").alias("last_seen"))
 
 
-@query("f1_record_page", "SELECT id, total_tokens FROM calls WHERE ok AND id <= 900 ORDER BY total_tokens DESC, id DESC LIMIT 20 OFFSET 20")
+@query("f1_record_page", f"""{PAYLOADS}, met AS (SELECT * FROM sent WHERE source = 'proxy' AND lower(endpoint) = '/v1/responses' AND total_tokens >= 100 AND fclass = 'none' AND id <= {SNAPSHOT} AND epoch >= {START - 5 * 86400} AND requester_ip IS NOT NULL
+ AND (contains(lower(coalesce(conversation, '')), 'conv-1') OR contains(invoke_id, 'conv-1')))
+ SELECT id, round(cost, 9) AS cost, (SELECT count(*) FROM met) AS total FROM met ORDER BY met.cost DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20""")
 def f1(spark, d):
-    rows = T.classified(calls(spark, d)).where("ok")
-    return R.page(rows, "total_tokens", number=2, size=20, snapshot=900).select("id", "total_tokens")
+    rows = T.classified(R.with_payload(paid(spark, d)))
+    shown = R.record_list(rows, "cost", number=2, size=20, source="proxy", endpoint="/v1/Responses", min_tokens=100, failure_class="none", snapshot=snapshot(rows), start=START - 5 * 86400, keyword="Conv-1")
+    return shown.select("id", F.round("cost", 9).alias("cost"), "total")
 
 
-@query("f3_new_since_snapshot", "SELECT count(*) AS n FROM calls WHERE id > 700 AND source = 'proxy'")
+@query("f3_new_since_snapshot", f"SELECT count(*) AS n FROM calls WHERE id > {SNAPSHOT} AND source = 'proxy'")
 def f3(spark, d):
-    return calls(spark, d).where("id > 700 and source = 'proxy'").agg(F.count("*").alias("n"))
+    c = calls(spark, d)
+    return c.where((F.col("id") > snapshot(c)) & (F.col("source") == "proxy")).agg(F.count("*").alias("n"))
 
 
 @query("f4_locate", "SELECT (SELECT count(*) FROM calls, (SELECT epoch AS e FROM calls WHERE id = 500) WHERE epoch > e OR (epoch = e AND id > 500)) // 50 + 1 AS page")
@@ -265,11 +294,12 @@ def h5(spark, d):
     return R.working_set(calls(spark, d), START, 3600)
 
 
-@query("h10_failures_since_success", "SELECT proxy_key, count(*) AS failures FROM nodes n WHERE NOT is_success AND epoch > (SELECT max(epoch) FROM nodes m WHERE m.proxy_key = n.proxy_key AND m.is_success) - 86400 GROUP BY 1")
+@query("h10_failures_since_success", """, s AS (SELECT DISTINCT route, proxy_key, epoch FROM nodes) SELECT s.route, s.proxy_key, s.epoch, (SELECT count(*) FROM nodes f WHERE f.route = s.route AND f.proxy_key = s.proxy_key AND NOT f.is_success AND f.status = 'http_502' AND f.epoch BETWEEN s.epoch - 300 AND s.epoch
+ AND NOT EXISTS (SELECT 1 FROM nodes g WHERE g.route = f.route AND g.proxy_key = f.proxy_key AND g.is_success AND g.epoch <= s.epoch AND (g.epoch > f.epoch OR (g.epoch = f.epoch AND g.id > f.id)))) AS penalty FROM s""")
 def h10(spark, d):
-    rows = adapter.node_attempts(calls(spark, d))
-    last = rows.where("is_success").groupBy("proxy_key").agg(F.max("epoch").alias("last"))
-    return rows.where("not is_success").join(F.broadcast(last), "proxy_key").where("epoch > last - 86400").groupBy("proxy_key").agg(F.count("*").alias("failures"))
+    kind = status.derived_kind(F.col("status"), F.col("error_message"))
+    penalised = ~F.col("is_success") & F.coalesce(kind.isin("upstream_handshake_timeout", "failed_contact_upstream", "upstream_stream_error"), F.lit(False))
+    return R.failure_penalties(adapter.node_attempts(calls(spark, d)).withColumn("penalised", penalised))
 
 
 @query("i1_retention", f"SELECT detail, count(*) AS n FROM (SELECT CASE WHEN ({NOW} - epoch) / 86400.0 > 10 AND ok THEN 'structured_only' ELSE 'full' END AS detail FROM calls WHERE ({NOW} - epoch) / 86400.0 <= 25) GROUP BY 1")
@@ -282,17 +312,21 @@ def i4(spark, d):
     return R.compacted(adapter.quota_snapshots(calls(spark, d)), START).select("id", "captured")
 
 
-@query("i8_integrity_audit", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n_a, count(*) - 1 AS n_b FROM calls WHERE source = 'xy' GROUP BY ALL")
+@query("i8_integrity_audit", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) FILTER (WHERE id % 101 <> 0) AS n_a, count(*) AS n_b FROM calls GROUP BY ALL HAVING count(*) FILTER (WHERE id % 101 = 0) > 0 UNION ALL SELECT 0, 'proxy', 7, 0")
 def i8(spark, d):
-    """The facts lack one call of each hour of one source; the audit must report just these hours."""
-    rollup = T.totals(paid(spark, d), T.hour(), "source")
-    facts = rollup.withColumn("n", F.col("n") - (F.col("source") == "xy").cast("int"))
-    return R.audit(rollup, facts, ["hour", "source"]).select("hour", "source", "n_a", "n_b")
+    """A rollup that misses calls which came late, and holds a bucket without any, against the facts."""
+    all_ = paid(spark, d)
+    odd = spark.createDataFrame([(0, "proxy", 7, 0, 0.0)], "hour long, source string, n long, tokens long, cost double")
+    rollup = T.totals(all_.where("id % 101 <> 0"), T.hour(), "source").select(odd.columns).unionByName(odd)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return R.audit(rollup, T.totals(all_, T.hour(), "source"), ["hour", "source"]).select("hour", "source", zero("n_a"), zero("n_b"))
 
 
 @query("i15_last_activity", "SELECT account, max(epoch) AS last_seen, min(epoch) AS first_seen FROM calls WHERE account IS NOT NULL GROUP BY 1")
 def i15(spark, d):
-    return calls(spark, d).where("account is not null").groupBy("account").agg(F.max("epoch").alias("last_seen"), F.min("epoch").alias("first_seen"))
+    c = calls(spark, d)
+    days = c.where(F.col("account").isNotNull() & (F.col("epoch") < START)).groupBy("account", F.floor(F.col("epoch") / 86400).alias("day")).agg(F.min("epoch").alias("first_seen"), F.max("epoch").alias("last_seen"))
+    return R.last_activity(timing.within(c, START), days.drop("day"))
 
 
 @query("i19_body_search", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'token = \"[0-9a-f]+') OR contains(text, 'License')")

@@ -122,12 +122,20 @@ def d21(spark, d):
     return R.heatmap(calls(spark, d), START, END)
 
 
-@query("c27_long_term", """SELECT dimension, series, epoch // 86400 AS day, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens, count(t_total) FILTER (WHERE ok) AS timed, round(avg(t_total) FILTER (WHERE ok), 6) AS mean_ms, round(sum(output_tokens) FILTER (WHERE ok AND t_stream > 0) / (sum(t_stream) FILTER (WHERE ok AND t_stream > 0) / 1000), 6) AS tokens_per_second
- FROM (SELECT *, 'overall' AS dimension, 'all' AS series FROM calls UNION ALL SELECT *, 'model', model || '/' || coalesce(effort, 'unspecified') FROM calls UNION ALL SELECT *, 'upstream', coalesce('account:' || account, 'other') FROM calls) GROUP BY ALL""")
+LONG_TERM = """SELECT dimension, series, epoch // {width} AS {grain}, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens, count(t_total) FILTER (WHERE ok) AS timed, round(avg(t_total) FILTER (WHERE ok), 6) AS mean_ms, round(sum(output_tokens) FILTER (WHERE ok AND t_stream > 0) / (sum(t_stream) FILTER (WHERE ok AND t_stream > 0) / 1000), 6) AS tokens_per_second
+ FROM (SELECT *, 'overall' AS dimension, 'all' AS series FROM calls UNION ALL SELECT *, 'model', model || '/' || coalesce(effort, 'unspecified') FROM calls UNION ALL SELECT *, 'upstream', coalesce('account:' || account, 'other') FROM calls) GROUP BY ALL"""
+
+
+@query("c27_long_term", LONG_TERM.format(width=86400, grain="day"))
 def c27(spark, d):
     return R.long_term(calls(spark, d), status.long_term_success(F.col("status"), F.col("error_message")))
 
 
+@query("c28_long_term_hours", LONG_TERM.format(width=3600, grain="hour"))
+def c28(spark, d):
+    return R.long_term(calls(spark, d), status.long_term_success(F.col("status"), F.col("error_message")), "hour")
+
+
 @query("c30_model_performance", f", {SLICES}, w AS (SELECT model, CAST(sum(greatest(b1 - greatest(b0, coalesce(reach, b0)), 0)) AS BIGINT) AS wall_ms, CAST(sum(b1 - b0) AS BIGINT) AS sum_ms FROM (SELECT *, max(b1) OVER (PARTITION BY model, h ORDER BY b0, b1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM slices) GROUP BY 1) SELECT model, wall_ms, sum_ms, round(sum_ms / wall_ms::DOUBLE, 9) AS parallelism FROM w")
 def c30(spark, d):
     hours = R.wall_time(R.hour_slices(calls(spark, d)), "model", "bucket")

@@ -2,20 +2,60 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import status, timing
 from ..operators import records as R
 from ..operators import series as S
 from ..operators import totals as T
 from ..operators import upkeep as U
-from ..sources import adapter
+from ..sources import adapter, archive
 from ..sources.adapter import NOW
-from .registry import calls, paid, query
+from .registry import SNAPSHOT, calls, paid, query, snapshot
 from .series import END, START
 from .totals import COUNTS
 
 
-@query("a8_archive_manifest", f"SELECT epoch // 86400 AS day, count(*) AS n, min(epoch) AS first, max(epoch) AS last, CAST(sum(id) AS BIGINT) AS id_sum FROM calls WHERE epoch < {START} GROUP BY 1")
+MANIFEST = "count(*) AS n, min(epoch) AS first, max(epoch) AS last, CAST(sum(id) AS BIGINT) AS id_sum"
+
+
+@query("a8_archive_manifest", f"SELECT epoch // 86400 AS day, {MANIFEST} FROM calls WHERE epoch < {START} GROUP BY 1")
 def a8(spark, d):
-    return U.manifest(calls(spark, d).where(F.col("epoch") < START))
+    """Written twice, as a job that is done again would; the manifest is of what the files hold."""
+    rows, path = timing.within(calls(spark, d), end=START), archive.shared_dir(spark, "archive")
+    archive.write(rows, path, "calls")
+    return archive.write(rows, path, "calls").drop("checksum")
+
+
+@query("a2_archive_scan", f"SELECT epoch // 86400 AS day, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls WHERE epoch >= {START - 5 * 86400 + 1234} AND epoch < {START - 86400 + 77} GROUP BY 1")
+def a2(spark, d):
+    """The files whose days the range touches, out of an archive of all older calls."""
+    rows, path = timing.within(calls(spark, d), end=START), archive.shared_dir(spark, "archive")
+    archive.write(rows, path, "calls")
+    found = archive.read(spark, path, "calls", rows.schema, START - 5 * 86400 + 1234, START - 86400 + 77)
+    return found.groupBy(F.floor(F.col("epoch") / 86400).alias("day")).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
+
+
+@query("a12_task_runs", f"SELECT id, epoch, status, (SELECT count(*) FROM calls WHERE event_type = 'error' AND epoch >= {START}) AS total FROM calls WHERE event_type = 'error' AND epoch >= {START} ORDER BY epoch DESC, id DESC LIMIT 20 OFFSET 20")
+def a12(spark, d):
+    runs = calls(spark, d).select("id", F.col("event_type").alias("kind"), "status", "epoch", "occurred_at")
+    return U.task_runs(runs, " error ", " ", START, number=2).select("id", "epoch", "status", "total")
+
+
+@query("i2_archived_calls", f"SELECT epoch >= {NOW - 20 * 86400} AS live, epoch // 86400 AS day, count(*) AS n FROM calls GROUP BY 1, 2")
+def i2(spark, d):
+    """Calls older than a limit are in the archive, the others are not; twenty days, as the tables hold thirty."""
+    live, stored = archive.moved(calls(spark, d), archive.shared_dir(spark, "archive"), "calls", NOW - 20 * 86400)
+    parts = archive.manifest(live).withColumn("live", F.lit(True)), stored.withColumn("live", F.lit(False))
+    return parts[0].unionByName(parts[1]).select("live", "day", "n")
+
+
+@query("i3_archived_sets", f"""SELECT 'node_attempts' AS dataset, epoch // 86400 AS day, {MANIFEST} FROM nodes WHERE epoch < {NOW - 15 * 86400} GROUP BY 2 UNION ALL SELECT 'request_attempts', epoch // 86400, {MANIFEST.replace('id)', 'attempt_id)')} FROM attempts WHERE epoch < {NOW - 7 * 86400} GROUP BY 2""")
+def i3(spark, d):
+    """Sets of attempts in one archive, each with a limit of its own."""
+    c, path = calls(spark, d), archive.shared_dir(spark, "archive")
+    tries = adapter.attempts(c).drop("id").withColumnRenamed("attempt_id", "id")
+    sets = ("node_attempts", adapter.node_attempts(c), 15), ("request_attempts", tries, 7)
+    parts = [archive.moved(rows, path, name, NOW - days * 86400)[1].withColumn("dataset", F.lit(name)) for name, rows, days in sets]
+    return parts[0].unionByName(parts[1]).drop("checksum")
 
 
 @query("b27_billing_tier", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN id % 3 = 0 THEN 'flex' WHEN account % 2 = 0 AND NOT broken AND k % 5 = 0 THEN 'priority' ELSE 'default' END AS tier FROM calls) GROUP BY 1")
@@ -54,15 +94,23 @@ def b40(spark, d):
 def c4(spark, d):
     """Rollups of what is materialised, facts for the rest."""
     all_ = paid(spark, d)
-    columns = ["n", "success", "failure", "tokens", "cost", "non_success_cost"]
-    rolled, tail = T.totals(all_.where("id <= 700"), T.hour(), "source").select(columns), T.totals(all_.where("id > 700"))
+    cursor, columns = snapshot(all_), ["n", "success", "failure", "tokens", "cost", "non_success_cost"]
+    rolled, tail = T.totals(all_.where(F.col("id") <= cursor), T.hour(), "source").select(columns), T.totals(all_.where(F.col("id") > cursor))
     return T.merged([rolled.withColumn("key", F.lit(1)), tail.withColumn("key", F.lit(1))], ["key"], sums=columns).select(*(F.round(c, 10).alias(c) if "cost" in c else c for c in columns))
 
 
-@query("c13_unassigned_activity", "SELECT coalesce(account, -1) AS account, count(*) AS n, 0 AS queued, 0 AS requesting, max(epoch) FILTER (WHERE conversation IS NULL) AS last_unkeyed FROM calls WHERE NOT flying GROUP BY 1")
+PHASE = "CASE WHEN status = 'pending' THEN 'queued' WHEN t_ttfb > 100 THEN 'responding' WHEN account IS NOT NULL THEN 'requesting' ELSE 'queued' END"
+
+
+@query("c13_unassigned_activity", f"""SELECT coalesce(account, -1) AS account, count(*) FILTER (WHERE NOT flying) AS n, count(*) FILTER (WHERE flying AND {PHASE} = 'queued') AS queued, count(*) FILTER (WHERE flying AND {PHASE} = 'requesting') AS requesting,
+ count(*) FILTER (WHERE flying AND {PHASE} = 'responding') AS responding, max(epoch) FILTER (WHERE NOT flying AND (conversation IS NULL OR broken)) AS last_unkeyed FROM calls GROUP BY 1""")
 def c13(spark, d):
-    rows = T.classified(calls(spark, d)).where("not flying")
-    return rows.groupBy(F.coalesce("account", F.lit(-1)).alias("account")).agg(F.count("*").alias("n"), F.lit(0).alias("queued"), F.lit(0).alias("requesting"), F.max(F.when(F.col("conversation").isNull(), F.col("epoch"))).alias("last_unkeyed"))
+    """Terminal calls by account, -1 for none, with the phases of calls in flight beside them; a first byte counts once it took 100 ms."""
+    late = F.when(F.col("t_ttfb") > 100, F.col("t_ttfb"))
+    rows = T.classified(R.with_payload(calls(spark, d))).withColumn("phase", F.when(F.col("flying"), status.live_phase(F.col("status"), late, F.col("account"))))
+    phases = (F.count_if(F.col("phase") == p).alias(p) for p in ("queued", "requesting", "responding"))
+    unkeyed = ~F.col("flying") & F.col("prompt_cache_key").isNull()
+    return rows.groupBy(F.coalesce("account", F.lit(-1)).alias("account")).agg(F.count_if(~F.col("flying")).alias("n"), *phases, F.max(F.when(unkeyed, F.col("epoch"))).alias("last_unkeyed"))
 
 
 @query("c32_system_status", f"SELECT count(*) FILTER (WHERE flying) AS live, count(*) FILTER (WHERE ok AND fclass = 'none') AS success, count(*) FILTER (WHERE NOT flying AND fclass <> 'none') AS non_success, count(*) FILTER (WHERE epoch < {START}) AS archived, count(DISTINCT epoch // 86400) FILTER (WHERE epoch < {START}) AS batches FROM calls")
@@ -108,7 +156,7 @@ def d10(spark, d):
 
 @query("d14_node_day", f"SELECT proxy_key, b AS hour, coalesce(n, 0) AS n FROM (SELECT DISTINCT proxy_key FROM nodes) k CROSS JOIN range({START}, {START + 86400}, 3600) r(b) LEFT JOIN (SELECT proxy_key, epoch // 3600 * 3600 AS h, count(*) AS n FROM nodes GROUP BY 1, 2) x ON x.proxy_key = k.proxy_key AND h = b".replace("SELECT proxy_key, b", "SELECT k.proxy_key, b"))
 def d14(spark, d):
-    from ..functions import timing
+    from ..functions import status, timing
 
     hours = R.node_hours(adapter.node_attempts(calls(spark, d))).select("proxy_key", "hour", "n")
     grid = hours.select("proxy_key").distinct().join(F.broadcast(timing.spine(spark, START, START + 86400, 3600).withColumnRenamed("bucket", "hour")))
@@ -167,21 +215,26 @@ def g6(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").join(used, F.col("doc_id") == F.col("id"), "left_anti").agg(F.count("*").alias("n"))
 
 
-@query("h11_stream_error_pairs", "SELECT account, last + 864000 AS until FROM (SELECT account, count(*) AS n, bool_and(coalesce(error_message, '') LIKE '%upstream stream error%') AS bad, min(epoch) AS first, max(epoch) AS last FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY epoch DESC, attempt_id DESC) AS rank FROM attempts WHERE account IS NOT NULL AND error_message IS NOT NULL AND status IN ('http_502', 'failed')) WHERE rank <= 2 GROUP BY 1) WHERE n = 2 AND bad AND last - first <= 864000")
+@query("h11_stream_error_pairs", """, done AS (SELECT account, epoch, attempt_id, status = 'http_502' AS bad, epoch // 3600 * 3600 AS hour FROM attempts WHERE account IS NOT NULL AND status NOT IN ('running', 'pending')),
+ tried AS (SELECT *, lag(bad) OVER w AS bad_before, lag(epoch) OVER w AS before, row_number() OVER (PARTITION BY account, hour ORDER BY epoch DESC, attempt_id DESC) AS rank FROM done WINDOW w AS (PARTITION BY account ORDER BY epoch, attempt_id))
+ SELECT account, hour, coalesce(bad AND bad_before AND epoch - before <= 300, FALSE) AS escaped, CASE WHEN bad AND bad_before AND epoch - before <= 300 THEN epoch + 300 END AS until FROM tried WHERE rank = 1""")
 def h11(spark, d):
-    return U.stream_error_pairs(adapter.attempts(calls(spark, d)).where("error_message is not null and status in ('http_502', 'failed')"), 864_000)
+    return U.stream_error_escapes(adapter.attempts(calls(spark, d)))
 
 
 @query("h12_overlay", "SELECT count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls")
 def h12(spark, d):
+    """Stored rows and newer ones that overlap them, each counted once."""
     c = calls(spark, d)
-    stored, fresh = c.where("id <= 800"), c.where("id > 750")
+    last = snapshot(c)
+    stored, fresh = c.where(F.col("id") <= last), c.where(F.col("id") > last - last // 10)
     return stored.unionByName(fresh.join(stored.select("id"), "id", "left_anti")).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
 
 
-@query("h14_coverage", "SELECT epoch // 3600 * 3600 AS hour, source AS scope, count(*) AS n, bool_and(id <= 800) AS complete FROM calls GROUP BY 1, 2")
+@query("h14_coverage", f"SELECT epoch // 3600 * 3600 AS hour, source AS scope, count(*) AS n, bool_and(id <= {SNAPSHOT}) AS complete FROM calls GROUP BY 1, 2")
 def h14(spark, d):
-    return U.coverage(calls(spark, d), 800)
+    c = calls(spark, d)
+    return U.coverage(c, snapshot(c))
 
 
 @query("h16_horizon", f"SELECT epoch // 60 * 60 AS minute, count(*) AS n FROM calls WHERE epoch >= {NOW - 10 * 86400} GROUP BY 1")
@@ -203,14 +256,13 @@ def i11(spark, d):
     return U.backfilled(blank, bodies, R.usage_of(F.col("body"))).select("id", "input_tokens", "output_tokens")
 
 
-@query("i12_cost_backfill", "SELECT id, round(cost, 9) AS cost FROM paid WHERE id % 2 = 0")
+@query("i12_cost_backfill", "SELECT id, round(cost, 9) AS cost, CASE WHEN id % 2 <> 0 OR cost IS NOT NULL THEN 'v2' WHEN id % 4 <> 0 THEN 'v1' END AS price_version FROM paid")
 def i12(spark, d):
+    """Half of the calls lack their cost or have one of an older catalog; after the backfill all have the right one."""
     version = F.when(F.col("id") % 2 != 0, "v2").when(F.col("id") % 4 != 0, "v1")
-    lost = F.when(version == "v2", F.col("cost")).when(version == "v1", F.col("cost") * 2 + 1)  # the rest has no cost
-    right = paid(spark, d).select("id", lost.alias("cost"), version.alias("price_version"), version.alias("was"))
-    stored = calls(spark, d).join(right, "id")
-    whole = U.recosted(stored, adapter.pricing(spark), "v2", threshold=20_000)
-    return whole.where("not was <=> 'v2'").select("id", F.round("cost", 9).alias("cost"))  # the oracle has the rows that were missing or outdated
+    lost = F.when(version == "v2", F.col("cost")).when((version == "v1") & F.col("cost").isNotNull(), F.col("cost") * 2 + 1)  # the rest has no cost
+    stored = paid(spark, d).withColumns({"price_version": version, "cost": lost}).drop(*(f"cost_{p}" for p in ("input", "cache_write", "cache_read", "output", "reasoning")))
+    return U.recosted(stored, adapter.pricing(spark), "v2", threshold=20_000).select("id", F.round("cost", 9).alias("cost"), "price_version")
 
 
 @query("i16_subtracted", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls WHERE id % 4 <> 0 GROUP BY 1, 2")

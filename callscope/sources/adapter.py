@@ -32,7 +32,18 @@ def _statuses(spark: SparkSession) -> DataFrame:
 
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per call."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "cast(get_json_object(props, '$.k') as bigint) k")
+    return calls_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def invocation_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """The same rows as a stream of the files of events."""
+    like = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return calls_of(spark.readStream.schema(like).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
+    spark = events.sparkSession
+    events = events.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "cast(get_json_object(props, '$.k') as bigint) k")
     calls = events.selectExpr(
         "event_id + 1 id", "concat('inv-', event_id) invoke_id", "ts occurred_at", f"timestampdiff(SECOND, {EPOCH}, ts) epoch", "user_id", "k", "value", "event_type",
         "if(event_id % 10 = 0, 'xy', 'proxy') source", "if(event_id % 17 = 0, null, concat('conv-', user_id)) conversation", "if(user_id % 11 = 0, null, user_id % 7 + 1) account",
@@ -41,6 +52,7 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(floor(value * 100) as bigint) input_tokens", "cast(floor(floor(value * 100) * (k % 10) / 10) as bigint) cache_tokens", "cast(floor(value * 10) as bigint) output_tokens",
         "if(event_id % 29 = 0, null, value * 20) t_total", "k * 0.1D t_read", "0.5D t_parse", "if(event_id % 13 = 0, null, 5.0D) t_connect", "value * 4 t_ttfb", "value * 12 t_stream",
         "if(event_type in ('view', 'purchase'), value * 4 + 10, null) first_token", "value * 20000 t_long", "event_id % 101 = 0 broken",
+        "k * 0.2D t_answer", "if(event_id % 19 = 0, null, 1.5D) t_store",
     )
     calls = calls.join(F.broadcast(_statuses(spark)), ["event_type", "r5", "r23"], "left").drop("r5", "r23")
     calls = calls.withColumns({"reasoning_tokens": F.expr("output_tokens div 4"), "total_tokens": F.expr("input_tokens + output_tokens")})
@@ -49,6 +61,8 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("conversation").alias("promptCacheKey"), F.col("account").alias("upstreamAccountId"), F.col("model").alias("requestModel"), F.col("effort").alias("reasoningEffort"),
             F.when(F.col("k") % 5 == 0, "priority").alias("serviceTier"), F.expr("concat('host-', user_id % 3, '.example')").alias("upstreamBaseUrlHost"),
             (F.col("input_tokens") * 4).alias("upstreamApproxUploadBytes"), (F.col("output_tokens") * 4).alias("upstreamApproxDownloadBytes"),
+            F.when(F.col("k") % 6 == 0, F.concat("model", F.lit("-mini"))).alias("responseModel"), F.element_at(F.array(F.lit("/v1/responses"), F.lit("/v1/chat/completions"), F.lit("/v1/responses/compact")), (F.col("k") % 3).cast("int") + 1).alias("endpoint"),
+            F.expr("concat('10.0.0.', user_id % 9)").alias("requesterIp"), F.expr("concat('node-', user_id % 5)").alias("proxyDisplayName"), F.expr("if(k % 7 = 0, null, conversation)").alias("stickyKey"),
         )
     )
     return calls.withColumn("payload", F.when(F.col("broken"), "not json").otherwise(body)).drop("broken")
@@ -63,7 +77,7 @@ def attempts(calls: DataFrame) -> DataFrame:
 
 def node_attempts(calls: DataFrame) -> DataFrame:
     """One row per use of a node."""
-    return calls.selectExpr("id", "concat('node-', user_id % 5) proxy_key", "epoch", "event_type <> 'error' is_success", "value * 4 latency_ms", "(id - 1) % 50 = 0 is_probe", "if(event_type = 'error', status, null) failure_kind")
+    return calls.selectExpr("id", "model route", "concat('node-', user_id % 5) proxy_key", "epoch", "status", "error_message", "event_type <> 'error' is_success", "value * 4 latency_ms", "(id - 1) % 50 = 0 is_probe", "if(event_type = 'error', status, null) failure_kind")
 
 
 def limit_samples(calls: DataFrame) -> DataFrame:

@@ -19,14 +19,25 @@ def read_calls(spark: SparkSession, path: str, like: DataFrame, files_per_trigge
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def hourly_rollup(stream: DataFrame, path: str, checkpoint: str):
-    """H1: appends the partial rollup of every batch below path, one folder per batch id, so that a batch done again replaces what it wrote."""
+def by_batch(stream: DataFrame, path: str, checkpoint: str, part=lambda batch: batch, mode: str = "append"):
+    """Writes `part` of every batch below path, one folder per batch id, so that a batch done again replaces what it wrote; ends once all that is there is read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        part = totals.totals(batch, totals.hour(), "source")
-        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        part(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def latest_of(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Of the rows that batches in update mode have written, the last of each key."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__last")).select(*keys, "__last.*")
+
+
+def hourly_rollup(stream: DataFrame, path: str, checkpoint: str):
+    """H1: the partial rollup of every batch."""
+    return by_batch(stream, path, checkpoint, lambda batch: totals.totals(batch, totals.hour(), "source"))
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
@@ -35,13 +46,8 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segment_rollup(stream: DataFrame, path: str, checkpoint: str):
-    """H13: appends the merged interval segments of every batch by account and hour, one folder per batch id."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        part = series.segments(series.hour_slices(batch), "account", "bucket")
-        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """H13: the merged interval segments of every batch by account and hour."""
+    return by_batch(stream, path, checkpoint, lambda batch: series.segments(series.hour_slices(batch), "account", "bucket"))
 
 
 def read_wall_time(spark: SparkSession, path: str) -> DataFrame:
@@ -70,13 +76,45 @@ def sliding_activity(stream: DataFrame, late: str = "10 minutes", step: str = "3
     return rows.groupBy("account", F.window("at", "60 seconds", step)).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens")).select("account", F.unix_seconds("window.start").alias("start"), "n", "tokens")
 
 
+def observed(calls: DataFrame) -> DataFrame:
+    """Calls that have ended, with the time `at` at which that is seen: their start and whole seconds of duration."""
+    ended = F.col("epoch") + F.floor(F.coalesce("t_total", F.lit(0.0)) / 1000)
+    return calls.where("status not in ('running', 'pending')").withColumn("at", F.timestamp_seconds(ended))
+
+
 def network_minutes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """H7: bytes of each minute in three scopes: all, source and account."""
-    scopes = F.array(F.lit("global"), F.concat(F.lit("source:"), "source"), F.concat(F.lit("account:"), F.col("account").cast("string")))
-    rows = stream.withWatermark("at", late).withColumn("scope", F.explode(F.array_compact(scopes)))
+    rows = _scoped(stream.withWatermark("at", late))
     return rows.groupBy("scope", F.window("at", "1 minute")).agg((F.sum("input_tokens") * 4).alias("bytes")).select("scope", F.unix_seconds("window.start").alias("minute"), "bytes")
 
 
+def _scoped(rows: DataFrame) -> DataFrame:
+    scopes = F.array(F.lit("global"), F.concat(F.lit("source:"), "source"), F.concat(F.lit("account:"), F.col("account").cast("string")))
+    return rows.withColumn("scope", F.explode(F.array_compact(scopes)))
+
+
+#: Seconds of the grains of the live network.
+GRAINS = {"second": 1, "minute": 60, "five_minutes": 300}
+
+
+def network_rollup(stream: DataFrame, path: str, checkpoint: str):
+    """H7: partial bytes of every batch by scope, grain and start. Sums of sums are sums, so no state is held."""
+
+    def part(batch: DataFrame) -> DataFrame:
+        grains = F.array(*(F.struct(F.lit(name).alias("grain"), F.lit(width).alias("width")) for name, width in GRAINS.items()))
+        rows = _scoped(batch).withColumn("g", F.explode(grains))
+        return rows.groupBy("scope", "g.grain", F.expr("epoch div g.width * g.width").alias("start")).agg((F.sum("input_tokens") * 4).alias("bytes"))
+
+    return by_batch(stream, path, checkpoint, part)
+
+
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes by scope, grain and start over all batches; the last bucket of five minutes is still open."""
+    found = spark.read.parquet(path).groupBy("scope", "grain", "start").agg(F.sum("bytes").alias("bytes"))
+    last = found.groupBy("grain").agg(F.max("start").alias("last"))
+    return found.join(F.broadcast(last), "grain").withColumn("open", (F.col("grain") == "five_minutes") & (F.col("start") == F.col("last"))).drop("last")
+
+
 #: Fixed values of the two rules that weigh nodes.
 RULES = {
     1: {"bonus": 0.45, "divisor": 2500.0, "cap": 0.6, "gain": None, "base": 0.9, "step": 0.35, "first": 0, "most": None, "low": -12.0, "high": 12.0, "probe": 0.4, "floor": 0.6, "to": 0.3},
@@ -153,19 +191,33 @@ def route_health(calls: DataFrame, least: int = 5, apart: int = 30, first: int =
     return ordered.mapInPandas(lambda it: _cool(it, least, apart, first, most), "id long, state string")
 
 
-def in_progress(stream: DataFrame) -> DataFrame:
-    """H4: for each conversation, the calls that are running, as state that outlives batches; a terminal row of an id ends it."""
+def in_progress(stream: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
+    """H4: for each conversation the calls that are running, and how many of them followed a failure, as state that outlives batches.
+
+    A terminal row of an id ends it, and says whether the next call is a retry. A conversation that is silent for `keep_ms` of event time is forgotten.
+    """
 
     def step(key, batches, state):
-        ids = set(state.get[0]) if state.exists else set()
-        for rows in batches:
-            for i, flying in zip(rows["id"], rows["flying"], strict=True):
-                ids.add(int(i)) if flying else ids.discard(int(i))
-        state.update((sorted(ids),)) if ids else state.remove() if state.exists else None
-        yield pd.DataFrame({"conversation": [key[0]], "running": [len(ids)]})
-
-    rows = stream.where("conversation is not null").select("conversation", "id", F.col("status").isin("running", "pending").alias("flying"))
-    return rows.groupBy("conversation").applyInPandasWithState(step, "conversation string, running long", "ids array<long>", "update", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, retried, failed, seen = state.get if state.exists else ([], [], False, 0)
+        running = dict(zip(ids, retried, strict=True))
+        rows = pd.concat(list(batches)).sort_values("id")
+        for i, flying, bad in zip(rows["id"], rows["flying"], rows["bad"], strict=True):
+            if flying:
+                running[int(i)] = bool(failed)
+            else:
+                running.pop(int(i), None)
+                failed = bool(bad)
+        seen = max(seen, int(rows["at"].max().timestamp() * 1000))
+        state.update((list(running), list(running.values()), failed, seen))
+        state.setTimeoutTimestamp(max(seen + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"conversation": [key[0]], "running": [len(running)], "retried": [sum(running.values())]})
+
+    rows = totals.classified(stream.withWatermark("at", "10 minutes").where("conversation is not null")).select("conversation", "id", "at", "flying", (F.col("class") != "none").alias("bad"))
+    state = "ids array<long>, retried array<boolean>, failed boolean, seen long"
+    return rows.groupBy("conversation").applyInPandasWithState(step, "conversation string, running long, retried long", state, "update", "EventTimeTimeout")
 
 
 def changed(snapshots: DataFrame, value: str) -> DataFrame:

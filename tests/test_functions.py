@@ -1,6 +1,7 @@
 """Rules of expressions and parameters on hand-picked cases."""
 
 import math
+import re
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
@@ -123,3 +124,25 @@ def test_pages_hold_still(spark):
     cursor = rows.where(f"id = {first[-1]}").first()
     assert [r["id"] for r in records.after(rows, "epoch", cursor["epoch"], cursor["id"], 10).collect()] == second
     assert records.locate(rows, "epoch", second[0], 10).first()[0] == 2
+
+
+def plain_reason(error):
+    low = error.strip(" ").lower()
+    code = re.search(r"\bhttp[ \t\n\x0b\f\r]*([0-9]{3})\b", low)
+    out = re.sub(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}[ t][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?z?\b", "", low)
+    out = re.sub(r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "", out)
+    out = re.sub(r"\b[a-z0-9_\-]{10,}\b", "", out)
+    out = re.sub(r"(https?://[^ \t\n\x0b\f\r'\"?#]+)[^ \t\n\x0b\f\r'\"]*", r"\1", out)
+    out = re.sub(r"\b[0-9]{4,}\b", "", out).replace("request failed:", "request failed").replace("exception recovered:", "exception")
+    out = re.sub(r"[ \t\n\x0b\f\r]+", " ", out).strip(" ")
+    if code and code[1] not in out:
+        out = f"http {code[1]}: {out}"
+    return out[:160] or None
+
+
+def test_normalised_texts_of_all_documents(spark, data):
+    import __spark_entry__ as entry
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["reason"] for r in entry.queries()["b9_normalised_text"](spark, data).collect()}
+    assert got == {i: plain_reason(f"HTTP 500 at 2024-01-02 03:04:05Z: {t}") for i, t in texts.items()}
