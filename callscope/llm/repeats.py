@@ -8,9 +8,9 @@ anchor, content hash and coordinates, about one for every 14 windows.
    them repeats; these are settled by grouping and one join, whole paths at a time.
 2. Where contents differ (ends of passages, edits), a path whose content occurs again repeats as a whole, too. One source
    coordinate of every differing content leads back to its text, whose windows are compared one by one; the hits give the exact
-   borders.
+   borders. Both kinds of occurrences meet in buckets by their hashes; of a hash that many texts share, a task sends one entry.
 
-Nothing is grouped by document but its own spans, and equal rows of a hot passage are combined before they are shuffled.
+Nothing is grouped by document but its own spans, and no join makes the occurrences of a hot passage anew.
 
 Cases: null texts have no words; texts of fewer words than a window lose nothing; all occurrences of a passage are removed, the first as
 well; rows that repeat a text remove each other; rows with a null id are kept; an empty table gives no rows.
@@ -30,6 +30,8 @@ from .common import Q, U, Stage, Words, fresh, gram_hashes, load, mix, paralleli
 WINDOW, ANCHOR = 35, 8
 NOBODY = np.iinfo(np.int64).min
 FLUSH = 1 << 19
+#: Bytes of an entry on its way to a bucket, and about how many of them one bucket gets.
+ENTRY, BUCKET_BYTES = 24, 32 << 20
 
 
 def least_at(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,51 +68,88 @@ def _paths(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["row", "anchor", "content", "start", "number"])
 
 
-def _runs(wins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct window numbers as (start, number) of runs."""
-    cut = np.flatnonzero(np.diff(wins) != 1) + 1
-    start = wins[np.concatenate(([0], cut))]
-    return start, np.diff(np.concatenate((np.concatenate(([0], cut)), [len(wins)])))
-
-
-def _spans_of(rows: np.ndarray, wins: np.ndarray):
-    """(row, starts, numbers) lists for owners of windows."""
-    order = np.lexsort((wins, rows))
-    rows, wins = rows[order], wins[order]
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)])) if len(rows) else np.zeros(1, np.int64)
-    out = ([], [], [])
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        start, number = _runs(np.unique(wins[a:b]))
-        out[0].append(int(rows[a])), out[1].append(start.tolist()), out[2].append(number.tolist())
-    return out
-
-
-def _packed(buckets: int, hashes: np.ndarray, rows: np.ndarray, wins: np.ndarray):
-    """What one task hands on: for each bucket distinct window hashes and the owner of each; and the owners that are settled here."""
+def _spans_of(rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
+    """(row, starts, numbers) lists: for each owner its windows as runs that don't touch."""
+    order = np.lexsort((starts, rows))
+    rows, starts, ends = rows[order], starts[order], (starts + numbers)[order]
+    if not len(rows):
+        return [], [], []
+    # Ends so far, of one owner: an owner's ends are lifted above all ends of the owners before.
+    own = np.concatenate(([True], rows[1:] != rows[:-1]))
+    lift = (own.cumsum() - 1) * (int(ends.max()) + 1)
+    reach = np.maximum.accumulate(ends + lift) - lift
+    new = np.flatnonzero(own | np.concatenate(([True], starts[1:] > reach[:-1])))
+    first, number = starts[new], reach[np.append(new[1:], len(rows)) - 1] - starts[new]
+    edges = np.flatnonzero(own[new])
+    cut = lambda x: [part.tolist() for part in np.split(x, edges[1:])]
+    return rows[new][edges].tolist(), cut(first), cut(number)
+
+
+def _packed(buckets: int, hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
+    """What one task hands on: for each bucket distinct hashes and the owner of each; and the owners that are settled here.
+
+    However many owners a hash has in a task, one entry leaves it, without an owner: that it occurs here is all that others need to know.
+    """
     order = np.argsort(hashes, kind="stable")
-    hashes, rows, wins = hashes[order], rows[order], wins[order]
+    hashes, rows, starts, numbers = hashes[order], rows[order], starts[order], numbers[order]
     new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(hashes)))
     shared = np.repeat(times > 1, times) & (rows != NOBODY)
-    settled = _spans_of(rows[shared], wins[shared])
-    hashes, rows, wins = hashes[first], np.where(times > 1, NOBODY, rows[first]), wins[first]
+    settled = _spans_of(rows[shared], starts[shared], numbers[shared])
+    hashes, rows, starts, numbers = hashes[first], np.where(times > 1, NOBODY, rows[first]), starts[first].astype(np.int32), numbers[first].astype(np.int32)
     bucket = (mix(hashes) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    cut = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
+    cut = [(b, order[edges[b] : edges[b + 1]]) for b in np.flatnonzero(np.diff(edges)).tolist()]
     n, m = len(cut), len(settled[0])
     lists, none = pa.list_(pa.int64()), [None] * n
-    blobs = [pa.array([x[c].tobytes() for _, c in cut] + [None] * m, pa.binary()) for x in (hashes, rows, wins)]
+    blobs = [pa.array([x[c].tobytes() for _, c in cut] + [None] * m, pa.binary()) for x in (hashes, rows, starts, numbers)]
     tail = [pa.array(none + settled[0], pa.int64()), pa.array(none + settled[1], lists), pa.array(none + settled[2], lists)]
     homes = (mix(np.array(settled[0], np.int64).astype(U)) % U(buckets)).astype(np.int64).tolist()
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut] + homes, pa.int32()), *blobs, *tail], ["bucket", "hashes", "rows", "wins", "row", "starts", "numbers"])
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut] + homes, pa.int32()), *blobs, *tail], ["bucket", "hashes", "rows", "at", "width", "row", "starts", "numbers"])
+
+
+_SENT = "bucket int, hashes binary, rows binary, at binary, width binary, row long, starts array<long>, numbers array<long>"
+
+
+class _Held:
+    """Occurrences that a task has met, handed on FLUSH at a time."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.size = buckets, [], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        """Whether it is time to hand on."""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        return self.size >= FLUSH
+
+    def out(self):
+        if self.size:
+            yield _packed(self.buckets, *(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        self.parts, self.size = [], 0
+
+
+def _occurrences(buckets: int):
+    """Whole paths, by what they hold."""
+
+    def run(batches):
+        held = _Held(buckets)
+        for batch in batches:
+            row, anchor, content, start, number = (batch.column(c).to_numpy() for c in ("row", "anchor", "content", "start", "number"))
+            if held.add(mix(content.astype(U) ^ mix(anchor.astype(U))), row, start.astype(np.int64), number.astype(np.int64)):
+                yield from held.out()
+        yield from held.out()
+
+    return run
 
 
 def _windows(buckets: int):
+    """Single windows, by what they hold."""
+
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        held = _Held(buckets)
         for batch in batches:
             rows, wanted = batch.column("row").to_numpy(), batch.column("wanted").to_pylist()
             for at, _, data, offsets in texts_of(batch.column("text")):
@@ -119,25 +158,22 @@ def _windows(buckets: int):
                     h = words.hashes[words.first[i] : words.first[i + 1]]
                     s = np.concatenate([np.arange(w["start"], w["start"] + w["number"]) for w in wanted[at + i]])
                     own = np.concatenate([np.full(w["number"], w["alone"]) for w in wanted[at + i]])
-                    held.append((span_hash(h, s, s + WINDOW, Q), np.where(own, rows[at + i], NOBODY), s))
-                    size += len(s)
-                    if size >= FLUSH:
-                        yield _packed(buckets, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                        held, size = [], 0
-        if held:
-            yield _packed(buckets, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    if held.add(span_hash(h, s, s + WINDOW, Q), np.where(own, rows[at + i], NOBODY), s, np.ones(len(s), np.int64)):
+                        yield from held.out()
+        yield from held.out()
 
     return run
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """Owners of the windows whose hash came to this bucket more than once; what was settled before passes through."""
-    hashes, rows, wins = (np.frombuffer(b"".join(table[c].drop_null().to_pylist()), kind) for c, kind in (("hashes", U), ("rows", np.int64), ("wins", np.int64)))
+    """Owners of what came to this bucket more than once; what was settled before passes through."""
+    kinds = {"hashes": U, "rows": np.int64, "at": np.int32, "width": np.int32}
+    hashes, rows, starts, numbers = (np.frombuffer(b"".join(table[c].drop_null().to_pylist()), kind) for c, kind in kinds.items())
     order = np.argsort(hashes)
-    hashes, rows, wins = hashes[order], rows[order], wins[order]
+    hashes, rows, starts, numbers = hashes[order], rows[order], starts[order].astype(np.int64), numbers[order]
     same = hashes[1:] == hashes[:-1]
     shared = (np.concatenate((same, [False])) | np.concatenate(([False], same))) & (rows != NOBODY) if len(hashes) else np.zeros(0, bool)
-    found, lists = _spans_of(rows[shared], wins[shared]), pa.list_(pa.int64())
+    found, lists = _spans_of(rows[shared], starts[shared], numbers[shared]), pa.list_(pa.int64())
     old = table.filter(table["row"].is_valid()).select(["row", "starts", "numbers"])
     return pa.concat_tables([old, pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], lists), pa.array(found[2], lists)], ["row", "starts", "numbers"])])
 
@@ -152,17 +188,20 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     stage.drop("paths")
     branching = again.where("not straight")
     contents = stage.keep(branching.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "number")).alias("at")), "contents")
-    whole = again.where("straight").select("row", "start", "number").union(
-        branching.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"]).select("row", "start", "number")
-    )
+    # What comes to one bucket is held by one task: their number grows with what is sent at most.
+    sent = contents.agg(F.sum("times"), F.sum("at.number")).first()
+    buckets = max(parallelism(spark), sum(n or 0 for n in sent) * ENTRY // BUCKET_BYTES)
     wanted = contents.groupBy("at.row").agg(F.collect_list(F.struct("at.start", "at.number", (F.col("times") == 1).alias("alone"))).alias("wanted"))
     # Rows of equal key have equal texts: one of them is enough here.
-    asked = texts.join(stage.keep(wanted, "wanted"), "row").select("row", "text", "wanted").mapInArrow(
-        _windows(parallelism(spark)), "bucket int, hashes binary, rows binary, wins binary, row long, starts array<long>, numbers array<long>"
-    )
-    parts = stage.keep(asked.groupBy("bucket").applyInArrow(_met, "row long, starts array<long>, numbers array<long>"), "parts")
+    asked = texts.join(stage.keep(wanted, "wanted"), "row").select("row", "text", "wanted").mapInArrow(_windows(buckets), _SENT)
+    met = branching.mapInArrow(_occurrences(buckets), _SENT).union(asked).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_met, "row long, starts array<long>, numbers array<long>")
+    parts = stage.keep(met, "parts")
+    stage.drop("contents", "wanted")
     windows = parts.select("row", F.explode(F.arrays_zip("starts", "numbers")).alias("s")).select("row", F.col("s.starts").cast("int").alias("start"), F.col("s.numbers").cast("int").alias("number"))
-    return stage.keep(whole.union(windows).groupBy("row").agg(F.collect_list(F.struct("start", "number")).alias("spans")), "spans")
+    spans = again.where("straight").select("row", "start", "number").union(windows).groupBy("row").agg(F.collect_list(F.struct("start", "number")).alias("spans"))
+    spans = stage.keep(spans, "spans")
+    stage.drop("again", "parts")
+    return spans
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
