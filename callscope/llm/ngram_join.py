@@ -3,12 +3,12 @@
 Two sets of sizes m <= n with Jaccard similarity 3/4 or more share at least need(n) = ceil(3 n / 4) members. Under any global order of
 the shingles, their prefixes of n - need(n) + r members therefore share at least r: a longer prefix asks for more matches.
 
-1. Screen. One pass over the texts makes every set. Prefixes in hash order with r = n // 16 + 1 are matched against each other as packed
-   runs of hashes, one entry for a shingle and task. A pair shares the r of its smaller set, so what doesn't find need(n) // 16 + 1 of its
+1. Screen. One pass over the texts makes every set. Prefixes in hash order with r = n // 4 + 1 are matched against each other as packed
+   runs of hashes, one entry for a shingle and task. A pair shares the r of its smaller set, so what doesn't find need(n) // 4 + 1 of its
    shingles elsewhere links with nothing new. Equal sets are one class from here on.
-2. Collapse. Classes that agree on some of a few minima of permuted hashes are a family with one leader each, the one whose minima most others
-   share, and are verified against it. So large groups of near copies become one component in linear work. Members that don't link to their
-   leader meet the rest of their family in blocks of sets, of which only a forest of the links comes back.
+2. Collapse. Classes that share some of the first few members of their prefixes are a family with one leader each, the one whose members most
+   others share, and are verified against it. So large groups of near copies become one component in linear work. Members that don't link to
+   their leader meet the rest of their family in blocks of sets, of which only a forest of the links comes back.
 3. Join. Shingles that occur in several components are ordered by frequency, all others come before them. A set with fewer than need(n) of
    them is done. Each other picks how many matches r it asks for, by the estimated cost of the prefix that r takes: its postings, and
    the candidates among them (postings / r at most). Pairs of different components and families that share the smaller r of the two are
@@ -32,9 +32,11 @@ from .common import U, Stage, Words, components, forest, fresh, load, mix, paral
 
 WORDS = 5
 #: Prefixes of the screen ask for n // SCREEN + 1 matches.
-SCREEN = 16
-#: What verifying a candidate costs, in postings; sets in a block of a family.
-VERIFY, BLOCK = 64, 256
+SCREEN = 4
+#: What verifying a candidate costs, in postings; sets in a block of a family; members of a prefix that name its leader.
+VERIFY, BLOCK, HEADS = 64, 256, 16
+#: Bytes of text whose prefixes meet in one bucket of the screen.
+BUCKET_BYTES = 64 << 20
 NOBODY = np.iinfo(np.int64).min
 FLUSH = 1 << 20
 
@@ -163,15 +165,11 @@ def _whole_sets(k: int):
     return run
 
 
-def _minima(number: int):
-    seeds = mix(np.arange(1, number + 1, dtype=U) * U(0xDA942042E4DD58B5))
-
-    def run(batches):
-        for batch in batches:
-            keys = [[int(mix(mix(np.frombuffer(raw, U) ^ s).min(keepdims=True) + s)[0].astype(np.int64)) for s in seeds] for raw in batch.column("found").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
-
-    return run
+def _heads(batches):
+    """The first members of each prefix."""
+    for batch in batches:
+        keys = [np.frombuffer(raw, np.int64)[: min(HEADS, prefix(n))] for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
 
 
 def _tokens(whole: bool):
@@ -212,22 +210,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
 
 
-def fame(stage: Stage, sets: DataFrame, minima: int = 16) -> DataFrame:
-    """(key, node, n, fame): the minima of each node, and how many nodes share them. Sets near the middle of a group have the most."""
-    keys = stage.keep(sets.mapInArrow(_minima(minima), "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key")), "keys")
+def fame(stage: Stage, sets: DataFrame) -> DataFrame:
+    """(key, node, n, fame): the first members of each node's prefix, and how many nodes share them. Sets near the middle of a group have the most."""
+    keys = stage.keep(sets.mapInArrow(_heads, "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key")), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select(fresh("key"), "nodes")
     known = keys.join(shared, "key").groupBy("node").agg(F.sum("nodes").alias("fame")).select(fresh("node"), "fame")
     return stage.keep(keys.join(shared.select("key"), "key", "left_semi").join(known, "node"), "fame")
 
 
 def leaders(keys: DataFrame, votes: int = 4) -> DataFrame:
-    """(u, v): for each node u the leader v that most of its minima name, if `votes` or more do and it isn't u itself.
+    """(u, v): for each node u the leader v that most of its first members name, if `votes` or all of a smaller set do and it isn't u itself.
 
-    The leader of a minimum is the most famous of the nodes that share it.
+    The leader of a member is the most famous of the nodes that share it.
     """
     heads = keys.groupBy("key").agg(F.max(F.struct("fame", F.col("node").alias("v"), F.col("n").alias("m"))).alias("head"))
     met = keys.join(heads.select(fresh("key"), "head.v", "head.m"), "key").where("node <> v and 4 * least(n, m) >= 3 * greatest(n, m)")
-    best = met.groupBy("node", "v").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).groupBy("node").agg(F.max(F.struct("votes", "v")).alias("top"))
+    best = met.groupBy("node", "v").agg(F.count("*").alias("votes"), F.least(F.lit(votes), (F.first("n") / 2).cast("long") + 1).alias("least")).where("votes >= least").groupBy("node").agg(F.max(F.struct("votes", "v")).alias("top"))
     return best.select(F.col("node").alias("u"), F.col("top.v").alias("v"))
 
 
@@ -305,7 +303,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     stage = Stage(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = parallelism(spark)
+    # What comes to one bucket is held by one task: their number grows with the texts.
+    buckets = max(parallelism(spark), (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET_BYTES)
     sent = docs.mapInArrow(_screen_out(buckets, words), "bucket int, ids array<long>, sizes array<long>, s1 array<long>, s2 array<long>, local array<long>, hashes binary, who binary")
     dealt = sent.groupBy("bucket").applyInArrow(lambda t: _screen_in(t, buckets), "home int, ids array<long>, n array<long>, s1 array<long>, s2 array<long>, hits array<long>")
     screen = stage.keep(dealt.groupBy("home").applyInArrow(_screen_home, "doc_id long, n long, s1 long, s2 long, hits long"), "screen")
