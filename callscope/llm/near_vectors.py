@@ -6,9 +6,11 @@ A unit vector u is s * c + e with an int8 code c, so |u.v - s t c.d| <= |s c| |f
 reaches the threshold are recomputed in double precision. Code products are exact integers in float32 (float64 for long vectors).
 
 A pair of tiles yields the number of links of each vector and a spanning forest of them, never the links of a dense group one by one.
+Classes and tiles go by numbers of their own, so that rows may share a vec_id.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with nothing; vectors of different
-lengths don't link; repeated rows are vectors that link with each other; rows with a null vec_id link with nothing (component null); an empty table gives no rows.
+lengths don't link; labels of any type are compared as text; repeated rows are vectors that link with each other; rows that share a vec_id but no
+vector link as any other two; rows with a null vec_id link with nothing (component null); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,13 +71,13 @@ def _split(points: np.ndarray, rows: np.ndarray):
     yield from _split(points, order[len(order) // 2 :])
 
 
-_TILE_COLUMNS = "label int, width int, tile long, low array<double>, high array<double>, ids binary, copies binary, codes binary, bounds binary, raw binary"
+_TILE_COLUMNS = "label string, width int, tile long, low array<double>, high array<double>, ids binary, copies binary, codes binary, bounds binary, raw binary"
 
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 _TILE = pa.schema([(name, _KINDS[kind]) for name, kind in (column.split() for column in _TILE_COLUMNS.split(", "))])
 
 
-def _tile_rows(label: int, width: int, ids: list[int], copies: list[int], raw: list[bytes]):
+def _tile_rows(label: str, width: int, ids: list[int], copies: list[int], raw: list[bytes]):
     ids, copies, raw = np.array(ids, np.int64), np.array(copies, np.int64), matrix_of(raw, np.float64, width)
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     points = unit @ _directions(width)
@@ -89,15 +91,15 @@ def _tile_rows(label: int, width: int, ids: list[int], copies: list[int], raw: l
 
 
 def _tiles(batches):
-    held: dict[tuple[int, int], tuple[list, list, list]] = {}
+    held: dict[tuple[str, int], tuple[list, list, list]] = {}
     for batch in slices(batches):
-        for label, width, node, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "width", "node", "copies", "raw")), strict=True):
+        for label, width, number, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "width", "number", "copies", "raw")), strict=True):
             if (label, width) not in held:  # rows come sorted by label and width: what is held before is complete
                 for key, lists in held.items():
                     yield from (pa.RecordBatch.from_pylist([x], _TILE) for x in _tile_rows(*key, *lists))
                 held = {(label, width): ([], [], [])}
             lists = held[label, width]
-            for values, value in zip(lists, (node, copies, raw), strict=True):
+            for values, value in zip(lists, (number, copies, raw), strict=True):
                 values.append(value)
             if len(lists[0]) >= 32 * TILE:
                 yield from (pa.RecordBatch.from_pylist([x], _TILE) for x in _tile_rows(label, width, *lists))
@@ -158,12 +160,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vec_id, n_links, component_id, kept: one row per row of vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     stage, parts = Stage(spark, "vectors"), parallelism(spark)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>"))
-    keyed = stage.keep(rows.mapInArrow(_keys, "vec_id long, label int, width int, key string, place double, raw binary"), "rows")
-    classes = stage.keep(
-        keyed.where("width is not null").groupBy("label", "width", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("place").alias("place"), F.first("raw").alias("raw")), "classes"
-    )
-    dealt = classes.repartitionByRange(parts, "label", "width", "place").sortWithinPartitions("label", "width", "place", "node")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    keyed = stage.keep(rows.mapInArrow(_keys, "vec_id long, label string, width int, key string, place double, raw binary"), "rows")
+    own = keyed.where("width is not null").groupBy("label", "width", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("place").alias("place"), F.first("raw").alias("raw"))
+    classes = stage.keep(own.select("*", F.monotonically_increasing_id().alias("number")), "classes")
+    dealt = classes.repartitionByRange(parts, "label", "width", "place").sortWithinPartitions("label", "width", "place", "number")
     tiles = stage.keep(dealt.mapInArrow(_tiles, _TILE_COLUMNS), "tiles")
     side = lambda s: tiles.select("label", "width", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high")))
     gap = F.aggregate(F.arrays_zip("low_a", "high_a", "low_b", "high_b"), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(x["low_a"] - x["high_b"], x["low_b"] - x["high_a"], F.lit(0.0)), 2))
@@ -171,11 +172,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     blob = lambda s: tiles.select("label", "width", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "ids", "copies", "codes", "bounds", "raw")))
     pairs = met.repartition(4 * parts, "tile_a", "tile_b").join(blob("a"), ["label", "width", "tile_a"]).join(blob("b"), ["label", "width", "tile_b"])
     found = stage.keep(pairs.mapInArrow(_products(threshold), "u long, v long, links long"), "found")
-    linked = components(stage, found.where("v is not null").select("u", "v"), "components")
-    links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).select(fresh("u"), "links")
-    known = classes.select("label", "width", "key", "node", "copies").join(links, F.col("node") == F.col("u"), "left").drop("u").join(linked, "node", "left")
-    known = stage.keep(known.select("label", "width", "key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "known")
-    stage.drop("tiles", "found", "classes")
+    linked = components(stage, found.where("v is not null").select("u", "v"), "components").select(F.col("node").alias("number"), "component")
+    placed = stage.keep(linked.join(classes.select("number", "least"), "number"), "placed")
+    named = placed.select("number", "component").join(placed.groupBy("component").agg(F.min("least").alias("component_id")).select(fresh("component"), "component_id"), "component").drop("component")
+    links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).select(fresh("u").alias("number"), "links")
+    known = classes.select("label", "width", "key", "number", "least", "copies").join(links, "number", "left").join(named, "number", "left")
+    known = stage.keep(known.select("label", "width", "key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "known")
+    stage.drop("tiles", "found", "classes", "placed")
     out = keyed.select("vec_id", "label", "width", "key").join(known, ["label", "width", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
