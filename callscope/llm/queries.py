@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": oracles.NEAR_VECTORS,
     "op4_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_warc_roundtrip": oracles.WARC,
     "op9_exact_top_k": oracles.TOP_K,
 }

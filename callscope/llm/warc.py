@@ -1,9 +1,11 @@
 """WARC archives: a deterministic sharded writer, and a reader of what it wrote.
 
 Records are sorted by ranges of page_id whose borders come from sums of payload bytes over at most `BLOCKS` equal blocks of ids, so the same pages
-give the same shards whatever the cluster. A shard rolls to a new file once its compressed size reaches `roll_bytes`. Headers and digests are
+give the same shards whatever the cluster. A block of more than a shard's bytes is cut into `FINER` equal blocks again, and one that holds a single
+page_id, or none, by the digests of its payloads. A shard rolls to a new file once its compressed size reaches `roll_bytes`. Headers and digests are
 made anew from the payload. Files are written under temporary names that carry the attempt; the manifest, a table that Spark commits, names the
-attempt that counts, and only its files get their final names. A lost or repeated attempt leaves nothing but a temporary file.
+attempt that counts, and only its files get their final names. A lost or repeated attempt leaves nothing but a temporary file. The reader holds every file to
+the number of records, the bytes and the digest of the manifest: a file that was cut short or changed is an error.
 
 Of records with equal payloads of at least `least_revisit` bytes, the one with the smallest page_id is a response, the others revisit it.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, load, parallelism
 
-BLOCKS, SHARD_BYTES, ROLL_BYTES, DATE = 1 << 16, 64 << 20, 16 << 20, "2024-01-01T00:00:00Z"
+BLOCKS, FINER, SHARD_BYTES, ROLL_BYTES, DATE = 1 << 16, 1 << 10, 64 << 20, 16 << 20, "2024-01-01T00:00:00Z"
 _ROWS = 256
 
 
@@ -112,6 +114,40 @@ def _commit(batches):
         yield batch.drop_columns(["root"])
 
 
+def sharded(keyed: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """keyed (page_id, sha, size) with the shard of each row, which grows with page_id, and how many shards there are.
+
+    Blocks are named by paths that sort like their pages. Only sums by block come to the driver: BLOCKS + 1 at first, then FINER (256
+    by digests) for each block that is larger than a shard, as long as there are such that hold different pages.
+    """
+    spark = keyed.sparkSession
+
+    def sums(rows: DataFrame) -> dict[str, tuple[int, bool]]:
+        many = (F.min("sha") != F.max("sha")) | F.coalesce(F.min("page_id") != F.max("page_id"), F.lit(False))
+        return {path: (size, some) for path, size, some in rows.groupBy("path").agg(F.sum("size"), many).collect()}
+
+    name = lambda number: F.lpad(F.hex(F.expr(number)), 16, "0")
+    low, high = (x or 0 for x in keyed.agg(F.min("page_id"), F.max("page_id")).first())
+    step, turn = max(1, -(-(high - low + 1) // BLOCKS)), 0
+    floor = f"page_id div {step}L - cast(page_id < 0 and page_id % {step}L <> 0 as bigint)"
+    now = keyed.withColumn("path", F.coalesce(name(f"{floor} - ({low // step}L)"), F.lit("-")))
+    sizes = sums(now)
+    while (heavy := [path for path, (size, many) in sizes.items() if size > shard_bytes and many]) and turn < 20:
+        finer, digits = max(1, -(-step // FINER)), F.substring("sha", 1 + 2 * turn, 2)
+        inside = F.coalesce(name(f"pmod(page_id, {step}L) div {finer}L"), digits) if step > 1 else digits
+        now = now.join(F.broadcast(spark.createDataFrame([(path, True) for path in heavy], "path string, cut boolean")), "path", "left")
+        now = now.withColumn("path", F.when(F.col("cut"), F.concat_ws("/", "path", inside)).otherwise(F.col("path")))
+        sizes = {path: x for path, x in sizes.items() if path not in set(heavy)} | sums(now.where("cut"))
+        now, step, turn = now.drop("cut"), finer, turn + 1
+    total, shard, rows = 0, 0, []
+    for path, (size, _) in sorted(sizes.items()):
+        rows.append((path, shard))
+        total += size
+        if total >= shard_bytes:
+            total, shard = 0, shard + 1
+    return now.join(F.broadcast(spark.createDataFrame(rows, "path string, shard int")), "path").drop("path"), shard + 1
+
+
 def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE, stage: Stage | None = None) -> DataFrame:
     """Writes pages (page_id, url, html) as archives below `root` (a URI that all executors reach) and returns the committed manifest."""
     spark = pages.sparkSession
@@ -119,22 +155,13 @@ def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_by
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = pages.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
     firsts = stage.keep(keyed.where(F.col("size") >= least_revisit).groupBy("sha", "size").agg(F.min("page_id").alias("first")), "firsts")
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // BLOCKS))
-    block = F.expr(f"coalesce((page_id - {low or 0}L) div {step}L, -1L)")
-    total, shard, rows = 0, 0, []
-    for b, size in sorted(tuple(r) for r in keyed.groupBy(block.alias("block")).agg(F.sum("size")).collect()):  # at most BLOCKS + 1 rows
-        rows.append((b, shard))
-        total += size
-        if total >= shard_bytes:
-            total, shard = 0, shard + 1
-    shards = spark.createDataFrame(rows, "block long, shard int")
-    placed = keyed.withColumn("block", block).join(F.broadcast(shards), "block").withColumn("place", F.expr("coalesce(page_id, -9223372036854775808L)"))
+    placed, shards = sharded(keyed, shard_bytes)
+    placed = placed.withColumn("place", F.expr("coalesce(page_id, -9223372036854775808L)"))
     keys = ["shard", "place", "sha", "size"]
     refers = F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")).alias("refers_to")
     types = placed.select(*keys, "page_id").join(firsts, ["sha", "size"], "left").select(*keys, refers).distinct()
     # Payloads are shuffled once, by shard; record types come to them there.
-    parts, setting = max(shard + 1, parallelism(spark)), "spark.sql.requireAllClusterKeysForCoPartition"
+    parts, setting = max(shards, parallelism(spark)), "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "false")
     try:
@@ -148,6 +175,19 @@ def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_by
     return final
 
 
+class _Summed:
+    """A stream that adds up what is read from it."""
+
+    def __init__(self, source):
+        self.source, self.size, self.sum = source, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        raw = self.source.read(n)
+        self.size += len(raw)
+        self.sum.update(raw)
+        return raw
+
+
 def _members(source):
     """The decompressed records of an archive, one gzip member at a time."""
     raw = b""
@@ -155,6 +195,8 @@ def _members(source):
         out, member = [], zlib.decompressobj(31)
         while not member.eof:
             if not raw and not (raw := source.read(1 << 20)):
+                if out:
+                    raise EOFError("the archive ends inside a record")
                 return
             out.append(member.decompress(raw))
             raw = member.unused_data
@@ -182,21 +224,25 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("p
 
 def _read(batches):
     for batch in batches:
-        for root, name in zip(*(batch.column(c).to_pylist() for c in ("root", "name")), strict=True):
+        for root, name, records, size, sha in zip(*(batch.column(c).to_pylist() for c in ("root", "name", "records", "bytes", "sha256")), strict=True):
             fs, _ = pa.fs.FileSystem.from_uri(root)
-            held = []
+            held, n = [], 0
             with fs.open_input_stream(name, compression=None) as source:
+                source = _Summed(source)
                 for raw in _members(source):
                     held.append(parse(raw))
+                    n += 1
                     if len(held) == _ROWS:
                         yield pa.RecordBatch.from_pylist(held, _RECORD)
                         held = []
+            if (n, source.size, source.sum.hexdigest()) != (records, size, sha):
+                raise ValueError(f"{name} isn't what the manifest names: {n} of {records} records, {source.size} of {size} bytes")
             yield pa.RecordBatch.from_pylist(held, _RECORD)
 
 
 def read_archives(manifest: DataFrame, root: str) -> DataFrame:
     """The records of the archives that a manifest names."""
-    files = manifest.select(F.lit(root).alias("root"), "name").repartition(parallelism(manifest.sparkSession), "name")
+    files = manifest.select(F.lit(root).alias("root"), "name", "records", "bytes", "sha256").repartition(parallelism(manifest.sparkSession), "name")
     return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
