@@ -1,9 +1,11 @@
 """Secret scans: three fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
 Every whole text is screened on its bytes with numpy and substring search; only texts that hold a possible match are
-lexed. The lexer reads name-literal pairs (``name = "literal"``, ``name: literal``, ``name := literal``, ``name: type = "literal"``,
-``table["name"] = "literal"``, ``--name=literal``, ``--name literal``), follows names that are assigned to other names (constants,
-wherever they stand), and scores each literal by the most sensitive name that it reaches.
+lexed. The lexer walks over strings (of one or of several lines, with escapes), comments and names, and reads name-literal pairs: ``name = "literal"``,
+``"name": literal``, ``name := literal``, ``name: type = "literal"``, ``table["name"] = "literal"``, ``--name=literal``, ``--name literal``,
+``<name>literal</name>``, ``name: |`` with the literal on the next line, literals in brackets, on a continued line, or joined by ``+``. Strings and comments are
+read inside, too (connection strings, commented assignments). Names that are assigned to other names (constants, wherever they stand) are followed,
+and each literal is scored by the most sensitive name that it reaches.
 
 Cases: null and empty texts have no spans; repeated rows are scanned each; rows with a null id are kept; offsets are code points, ends are exclusive.
 """
@@ -25,14 +27,23 @@ KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-PAIR = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.-]*)["']?[\x20\t]*(?::=|=>|=|:)[\x20\t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=~$-]+)""", re.A)
-_QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-_LITERAL = rf"({_QUOTED}|[A-Za-z0-9+/_.=~$-]+)"
+_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
+_LONG = r"""(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3})"""
+_BARE = r"[A-Za-z0-9+/_.=~$-]+"
+#: Blanks and comments that may stand inside an assignment; before a literal also the end of a line that goes on.
+_GAP = r"(?:[\x20\t]|/\*[^*\n]*\*/)*"
+_ON = rf"{_GAP}(?:\(\s*|(?:\\|//[^\n]*|\#[^\n]*)?\r?\n[\x20\t]*(?=[\"'`]))?"
 _TYPE = r"(?:&(?:'\w+[\x20\t]+)?(?:mut[\x20\t]+)?|\*)?[A-Za-z_$][\w$.]*(?:[<\[][\w$.,|<>\[\]&*:'\x20\t]{0,80}[>\]])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z_$][\w$.]*)*\??"
-#: Other forms of a pair, each read beside PAIR, so that none takes the text of another: typed names, subscripts, flags.
-TYPED = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[?!]?[\x20\t]*:[\x20\t]*{_TYPE}(?:[\x20\t]*=[\x20\t]*(?=[\"'])|[\x20\t]+=[\x20\t]+){_LITERAL}", re.A)
-SUBSCRIPT = re.compile(rf"(?<![\w$.-])([A-Za-z_$][\w$.-]*)[\"']?\][\x20\t]*(?:=>|=|:)[\x20\t]*{_LITERAL}", re.A)
-FLAG = re.compile(rf"(?<![\w$.-])--?([A-Za-z_][\w.-]*)(?:[\x20\t]*[=:][\x20\t]*|[\x20\t]+)(?!-){_LITERAL}", re.A)
+#: What the lexer stops at: where a string begins, and names with the dashes of a flag. A quote after a letter is an apostrophe or an end.
+NEXT = re.compile(r"""(?P<long>\"{3}|'{3})|(?P<quote>(?<![\w$])["'`])|(?<![\w$.-])(?P<dash>--?(?=[A-Za-z_]))?(?P<name>[A-Za-z_$][\w$.-]*)""", re.A)
+STRING = re.compile(rf"{_LONG}|{_STRING}", re.S)
+#: After a name: what closes it, and the sign of an assignment.
+SIGN = re.compile(rf"[\"'`]?\]?[?!]?{_GAP}(:=|=>|===?|=|:(?!:)|>(?=[^<>\s]+</))")
+TYPED = re.compile(rf"{_GAP}{_TYPE}{_GAP}=(?!=)(?={_ON}[\"'`]|[\x20\t])", re.A)
+LITERAL = re.compile(rf"{_ON}(?:[rRbBuUfFL@]{{0,2}}(?P<quoted>{_LONG}|{_STRING})|[|>][+-]?[\x20\t]*\r?\n[\x20\t]+(?P<block>{_BARE})|(?P<bare>{_BARE}))", re.S)
+#: Between a flag and its value.
+VALUE = re.compile(r"[\x20\t]+(?=[^-\s])")
+MORE = re.compile(rf"\s*\+\s*(?P<quoted>{_STRING})", re.S)
 #: How sensitive a name is that has this word in it.
 NAMED = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 0.9, "privatekey": 1.0,
@@ -83,28 +94,74 @@ def literal_score(literal: str) -> float:
     return min(1.0, len(literal) / 16) * min(1.0, entropy / 3)
 
 
-def _pairs(text: str) -> list[tuple[str, int, int, bool]]:
-    """(name, start and end of the literal, whether it is quoted) in the order of the names."""
-    typed = {m.start(1): m for m in TYPED.finditer(text)}
-    quoted = lambda m: text[m.start(2)] in "\"'"
-    found = [m for m in PAIR.finditer(text) if m.start(1) not in typed or not quoted(typed[m.start(1)])]  # else its literal is the type
-    found += [*typed.values(), *SUBSCRIPT.finditer(text), *(m for m in FLAG.finditer(text) if m[0].startswith("--") or text[m.end(1)] in "=:")]
-    out = []
-    for m in sorted(found, key=lambda m: (m.start(1), m.start(2))):
-        start, end = m.span(2)
-        out.append((m[1], start + quoted(m), end - quoted(m), quoted(m)))
+Pair = tuple[str, int, int, bool, str]
+
+
+def _inside(m: re.Match) -> tuple[int, int]:
+    """Where the contents of a string begin and end, without the blanks around those of several lines."""
+    start, end = m.span("quoted")
+    ends = 3 if end - start >= 6 and m["quoted"][:3] in ('"""', "\'\'\'") else 1
+    text = m["quoted"][ends:-ends]
+    if ends == 1:
+        return start + 1, end - 1
+    start += ends + len(text) - len(text.lstrip())
+    return start, start + len(text.strip())
+
+
+def _literal(text: str, at: int, name: str) -> Pair | None:
+    """The pair of a name and the literal that begins at a place, after the sign of an assignment."""
+    m = LITERAL.match(text, at)
+    if not m:
+        return None
+    if m["quoted"] is None:
+        start, end = m.span("bare" if m["bare"] is not None else "block")
+        return name, start, end, m["bare"] is None, text[start:end]
+    start, end = _inside(m)
+    whole, after = text[start:end], m.end()
+    while joined := MORE.match(text, after):
+        end, after = _inside(joined)[1], joined.end()
+        whole += text[_inside(joined)[0] : end]
+    return name, start, end, True, re.sub(r"\\(.)", r"\1", whole)
+
+
+def _assigned(text: str, m: re.Match) -> tuple[list[Pair], int]:
+    """The pairs of a name that the lexer has stopped at, and where it goes on: behind a type, which is no name, else behind the name."""
+    name, sign = m["name"], SIGN.match(text, m.end())
+    if not sign:
+        value = VALUE.match(text, m.end()) if m["dash"] == "--" else None
+        return [p for p in [value and _literal(text, value.end(), name)] if p], m.end()
+    typed = TYPED.match(text, sign.end()) if sign[1] == ":" else None
+    if not typed:
+        return [p for p in [_literal(text, sign.end(), name)] if p], m.end()
+    given = _literal(text, typed.end(), name)
+    found = [given] if given and given[3] else [_literal(text, sign.end(), name), given]
+    return [p for p in found if p], typed.end()
+
+
+def _pairs(text: str) -> list[Pair]:
+    """(name, start and end of the literal, whether it is quoted, what it says) in the order of the names."""
+    out: list[Pair] = []
+    at, closers = 0, set()
+    while m := NEXT.search(text, at):
+        at = m.end()
+        if m["name"] is not None:
+            found, at = _assigned(text, m)
+            out += found
+        elif m.start() not in closers:  # a string: its inside is read like all else, its end is known
+            string = STRING.match(text, m.start())
+            if string:
+                closers.add(string.end() - len(m[0]))
     return out
 
 
-def _reached(text: str, pairs: list[tuple[str, int, int, bool]]) -> list[int]:
+def _reached(pairs: list[Pair]) -> list[int]:
     """For each pair the one whose literal it holds: an unquoted literal that is a name means the last pair of that name before, else the first one after."""
     first: dict[str, int] = {}
     for i, (name, *_) in enumerate(pairs):
         first.setdefault(name, i)
     last: dict[str, int] = {}
     to = []
-    for i, (name, start, end, quoted) in enumerate(pairs):
-        value = text[start:end]
+    for i, (name, _, _, quoted, value) in enumerate(pairs):
         to.append(i if quoted else last.get(value, first.get(value, i)))
         last[name] = i
     ends: dict[int, int] = {}
@@ -123,11 +180,11 @@ def _reached(text: str, pairs: list[tuple[str, int, int, bool]]) -> list[int]:
 def lexed(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     """Spans of the literals that a sensitive name holds, directly or through constants, in the order of the text."""
     pairs, best = _pairs(text), {}
-    for (name, *_), i in zip(pairs, _reached(text, pairs), strict=True):
-        span = pairs[i][1:3]
+    for (name, *_), i in zip(pairs, _reached(pairs), strict=True):
         if weight := name_score(name):
-            best[span] = max(best.get(span, 0.0), weight)
-    return sorted(s for s, weight in best.items() if weight * literal_score(text[s[0] : s[1]]) >= least)
+            _, start, end, _, value = pairs[i]
+            best[start, end] = max(best.get((start, end), 0.0), weight * literal_score(value))
+    return sorted(span for span, score in best.items() if score >= least)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
