@@ -1,8 +1,9 @@
 """Best-fit packing by bin completion over the histogram of lengths.
 
-Lengths are at most the capacity, so their histogram is bounded whatever the size of the corpus. The search runs on it: around the largest
-length left it looks for the undominated fillings of the rest of the sequence, takes the best fitting one as often as the
-counts allow, and tries others while the waste so far can still beat the best packing known (branch and bound).
+Lengths are at most the capacity, so their histogram is bounded whatever the size of the corpus. The search runs on it, from the packing of best
+fit as the first one known: around the largest length left it enumerates the undominated fillings of the rest of the sequence, those with the
+least waste first, takes one of them as often as the counts allow or once, and goes on as long as the waste so far and the lower bound of
+what is left can beat the best packing known (branch and bound).
 The plan then says which sequence the r-th piece of each length goes to; ranks come from grouped counts, so no
 task sees all pieces of a common length.
 
@@ -14,6 +15,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 from operator import neg
 
 import numpy as np
@@ -33,24 +37,68 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """The larger of the bound by volume and Martello and Toth's L2."""
     size = np.arange(capacity + 1)
     number, volume = np.concatenate(([0], counts.cumsum())), np.concatenate(([0], (counts * size).cumsum()))
-    best, half = -(-int(volume[-1]) // capacity), capacity // 2
-    for a in range(half + 1):
-        big, middle = int(number[-1] - number[capacity - a + 1]), int(number[capacity - a + 1] - number[half + 1])
-        room = middle * capacity - int(volume[capacity - a + 1] - volume[half + 1])
-        best = max(best, big + middle + max(0, -(-(int(volume[half + 1] - volume[a]) - room) // capacity)))
-    return best
+    half = capacity // 2
+    a = np.arange(half + 1)
+    big, middle = number[-1] - number[capacity - a + 1], number[capacity - a + 1] - number[half + 1]
+    room = middle * capacity - (volume[capacity - a + 1] - volume[half + 1])
+    rest = np.maximum(0, -(-(volume[half + 1] - volume[a] - room) // capacity))
+    return max(-(-int(volume[-1]) // capacity), int((big + middle + rest).max()))
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """The packing that gives each length, the largest first, to the sequence where it leaves the least room."""
+    open_, rooms = {}, 0  # sequences by their room: (pattern, how many), and the rooms there are as bits
+
+    def put(room: int, pattern: tuple[int, ...], times: int) -> None:
+        nonlocal rooms
+        if times:
+            open_.setdefault(room, []).append((pattern, times))
+            rooms |= 1 << room
+
+    for s in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[s])
+        while left:
+            above = rooms >> s
+            room = s + (above & -above).bit_length() - 1 if above else capacity
+            pattern, times = open_[room].pop() if above else ((), left)
+            if above and not open_[room]:
+                rooms ^= 1 << room
+            fits = room // s
+            full = min(times, left // fits)
+            put(room - fits * s, pattern + (s,) * fits, full)
+            times, left = times - full, left - full * fits
+            if times and left and left < fits:  # what is left goes into one more
+                put(room - left * s, pattern + (s,) * left, 1)
+                times, left = times - 1, 0
+            if above:
+                put(room, pattern, times)
+    return [x for group in open_.values() for x in group]
+
+
+def _undominated(filling: tuple[int, ...], slack: int, free: int) -> bool:
+    """Whether no free length (a bit of `free`) can take the place of some of the filling, or of nothing, without being shorter than these or too long.
+
+    A free length that equals a single one of the filling changes nothing.
+    """
+    one, more = 1, 0  # sums of at most one of the filling, and of several
+    for s in filling:
+        more |= (more | (one & ~1)) << s
+        one |= 1 << s
+    return not more & free and not any((one | more) << d & free for d in range(1, slack + 1))
 
 
-def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` with the lengths there are, those with the least waste first, at most `most`.
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of `room` with the lengths there are, those with the least waste first.
 
     One length that fits exactly dominates every other filling. Otherwise sums that can be reached (as bits of an integer, over
-    suffixes of the lengths in descending order) give the least waste, and larger lengths are tried first.
+    suffixes of the lengths in descending order) lead the way, and larger lengths are tried first.
     """
-    if room <= 0:
-        return [()]
+    if room <= 0 or not counts[1 : room + 1].any():
+        yield ()
+        return
     if counts[room]:
-        return [(room,)]
+        yield (room,)
+        return
     sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
     reach, mask = [1], (1 << (room + 1)) - 1
     for s in reversed(sizes):
@@ -61,14 +109,17 @@ def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
             step *= 2
         reach.append(bits)
     reach.reverse()
-    found: list[tuple[int, ...]] = []
-
-    def search(total: int) -> None:
+    for total in range(reach[0].bit_length() - 1, 0, -1):
+        if not reach[0] >> total & 1:
+            continue
         todo = [(0, total, (), room)]  # from the i-th length on: the rest to fill, what is taken, how often the next length is at most
-        while todo and len(found) < most:
+        while todo:
             i, rest, taken, limit = todo.pop()
             if not rest:
-                found.append(taken)
+                used = Counter(taken)
+                free = sum(1 << s for s in sizes if counts[s] > used[s])
+                if _undominated(taken, room - total, free):
+                    yield taken
                 continue
             i = bisect_left(sizes, -rest, i, key=neg)  # lengths over the rest are passed at once
             if i < len(sizes) and reach[i] >> rest & 1:
@@ -78,65 +129,65 @@ def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
                     todo.append((i, rest, taken, n - 1))
                 todo.append((i + 1, rest - n * s, taken + (s,) * n, room))
 
-    total = reach[0].bit_length() - 1
-    while total > 0 and len(found) < most:
-        if reach[0] >> total & 1:
-            search(total)
-            if total + (sizes[-1] if sizes else 0) <= room or found:
-                break
-        total -= 1
-    return found or [()]
-
 
 class _State:
-    """What is left at one depth of the search, and the waste so far."""
+    """A node of the search: what is left, what was used and wasted on the way, and how many of its branches were taken."""
 
-    def __init__(self, counts: np.ndarray, plan: list[Pattern], waste: int):
-        self.counts, self.plan, self.waste = counts, plan, waste
+    def __init__(self, counts: np.ndarray, before: _State | None = None, use: Pattern | None = None, number: int = 0, waste: int = 0):
+        self.counts, self.before, self.use, self.number, self.waste = counts, before, use, number, waste
+        self.taken, self.branches = 0, None
 
-    def step(self, capacity: int, number: int) -> _State | None:
-        """The state after filling around the largest length left, with the filling of that number, if there are so many."""
+    def _all(self, capacity: int) -> Iterator[tuple[Pattern, np.ndarray]]:
         counts, top = self.counts.copy(), int(np.flatnonzero(self.counts)[-1])
         counts[top] -= 1
-        found = fillings(counts, capacity - top, number + 1)
-        counts[top] += 1
-        if number >= len(found):
+        for filling in fillings(counts, capacity - top):
+            pattern = (top, *filling)
+            sizes, uses = np.unique(pattern, return_counts=True)
+            most = int((self.counts[sizes] // uses).min())
+            exact = len(filling) < 2 and sum(pattern) == capacity  # dominates all others, as often as it can be had
+            for times in dict.fromkeys([most] if exact else [most, 1]):
+                left = self.counts.copy()
+                left[sizes] -= uses * times
+                yield (pattern, times), left
+
+    def next(self, capacity: int) -> _State | None:
+        """The next branch, if there is one. Nodes that aren't the last of a path keep no enumeration, only their place in it."""
+        if self.branches is None:
+            self.branches = islice(self._all(capacity), self.taken, None)
+        found = next(self.branches, None)
+        if found is None:
             return None
-        pattern = (top, *found[number])
-        sizes, uses = np.unique(pattern, return_counts=True)
-        times = int((counts[sizes] // uses).min())
-        counts[sizes] -= uses * times
-        return _State(counts, [*self.plan, (pattern, times)], self.waste + times * (capacity - sum(pattern)))
+        self.taken += 1
+        (pattern, times), left = found
+        return _State(left, self, found[0], self.number + times, self.waste + times * (capacity - sum(pattern)))
+
+    def plan(self) -> list[Pattern]:
+        out, state = [], self
+        while state.use:
+            out.append(state.use)
+            state = state.before
+        return out[::-1]
 
 
-def pack(counts: np.ndarray, capacity: int = CAPACITY, width: int = 3, effort: float = 1.0) -> list[Pattern]:
+def pack(counts: np.ndarray, capacity: int = CAPACITY, effort: int = 10_000) -> list[Pattern]:
     """(lengths of one sequence, how many such sequences): uses counts[s] pieces of every length s exactly.
 
-    The first packing always takes the best fitting completion. While it needs more sequences than the lower bound, the search
-    goes back, from the deepest choices to the first, takes another of the `width` best fillings there, and goes on from it only as long as the
-    waste leaves hope to beat the best packing known. `effort` bounds the steps of that, as a multiple of those of the first packing.
+    Without the limit of `effort` nodes the packing has as few sequences as there can be. Deep branches come first; what lies below a
+    node whose waste, or whose sequences and lower bound, leave no hope to beat the best packing known is left out.
     """
-    number = lambda plan: sum(times for _, times in plan)
-    volume, bound = int((counts * np.arange(capacity + 1)).sum()), lower_bound(counts, capacity)
-    state, marks, every = _State(counts.copy(), [], 0), [], 16
-    while state.counts.any():
-        if len(state.plan) % every == 0:
-            marks.append(state)
-        state = state.step(capacity, 0)
-    best, left = state.plan, int(effort * len(state.plan)) + 1
-    for mark in reversed(marks):
-        for other in range(1, width):
-            hope = (number(best) - 1) * capacity - volume
-            if left <= 0 or number(best) <= bound or mark.waste > hope:
-                break
-            state = mark.step(capacity, other)
-            if state is None:  # an exact fit, or no further filling: nothing else to try here
-                break
-            left -= 1
-            while state.counts.any() and state.waste <= hope and left > 0:
-                state, left = state.step(capacity, 0), left - 1
-            if not state.counts.any() and number(state.plan) < number(best):
-                best = state.plan
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    fewest, volume = sum(times for _, times in best), int((counts * np.arange(capacity + 1)).sum())
+    path, nodes = [_State(counts.astype(np.int64))] if fewest > bound else [], 0
+    while path and fewest > bound and nodes < effort + len(best):
+        state, nodes = path[-1].next(capacity), nodes + 1
+        if state is None:
+            path.pop()
+        elif not state.counts.any():
+            if state.number < fewest:
+                best, fewest = state.plan(), state.number
+        elif state.waste <= (fewest - 1) * capacity - volume and state.number + lower_bound(state.counts, capacity) < fewest:
+            path[-1].branches = None
+            path.append(state)
     return best
 
 
