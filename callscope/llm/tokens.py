@@ -66,6 +66,13 @@ def join(left: list[int], right: list[int], window: int = 8) -> list[int]:
         window *= 2
 
 
+def join_all(sides: list[list[int]]) -> list[int]:
+    """The encoding of neighbouring parts of one unit of merging, joined by halves."""
+    if len(sides) < 2:
+        return sides[0] if sides else []
+    return join(join_all(sides[: len(sides) // 2]), join_all(sides[len(sides) // 2 :]))
+
+
 def tree(raw: bytes, leaf: int = UNSPLIT) -> list[int]:
     """Token ids of one unit of merging, by halves."""
     if len(raw) <= leaf:
@@ -73,9 +80,15 @@ def tree(raw: bytes, leaf: int = UNSPLIT) -> list[int]:
     return join(tree(raw[: len(raw) // 2], leaf), tree(raw[len(raw) // 2 :], leaf))
 
 
+@functools.cache
+def _long_run(n: int) -> re.Pattern:
+    """Solid text or white space of more than n characters: only there can a unit be longer."""
+    return re.compile(rf"\S{{{n + 1}}}|\s{{{n + 1}}}")
+
+
 def encode_plain(text: str, unsplit: int = UNSPLIT) -> list[int]:
     """Token ids of a text that holds no special token."""
-    if len(text) <= unsplit or max(map(len, text.split()), default=0) <= unsplit:
+    if len(text) <= unsplit or not _long_run(unsplit).search(text):
         return coder().encode_ordinary(text)
     return [i for unit in _units().findall(text) for i in tree(unit.encode(), unsplit)]
 
@@ -185,16 +198,12 @@ def _whole(finish):
         for batch in batches:
             for at in range(batch.num_rows):
                 one = batch.slice(at, 1)
-                out: list[int] = []
-                unit: list[int] = []
+                units: list[list[list[int]]] = []
                 for part in one.column(1).to_pylist()[0]:
-                    ids = np.frombuffer(part["ids"], "<u4").tolist()
-                    if part["glued"]:
-                        unit = join(unit, ids)
-                    else:
-                        out += unit
-                        unit = ids
-                yield finish(one.column(0), [out + unit])
+                    if not part["glued"]:
+                        units.append([])
+                    units[-1].append(np.frombuffer(part["ids"], "<u4").tolist())
+                yield finish(one.column(0), [[i for unit in units for i in join_all(unit)]])
 
     return run
 
