@@ -11,11 +11,18 @@ from .timing import valid_ms
 BOUNDS = (5, 10, 20, 50, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000, 10000, 20000, 30000, 60000, 180000)
 
 
-def build(ms: Column) -> Column:
-    """Aggregate: the histogram of a column of durations; what is no valid duration is left out."""
-    v, edges = valid_ms(ms), (None, *BOUNDS, None)
-    inside = lambda low, high: (F.lit(True) if low is None else v > low) & (F.lit(True) if high is None else v <= high) & v.isNotNull()
-    return F.array(*(F.count_if(inside(low, high)) for low, high in zip(edges, edges[1:], strict=False)))
+def place(ms: Column) -> Column:
+    """The number of the bucket of a duration, from 0; null for what is no valid duration."""
+    v = valid_ms(ms)
+    steps = F.when(v <= BOUNDS[0], 0)
+    for i, bound in enumerate(BOUNDS[1:], 1):
+        steps = steps.when(v <= bound, i)
+    return F.when(v.isNotNull(), steps.otherwise(len(BOUNDS)))
+
+
+def counted(at: Column) -> Column:
+    """Aggregate: the histogram of a column of bucket numbers. The number is best a column of its own, so that 21 counts share it."""
+    return F.array(*(F.count_if(at == i) for i in range(len(BOUNDS) + 1)))
 
 
 def merge(h: Column) -> Column:

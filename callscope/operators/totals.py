@@ -51,8 +51,10 @@ def hour() -> Column:
 
 def hourly(calls: DataFrame) -> DataFrame:
     """Hour and source: counts, tokens, cost, latency of calls with a positive first byte, and its histogram."""
-    v = F.when(F.col("ok") & (F.col("t_ttfb") > 0), F.col("t_ttfb"))
-    return classified(calls).groupBy(hour(), "source").agg(*counts(), F.count(v).alias("ttfb_n"), total(v).alias("ttfb_ms"), F.max(v).alias("ttfb_max"), histogram.build(v).alias("ttfb_hist"))
+    v = F.col("__v")
+    rows = classified(calls).withColumn("__v", F.when(F.col("ok") & (F.col("t_ttfb") > 0), F.col("t_ttfb")))
+    rows = rows.withColumn("__at", histogram.place(v))
+    return rows.groupBy(hour(), "source").agg(*counts(), F.count(v).alias("ttfb_n"), total(v).alias("ttfb_ms"), F.max(v).alias("ttfb_max"), histogram.counted(F.col("__at")).alias("ttfb_hist"))
 
 
 def failures(calls: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def stages(calls: DataFrame) -> DataFrame:
 
 
 def stage_rollup(calls: DataFrame) -> DataFrame:
-    return stages(calls.where("source = 'proxy'")).groupBy(hour(), "stage").agg(F.count("*").alias("n"), total(F.col("ms")).alias("ms"), F.max("ms").alias("most"), histogram.build(F.col("ms")).alias("hist"))
+    rows = stages(calls.where("source = 'proxy'")).withColumn("__at", histogram.place(F.col("ms")))
+    return rows.groupBy(hour(), "stage").agg(F.count("*").alias("n"), total(F.col("ms")).alias("ms"), F.max("ms").alias("most"), histogram.counted(F.col("__at")).alias("hist"))
 
 
 def percentiles(rows: DataFrame, keys: list[str], values: dict[str, Column], at: tuple[float, ...], exact: int) -> DataFrame:
@@ -80,7 +83,8 @@ def percentiles(rows: DataFrame, keys: list[str], values: dict[str, Column], at:
     So no reducer ever holds the values of a group that grows with the input.
     """
     rows = rows.select(*keys, *(v.alias(name) for name, v in values.items()))
-    rolled = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *(histogram.build(F.col(name)).alias(f"__{name}") for name in values))
+    placed = rows.withColumns({f"__at_{name}": histogram.place(F.col(name)) for name in values})
+    rolled = placed.groupBy(*keys).agg(F.count("*").alias("__n"), *(histogram.counted(F.col(f"__at_{name}")).alias(f"__{name}") for name in values))
     few = rolled.where(F.col("__n") <= exact).select(*keys).withColumn("__few", F.lit(True))
     held = rows.join(F.broadcast(few), keys, "left_semi").groupBy(*keys).agg(*(F.percentile(name, F.array(*map(F.lit, at))).alias(name) for name in values))
     known = rolled.join(held.withColumn("__few", F.lit(True)), keys, "left")

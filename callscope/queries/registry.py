@@ -62,6 +62,13 @@ def snapshot(rows) -> int:
 
 
 def calls(spark, d):
+    """The calls of a folder.
+
+    HotSpot compiles no method of more than 8000 bytes, and what it leaves to its interpreter is several times slower than Spark's own
+    operators one by one; Spark's documentation names this limit for it. The expressions that derive and classify calls would pass it.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return adapter.invocations(spark, d)
 
 

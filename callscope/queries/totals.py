@@ -188,14 +188,15 @@ def c11(spark, d):
 @query("c18_histogram_percentiles", f"""SELECT source, CAST(list_extract([5,10,20,50,100,150,200,300,500,750,1000,1500,2000,3000,5000,10000,20000,30000,60000,180000,180000], CAST(len(list_filter(range(1, 22), lambda i: list_sum(h[1:i]) < greatest(ceil(list_sum(h) * 0.95), 1))) + 1 AS INT)) AS DOUBLE) AS p95
  FROM (SELECT source, {HIST.format(v='t_total')} AS h FROM calls GROUP BY 1)""")
 def c18(spark, d):
-    hourly = calls(spark, d).groupBy(T.hour(), "source").agg(histogram.build(F.col("t_total")).alias("h"))
+    hourly = calls(spark, d).withColumn("at", histogram.place(F.col("t_total"))).groupBy(T.hour(), "source").agg(histogram.counted(F.col("at")).alias("h"))
     return T.merged([hourly], ["source"], hists=["h"]).select("source", histogram.percentile(F.col("h"), 0.95).alias("p95"))
 
 
 @query("c20_hybrid_p95", f"""SELECT account, round(quantile_cont(t_total, 0.95), 6) AS p95 FROM calls WHERE t_total IS NOT NULL GROUP BY 1""")
 def c20(spark, d):
     v = F.col("t_total")
-    rows = calls(spark, d).where("t_total is not null").groupBy("account").agg(histogram.build(v).alias("h"), histogram.exact(v, 0.95).alias("e"), F.count(v).alias("n"))
+    placed = calls(spark, d).where("t_total is not null").withColumn("at", histogram.place(v))
+    rows = placed.groupBy("account").agg(histogram.counted(F.col("at")).alias("h"), histogram.exact(v, 0.95).alias("e"), F.count(v).alias("n"))
     return rows.select("account", F.round(histogram.hybrid(F.col("h"), F.col("e"), F.col("n"), 0.95), 6).alias("p95"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,14 +11,29 @@ from pyspark.sql import functions as F
 DAY = 86400
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    if spark._jsc is not None and not spark._jsc.sc().isStopped():
+        remove(spark, path)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for a job, below the one that the cluster names in spark.checkpoint.dir; a local one only in a local session without that setting."""
+    """A new folder for a job, below the one that the cluster names in spark.checkpoint.dir; a local one only in a local session without that setting.
+
+    Results are read from it as long as the program runs; it goes when the program ends with the session still open.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set")
         root = "file:///tmp/checkpoints"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_at_exit, spark, path)
+    return path
 
 
 def checksum() -> Column:
