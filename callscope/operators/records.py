@@ -221,9 +221,9 @@ def failure_penalties(attempts: DataFrame, window: int = 300, cut: int = 3600) -
 
 
 def duplicates(accounts: DataFrame) -> DataFrame:
-    """Pairs of accounts that share an identity."""
-    a, b = (accounts.select(F.col("account").alias(x), "identity") for x in ("first", "second"))
-    return a.join(b, "identity").where("first < second").select("identity", "first", "second")
+    """Pairs of accounts that share an identity; different seats of a team may."""
+    a, b = (accounts.select(F.col("account").alias(x), "identity", *(F.col(c).alias(f"{c}_{x}") for c in ("team", "seat"))) for x in ("first", "second"))
+    return a.join(b, "identity").where("first < second and not (team_first and team_second and seat_first <> seat_second)").select("identity", "first", "second")
 
 
 def audit(rollup: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:

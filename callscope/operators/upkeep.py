@@ -41,15 +41,30 @@ def model_failure(status: Column, error: Column, model: Column) -> Column:
     )
 
 
+#: What an account can or can't do, and the endpoint that shows it.
+AXES = {
+    "compact": "/v1/responses/compact", "search": "/v1/search", "responses": "/v1/responses", "chat": "/v1/chat/completions", "image_tool": "/v1/responses#image_generation", "image_endpoint": "/v1/images/generations",
+}
+REFUSALS = r"unsupported (endpoint|path|tool|model)|not supported|does not support|unknown tool|no such endpoint"
+
+
 def capability(attempts: DataFrame) -> DataFrame:
-    """supported, unsupported or unknown per attempt."""
+    """attempts (endpoint, status, error_message) of the endpoints in AXES, with axis and state: supported, unsupported or unknown.
+
+    A success supports. A missing path denies an endpoint of its own; for all, a bad request, or for compaction any failure, denies if its text says so.
+    """
+    axis = F.coalesce(*(F.when(F.col("endpoint") == path, name) for name, path in AXES.items()))
     fine = F.col("status").isin("success", "completed", "warning_success", "http_200")
-    return attempts.withColumn("state", F.when(fine, "supported").when(F.col("status").isin("http_400", "http_401", "http_404"), "unsupported").otherwise("unknown"))
+    says = F.coalesce(F.lower("error_message").rlike(REFUSALS), F.lit(False))
+    missing = F.col("status").isin("http_404", "http_405") & ((F.col("axis") == "search") | (F.col("axis").isin("responses", "chat") & says))
+    denied = missing | ((F.col("status") == "http_400") & says) | ((F.col("axis") == "compact") & says)
+    return attempts.withColumn("axis", axis).where("axis is not null").withColumn("state", F.when(fine, "supported").when(denied, "unsupported").otherwise("unknown"))
 
 
 def latest_capability(attempts: DataFrame) -> DataFrame:
-    """The last known state of each account and model; unknown observations change nothing."""
-    return capability(attempts).where("state <> 'unknown' and account is not null").groupBy("account", "model").agg(F.max_by("state", F.struct("epoch", "attempt_id")).alias("state"))
+    """The last known state of each account and axis, and how many observations told one; unknown ones change nothing."""
+    known = capability(attempts).where("state <> 'unknown' and account is not null")
+    return known.groupBy("account", "axis").agg(F.max_by("state", F.struct("epoch", "attempt_id")).alias("state"), F.count("*").alias("observations"))
 
 
 def account_status(calls: DataFrame, accounts: DataFrame, now: int, recent: int = 86400) -> DataFrame:

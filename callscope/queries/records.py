@@ -227,13 +227,16 @@ def e8(spark, d):
     return R.retry_after_failure(calls(spark, d)).select("id", "retry")
 
 
-@query("e9_event_search", "SELECT id, name FROM calls JOIN accounts USING (account) WHERE event_type = 'error' AND (name ILIKE '%ount 3%' OR status ILIKE '%429%')")
+@query("e9_event_search", "SELECT DISTINCT c.id, a.name FROM calls c JOIN accounts a ON a.account = c.account LEFT JOIN attempts t ON t.id = c.id LEFT JOIN accounts b ON b.account = t.account WHERE event_type = 'error' AND (a.name ILIKE '%ount 3%' OR b.name ILIKE '%OUNT 3%' OR c.invoke_id ILIKE '%V-12%')")
 def e9(spark, d):
-    rows = adapter.account_events(calls(spark, d)).join(F.broadcast(adapter.accounts(spark)), "account")
-    return rows.where(F.col("name").ilike("%ount 3%") | F.col("action").ilike("%429%")).select("id", "name")
+    """Events by the names of their account, of the accounts that were tried, and of the call."""
+    c, named = calls(spark, d), adapter.accounts(spark).select("account", "name")
+    tried = adapter.attempts(c.where("event_type = 'error'")).select("id", "account").join(F.broadcast(named.withColumnRenamed("name", "tried")), "account").select("id", "tried")
+    rows = adapter.account_events(c).join(F.broadcast(named), "account").join(tried, "id", "left")
+    return rows.where(F.col("name").ilike("%ount 3%") | F.col("tried").ilike("%OUNT 3%") | F.col("invoke_id").ilike("%V-12%")).select("id", "name").distinct()
 
 
-@query("e10_duplicate_identities", "SELECT a.identity, a.account AS first, b.account AS second, (SELECT count(*) FROM calls c WHERE c.account IN (a.account, b.account)) AS calls FROM accounts a JOIN accounts b ON a.identity = b.identity AND a.account < b.account")
+@query("e10_duplicate_identities", "SELECT a.identity, a.account AS first, b.account AS second, (SELECT count(*) FROM calls c WHERE c.account IN (a.account, b.account)) AS calls FROM accounts a JOIN accounts b ON a.identity = b.identity AND a.account < b.account AND NOT (a.team AND b.team AND a.seat <> b.seat)")
 def e10(spark, d):
     used = calls(spark, d).groupBy("account").agg(F.count("*").alias("n"))
     met = R.duplicates(adapter.accounts(spark)).withColumn("account", F.explode(F.array("first", "second"))).join(used, "account", "left")
@@ -281,6 +284,12 @@ def f7(spark, d):
     return calls(spark, d).where("conversation is not null").groupBy("conversation").agg(F.min("epoch").alias("created")).orderBy(F.desc("created"), "conversation").limit(10)
 
 
+@query("f7_working_conversations", f"SELECT conversation, greatest(max(epoch) FILTER (WHERE flying), max(epoch) FILTER (WHERE NOT flying)) AS anchor FROM calls WHERE conversation IS NOT NULL AND epoch < {START} GROUP BY 1 HAVING count(*) FILTER (WHERE flying) > 0 OR max(epoch) >= {START - 3600} ORDER BY anchor DESC, conversation LIMIT 10")
+def f7_working(spark, d):
+    """The working set by its anchor, the last sign of life."""
+    return R.working_set(calls(spark, d), START, 3600).select("conversation", F.col("last_seen").alias("anchor")).orderBy(F.desc("anchor"), "conversation").limit(10)
+
+
 @query("g5_group_catalog", "SELECT g.grp, coalesce(n, 0) AS accounts, coalesce(c, 0) AS calls FROM (SELECT grp FROM accounts UNION SELECT 'group-9') g LEFT JOIN (SELECT grp, count(*) AS n FROM accounts GROUP BY 1) USING (grp) LEFT JOIN (SELECT grp, count(*) AS c FROM calls JOIN accounts USING (account) GROUP BY 1) USING (grp)")
 def g5(spark, d):
     a = adapter.accounts(spark)

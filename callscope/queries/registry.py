@@ -26,7 +26,7 @@ attempts AS (SELECT id * 2 AS attempt_id, id, invoke_id, epoch, account, 1 AS at
  UNION ALL SELECT id * 2 + 1, id, invoke_id, epoch + 1, account + 1, 2, status, error_message, model, t_ttfb, CASE WHEN k % 2 = 0 THEN 'zstd' END FROM calls WHERE (id - 1) % 4 = 0),
 nodes AS (SELECT id, model AS route, 'node-' || user_id % 5 AS proxy_key, epoch, status, event_type <> 'error' AS is_success, value * 4 AS latency_ms, (id - 1) % 50 = 0 AS is_probe, CASE WHEN event_type = 'error' THEN status END AS failure_kind FROM calls),
 samples AS (SELECT id, account, epoch AS captured, value % 100 AS short_percent, (value * 3) % 100 AS long_percent, (epoch // 86400 + 1) * 86400 AS resets FROM calls WHERE account IS NOT NULL),
-accounts AS (SELECT i AS account, 'Account ' || i AS name, CASE WHEN i % 2 = 1 THEN 'oauth' ELSE 'api_key' END AS kind, 'group-' || i % 3 AS grp, 'shared-' || i // 2 AS identity, i % 4 <> 0 AS enabled FROM range(1, 9) r(i)),
+accounts AS (SELECT i AS account, 'Account ' || i AS name, CASE WHEN i % 2 = 1 THEN 'oauth' ELSE 'api_key' END AS kind, 'group-' || i % 3 AS grp, 'shared-' || i // 2 AS identity, i % 4 <> 0 AS enabled, i IN (2, 3, 4) AS team, 'seat-' || i AS seat FROM range(1, 9) r(i)),
 prices(price_model, input_price, output_price, read_price, write_price) AS (VALUES ('model-a', 2.5::DOUBLE, 15.0::DOUBLE, 0.25::DOUBLE, NULL::DOUBLE), ('model-b', 5.0, 30.0, 0.5, 6.25), ('model-c', 0.75, 4.5, 0.075, NULL)),
 priced AS (SELECT c.*, CASE WHEN NOT broken AND k % 5 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS tier, CASE WHEN price_model = 'model-a' AND input_tokens > 20000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS more_in,
  CASE WHEN price_model = 'model-a' AND input_tokens > 20000 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS more_out, p.*, input_tokens + output_tokens > 0 AS billed FROM calls c LEFT JOIN prices p ON p.price_model = regexp_replace(c.model, '-\\d{4}-\\d{2}-\\d{2}$', '')),

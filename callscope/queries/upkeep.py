@@ -113,23 +113,47 @@ def c13(spark, d):
     return rows.groupBy(F.coalesce("account", F.lit(-1)).alias("account")).agg(F.count_if(~F.col("flying")).alias("n"), *phases, F.max(F.when(unkeyed, F.col("epoch"))).alias("last_unkeyed"))
 
 
-@query("c32_system_status", f"SELECT count(*) FILTER (WHERE flying) AS live, count(*) FILTER (WHERE ok AND fclass = 'none') AS success, count(*) FILTER (WHERE NOT flying AND fclass <> 'none') AS non_success, count(*) FILTER (WHERE epoch < {START}) AS archived, count(DISTINCT epoch // 86400) FILTER (WHERE epoch < {START}) AS batches FROM calls")
+@query("c32_system_status", f"SELECT count(*) FILTER (WHERE flying) AS live, count(*) FILTER (WHERE ok AND fclass = 'none') AS success, count(*) FILTER (WHERE NOT flying AND fclass <> 'none') AS non_success, count(*) FILTER (WHERE epoch < {START}) AS archived, count(DISTINCT epoch // 86400) FILTER (WHERE epoch < {START}) AS batches, CAST(sum(CASE WHEN NOT broken THEN input_tokens * 4 ELSE 8 END) FILTER (WHERE epoch < {START}) AS BIGINT) AS bytes FROM calls")
 def c32(spark, d):
+    """Calls and what the archive holds of them; bytes are those that calls say they sent."""
+    from ..functions import cost
+
     rows = T.classified(calls(spark, d))
     live = rows.agg(F.count_if("flying").alias("live"), F.count_if(F.col("ok") & (F.col("class") == "none")).alias("success"), F.count_if(~F.col("flying") & (F.col("class") != "none")).alias("non_success"))
-    stored = U.manifest(rows.where(F.col("epoch") < START)).agg(F.sum("n").alias("archived"), F.count("*").alias("batches"))
-    return live.join(F.broadcast(stored))
+    old = timing.within(rows, end=START).withColumn("sent", cost.bytes_of(F.get_json_object("payload", "$.upstreamApproxUploadBytes").cast("long"), F.length("payload")))
+    days = old.groupBy(F.floor(F.col("epoch") / 86400).alias("day")).agg(F.count("*").alias("n"), F.sum("sent").alias("sent"))
+    return live.join(F.broadcast(days.agg(F.sum("n").alias("archived"), F.count("*").alias("batches"), F.sum("sent").alias("bytes"))))
 
 
-@query("c40_open_summary", "SELECT count(DISTINCT conversation) FILTER (WHERE flying) AS open, count(DISTINCT conversation) FILTER (WHERE flying AND retry) AS retried FROM (SELECT *, coalesce(last_value(CASE WHEN NOT flying THEN fclass <> 'none' END IGNORE NULLS) OVER (PARTITION BY conversation ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS retry FROM calls WHERE conversation IS NOT NULL)")
-def c40(spark, d):
-    rows = R.retry_after_failure(calls(spark, d)).where("flying")
-    return rows.agg(F.countDistinct("conversation").alias("open"), F.countDistinct(F.when(F.col("retry"), F.col("conversation"))).alias("retried"))
+LIVE_PHASE = "CASE WHEN t_ttfb > 100 THEN 'responding' WHEN account IS NOT NULL THEN 'requesting' ELSE 'queued' END"
 
 
-@query("c41_capabilities", "SELECT account, model, arg_max(state, epoch * 1000000000 + attempt_id) AS state FROM (SELECT *, CASE WHEN status IN ('success', 'completed', 'warning_success', 'http_200') THEN 'supported' WHEN status = 'http_401' THEN 'unsupported' END AS state FROM attempts) WHERE state IS NOT NULL AND account IS NOT NULL GROUP BY 1, 2")
+@query("c40_open_summary", f"""SELECT count(DISTINCT conversation) FILTER (WHERE flying) AS open, count(DISTINCT conversation) FILTER (WHERE flying AND retry) AS retried, round(avg({NOW} - epoch) FILTER (WHERE flying), 6) AS mean_wait, count(*) FILTER (WHERE flying AND {LIVE_PHASE} = 'queued') AS queued,
+ count(*) FILTER (WHERE flying AND {LIVE_PHASE} = 'requesting') AS requesting, count(*) FILTER (WHERE flying AND {LIVE_PHASE} = 'responding') AS responding, round(coalesce(sum(cost) FILTER (WHERE lost), 0), 9) AS non_success_cost, CAST(coalesce(sum(total_tokens) FILTER (WHERE lost), 0) AS BIGINT) AS non_success_tokens
+ FROM (SELECT *, status = 'interrupted' OR (NOT flying AND fclass <> 'none') AS lost, coalesce(last_value(CASE WHEN NOT flying THEN fclass <> 'none' END IGNORE NULLS) OVER (PARTITION BY conversation ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS retry FROM paid WHERE conversation IS NOT NULL)""")
+def c40(spark, d):
+    """Conversations in progress, how long their calls wait, in which phase, and what failures have cost; a first byte counts once it took 100 ms."""
+    late = F.when(F.col("t_ttfb") > 100, F.col("t_ttfb"))
+    rows = R.retry_after_failure(paid(spark, d)).withColumn("phase", F.when(F.col("flying"), status.live_phase(F.col("status"), late, F.col("account"))))
+    open_ = F.when(F.col("flying"), F.col("conversation"))
+    return rows.agg(
+        F.countDistinct(open_).alias("open"), F.countDistinct(F.when(F.col("retry"), open_)).alias("retried"), F.round(F.avg(F.when(F.col("flying"), NOW - F.col("epoch"))), 6).alias("mean_wait"),
+        *(F.count_if(F.col("phase") == p).alias(p) for p in ("queued", "requesting", "responding")), T.total(F.when(T.lost(), F.col("cost")), 9).alias("non_success_cost"),
+        F.coalesce(F.sum(F.when(T.lost(), F.col("total_tokens"))), F.lit(0)).alias("non_success_tokens"),
+    )
+
+
+@query("c41_capabilities", """, seen AS (SELECT *, ['compact', 'search', 'responses', 'chat', 'image_tool', 'image_endpoint'][id % 6 + 1] AS axis, CASE WHEN status = 'http_401' THEN CASE WHEN id % 2 = 0 THEN 404 ELSE 400 END END AS code FROM attempts WHERE account IS NOT NULL),
+ known AS (SELECT *, CASE WHEN status IN ('success', 'completed', 'warning_success', 'http_200') THEN 'supported' WHEN code = 404 AND axis IN ('search', 'responses', 'chat', 'compact') THEN 'unsupported' WHEN code = 400 THEN 'unsupported' END AS state FROM seen)
+ SELECT account, axis, arg_max(state, epoch * 1000000000 + attempt_id) AS state, count(*) AS observations FROM known WHERE state IS NOT NULL GROUP BY 1, 2""")
 def c41(spark, d):
-    return U.latest_capability(adapter.attempts(calls(spark, d)))
+    """Attempts over six endpoints; one kind of error says that the endpoint isn't supported, as a missing path or as a bad request."""
+    paths = F.array(*(F.lit(p) for p in U.AXES.values()))
+    rows = adapter.attempts(calls(spark, d)).withColumn("endpoint", F.element_at(paths, (F.col("id") % 6).cast("int") + 1))
+    denied = F.col("status") == "http_401"
+    code = F.when(denied, F.when(F.col("id") % 2 == 0, "http_404").otherwise("http_400")).otherwise(F.col("status"))
+    rows = rows.withColumns({"status": code, "error_message": F.when(denied, "Unsupported endpoint for this account").otherwise(F.col("error_message"))})
+    return U.latest_capability(rows)
 
 
 @query("d4_folded_minutes", "SELECT epoch // 3600 * 3600 AS bucket, count(t_total) AS samples, round(quantile_cont(t_total, 0.95), 6) AS p95 FROM calls GROUP BY 1 HAVING count(t_total) > 0")
@@ -208,11 +232,12 @@ def f10(spark, d):
     return rows.where(F.array_contains(F.from_json("keys", "array<string>"), "conv-3")).select("id").orderBy("id").limit(20)
 
 
-@query("g6_orphan_bodies", "SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT id FROM calls UNION SELECT id * 2 FROM calls)")
+@query("g6_orphan_bodies", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM calls WHERE id % 2 = 0 UNION SELECT id * 2 FROM calls WHERE id % 3 = 0 UNION SELECT id * 3 + 1 FROM attempts)")
 def g6(spark, d):
+    """Stored bodies that no request, response or attempt names."""
     c = calls(spark, d)
-    used = c.select("id").union(c.select(F.col("id") * 2)).distinct()
-    return spark.read.parquet(f"{d}/documents.parquet").join(used, F.col("doc_id") == F.col("id"), "left_anti").agg(F.count("*").alias("n"))
+    used = c.where("id % 2 = 0").select("id").union(c.where("id % 3 = 0").select(F.col("id") * 2)).union(adapter.attempts(c).select(F.col("id") * 3 + 1)).distinct()
+    return spark.read.parquet(f"{d}/documents.parquet").join(used, F.col("doc_id") == F.col("id"), "left_anti").select("doc_id")
 
 
 @query("h11_stream_error_pairs", """, done AS (SELECT account, epoch, attempt_id, status = 'http_502' AS bad, epoch // 3600 * 3600 AS hour FROM attempts WHERE account IS NOT NULL AND status NOT IN ('running', 'pending')),

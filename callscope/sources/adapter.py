@@ -95,8 +95,8 @@ def account_events(calls: DataFrame) -> DataFrame:
 
 def accounts(spark: SparkSession) -> DataFrame:
     """A small dimension: the seven accounts that calls can have, and one that a retry may reach."""
-    rows = [(i, f"Account {i}", "oauth" if i % 2 else "api_key", f"group-{i % 3}", f"shared-{i // 2}", i % 4 != 0) for i in range(1, 9)]
-    return spark.createDataFrame(rows, "account long, name string, kind string, grp string, identity string, enabled boolean")
+    rows = [(i, f"Account {i}", "oauth" if i % 2 else "api_key", f"group-{i % 3}", f"shared-{i // 2}", i % 4 != 0, i in (2, 3, 4), f"seat-{i}") for i in range(1, 9)]
+    return spark.createDataFrame(rows, "account long, name string, kind string, grp string, identity string, enabled boolean, team boolean, seat string")
 
 
 def pricing(spark: SparkSession) -> DataFrame:
