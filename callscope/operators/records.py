@@ -202,7 +202,7 @@ def carried_forward(hours: DataFrame, start: int, end: int, value: str) -> DataF
 def quota_windows(samples: DataFrame, calls: DataFrame, now: int) -> DataFrame:
     """For each account the calls and tokens since its short window began (reset - duration), up to now."""
     last = latest(samples, "account", ["captured", "id"]).select("account", "short_percent", (F.col("resets") - F.col("short_minutes") * 60).alias("start"), F.least("resets", F.lit(now)).alias("end"))
-    return calls.join(F.broadcast(last), "account").where("epoch >= start and epoch < end").groupBy("account", "start", "end").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
+    return calls.join(last, "account").where("epoch >= start and epoch < end").groupBy("account", "start", "end").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
 
 
 def failure_penalties(attempts: DataFrame, window: int = 300, cut: int = 3600) -> DataFrame:

@@ -86,7 +86,7 @@ def percentiles(rows: DataFrame, keys: list[str], values: dict[str, Column], at:
     placed = rows.withColumns({f"__at_{name}": histogram.place(F.col(name)) for name in values})
     rolled = placed.groupBy(*keys).agg(F.count("*").alias("__n"), *(histogram.counted(F.col(f"__at_{name}")).alias(f"__{name}") for name in values))
     few = rolled.where(F.col("__n") <= exact).select(*keys).withColumn("__few", F.lit(True))
-    held = rows.join(F.broadcast(few), keys, "left_semi").groupBy(*keys).agg(*(F.percentile(name, F.array(*map(F.lit, at))).alias(name) for name in values))
+    held = rows.join(few, keys, "left_semi").groupBy(*keys).agg(*(F.percentile(name, F.array(*map(F.lit, at))).alias(name) for name in values))
     known = rolled.join(held.withColumn("__few", F.lit(True)), keys, "left")
     coarse = lambda name: F.array(*(histogram.percentile(F.col(f"__{name}"), p) for p in at))
     return known.select(*keys, *(F.when(F.col("__few"), F.col(name)).otherwise(coarse(name)).alias(name) for name in values))

@@ -94,13 +94,13 @@ def e6(spark, d):
 @query("e12_model_health", "SELECT account, name, model, failures FROM (SELECT account, model, count(*) AS failures FROM calls WHERE event_type = 'error' AND account IS NOT NULL GROUP BY 1, 2) JOIN accounts USING (account) WHERE enabled")
 def e12(spark, d):
     bad = calls(spark, d).where("event_type = 'error' and account is not null").groupBy("account", "model").agg(F.count("*").alias("failures"))
-    return bad.join(F.broadcast(adapter.accounts(spark).where("enabled")), "account").select("account", "name", "model", "failures")
+    return bad.join(adapter.accounts(spark).where("enabled"), "account").select("account", "name", "model", "failures")
 
 
 @query("e13_conversation_owners", "SELECT conversation, account, name FROM (SELECT conversation, arg_max(account, epoch * 1000000000 + id) FILTER (WHERE account IS NOT NULL) AS account FROM calls WHERE conversation IS NOT NULL GROUP BY 1) LEFT JOIN accounts USING (account)")
 def e13(spark, d):
     owner = calls(spark, d).where("conversation is not null").groupBy("conversation").agg(F.max_by("account", F.when(F.col("account").isNotNull(), F.struct("epoch", "id"))).alias("account"))
-    return owner.join(F.broadcast(adapter.accounts(spark)), "account", "left").select("conversation", "account", "name")
+    return owner.join(adapter.accounts(spark), "account", "left").select("conversation", "account", "name")
 
 
 @query("f2_snapshot_page", f"SELECT id, epoch FROM calls WHERE id <= {SNAPSHOT} ORDER BY epoch DESC, id DESC LIMIT 25 OFFSET 50")

@@ -27,7 +27,7 @@ def a3(spark, d):
 def a5(spark, d):
     near = timing.within(calls(spark, d), START - 1, START + 86400)  # a second try begins a second later
     rows = timing.within(adapter.attempts(near), START, START + 86400)
-    return rows.join(F.broadcast(adapter.accounts(spark)), "account", "left").select("attempt_id", "attempt_index", "name")
+    return rows.join(adapter.accounts(spark), "account", "left").select("attempt_id", "attempt_index", "name")
 
 
 @query("a10_latest_quota", "SELECT id, epoch AS captured, value AS used_amount, FALSE AS degraded FROM calls WHERE event_type = 'purchase' ORDER BY epoch DESC, id DESC LIMIT 1")
@@ -231,8 +231,8 @@ def e8(spark, d):
 def e9(spark, d):
     """Events by the names of their account, of the accounts that were tried, and of the call."""
     c, named = calls(spark, d), adapter.accounts(spark).select("account", "name")
-    tried = adapter.attempts(c.where("event_type = 'error'")).select("id", "account").join(F.broadcast(named.withColumnRenamed("name", "tried")), "account").select("id", "tried")
-    rows = adapter.account_events(c).join(F.broadcast(named), "account").join(tried, "id", "left")
+    tried = adapter.attempts(c.where("event_type = 'error'")).select("id", "account").join(named.withColumnRenamed("name", "tried"), "account").select("id", "tried")
+    rows = adapter.account_events(c).join(named, "account").join(tried, "id", "left")
     return rows.where(F.col("name").ilike("%ount 3%") | F.col("tried").ilike("%OUNT 3%") | F.col("invoke_id").ilike("%V-12%")).select("id", "name").distinct()
 
 
@@ -294,7 +294,7 @@ def f7_working(spark, d):
 def g5(spark, d):
     a = adapter.accounts(spark)
     names = a.select("grp").union(spark.createDataFrame([("group-9",)], "grp string")).distinct()
-    used = calls(spark, d).join(F.broadcast(a), "account").groupBy("grp").agg(F.count("*").alias("calls"))
+    used = calls(spark, d).join(a, "account").groupBy("grp").agg(F.count("*").alias("calls"))
     return names.join(a.groupBy("grp").agg(F.count("*").alias("accounts")), "grp", "left").join(used, "grp", "left").fillna(0)
 
 

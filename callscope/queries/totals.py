@@ -76,7 +76,7 @@ def b14(spark, d):
 def b15(spark, d):
     from ..sources import adapter
 
-    rows = calls(spark, d).join(F.broadcast(adapter.accounts(spark)), "account", "left")
+    rows = calls(spark, d).join(adapter.accounts(spark), "account", "left")
     return rows.groupBy(F.when(F.col("kind") == "api_key", F.concat(F.lit("account:"), F.col("account").cast("string"))).otherwise("other").alias("series")).agg(F.count("*").alias("n"))
 
 

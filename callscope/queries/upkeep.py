@@ -202,7 +202,7 @@ def e7(spark, d):
 @query("e11_account_attempts", "SELECT a.attempt_id, a.attempt_index, c.conversation, x.name FROM attempts a JOIN calls c USING (id) LEFT JOIN accounts x ON x.account = a.account WHERE a.account = 3")
 def e11(spark, d):
     c = calls(spark, d)
-    rows = adapter.attempts(c).where("account = 3").join(c.select("id", "conversation"), "id").join(F.broadcast(adapter.accounts(spark)), "account", "left")
+    rows = adapter.attempts(c).where("account = 3").join(c.select("id", "conversation"), "id").join(adapter.accounts(spark), "account", "left")
     return rows.select("attempt_id", "attempt_index", "conversation", "name")
 
 
