@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, load, parallelism
 
-BLOCKS, FINER, SHARD_BYTES, ROLL_BYTES, DATE = 1 << 16, 1 << 10, 64 << 20, 16 << 20, "2024-01-01T00:00:00Z"
+BLOCKS, FINER, SHARD_BYTES, ROLL_BYTES, DATE = 1 << 14, 1 << 10, 64 << 20, 16 << 20, "2024-01-01T00:00:00Z"
 _ROWS = 256
 
 
@@ -145,7 +145,7 @@ def sharded(keyed: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
         total += size
         if total >= shard_bytes:
             total, shard = 0, shard + 1
-    return now.join(F.broadcast(spark.createDataFrame(rows, "path string, shard int")), "path").drop("path"), shard + 1
+    return now.join(F.broadcast(spark.createDataFrame(rows, "path string, shard int")), "path").drop("path"), rows[-1][1] + 1 if rows else 1
 
 
 def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE, stage: Stage | None = None) -> DataFrame:
