@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-CHUNK_BYTES = 2 << 20
+from ..sources import archive
+
+CHUNK_BYTES = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
 class Stage:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -30,7 +25,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, archive.shared_dir(spark, name)
         self.tables: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +45,23 @@ class Stage:
             if name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
                 continue
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            archive.remove(self.spark, f"{self.root}/{name}")
+
+
+#: Rows of a staged side that is broadcast.
+SMALL = 1 << 18
+
+
+def small(staged: DataFrame, limit: int = SMALL) -> DataFrame:
+    """A staged frame, to be broadcast if its rows are few; else joins on it shuffle both of their sides."""
+    return F.broadcast(staged) if staged.count() <= limit else staged
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name that df has no column of."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
 
 
 def parallelism(spark: SparkSession) -> int:

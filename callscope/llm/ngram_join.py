@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Stage, Words, components, forest, fresh, load, mix, parallelism, shingle_sets, texts_of
+from .common import U, Stage, Words, components, forest, fresh, load, mix, parallelism, shingle_sets, small, texts_of
 
 WORDS = 5
 #: Prefixes of the screen ask for n // SCREEN + 1 matches.
@@ -36,9 +36,9 @@ SCREEN = 4
 #: What verifying a candidate costs, in postings; sets in a block of a family; members of a prefix that name its leader.
 VERIFY, BLOCK, HEADS = 64, 256, 16
 #: Bytes of text whose prefixes meet in one bucket of the screen.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 NOBODY = np.iinfo(np.int64).min
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def need(n):
@@ -109,7 +109,7 @@ def _screen_out(buckets: int, k: int):
                 tokens.append(found[: prefix(len(found))].copy())
                 owners.append(len(ids) - 1)
                 held += len(tokens[-1])
-            if held >= FLUSH or len(ids) >= FLUSH // 16:
+            if held >= FLUSH or len(ids) >= FLUSH // 8:
                 yield _packed(buckets, *state)
                 state, held = ([], [], [], [], []), 0
         if state[0]:
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = screen.where(f"n > 0 and doc_id is not null and hits > {least('n', SCREEN)}").select("doc_id", "n", "s1", "s2").distinct()
     alive = stage.keep(found.join(classes.select(F.col("node").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"), "alive")
     # Sets are met by node several times: bucketed, they stay where they are, and only the other side is shuffled.
-    whole = docs.join(alive, "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary")
+    whole = docs.join(small(alive), "doc_id").select("doc_id", "n", "s1", "s2", "text").mapInArrow(_whole_sets(words), "node long, n long, found binary")
     sets = stage.keep_bucketed(whole, "sets", "node")
     led = stage.keep(leaders(fame(stage, sets)), "led")
     stage.drop("keys", "fame")
@@ -330,5 +330,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return meta.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id, and one row of rows that are equal in doc_id and text.
+
+    Rows without a doc_id stay; rows that share a doc_id but no text are one document and stay or go together.
+    """
+    stage = Stage(docs.sparkSession, "unique")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(small(stage.keep(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
+    again = stage.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(small(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))

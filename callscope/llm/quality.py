@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, Words, gram_hashes, load, span_hash, texts_of
+from .common import Stage, Words, gram_hashes, load, small, span_hash, texts_of, unused
 
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "comma", "pipe", "junk", "other", "lead", "tail")
 NAMES = (
@@ -80,12 +80,18 @@ def _features(batches):
         found = [_statistics(data, offsets) for _, _, data, offsets in texts_of(batch.column(1))]
         if found:
             flat = pa.array(np.concatenate(found).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(NAMES), np.int32), flat)], ["doc_id", "features"])
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(NAMES), np.int32), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["doc_id", "features", "row"])
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text: rows that share it are equal."""
+    return F.xxhash64("doc_id", "text")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, features array<float>), one row per row of docs; the order of features is NAMES."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, "doc_id long, features array<float>")
+    """(doc_id, features array<float>, row), one row per row of docs; the order of features is NAMES."""
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row")).mapInArrow(_features, "doc_id long, features array<float>, row long")
 
 
 @dataclass
@@ -167,18 +173,25 @@ def _scores(model: Trees):
     def run(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), batch.column(2)], ["doc_id", "score", "row"])
 
     return run
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 40_000) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs. Labels teach, and nothing but statistics of the text is scored."""
+    """doc_id, held_out, score, predicted, row: one row per row of docs. Labels teach, and nothing but statistics of the text is scored."""
     stage = Stage(docs.sparkSession, "quality")
     features = stage.keep(statistics(docs), "features")
-    scored = features.mapInArrow(_scores(fit(features, labels, sample)), "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = features.mapInArrow(_scores(fit(features, labels, sample)), "doc_id long, score double, row long")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row")
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """docs without the rows that score below the threshold, each judged by its own text."""
+    stage, row = Stage(docs.sparkSession, "rejected"), unused(docs, "__row")
+    bad = stage.keep(quality_scores(docs, labels, threshold).where("predicted = 0").select(F.col("row").alias(row)).distinct(), "bad")
+    return docs.withColumn(row, row_key()).join(small(bad), row, "left_anti").select(docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("row")

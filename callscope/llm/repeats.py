@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Q, U, Stage, Words, fresh, gram_hashes, load, mix, parallelism, span_hash, texts_of
+from .common import Q, U, Stage, Words, fresh, gram_hashes, load, mix, parallelism, span_hash, texts_of, unused
 
 WINDOW, ANCHOR = 35, 8
 NOBODY = np.iinfo(np.int64).min
@@ -205,10 +205,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with __row and __spans; __row is a hash of doc_id and text, so rows that share it are equal."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed.select(F.col("__row").alias("row"), "text"))
-    return keyed.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left")
+    """docs and, as the last column, the spans of each row. Rows are known by a hash of doc_id and text: those that share it are equal."""
+    row, name = unused(docs, "__row"), unused(docs, "__spans")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(keyed.select(F.col(row).alias("row"), "text"))
+    found = spans.select(F.col("row").alias(row), F.col("spans").alias(name))
+    return keyed.join(found, row, "left").select(*docs.columns, name)
 
 
 def kept_words(raw: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -225,7 +227,7 @@ def kept_words(raw: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
 def _digest(batches):
     for batch in batches:
         total, removed, digests = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("__spans"), strict=True):
+        for text, spans in zip(batch.column("text"), batch.columns[-1], strict=True):
             words, n = kept_words((text.as_py() or "").encode(), spans.as_py())
             total.append(n), removed.append(n - len(words)), digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -233,9 +235,9 @@ def _digest(batches):
 
 def _rewrite(batches):
     for batch in batches:
-        out = batch.drop_columns(["__row", "__spans"])
+        out = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
         texts, changed = batch.column("text").to_pylist(), {}
-        for i, spans in enumerate(batch.column("__spans")):
+        for i, spans in enumerate(batch.columns[-1]):
             if spans.as_py():
                 changed[i] = b" ".join(kept_words(texts[i].encode(), spans.as_py())[0]).decode()
         for name, value in (("text", lambda t: t), ("n_chars", len)):
@@ -248,7 +250,7 @@ def _rewrite(batches):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from text (what is left of a cut text is joined by one blank, and n_chars set anew)."""
-    return with_spans(docs).select("*").mapInArrow(_rewrite, docs.schema)
+    return with_spans(docs).mapInArrow(_rewrite, docs.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

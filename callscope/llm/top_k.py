@@ -216,11 +216,11 @@ def block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """rows with the number of their block: about `size` rows of one length and nearest pivot."""
+    """rows with the number of their block: about `size` rows of one length, whose nearest pivots are the same or have neighbouring numbers."""
     order = Window.partitionBy("width").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
-    shares = rows.groupBy("width", "near").agg(F.ceil(F.count("*") / size).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    shares = rows.groupBy("width", "near").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
     met = rows.join(F.broadcast(shares), ["width", "near"])  # a row for each pivot and length
-    return met.withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), "n"))
+    return met.withColumn("block", F.expr(f"(first + pmod(xxhash64(row), n)) div {size}"))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
