@@ -7,37 +7,33 @@ with the smallest doc_id stays; repeated passages are cut from the texts; secret
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from callscope.llm import ngram_join, packing, quality, repeats, secrets
 from callscope.llm.common import Stage, load
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.3; rows of one doc_id are judged by their best text."""
-    scored = quality.quality_scores(docs, load(spark, sf_dir, "labels"))
-    good = scored.groupBy("doc_id").agg(F.max("predicted").alias("predicted")).where("predicted = 1").select(F.col("doc_id").alias("__id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]), "left_semi")
+    """Rows whose score is at least 0.3, each by its own text (null and empty ones, too); an empty table stays empty, and without labels all rows stay."""
+    return quality.without_rejected(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; rows without a doc_id stay."""
-    kept = ngram_join.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """One document of each component, the one with the smallest doc_id, and one of equal rows; rows without a doc_id, a text or words stay."""
+    return ngram_join.without_duplicates(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 35 words or more that occur elsewhere."""
+    """Texts without the passages of 35 words or more that occur elsewhere. Null, empty and short texts stay as they are; a text that loses all words stays, empty."""
     return repeats.remove_repeats(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets replaced."""
+    """Texts with their secrets replaced, each row for itself; null and empty texts, and those without secrets, stay as they are."""
     return secrets.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and the sequences they are packed into."""
+    """Pieces and the sequences they are packed into: null and empty texts are one token, long ones several pieces, equal rows are packed each."""
     return packing.pack_documents(docs)
 
 
