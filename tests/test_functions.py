@@ -78,7 +78,7 @@ def test_ranges():
 
 def test_histogram(spark):
     rows = spark.createDataFrame([(float(v),) for v in (0, 5, 5.1, 40, 200, 10**6, -1, math.nan)] + [(None,)], "ms double")
-    h = rows.agg(histogram.build(F.col("ms")).alias("h"))
+    h = rows.select(histogram.place(F.col("ms")).alias("at")).agg(histogram.counted(F.col("at")).alias("h"))
     assert h.select(histogram.total(F.col("h"))).first()[0] == 6
     got = h.select(*(histogram.percentile(F.col("h"), p).alias(f"p{i}") for i, p in enumerate((0.0, 0.5, 0.6, 0.99)))).first()
     assert tuple(got) == (5.0, 10.0, 50.0, 180000.0)
