@@ -33,3 +33,31 @@ WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (
 f AS (SELECT s, n, min(page_id) AS first FROM d GROUP BY 1, 2)
 SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(bits, 5 * i + 1, 5)) AS INT), 1)), '') AS payload_digest,
 CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM (SELECT *, CAST(CAST(unhex(s) AS BIT) AS VARCHAR) AS bits FROM d) JOIN f USING (s, n)"""
+
+
+def crc32(text: str) -> str:
+    """SQL: the unsigned crc32 of a string's UTF-8 bytes, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))"
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}))"
+
+
+#: lightest(conv_id, i, st, cost, audit): the best prefix of i rows for each state of the grammar; at most one insertion between rows can be in a lightest repair.
+REPAIR = f"""WITH RECURSIVE fates AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("k")} % 20 AS fate FROM (SELECT *, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations)),
+damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fates WHERE fate <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS solid FROM damaged),
+seen AS (SELECT *, solid = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, substr(role, 1, 1) AS x, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+r AS (SELECT *, blank OR again AS must, CASE WHEN NOT blank AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS late FROM seen),
+facts AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate, sum(late) AS truncated, count_if(before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+go(a, x, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+maybe(a, b, cost, letter) AS (SELECT s, s, 0, '' FROM range(4) t(s) UNION ALL SELECT a, b, 2, 'I' FROM go WHERE x <> 's'),
+edits AS (SELECT conv_id, i, a, b, late AS cost, 'K' AS letter FROM r JOIN go USING (x) WHERE NOT must UNION ALL SELECT conv_id, i, a, b, 2 + late, 'R' FROM r CROSS JOIN go WHERE NOT must AND go.x <> 's' UNION ALL SELECT conv_id, i, s, s, 3, 'D' FROM r CROSS JOIN range(4) t(s)),
+steps AS (SELECT e.conv_id, e.i, m.a, e.b, m.cost + e.cost AS cost, m.letter || e.letter AS letters FROM edits e JOIN maybe m ON m.b = e.a),
+best(conv_id, i, st, cost, audit) AS (SELECT conv_id, 0, 0, 0, '' FROM facts UNION ALL
+ SELECT conv_id, i, st, cost, audit FROM (SELECT s.conv_id, s.i, s.b AS st, p.cost + s.cost AS cost, p.audit || s.letters AS audit FROM best p JOIN steps s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.i = p.i + 1 AND s.a = p.st) QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+goal AS (SELECT f.conv_id, p.cost + m.cost AS cost, p.audit || m.letter AS audit FROM best p JOIN facts f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.rows = p.i JOIN maybe m ON m.a = p.st AND m.b IN (0, 3) QUALIFY row_number() OVER (PARTITION BY f.conv_id ORDER BY p.cost + m.cost, p.audit || m.letter) = 1),
+letters AS (SELECT conv_id, k, audit[k] AS letter, k - length(replace(audit[1:k], 'I', '')) AS inserted FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM goal)),
+kept AS (SELECT l.conv_id, l.k, l.letter, r.role, r.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.k) AS o, max(CASE WHEN l.letter = 'K' AND r.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system FROM letters l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.k - l.inserted AND l.letter <> 'I' WHERE l.letter <> 'D'),
+said AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM kept GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(goal.cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN goal ON goal.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repeats, secrets, tokens, top_k, warc
+from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repair, repeats, secrets, tokens, top_k, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_roundtrip": warc.op8,
     "op9_exact_top_k": top_k.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_conversation_repair": repair.op11,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_warc_roundtrip": oracles.WARC,
     "op9_exact_top_k": oracles.TOP_K,
+    "op11_conversation_repair": oracles.REPAIR,
 }
