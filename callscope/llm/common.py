@@ -172,6 +172,23 @@ def shingle_sets(words: Words, k: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
+def runs_of(rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
+    """(row, starts, numbers) lists: for each owner its runs of windows, joined where they touch."""
+    order = np.lexsort((starts, rows))
+    rows, starts, ends = rows[order], starts[order], (starts + numbers)[order]
+    if not len(rows):
+        return [], [], []
+    # Ends so far, of one owner: an owner's ends are lifted above all ends of the owners before.
+    own = np.concatenate(([True], rows[1:] != rows[:-1]))
+    lift = (own.cumsum() - 1) * (int(ends.max()) + 1)
+    reach = np.maximum.accumulate(ends + lift) - lift
+    new = np.flatnonzero(own | np.concatenate(([True], starts[1:] > reach[:-1])))
+    first, number = starts[new], reach[np.append(new[1:], len(rows)) - 1] - starts[new]
+    edges = np.flatnonzero(own[new])
+    cut = lambda x: [part.tolist() for part in np.split(x, edges[1:])]
+    return rows[new][edges].tolist(), cut(first), cut(number)
+
+
 # ---------------------------------------------------------------- components
 
 

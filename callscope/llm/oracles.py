@@ -61,3 +61,13 @@ kept AS (SELECT l.conv_id, l.k, l.letter, r.role, r.text, row_number() OVER (PAR
 said AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM kept GROUP BY 1)
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(goal.cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN goal ON goal.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+#: Bytes as pairs of hexadecimal digits, so that a byte's place is the same in every text; windows from short parts, as DuckDB counts a string's characters from its start.
+SUFFIX_DEDUP = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+part AS (SELECT r, o, substr(h, 2 * o + 1, 1310) AS b, n FROM (SELECT r, h, n, unnest(range(0, n - 399, 256)) AS o FROM t)),
+win AS (SELECT r, o + i AS i, md5(substr(b, 2 * i + 1, 800)) AS g FROM (SELECT r, o, b, unnest(range(0, least(256, n - 399 - o))) AS i FROM part)),
+hit AS (SELECT r, i FROM win WHERE g IN (SELECT g FROM win GROUP BY 1 HAVING count(*) > 1)),
+run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit)) GROUP BY r, k),
+edge AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM run),
+cut AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM edge JOIN t USING (r) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN cut USING (r)"""

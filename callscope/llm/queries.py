@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repair, repeats, secrets, tokens, top_k, warc
+from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repair, repeats, secrets, suffixes, tokens, top_k, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_top_k": top_k.op9,
     "op10_secret_scan": secrets.op10,
     "op11_conversation_repair": repair.op11,
+    "op12_suffix_dedup": suffixes.op12,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op8_warc_roundtrip": oracles.WARC,
     "op9_exact_top_k": oracles.TOP_K,
     "op11_conversation_repair": oracles.REPAIR,
+    "op12_suffix_dedup": oracles.SUFFIX_DEDUP,
 }

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Q, U, Stage, Words, fresh, gram_hashes, load, mix, parallelism, span_hash, texts_of, unused
+from .common import Q, U, Stage, Words, fresh, gram_hashes, load, mix, parallelism, runs_of, span_hash, texts_of, unused
 
 WINDOW, ANCHOR = 35, 8
 NOBODY = np.iinfo(np.int64).min
@@ -68,23 +68,6 @@ def _paths(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["row", "anchor", "content", "start", "number"])
 
 
-def _spans_of(rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
-    """(row, starts, numbers) lists: for each owner its windows as runs that don't touch."""
-    order = np.lexsort((starts, rows))
-    rows, starts, ends = rows[order], starts[order], (starts + numbers)[order]
-    if not len(rows):
-        return [], [], []
-    # Ends so far, of one owner: an owner's ends are lifted above all ends of the owners before.
-    own = np.concatenate(([True], rows[1:] != rows[:-1]))
-    lift = (own.cumsum() - 1) * (int(ends.max()) + 1)
-    reach = np.maximum.accumulate(ends + lift) - lift
-    new = np.flatnonzero(own | np.concatenate(([True], starts[1:] > reach[:-1])))
-    first, number = starts[new], reach[np.append(new[1:], len(rows)) - 1] - starts[new]
-    edges = np.flatnonzero(own[new])
-    cut = lambda x: [part.tolist() for part in np.split(x, edges[1:])]
-    return rows[new][edges].tolist(), cut(first), cut(number)
-
-
 def _packed(buckets: int, hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
     """What one task hands on: for each bucket distinct hashes and the owner of each; and the owners that are settled here.
 
@@ -96,7 +79,7 @@ def _packed(buckets: int, hashes: np.ndarray, rows: np.ndarray, starts: np.ndarr
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(hashes)))
     shared = np.repeat(times > 1, times) & (rows != NOBODY)
-    settled = _spans_of(rows[shared], starts[shared], numbers[shared])
+    settled = runs_of(rows[shared], starts[shared], numbers[shared])
     hashes, rows, starts, numbers = hashes[first], np.where(times > 1, NOBODY, rows[first]), starts[first].astype(np.int32), numbers[first].astype(np.int32)
     bucket = (mix(hashes) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -173,7 +156,7 @@ def _met(table: pa.Table) -> pa.Table:
     hashes, rows, starts, numbers = hashes[order], rows[order], starts[order].astype(np.int64), numbers[order]
     same = hashes[1:] == hashes[:-1]
     shared = (np.concatenate((same, [False])) | np.concatenate(([False], same))) & (rows != NOBODY) if len(hashes) else np.zeros(0, bool)
-    found, lists = _spans_of(rows[shared], starts[shared], numbers[shared]), pa.list_(pa.int64())
+    found, lists = runs_of(rows[shared], starts[shared], numbers[shared]), pa.list_(pa.int64())
     old = table.filter(table["row"].is_valid()).select(["row", "starts", "numbers"])
     return pa.concat_tables([old, pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], lists), pa.array(found[2], lists)], ["row", "starts", "numbers"])])
 
