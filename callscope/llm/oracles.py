@@ -71,3 +71,17 @@ run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(CASE WHE
 edge AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM run),
 cut AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM edge JOIN t USING (r) GROUP BY 1)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN cut USING (r)"""
+
+_RUN = "'[A-Za-z\\x{C0}-\\x{FF}]+'"
+#: parts(word, i, rest): words without one letter. Near words share a part at one place, or one is a part of the other.
+SPELLING = f"""WITH RECURSIVE run AS (SELECT d, x, count(*) AS times FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), {_RUN})), '{_UPPER}', '{_UPPER.lower()}') AS x FROM documents) WHERE length(x) >= 5 GROUP BY 1, 2),
+hashed AS (SELECT x, times, {crc32("k")} AS h FROM (SELECT *, concat(d, ':', x) AS k FROM run)),
+spoilt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(x, 1, h % length(x)) || substr(x, h % length(x) + 2) ELSE x END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+parts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+links(a, b, bn) AS (SELECT p.word, q.word, q.n FROM parts p JOIN parts q ON p.i = q.i AND p.rest = q.rest AND p.word <> q.word UNION SELECT p.word, w.word, w.n FROM parts p JOIN words w ON w.word = p.rest UNION SELECT w.word, p.word, p.n FROM parts p JOIN words w ON w.word = p.rest),
+best AS (SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, bn FROM links QUALIFY row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) = 1),
+known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n FROM words LEFT JOIN best ON a = word),
+walk(word, last) AS (SELECT word, word FROM known UNION ALL SELECT w.word, k.form FROM walk w JOIN known k ON k.word = w.last WHERE k.form IS NOT NULL),
+ends AS (SELECT w.word, w.last FROM walk w JOIN known k ON k.word = w.last WHERE k.form IS NULL)
+SELECT word, form, last AS root, n, n_near, form_n FROM known JOIN ends USING (word)"""

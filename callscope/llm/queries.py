@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repair, repeats, secrets, suffixes, tokens, top_k, warc
+from . import licenses, near_vectors, ngram_join, oracles, packing, quality, repair, repeats, secrets, spelling, suffixes, tokens, top_k, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10,
     "op11_conversation_repair": repair.op11,
     "op12_suffix_dedup": suffixes.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_top_k": oracles.TOP_K,
     "op11_conversation_repair": oracles.REPAIR,
     "op12_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op13_spelling_variants": oracles.SPELLING,
 }
