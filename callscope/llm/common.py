@@ -81,37 +81,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the values of each span, whatever their order. Good for counts; spans of equal hash needn't be equal."""
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(mix(values), out=total[1:])
+    return mix(total[ends] - total[starts] + U(0x632BE59BD9B4E019) * (ends - starts).astype(U))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, base, U), np.full(size, inverse(base), U)
-        up[0] = down[0] = 1
-        _POWERS[base] = (np.cumprod(up), np.cumprod(down))
-    up, down = _POWERS[base]
-    return up[:n], down[:n]
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash of values[start:end] for each span, independent of where the span lies."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + U(0x632BE59BD9B4E019) * (ends - starts).astype(U))
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """A hash of the bytes of each span, eight at a time, each mixed into what came before; spans of up to eight bytes and one length never share one."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
+    left = ends - starts
+    h, at, who = mix(left.astype(U) * U(BASE) + U(key)), starts, None
+    while len(at):
+        block = blocks[at] & _LOW_BYTES[np.minimum(left, 8)]
+        if who is None:
+            h = mix((h ^ block) * U(Q))
+        else:
+            h[who] = mix((h[who] ^ block) * U(Q))
+        more = np.flatnonzero(left > 8)
+        at, left, who = at[more] + 8, left[more] - 8, more if who is None else who[more]
+    return h
 
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = mix(np.arange(1, 257, dtype=U) * U(BASE))
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] = np.arange(97, 123)
+#: Keys of the two hashes that words have: what must be equal, not only alike, is compared by both.
+KEYS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 
 
 class Words:
@@ -129,7 +131,12 @@ class Words:
         self.starts = np.flatnonzero(solid & (before | edge[:-1]))
         self.ends = np.flatnonzero(solid & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = span_hash((_FOLDED if fold else _BYTES)[data], self.starts, self.ends, BASE) if len(data) else np.zeros(0, U)
+        self.folded = _FOLDED[data] if fold else data
+        self.hashes = byte_hashes(self.folded, self.starts, self.ends, KEYS[0])
+
+    def second_hashes(self) -> np.ndarray:
+        """Independent of the first."""
+        return byte_hashes(self.folded, self.starts, self.ends, KEYS[1])
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -150,26 +157,39 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive values (len - k + 1 of them)."""
+    """Hashes of all runs of k consecutive values (len - k + 1 of them), each value mixed into what came before."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    at = np.arange(n)
-    return span_hash(words, at, at + k, Q)
+    h = words[:n]
+    for i in range(1, k):
+        h = mix(h * U(Q) + words[i : i + n])
+    return h
 
 
-def shingle_sets(words: Words, k: int = 5) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its k-word shingles; with fewer words, the whole sequence as one."""
-    grams, first = gram_hashes(words.hashes, k), words.first
+def shingle_sets(words: Words, k: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct hashes of its k-word shingles, and their second hashes; with fewer words, the whole sequence as one."""
+    first = words.first
+    both = words.hashes, words.second_hashes()
+    grams, others = (gram_hashes(h, k) for h in both)
     for i in range(len(first) - 1):
         a, b = first[i], first[i + 1]
         if b - a >= k:
-            found = np.sort(grams[a : b - k + 1])
-            yield found[np.concatenate(([True], found[1:] != found[:-1]))]
+            order = np.argsort(grams[a : b - k + 1])
+            found, other = grams[a : b - k + 1][order], others[a : b - k + 1][order]
+            new = np.concatenate(([True], (found[1:] != found[:-1]) | (other[1:] != other[:-1])))
+            yield found[new], other[new]
         elif b > a:
-            yield span_hash(words.hashes[a:b], np.array([0]), np.array([b - a]), Q)
+            yield tuple(mix(gram_hashes(h[a:b], b - a) ^ U(b - a)) for h in both)
         else:
-            yield np.zeros(0, U)
+            yield np.zeros(0, U), np.zeros(0, U)
+
+
+def cuts(bucket: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The buckets that occur, and the places of each, for an order by bucket: as many as there are entries at most, however many buckets there are."""
+    at = bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    return at[edges].tolist(), np.split(order, edges[1:]) if len(at) else []
 
 
 def runs_of(rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):

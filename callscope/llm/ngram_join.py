@@ -14,8 +14,8 @@ the shingles, their prefixes of n - need(n) + r members therefore share at least
    the candidates among them (postings / r at most). Pairs of different components and families that share the smaller r of the two are
    verified on their whole sets.
 
-Links inside a component that is known needn't be found again: components are the result. Every verification is exact on
-64-bit shingle hashes.
+Links inside a component that is known needn't be found again: components are the result. Candidates come by one hash of a shingle; sets are compared by
+it and by 32 bits of a second, independent one, and equal sets by sums of both.
 
 Cases: null and empty texts have no set and link with nothing; texts of fewer words than a shingle are one shingle; rows that repeat
 a doc_id are one document; rows with a null doc_id are in no component (null) but the class of equal sets; an empty table gives no rows.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Stage, Words, components, forest, fresh, load, mix, parallelism, shingle_sets, small, texts_of
+from .common import U, Stage, Words, components, cuts, forest, fresh, load, mix, parallelism, shingle_sets, small, texts_of
 
 WORDS = 5
 #: Prefixes of the screen ask for n // SCREEN + 1 matches.
@@ -56,12 +56,28 @@ def least(n: str, part: int) -> str:
     return f"(((3 * {n} + 3) div 4) div {part})"
 
 
-def signature(found: np.ndarray) -> tuple[int, int]:
-    return int(found.sum(dtype=U).astype(np.int64)), int(np.bitwise_xor.reduce(mix(found ^ U(0x5851F42D4C957F2D)), initial=U(0)).astype(np.int64))
+def signature(found: np.ndarray, other: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, each half from one of the hashes of its members."""
+    return int(found.sum(dtype=U).astype(np.int64)), int(mix(other).sum(dtype=U).astype(np.int64))
+
+
+#: A member of a whole set: its hash, and half of its second one.
+MEMBER = np.dtype([("hash", "<u8"), ("check", "<u4")])
+
+
+def whole(found: np.ndarray, other: np.ndarray) -> bytes:
+    out = np.empty(len(found), MEMBER)
+    out["hash"], out["check"] = found, other.astype(np.uint32)
+    return out.tobytes()
+
+
+def members(raw: bytes) -> np.ndarray:
+    """The hashes of a whole set, sorted."""
+    return np.frombuffer(raw, MEMBER)["hash"]
 
 
 def _sets(batches, k: int):
-    """(doc_id or None, set) of every row."""
+    """(doc_id or None, (set, second hashes)) of every row."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for at, _, data, offsets in texts_of(batch.column(1)):
@@ -83,16 +99,14 @@ def _packed(buckets: int, ids: list, sizes: list, signs: list, tokens: list[np.n
     hashes, who = hashes[first], np.where(times > 1, NOBODY, names[who[first]])
     bucket = (mix(hashes) % U(buckets)).astype(np.int64)
     order = np.lexsort((who, bucket))  # runs of one owner compress
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    cut = [order[edges[b] : edges[b + 1]] for b in range(buckets)]
+    rows, cut = cuts(bucket, order)
     home = int(signs[0][0] % buckets) if signs else 0
-    rows = [b for b in range(buckets) if len(cut[b])]
     lists = lambda xs, kind: pa.array([None] * len(rows) + [xs], pa.list_(kind))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([*rows, home], pa.int32()),
             lists(ids, pa.int64()), lists(sizes, pa.int64()), lists([s[0] for s in signs], pa.int64()), lists([s[1] for s in signs], pa.int64()), lists(local.tolist(), pa.int64()),
-            pa.array([*(hashes[cut[b]].tobytes() for b in rows), b""], pa.binary()), pa.array([*(who[cut[b]].tobytes() for b in rows), b""], pa.binary()),
+            pa.array([*(hashes[c].tobytes() for c in cut), b""], pa.binary()), pa.array([*(who[c].tobytes() for c in cut), b""], pa.binary()),
         ],
         ["bucket", "ids", "sizes", "s1", "s2", "local", "hashes", "who"],
     )
@@ -102,9 +116,9 @@ def _screen_out(buckets: int, k: int):
     def run(batches):
         state = ([], [], [], [], [])
         held = 0
-        for doc, found in _sets(batches, k):
+        for doc, (found, other) in _sets(batches, k):
             ids, sizes, signs, tokens, owners = state
-            ids.append(doc), sizes.append(len(found)), signs.append(signature(found))
+            ids.append(doc), sizes.append(len(found)), signs.append(signature(found, other))
             if doc is not None and len(found):
                 tokens.append(found[: prefix(len(found))].copy())
                 owners.append(len(ids) - 1)
@@ -133,9 +147,10 @@ def _screen_in(table: pa.Table, buckets: int) -> pa.Table:
     columns = [pa.concat_arrays([a, b]) for a, b in zip(flat, (pa.array(owners), none, none, none, pa.array(hits)), strict=True)]
     home = (mix(columns[0].fill_null(0).to_numpy().astype(U)) % U(buckets)).astype(np.int64)
     order = np.argsort(home, kind="stable")
-    edges = np.searchsorted(home[order], np.arange(buckets + 1)).astype(np.int32)
+    homes, parts = cuts(home, order)
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
     lists = [pa.ListArray.from_arrays(edges, c.take(pa.array(order))) for c in columns]
-    return pa.table([pa.array(np.arange(buckets, dtype=np.int32)), *lists], ["home", "ids", "n", "s1", "s2", "hits"]).filter(pa.array(np.diff(edges) > 0))
+    return pa.table([pa.array(homes, pa.int32()), *lists], ["home", "ids", "n", "s1", "s2", "hits"])
 
 
 def _screen_home(table: pa.Table) -> pa.Table:
@@ -158,8 +173,8 @@ def _whole_sets(k: int):
             rows = []
             wanted = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "s1", "s2")), strict=True))
             for (doc, n, s1, s2), (_, found) in zip(wanted, _sets([batch.select(["doc_id", "text"])], k), strict=True):
-                if (n, s1, s2) == (len(found), *signature(found)):
-                    rows.append((doc, n, found.tobytes()))
+                if (n, s1, s2) == (len(found[0]), *signature(*found)):
+                    rows.append((doc, n, whole(*found)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "found"])
 
     return run
@@ -168,16 +183,16 @@ def _whole_sets(k: int):
 def _heads(batches):
     """The first members of each prefix."""
     for batch in batches:
-        keys = [np.frombuffer(raw, np.int64)[: min(HEADS, prefix(n))] for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        keys = [members(raw)[: min(HEADS, prefix(n))].astype(np.int64) for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
 
 
-def _tokens(whole: bool):
+def _tokens(entire: bool):
     """The members of each set, or those of the prefix that the screen takes."""
 
     def run(batches):
         for batch in batches:
-            found = [np.frombuffer(raw, np.int64)[: None if whole else prefix(n)] for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            found = [members(raw)[: None if entire else prefix(n)].astype(np.int64) for raw, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["family", "component", "node", "n", "tokens"])
 
     return run
@@ -194,9 +209,8 @@ def _similar(batches):
     for batch in batches:
         keep = []
         for i, (a, b) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-            p, q = np.frombuffer(a, U), np.frombuffer(b, U)
-            both = np.concatenate((p, q))
-            both.sort()
+            both = np.concatenate((np.frombuffer(a, MEMBER), np.frombuffer(b, MEMBER)))
+            both = both[np.argsort(both["hash"], kind="stable")]
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= 75 * (len(both) - common):
                 keep.append(i)
@@ -233,17 +247,17 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     """A forest of the links between two blocks of sets."""
     pairs = []
     if left.num_rows and right.num_rows:
-        sets, nodes = [np.frombuffer(raw, U) for raw in right["found"].to_pylist()], right["node"].to_numpy()
+        sets, nodes = [np.frombuffer(raw, MEMBER) for raw in right["found"].to_pylist()], right["node"].to_numpy()
         sizes = np.array([len(x) for x in sets])
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every["hash"], kind="stable")
+        tokens, checks, owner = every["hash"][order], every["check"][order], owner[order]
         for u, raw in zip(left["node_l"].to_pylist(), left["found_l"].to_pylist(), strict=True):
-            own = np.frombuffer(raw, U)
-            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            own = np.frombuffer(raw, MEMBER)
+            low, high = np.searchsorted(tokens, own["hash"], "left"), np.searchsorted(tokens, own["hash"], "right")
             times = high - low
             at = np.repeat(low - np.concatenate(([0], times.cumsum()[:-1])), times) + np.arange(times.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
+            common = np.bincount(owner[at[checks[at] == np.repeat(own["check"], times)]], minlength=len(sets))
             v = nodes[(100 * common >= 75 * (len(own) + sizes - common)) & (nodes != u)]
             pairs.append(np.column_stack((np.full(len(v), u), v)))
     edges = forest(np.concatenate(pairs)) if pairs else np.zeros((0, 2), np.int64)

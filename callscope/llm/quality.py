@@ -53,7 +53,7 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lengths, grams = words.ends - words.starts, gram_hashes(words.hashes, 5)
     word_of_line = np.searchsorted(words.starts, line_starts), np.searchsorted(words.starts, line_ends)
     full = word_of_line[1] > word_of_line[0]
-    lines = span_hash(words.hashes, word_of_line[0][full], word_of_line[1][full], 0xA0761D6478BD642F) if len(words.hashes) else np.zeros(0, np.uint64)
+    lines = span_hash(words.hashes, word_of_line[0][full], word_of_line[1][full]) if len(words.hashes) else np.zeros(0, np.uint64)
     line_doc = np.searchsorted(line_starts[full], offsets)
     at = {x: NAMES.index(x) for x in NAMES}
     for i in range(n):

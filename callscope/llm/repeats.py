@@ -2,7 +2,7 @@
 
 The k-mers are windows of 35 words. Each falls to the least 8-word hash inside it (its anchor), which depends on nothing but the window's words, so
 equal windows have equal anchors. Neighbouring windows with the same anchor form one path, which is one edge of the graph: a row of
-anchor, content hash and coordinates, about one for every 14 windows.
+anchor, content and coordinates, about one for every 14 windows. Contents, and single windows, are known by 128 bits of BLAKE2 over their words.
 
 1. Anchors that occur once are no repeats. Where all paths of an anchor have one content, they don't branch, and every window of
    them repeats; these are settled by grouping and one join, whole paths at a time.
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Q, U, Stage, Words, fresh, gram_hashes, load, mix, parallelism, runs_of, span_hash, texts_of, unused
+from .common import U, Stage, Words, cuts, fresh, gram_hashes, load, mix, parallelism, runs_of, texts_of, unused
 
 WINDOW, ANCHOR = 35, 8
 NOBODY = np.iinfo(np.int64).min
 FLUSH = 1 << 19
 #: Bytes of an entry on its way to a bucket, and about how many of them one bucket gets.
-ENTRY, BUCKET_BYTES = 24, 32 << 20
+ENTRY, BUCKET_BYTES = 32, 32 << 20
 
 
 def least_at(values: np.ndarray, width: int) -> np.ndarray:
@@ -46,6 +46,28 @@ def least_at(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of several texts, each with one blank behind it, and where each begins and ends there."""
+    sizes = words.ends - words.starts
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(starts, sizes) + inside] = words.data[np.repeat(words.starts, sizes) + inside]
+    return out.tobytes(), starts, ends
+
+
+def digests(words: Words, first: np.ndarray, last: np.ndarray, kind: bytes) -> list[bytes]:
+    """128 bits of the words from `first` up to, but without, `last`, for each pair: the same for all blanks between them. Those of two kinds never meet."""
+    raw, starts, ends = spaced(words)
+    return [hashlib.blake2b(raw[a:b], digest_size=16, person=kind).digest() for a, b in zip(starts[first].tolist(), ends[last - 1].tolist(), strict=True)]
+
+
+def halves(found: list[bytes]) -> np.ndarray:
+    """Digests as rows of two 64-bit numbers."""
+    return np.frombuffer(b"".join(found), U).reshape(-1, 2)
+
+
 def _paths(batches):
     for batch in batches:
         rows = batch.column(0).to_numpy()
@@ -63,34 +85,36 @@ def _paths(batches):
             new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (d[1:] != d[:-1])))
             a, last = s[new], s[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
             p, d = anchor[new], d[new]
-            content = span_hash(h, a, last + WINDOW, Q ^ 0x5DEECE66C) ^ mix((p - a + 1).astype(U))
-            arrays = rows[at:][d], grams[p].astype(np.int64), content.astype(np.int64), (a - first[d]).astype(np.int32), (last - a + 1).astype(np.int32)
+            contents = pa.array(digests(words, a, last + WINDOW, b"path"), pa.binary())
+            arrays = rows[at:][d], grams[p].astype(np.int64), contents, (a - first[d]).astype(np.int32), (last - a + 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["row", "anchor", "content", "start", "number"])
 
 
+def _equal(hashes: np.ndarray) -> np.ndarray:
+    """For digests in order, whether each equals the one before."""
+    return np.concatenate(([False], (hashes[1:] == hashes[:-1]).all(1))) if len(hashes) else np.zeros(0, bool)
+
+
 def _packed(buckets: int, hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
-    """What one task hands on: for each bucket distinct hashes and the owner of each; and the owners that are settled here.
+    """What one task hands on: for each bucket distinct digests and the owner of each; and the owners that are settled here.
 
-    However many owners a hash has in a task, one entry leaves it, without an owner: that it occurs here is all that others need to know.
+    However many owners a digest has in a task, one entry leaves it, without an owner: that it occurs here is all that others need to know.
     """
-    order = np.argsort(hashes, kind="stable")
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
     hashes, rows, starts, numbers = hashes[order], rows[order], starts[order], numbers[order]
-    new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(~_equal(hashes))
     times = np.diff(np.append(first, len(hashes)))
     shared = np.repeat(times > 1, times) & (rows != NOBODY)
     settled = runs_of(rows[shared], starts[shared], numbers[shared])
     hashes, rows, starts, numbers = hashes[first], np.where(times > 1, NOBODY, rows[first]), starts[first].astype(np.int32), numbers[first].astype(np.int32)
-    bucket = (mix(hashes) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    cut = [(b, order[edges[b] : edges[b + 1]]) for b in np.flatnonzero(np.diff(edges)).tolist()]
+    bucket = (mix(hashes[:, 0]) % U(buckets)).astype(np.int64)
+    occurring, cut = cuts(bucket, np.argsort(bucket, kind="stable"))
     n, m = len(cut), len(settled[0])
     lists, none = pa.list_(pa.int64()), [None] * n
-    blobs = [pa.array([x[c].tobytes() for _, c in cut] + [None] * m, pa.binary()) for x in (hashes, rows, starts, numbers)]
+    blobs = [pa.array([x[c].tobytes() for c in cut] + [None] * m, pa.binary()) for x in (hashes, rows, starts, numbers)]
     tail = [pa.array(none + settled[0], pa.int64()), pa.array(none + settled[1], lists), pa.array(none + settled[2], lists)]
     homes = (mix(np.array(settled[0], np.int64).astype(U)) % U(buckets)).astype(np.int64).tolist()
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut] + homes, pa.int32()), *blobs, *tail], ["bucket", "hashes", "rows", "at", "width", "row", "starts", "numbers"])
+    return pa.RecordBatch.from_arrays([pa.array(occurring + homes, pa.int32()), *blobs, *tail], ["bucket", "hashes", "rows", "at", "width", "row", "starts", "numbers"])
 
 
 _SENT = "bucket int, hashes binary, rows binary, at binary, width binary, row long, starts array<long>, numbers array<long>"
@@ -120,8 +144,8 @@ def _occurrences(buckets: int):
     def run(batches):
         held = _Held(buckets)
         for batch in batches:
-            row, anchor, content, start, number = (batch.column(c).to_numpy() for c in ("row", "anchor", "content", "start", "number"))
-            if held.add(mix(content.astype(U) ^ mix(anchor.astype(U))), row, start.astype(np.int64), number.astype(np.int64)):
+            row, start, number = (batch.column(c).to_numpy() for c in ("row", "start", "number"))
+            if held.add(halves(batch.column("content").to_pylist()), row, start.astype(np.int64), number.astype(np.int64)):
                 yield from held.out()
         yield from held.out()
 
@@ -137,11 +161,13 @@ def _windows(buckets: int):
             rows, wanted = batch.column("row").to_numpy(), batch.column("wanted").to_pylist()
             for at, _, data, offsets in texts_of(batch.column("text")):
                 words = Words(data, offsets, False)
-                for i in range(len(offsets) - 1):
-                    h = words.hashes[words.first[i] : words.first[i + 1]]
-                    s = np.concatenate([np.arange(w["start"], w["start"] + w["number"]) for w in wanted[at + i]])
-                    own = np.concatenate([np.full(w["number"], w["alone"]) for w in wanted[at + i]])
-                    if held.add(span_hash(h, s, s + WINDOW, Q), np.where(own, rows[at + i], NOBODY), s, np.ones(len(s), np.int64)):
+                asked = [(i, w["start"], w["number"], w["alone"]) for i in range(len(offsets) - 1) for w in wanted[at + i]]
+                for low in range(0, len(asked), 1024):
+                    text, start, number, alone = (np.array(x) for x in zip(*asked[low : low + 1024], strict=True))
+                    own = np.repeat(np.arange(len(number)), number)
+                    s = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(number) - number, number)
+                    a = words.first[text][own] + s
+                    if held.add(halves(digests(words, a, a + WINDOW, b"window")), np.where(alone[own], rows[at + text[own]], NOBODY), s, np.ones(len(s), np.int64)):
                         yield from held.out()
         yield from held.out()
 
@@ -152,10 +178,11 @@ def _met(table: pa.Table) -> pa.Table:
     """Owners of what came to this bucket more than once; what was settled before passes through."""
     kinds = {"hashes": U, "rows": np.int64, "at": np.int32, "width": np.int32}
     hashes, rows, starts, numbers = (np.frombuffer(b"".join(table[c].drop_null().to_pylist()), kind) for c, kind in kinds.items())
-    order = np.argsort(hashes)
+    hashes = hashes.reshape(-1, 2)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
     hashes, rows, starts, numbers = hashes[order], rows[order], starts[order].astype(np.int64), numbers[order]
-    same = hashes[1:] == hashes[:-1]
-    shared = (np.concatenate((same, [False])) | np.concatenate(([False], same))) & (rows != NOBODY) if len(hashes) else np.zeros(0, bool)
+    again = _equal(hashes)
+    shared = (again | np.append(again[1:], False)) & (rows != NOBODY) if len(hashes) else np.zeros(0, bool)
     found, lists = runs_of(rows[shared], starts[shared], numbers[shared]), pa.list_(pa.int64())
     old = table.filter(table["row"].is_valid()).select(["row", "starts", "numbers"])
     return pa.concat_tables([old, pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], lists), pa.array(found[2], lists)], ["row", "starts", "numbers"])])
@@ -165,7 +192,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """row, spans (start: number of the first window, number: of windows): for texts (row long, text) all windows that also start elsewhere."""
     spark = texts.sparkSession
     stage = Stage(spark, "repeats")
-    paths = stage.keep(texts.mapInArrow(_paths, "row long, anchor long, content long, start int, number int"), "paths")
+    paths = stage.keep(texts.mapInArrow(_paths, "row long, anchor long, content binary, start int, number int"), "paths")
     anchors = paths.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("a"), F.max("content").alias("b")).where("times > 1")
     again = stage.keep(paths.join(anchors.select(fresh("anchor"), (F.col("a") == F.col("b")).alias("straight")), "anchor"), "again")
     stage.drop("paths")

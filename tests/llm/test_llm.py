@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscope.llm import licenses, near_vectors, ngram_join, packing, quality, repeats, secrets, tokens, top_k, warc
-from callscope.llm.common import Stage, components
+from callscope.llm.common import Stage, Words, components, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_shingles string, row string"
@@ -759,3 +759,32 @@ def test_rows_are_judged_by_their_own_text(spark, data, odd):
     both = source.unionByName(spark.createDataFrame([(good["doc_id"], bad["text"], "x", "y", 1)], source.schema))
     kept = corpus_pipeline.quality_stage(spark, both, data).where(F.col("doc_id") == good["doc_id"]).collect()
     assert [r["text"] for r in kept] == [good["text"]]
+
+
+def thue_morse(n):
+    """A word of a and b, and the one with both exchanged: sums of powers, whatever their base, are equal modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_power_sums_stay_apart(spark):
+    x, y = thue_morse(1024)
+    tail = " ".join(f"t{i}" for i in range(34))
+    df = spark.createDataFrame([(1, x), (2, y), (3, f"{x} {tail}"), (4, f"{y} {tail}"), (5, x.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()} == {1: (1, 1), 2: (1, 2), 3: (31, 3), 4: (31, 3), 5: (1, 1)}
+    assert rows(repeats.remove_repeats(df.where("doc_id in (3, 4)")).orderBy("doc_id")) == [(3, f"{x} {tail}"), (4, f"{y} {tail}")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hashes_of_words_and_runs(seed):
+    """Equal words have equal hashes wherever they lie, and others don't, for all lengths about the blocks that are mixed."""
+    r = random.Random(seed)
+    texts = [" ".join("".join(r.choice("ab") for _ in range(r.randrange(1, 27))) for _ in range(300)) for _ in range(4)]
+    raw = [t.encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))), True)
+    said = [w for t in texts for w in t.split()]
+    for hashes in (words.hashes, words.second_hashes()):
+        assert len(set(zip(said, hashes.tolist(), strict=True))) == len(set(said)) == len(set(hashes.tolist()))
+    for found, other, text in zip(*map(list, zip(*shingle_sets(words, 5), strict=True)), texts, strict=True):
+        own = text.split()
+        assert len(found) == len(other) == len({tuple(own[i : i + 5]) for i in range(len(own) - 4)})
