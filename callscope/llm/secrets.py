@@ -3,8 +3,9 @@
 Every whole text is screened on its bytes with numpy and substring search; only texts that hold a possible match are
 lexed. The lexer walks over strings (of one or of several lines, with escapes), comments and names, and reads name-literal pairs: ``name = "literal"``,
 ``"name": literal``, ``name := literal``, ``name: type = "literal"``, ``table["name"] = "literal"``, ``--name=literal``, ``--name literal``,
-``<name>literal</name>``, ``name: |`` with the literal on the next line, literals in brackets, on a continued line, or joined by ``+``. Strings and comments are
-read inside, too (connection strings, commented assignments). Names that are assigned to other names (constants, wherever they stand) are followed,
+``<name>literal</name>``, ``name: |`` with the literal on the next line, ``name: ["literal", ...]``, ``<add key="name" value="literal"/>``, ``setName("literal")``,
+``set("name", "literal")``, literals in round brackets, on a continued line, or joined by ``+``. Strings and comments are
+read inside, too (connection strings, commented assignments); a quote behind a backslash begins no string, so that each string is read to its end once. Names that are assigned to other names (constants, wherever they stand) are followed,
 and each literal is scored by the most sensitive name that it reaches.
 
 Cases: null and empty texts have no spans; repeated rows are scanned each; rows with a null id are kept; offsets are code points, ends are exclusive.
@@ -35,7 +36,7 @@ _GAP = r"(?:[\x20\t]|/\*[^*\n]*\*/)*"
 _ON = rf"{_GAP}(?:\(\s*|(?:\\|//[^\n]*|\#[^\n]*)?\r?\n[\x20\t]*(?=[\"'`]))?"
 _TYPE = r"(?:&(?:'\w+[\x20\t]+)?(?:mut[\x20\t]+)?|\*)?[A-Za-z_$][\w$.]*(?:[<\[][\w$.,|<>\[\]&*:'\x20\t]{0,80}[>\]])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z_$][\w$.]*)*\??"
 #: What the lexer stops at: where a string begins, and names with the dashes of a flag. A quote after a letter is an apostrophe or an end.
-NEXT = re.compile(r"""(?P<long>\"{3}|'{3})|(?P<quote>(?<![\w$])["'`])|(?<![\w$.-])(?P<dash>--?(?=[A-Za-z_]))?(?P<name>[A-Za-z_$][\w$.-]*)""", re.A)
+NEXT = re.compile(r"""(?P<long>(?<!\\)(?:\"{3}|'{3}))|(?P<quote>(?<![\w$\\])["'`])|(?<![\w$.-])(?P<dash>--?(?=[A-Za-z_]))?(?P<name>[A-Za-z_$][\w$.-]*)""", re.A)
 STRING = re.compile(rf"{_LONG}|{_STRING}", re.S)
 #: After a name: what closes it, and the sign of an assignment.
 SIGN = re.compile(rf"[\"'`]?\]?[?!]?{_GAP}(:=|=>|===?|=|:(?!:)|>(?=[^<>\s]+</))")
@@ -44,6 +45,11 @@ LITERAL = re.compile(rf"{_ON}(?:[rRbBuUfFL@]{{0,2}}(?P<quoted>{_LONG}|{_STRING})
 #: Between a flag and its value.
 VALUE = re.compile(r"[\x20\t]+(?=[^-\s])")
 MORE = re.compile(rf"\s*\+\s*(?P<quoted>{_STRING})", re.S)
+#: The strings of a list, those of a call, and what stands between a name's attribute and the one that has its value.
+LISTED = re.compile(rf"{_GAP}\[\s*(?P<quoted>{_STRING})", re.S)
+NEXT_LISTED = re.compile(rf"\s*,\s*(?P<quoted>{_STRING})", re.S)
+CALLED = re.compile(rf"\(\s*(?P<quoted>{_STRING})", re.S)
+NAMING = ("key", "name", "id")
 #: How sensitive a name is that has this word in it.
 NAMED = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 0.9, "privatekey": 1.0,
@@ -124,12 +130,33 @@ def _literal(text: str, at: int, name: str) -> Pair | None:
     return name, start, end, True, re.sub(r"\\(.)", r"\1", whole)
 
 
+def _strings(text: str, m: re.Match | None) -> list[tuple[int, int, str]]:
+    """The string that a match ends with, and those that follow behind commas."""
+    out = []
+    while m:
+        start, end = _inside(m)
+        out.append((start, end, re.sub(r"\\(.)", r"\1", text[start:end])))
+        m = NEXT_LISTED.match(text, m.end())
+    return out
+
+
+def _called(text: str, m: re.Match) -> list[Pair]:
+    """What a setter is called with: its value, or the name and the value."""
+    name = m["name"].rpartition(".")[2]
+    given = _strings(text, CALLED.match(text, m.end())) if name.lower().startswith("set") else []
+    if len(given) > 1:
+        return [(given[0][2], given[1][0], given[1][1], True, given[1][2])]
+    return [(name, start, end, True, value) for start, end, value in given]
+
+
 def _assigned(text: str, m: re.Match) -> tuple[list[Pair], int]:
     """The pairs of a name that the lexer has stopped at, and where it goes on: behind a type, which is no name, else behind the name."""
     name, sign = m["name"], SIGN.match(text, m.end())
     if not sign:
         value = VALUE.match(text, m.end()) if m["dash"] == "--" else None
-        return [p for p in [value and _literal(text, value.end(), name)] if p], m.end()
+        return [p for p in [value and _literal(text, value.end(), name)] if p] or _called(text, m), m.end()
+    if listed := LISTED.match(text, sign.end()):
+        return [(name, start, end, True, value) for start, end, value in _strings(text, listed)], m.end()
     typed = TYPED.match(text, sign.end()) if sign[1] == ":" else None
     if not typed:
         return [p for p in [_literal(text, sign.end(), name)] if p], m.end()
@@ -146,6 +173,8 @@ def _pairs(text: str) -> list[Pair]:
         at = m.end()
         if m["name"] is not None:
             found, at = _assigned(text, m)
+            if found and out and m["name"].lower() == "value" and out[-1][0].lower() in NAMING and not text[out[-1][2] + 1 : m.start()].strip():
+                found = [(out[-1][4], *found[0][1:]), *found[1:]]  # an attribute names what the next one holds
             out += found
         elif m.start() not in closers:  # a string: its inside is read like all else, its end is known
             string = STRING.match(text, m.start())

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -788,3 +789,34 @@ def test_hashes_of_words_and_runs(seed):
     for found, other, text in zip(*map(list, zip(*shingle_sets(words, 5), strict=True)), texts, strict=True):
         own = text.split()
         assert len(found) == len(other) == len({tuple(own[i : i + 5]) for i in range(len(own) - 4)})
+
+
+@pytest.mark.parametrize("unit", ['{\\"key\\": \\"value\\", \\"token\\": [1, 2]}, ', '\"\"\"\\\"\\\"x ', "'\\''\\'", 'a="b=\'c` ', '"k=" + ', "x: a|b|", '["a", '])
+def test_long_lines_take_linear_time(unit):
+    """A megabyte of quotes behind backslashes (JSON in JSON), of open strings and of joined ones."""
+    text = 'token = "' + unit * (1_000_000 // len(unit)) + '"'
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 15
+
+
+def test_escaped_quotes_hide_nothing():
+    text = 'token = "{' + '\\"key\\": \\"value\\", ' * 3 + '}"; password = "Zx91kQpLmN82vbTT"'
+    assert [text[a:b] for a, b in secrets.lexed(text)] == ["Zx91kQpLmN82vbTT"]
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ('"clientSecret": ["Zx91kQpLmN82vbTT", "Qa77mNbVcX01plOk"]', ["Zx91kQpLmN82vbTT", "Qa77mNbVcX01plOk"]),
+        ('<add key="password" value="Zx91kQpLmN82vbTT"/>', ["Zx91kQpLmN82vbTT"]),
+        ("conn.setPassword(\"Zx91kQpLmN82vbTT\");", ["Zx91kQpLmN82vbTT"]),
+        ("props.setProperty('db.password', 'Zx91kQpLmN82vbTT')", ["Zx91kQpLmN82vbTT"]),
+        ('<add key="colour" value="Zx91kQpLmN82vbTT"/>', []),
+        ('settings("Zx91kQpLmN82vbTT")', []),
+        ('setTitle("Zx91kQpLmN82vbTT")', []),
+        ('colours: ["Zx91kQpLmN82vbTT"]', []),
+    ],
+)
+def test_lists_attributes_and_setters(text, wanted):
+    assert [text[a:b] for a, b in secrets.lexed(text)] == wanted
