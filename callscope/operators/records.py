@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timing
-from .totals import EXACT, classified, percentiles, total
+from . import selection
+from .totals import classified, total
 
 
 def scan(calls: DataFrame, start: int, end: int, source: str | None = None, ceiling: int | None = None) -> DataFrame:
@@ -150,11 +151,11 @@ def _all(filters: list[Column]) -> Column:
     return out
 
 
-def summary(rows: DataFrame, exact: int = EXACT) -> DataFrame:
+def summary(rows: DataFrame) -> DataFrame:
     """Token, latency and exception figures of a set of records."""
     stream = F.when(F.col("t_stream") > 0, F.col("t_stream"))
     found = classified(rows).withColumn("__all", F.lit(0))
-    p95 = percentiles(found, ["__all"], {"ttfb_p95": F.col("t_ttfb"), "stream_p95": stream, "total_p95": F.col("t_total")}, (0.95,), exact)
+    p95 = selection.percentiles(found, ["__all"], {"ttfb_p95": F.col("t_ttfb"), "stream_p95": stream, "total_p95": F.col("t_total")}, (0.95,))
     sums = found.groupBy("__all").agg(
         F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"), F.round(F.avg("total_tokens"), 6).alias("tokens_mean"), F.max("total_tokens").alias("tokens_most"), F.sum("cache_tokens").alias("cache_read"), F.sum("output_tokens").alias("output"),
         total(F.col("cost")).alias("cost"), F.round(F.avg("t_ttfb"), 6).alias("ttfb_mean"), F.count(stream).alias("streamed"),
@@ -164,11 +165,11 @@ def summary(rows: DataFrame, exact: int = EXACT) -> DataFrame:
     return sums.join(p95, "__all").select(*(c for c in sums.columns if c != "__all"), *shown)
 
 
-def node_profiles(attempts: DataFrame, exact: int = EXACT) -> DataFrame:
+def node_profiles(attempts: DataFrame) -> DataFrame:
     """Success rate and latency percentiles of each node, without probes."""
     rows = attempts.where("not is_probe")
     rates = rows.groupBy("proxy_key").agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_success").cast("double")), 9).alias("success_rate"))
-    p = percentiles(rows, ["proxy_key"], {"ms": F.col("latency_ms")}, (0.5, 0.95), exact)
+    p = selection.percentiles(rows, ["proxy_key"], {"ms": F.col("latency_ms")}, (0.5, 0.95))
     return rates.join(p, "proxy_key").select("proxy_key", "n", "success_rate", F.round(F.col("ms")[0], 6).alias("p50"), F.round(F.col("ms")[1], 6).alias("p95"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timing
+from . import selection
 from .totals import classified, counts, total
 
 DAY, HOUR = timing.DAY, timing.HOUR
@@ -17,9 +18,11 @@ def series(calls: DataFrame, start: int, end: int, width: int, zone: str = "UTC"
     inside = classified(timing.within(calls, start, end)).withColumn("bucket", bucket)
     v = F.when(F.col("t_ttfb") > 0, F.col("t_ttfb"))
     found = inside.groupBy("bucket").agg(
-        *counts(), F.count_if("flying").alias("flying"), F.count(v).alias("ttfb_n"), F.round(F.avg(v), 6).alias("ttfb_mean"), F.round(F.percentile(v, 0.95), 6).alias("ttfb_p95"),
+        *counts(), F.count_if("flying").alias("flying"), F.count(v).alias("ttfb_n"), F.round(F.avg(v), 6).alias("ttfb_mean"),
         F.count("first_token").alias("first_token_n"), F.round(F.avg("first_token"), 6).alias("first_token_mean"),
     )
+    p95 = selection.percentiles(inside, ["bucket"], {"ttfb_p95": v}, (0.95,)).select("bucket", F.round(F.col("ttfb_p95")[0], 6).alias("ttfb_p95"))
+    found = found.join(p95, "bucket")
     empty = timing.zone_spine(calls.sparkSession, start, end, width, zone)
     zeros = {c: 0 for c in ("n", "success", "failure", "tokens", "cost", "non_success_cost", "flying", "ttfb_n", "first_token_n")}
     return empty.join(found, "bucket", "left").fillna(zeros)

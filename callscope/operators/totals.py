@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import histogram, status, timing
+from . import selection
 
 HOUR = timing.HOUR
-#: Up to so many rows a group's percentiles are exact.
-EXACT = 1_000_000
 
 
 def classified(calls: DataFrame) -> DataFrame:
@@ -77,26 +76,18 @@ def stage_rollup(calls: DataFrame) -> DataFrame:
     return rows.groupBy(hour(), "stage").agg(F.count("*").alias("n"), total(F.col("ms")).alias("ms"), F.max("ms").alias("most"), histogram.counted(F.col("__at")).alias("hist"))
 
 
-def percentiles(rows: DataFrame, keys: list[str], values: dict[str, Column], at: tuple[float, ...], exact: int) -> DataFrame:
-    """keys, and for each named value an array of its percentiles: exact in groups of at most `exact` rows, those of its histogram beyond.
+def stage_report(calls: DataFrame, inside: bool = True) -> DataFrame:
+    """Count, mean, percentiles and largest value of each stage.
 
-    So no reducer ever holds the values of a group that grows with the input.
+    Percentiles are exact if the range lies `inside` of what is kept of raw calls, whatever their number; else those of merged histograms. The
+    caller knows which: histogram values are upper bounds of buckets.
     """
-    rows = rows.select(*keys, *(v.alias(name) for name, v in values.items()))
-    placed = rows.withColumns({f"__at_{name}": histogram.place(F.col(name)) for name in values})
-    rolled = placed.groupBy(*keys).agg(F.count("*").alias("__n"), *(histogram.counted(F.col(f"__at_{name}")).alias(f"__{name}") for name in values))
-    few = rolled.where(F.col("__n") <= exact).select(*keys).withColumn("__few", F.lit(True))
-    held = rows.join(few, keys, "left_semi").groupBy(*keys).agg(*(F.percentile(name, F.array(*map(F.lit, at))).alias(name) for name in values))
-    known = rolled.join(held.withColumn("__few", F.lit(True)), keys, "left")
-    coarse = lambda name: F.array(*(histogram.percentile(F.col(f"__{name}"), p) for p in at))
-    return known.select(*keys, *(F.when(F.col("__few"), F.col(name)).otherwise(coarse(name)).alias(name) for name in values))
-
-
-def stage_report(calls: DataFrame, exact: int = EXACT) -> DataFrame:
-    """Count, mean, percentiles and largest value of each stage."""
-    rows = stages(calls.where("source = 'proxy'"))
-    rolled = rows.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.max("ms").alias("most"))
-    found = percentiles(rows, ["stage"], {"ms": F.col("ms")}, (0.5, 0.9, 0.99), exact)
+    rows = stages(calls.where("source = 'proxy'")).select("stage", "ms")
+    whole = rows.withColumn("__at", histogram.place(F.col("ms"))) if not inside else rows
+    rolled = whole.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.max("ms").alias("most"), *([] if inside else [histogram.counted(F.col("__at")).alias("h")]))
+    if not inside:
+        return rolled.select("stage", "n", "mean", *(histogram.percentile(F.col("h"), q / 100).alias(f"p{q}") for q in (50, 90, 99)), "most")
+    found = selection.percentiles(rows, ["stage"], {"ms": F.col("ms")}, (0.5, 0.9, 0.99))
     return rolled.join(found, "stage").select("stage", "n", "mean", *(F.round(F.col("ms")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 90, 99))), "most")
 
 

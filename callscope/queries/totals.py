@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cost, histogram, status, timing
+from ..operators import selection
 from ..operators import totals as T
 from .registry import calls, paid, query
 
@@ -194,9 +195,10 @@ def c18(spark, d):
 
 @query("c20_hybrid_p95", f"""SELECT account, round(quantile_cont(t_total, 0.95), 6) AS p95 FROM calls WHERE t_total IS NOT NULL GROUP BY 1""")
 def c20(spark, d):
-    v = F.col("t_total")
-    placed = calls(spark, d).where("t_total is not null").withColumn("at", histogram.place(v))
-    rows = placed.groupBy("account").agg(histogram.counted(F.col("at")).alias("h"), histogram.exact(v, 0.95).alias("e"), F.count(v).alias("n"))
+    placed = calls(spark, d).where("t_total is not null").withColumn("at", histogram.place(F.col("t_total")))
+    rolled = placed.groupBy("account").agg(histogram.counted(F.col("at")).alias("h"), F.count("t_total").alias("n"))
+    exact = selection.percentiles(placed, ["account"], {"e": F.col("t_total")}, (0.95,)).select(F.col("account").alias("known"), F.col("e")[0].alias("e"))
+    rows = rolled.join(exact, F.col("account").eqNullSafe(F.col("known")))
     return rows.select("account", F.round(histogram.hybrid(F.col("h"), F.col("e"), F.col("n"), 0.95), 6).alias("p95"))
 
 

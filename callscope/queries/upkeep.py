@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import status, timing
 from ..operators import records as R
 from ..operators import series as S
+from ..operators import selection
 from ..operators import totals as T
 from ..operators import upkeep as U
 from ..sources import adapter, archive
@@ -158,9 +159,12 @@ def c41(spark, d):
 
 @query("d4_folded_minutes", "SELECT epoch // 3600 * 3600 AS bucket, count(t_total) AS samples, round(quantile_cont(t_total, 0.95), 6) AS p95 FROM calls GROUP BY 1 HAVING count(t_total) > 0")
 def d4(spark, d):
-    minutes = calls(spark, d).where("t_total is not null").groupBy(F.expr("epoch div 60 * 60").alias("minute")).agg(F.collect_list("t_total").alias("samples"))  # a minute of calls at most
-    rows = minutes.select(F.expr("minute div 3600 * 3600").alias("bucket"), F.explode("samples").alias("ms"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("samples"), F.round(F.percentile("ms", 0.95), 6).alias("p95"))
+    """Minutes keep each of their values with its count; wider buckets add these up and select from them."""
+    value = F.struct(F.expr("epoch div 60 * 60").alias("minute"), "t_total")
+    minutes = calls(spark, d).where("t_total is not null").groupBy(value.alias("x")).agg(F.count("*").alias("n")).select("x.minute", F.col("x.t_total").alias("ms"), "n")
+    rows = minutes.select(F.expr("minute div 3600 * 3600").alias("bucket"), "ms", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    folded = rows.groupBy("bucket").agg(F.count("*").alias("samples"))
+    return folded.join(selection.percentiles(rows, ["bucket"], {"p95": F.col("ms")}, (0.95,)), "bucket").select("bucket", "samples", F.round(F.col("p95")[0], 6).alias("p95"))
 
 
 @query("d5b_active_minutes", f"SELECT CAST(sum(c) AS BIGINT) AS conversation_minutes, count(*) AS active_minutes, round(sum(c) / count(*)::DOUBLE, 9) AS mean FROM (SELECT epoch // 60, count(DISTINCT conversation) AS c FROM calls WHERE conversation IS NOT NULL AND epoch >= {START} AND epoch < {END} GROUP BY 1)")

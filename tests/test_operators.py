@@ -1,10 +1,13 @@
 """Operators on hand-made frames, and their plans."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from callscope.functions import histogram, timing
-from callscope.operators import records, totals, upkeep
+from callscope.operators import records, selection, totals, upkeep
 from callscope.queries.registry import calls, paid
 from callscope.sources import adapter, archive
 
@@ -63,12 +66,31 @@ def test_record_filters(spark, data):
     found.unpersist()
 
 
-def test_percentiles_of_large_groups_come_from_histograms(spark):
-    df = spark.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") / 2).alias("ms")).where("k = 0 or ms < 50")
-    exact = {r["k"]: r["v"] for r in totals.percentiles(df, ["k"], {"v": F.col("ms")}, (0.5, 0.9), 1000).collect()}
-    mixed = {r["k"]: r["v"] for r in totals.percentiles(df, ["k"], {"v": F.col("ms")}, (0.5, 0.9), 60).collect()}
-    assert exact[1] == mixed[1] and exact[0] == [249.5, 449.1]
-    assert mixed[0] == [300.0, 500.0]  # the bounds of their buckets
+@pytest.mark.parametrize(("held", "accuracy"), [(1 << 18, 10_000), (50, 100), (3, 20)])
+def test_percentiles_are_exact_however_large_a_group_is(spark, held, accuracy):
+    """Hot and null groups, ties, one value, no value: by one pass, and by rounds of brackets."""
+    r = random.Random(1)
+    values = [("hot", r.expovariate(0.01)) for _ in range(3000)] + [("ties", float(r.choice([1, 1, 1, 2, 7]))) for _ in range(500)] + [(None, float(i)) for i in range(101)]
+    values += [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)] + [("wide", 10.0 ** r.randrange(-300, 300)) for _ in range(200)]
+    df = spark.createDataFrame(values, "k string, ms double").repartition(5)
+    at = (0.0, 0.5, 0.95, 0.999, 1.0)
+    found = selection.percentiles(df, ["k"], {"a": F.col("ms"), "b": -F.col("ms")}, at, held, accuracy).collect()
+    by = {}
+    for k, v in values:
+        by.setdefault(k, []).extend([] if v is None else [v])
+    assert {x["k"] for x in found} == set(by) and len(found) == len(by)
+    for x in found:
+        for name, sign in (("a", 1), ("b", -1)):
+            own = sorted(sign * v for v in by[x["k"]])
+            wanted = [own[math.floor(q)] if q == int(q) else (math.ceil(q) - q) * own[math.floor(q)] + (q - math.floor(q)) * own[math.ceil(q)] for q in (p * (len(own) - 1) for p in at)] if own else None
+            assert x[name] == wanted, (x["k"], name)
+
+
+def test_percentiles_hold_no_group(spark):
+    """A million rows of one group go through brackets: no aggregate collects them."""
+    df = spark.range(1_000_000, numPartitions=8).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 1_000_003).cast("double").alias("ms"))
+    got = selection.percentiles(df, ["k"], {"p": F.col("ms")}, (0.5, 0.99), held=1000).first()["p"]
+    assert got == df.agg(F.percentile("ms", F.array(F.lit(0.5), F.lit(0.99)))).first()[0]
 
 
 def test_places_of_durations(spark):
