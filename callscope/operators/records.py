@@ -60,11 +60,39 @@ def recent_per_key(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+#: Bits of a place that one window spans, at each level of cuts.
+CUT_BITS = 20
+
+
+def last_before(rows: DataFrame, keys: list[str], place: str, order: list[str], value: Column, name: str, bits: int = CUT_BITS) -> DataFrame:
+    """rows with the last value that isn't null before each row, in the order (place, order...) of its key.
+
+    Keys are cut by the leading bits of place (a whole number from 0 up to 2 ** (3 * bits)): a window lies inside one cut, and what comes before it is carried over
+    from the ends of earlier cuts, in the same way over cuts of cuts. So a key of any number of rows is many tasks'.
+    """
+
+    def over(*cut: str) -> Window:
+        return Window.partitionBy(*keys, *cut[:1]).orderBy(*cut[1:]).rowsBetween(Window.unboundedPreceding, -1)
+
+    cut = [F.shiftright(F.col(place), n * bits) for n in (1, 2, 3)]
+    rows = rows.withColumns({"__v": value, "__c1": cut[0]})
+    after = F.when(F.col("__v").isNotNull(), F.struct(place, *order))
+    ends = rows.groupBy(*keys, "__c1", cut[1].alias("__c2")).agg(F.max_by("__v", after).alias("__e"))
+    above = ends.groupBy(*keys, "__c2", F.shiftright("__c2", bits).alias("__c3")).agg(F.max_by("__e", F.when(F.col("__e").isNotNull(), F.col("__c1"))).alias("__e"))
+    above = above.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__c2").alias("__a2"), F.last("__e", True).over(over("__c3", "__c2")).alias("__s2"))
+    same = lambda right, cut: [F.col(k).eqNullSafe(F.col(f"{right}{i}")) for i, k in enumerate(keys)] + [cut]
+    seeds = ends.withColumn("__s1", F.last("__e", True).over(over("__c2", "__c1"))).join(above, same("__k", F.col("__c2") == F.col("__a2")), "left")
+    seeds = seeds.select(*(F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)), F.col("__c1").alias("__a1"), F.coalesce("__s1", "__s2").alias("__s"))
+    own = rows.withColumn("__own", F.last("__v", True).over(over("__c1", place, *order)))
+    met = own.join(seeds, same("__q", F.col("__c1") == F.col("__a1")), "left").withColumn("__last", F.coalesce("__own", "__s"))
+    return met.select(*(c for c in rows.columns if c not in ("__v", "__c1")), F.col("__last").alias(name))
+
+
 def retry_after_failure(calls: DataFrame) -> DataFrame:
     """Whether the last terminal call before this one in its conversation failed."""
-    before = Window.partitionBy("conversation").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     state = F.when(~F.col("flying"), F.col("class") != "none")
-    return classified(calls.where("conversation is not null")).withColumn("retry", F.coalesce(F.last(state, True).over(before), F.lit(False)))
+    found = last_before(classified(calls.where("conversation is not null")), ["conversation"], "id", [], state, "retry")
+    return found.withColumn("retry", F.coalesce("retry", F.lit(False)))
 
 
 def working_set(calls: DataFrame, now: int, window: int = 300) -> DataFrame:
@@ -124,6 +152,7 @@ def record_list(rows: DataFrame, sort: str = "time", descending: bool = True, nu
 
 def after(rows: DataFrame, sort: str, value, last_id: int, size: int = 50) -> DataFrame:
     """The page after a cursor (value, id) in descending order: a filter and a top-k, however deep it is."""
+    rows = timing.within(rows, end=value + 1) if sort == "epoch" else rows
     return rows.where((F.col(sort) < value) | ((F.col(sort) == value) & (F.col("id") < last_id))).orderBy(F.desc(sort), F.desc("id")).limit(size)
 
 
@@ -178,7 +207,7 @@ TRAILING = {"1m": 60, "15m": 900, "1h": 3600, "1d": 86400, "7d": 604800}
 
 def trailing_windows(attempts: DataFrame, now: int) -> DataFrame:
     """Node figures over five trailing windows in one pass; a mean only where every success has a latency."""
-    rows = attempts.where((F.col("epoch") < now) & (F.col("epoch") >= now - max(TRAILING.values()))).withColumn("age", now - F.col("epoch"))
+    rows = timing.within(attempts, now - max(TRAILING.values()), now).withColumn("age", now - F.col("epoch"))
     spans = F.array(*(F.struct(F.lit(n).alias("span"), F.lit(s).alias("seconds")) for n, s in TRAILING.items()))
     rows = rows.withColumn("w", F.explode(F.filter(spans, lambda w: F.col("age") <= w["seconds"])))
     good = F.count_if("is_success")

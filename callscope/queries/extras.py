@@ -23,7 +23,7 @@ def a4(spark, d):
 
 @query("a6_rollup_range", f"SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n FROM calls WHERE epoch // 3600 * 3600 >= {START} AND epoch // 3600 * 3600 < {END} GROUP BY 1, 2")
 def a6(spark, d):
-    return T.totals(paid(spark, d), T.hour(), "source").where((F.col("hour") >= START) & (F.col("hour") < END)).select("hour", "source", "n")
+    return T.totals(timing.within(paid(spark, d), START, END), T.hour(), "source").select("hour", "source", "n")  # whole hours
 
 
 @query("a9_body_lines", "SELECT conv_id, turn, len(string_split(text, chr(10))) AS lines FROM conversations")
@@ -69,7 +69,7 @@ def b32(spark, d):
 
 @query("b34_kpis", f"SELECT round((a.n - b.n) * 100.0 / nullif(b.n, 0), 9) AS calls_delta, round(a.f / nullif(a.n, 0)::DOUBLE, 9) AS failure_rate, round(a.t / nullif(a.c, 0)::DOUBLE, 6) AS tokens_per_conversation FROM (SELECT count(*) AS n, count(*) FILTER (WHERE NOT flying AND fclass <> 'none') AS f, sum(total_tokens) AS t, count(DISTINCT conversation) AS c FROM calls WHERE epoch >= {START} AND epoch < {START + 86400}) a, (SELECT count(*) AS n FROM calls WHERE epoch >= {START - 86400} AND epoch < {START}) b")
 def b34(spark, d):
-    rows = T.classified(calls(spark, d)).where((F.col("epoch") >= START - 86400) & (F.col("epoch") < START + 86400))
+    rows = T.classified(timing.within(calls(spark, d), START - 86400, START + 86400))
     now = F.col("epoch") >= START
     sums = rows.agg(F.count_if(now).alias("n"), F.count_if(~now).alias("before"), F.count_if(now & ~F.col("flying") & (F.col("class") != "none")).alias("f"), F.sum(F.when(now, F.col("total_tokens"))).alias("t"), F.countDistinct(F.when(now, F.col("conversation"))).alias("c"))
     return sums.select(F.round(cost.percent_delta(F.col("n"), F.col("before")), 9).alias("calls_delta"), F.round(cost.ratio(F.col("f"), F.col("n")), 9).alias("failure_rate"), F.round(cost.ratio(F.col("t"), F.col("c")), 6).alias("tokens_per_conversation"))
@@ -83,12 +83,12 @@ def c29(spark, d):
 
 @query("e6_blocked_conversations", f"SELECT conversation FROM (SELECT conversation, arg_max(id % 5 = 0, epoch * 1000000000 + id) AS blocked, max(epoch) AS last FROM calls WHERE conversation IS NOT NULL AND NOT flying AND epoch < {START} GROUP BY 1) WHERE blocked AND last >= {START - 86400}")
 def e6(spark, d):
-    """Working conversations whose last terminal row carries a blocked binding."""
+    """Working conversations whose last terminal row carries a blocked binding: one in the range is the last of all before its end."""
     body = F.when(F.col("id") % 5 == 0, F.lit('{"blockedBinding": {"upstreamAccountId": 1}}')).otherwise(F.lit("{}"))
-    rows = T.classified(calls(spark, d)).where((F.col("epoch") < START) & F.col("conversation").isNotNull() & ~F.col("flying")).withColumn("body", body)
+    rows = T.classified(timing.within(calls(spark, d), START - 86400, START)).where(F.col("conversation").isNotNull() & ~F.col("flying")).withColumn("body", body)
     last = rows.groupBy("conversation").agg(F.max(F.struct("epoch", "id")).alias("last"))
     blocked = rows.where(F.get_json_object("body", "$.blockedBinding").isNotNull()).select("conversation", F.struct("epoch", "id").alias("last"))
-    return last.join(blocked, ["conversation", "last"], "left_semi").where(F.col("last.epoch") >= START - 86400).select("conversation")
+    return last.join(blocked, ["conversation", "last"], "left_semi").select("conversation")
 
 
 @query("e12_model_health", "SELECT account, name, model, failures FROM (SELECT account, model, count(*) AS failures FROM calls WHERE event_type = 'error' AND account IS NOT NULL GROUP BY 1, 2) JOIN accounts USING (account) WHERE enabled")
@@ -117,9 +117,9 @@ def f9(spark, d):
 @query("g3_key_union", f"SELECT count(DISTINCT conversation) AS conversations FROM calls WHERE epoch >= {START} AND epoch < {END}")
 def g3(spark, d):
     """Keys of hourly rollups and of exact rows, counted once."""
-    c = paid(spark, d).where((F.col("epoch") >= START) & (F.col("epoch") < END))
-    rolled = T.conversation_rollup(c.where(F.col("epoch") < START + 86400)).select("conversation")
-    return rolled.union(c.where("conversation is not null").where(F.col("epoch") >= START + 80_000).select("conversation")).agg(F.countDistinct("conversation").alias("conversations"))
+    c = paid(spark, d)
+    rolled = T.conversation_rollup(timing.within(c, START, START + 86400)).select("conversation")
+    return rolled.union(timing.within(c, START + 80_000, END).where("conversation is not null").select("conversation")).agg(F.countDistinct("conversation").alias("conversations"))
 
 
 @query("g4_touched_days", "SELECT x AS day, count(*) AS n FROM (SELECT unnest(range(epoch // 86400, (epoch + CAST(floor(t_long / 1000) AS BIGINT)) // 86400 + 1)) AS x FROM calls) GROUP BY 1")
@@ -131,9 +131,9 @@ def g4(spark, d):
 @query("i5_expired_archives", f"SELECT epoch // 86400 AS day, count(*) AS n FROM calls WHERE epoch < {START} AND epoch // 86400 <> 19725 GROUP BY 1")
 def i5(spark, d):
     """Archive days that may go: older than the cutoff and held by the rollups."""
-    all_ = calls(spark, d)
+    all_ = timing.within(calls(spark, d), None, START)
     held = U.coverage(all_.where("epoch div 86400 <> 19725"), 1 << 60).select((F.col("hour") / 86400).cast("long").alias("day")).distinct()
-    return U.manifest(all_.where(F.col("epoch") < START)).join(held, "day", "left_semi").select("day", "n")
+    return U.manifest(all_).join(held, "day", "left_semi").select("day", "n")
 
 
 @query("i6_rebuilt_buckets", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n FROM calls GROUP BY 1, 2")
@@ -195,7 +195,7 @@ def i14(spark, d):
 
 @query("i17_archived_node_hours", f"SELECT proxy_key, epoch // 3600 * 3600 AS hour, count(*) AS n, count(*) FILTER (WHERE is_success) AS success FROM nodes WHERE epoch < {START} GROUP BY 1, 2")
 def i17(spark, d):
-    return R.node_hours(adapter.node_attempts(calls(spark, d)).where(F.col("epoch") < START)).select("proxy_key", "hour", "n", "success")
+    return R.node_hours(timing.within(adapter.node_attempts(calls(spark, d)), None, START)).select("proxy_key", "hour", "n", "success")
 
 
 @query("i20_long_term_refresh", "SELECT epoch // 86400 AS day, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1")

@@ -20,7 +20,7 @@ def a1(spark, d):
 @query("a3_live_and_archive", "SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls")
 def a3(spark, d):
     all_ = calls(spark, d)
-    return R.with_archive(all_.where(f"epoch >= {START}"), all_.where(f"epoch < {START + 86400}").drop("payload")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("total_tokens").alias("tokens"))
+    return R.with_archive(timing.within(all_, START), timing.within(all_, None, START + 86400).drop("payload")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("total_tokens").alias("tokens"))
 
 
 @query("a5_attempts_with_accounts", f"SELECT attempt_id, attempt_index, name FROM attempts LEFT JOIN accounts USING (account) WHERE epoch >= {START} AND epoch < {START + 86400}")
@@ -192,8 +192,8 @@ def e1(spark, d):
 
     all_ = paid(spark, d)
     head, whole, tail = split(START + 1234, START + 90_000)
-    rolled = T.totals(all_, T.hour(), "source").where(F.col("hour").between(whole[0], whole[1] - 1))
-    edge = lambda r: T.totals(all_.where((F.col("epoch") >= r[0]) & (F.col("epoch") < r[1])))
+    rolled = T.totals(timing.within(all_, *whole), T.hour(), "source")
+    edge = lambda r: T.totals(timing.within(all_, *r))
     parts = [x.select("n", "tokens", "cost") for x in (rolled, edge(head), edge(tail))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 10).alias("cost"))
 
@@ -219,7 +219,7 @@ def e4(spark, d):
 @query("e5_active_histories", f"SELECT conversation, count(*) AS n FROM calls WHERE conversation IN (SELECT conversation FROM calls WHERE epoch >= {START} AND epoch < {START + 21600}) GROUP BY 1")
 def e5(spark, d):
     c = calls(spark, d)
-    return c.join(c.where(f"epoch >= {START} and epoch < {START + 21_600}").select("conversation"), "conversation", "left_semi").groupBy("conversation").agg(F.count("*").alias("n"))
+    return c.join(timing.within(c, START, START + 21_600).select("conversation"), "conversation", "left_semi").groupBy("conversation").agg(F.count("*").alias("n"))
 
 
 @query("e8_retry_after_failure", """SELECT id, coalesce(last_value(CASE WHEN NOT flying THEN fclass <> 'none' END IGNORE NULLS) OVER (PARTITION BY conversation ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS retry FROM calls WHERE conversation IS NOT NULL""")
@@ -334,7 +334,7 @@ def i8(spark, d):
 @query("i15_last_activity", "SELECT account, max(epoch) AS last_seen, min(epoch) AS first_seen FROM calls WHERE account IS NOT NULL GROUP BY 1")
 def i15(spark, d):
     c = calls(spark, d)
-    days = c.where(F.col("account").isNotNull() & (F.col("epoch") < START)).groupBy("account", F.floor(F.col("epoch") / 86400).alias("day")).agg(F.min("epoch").alias("first_seen"), F.max("epoch").alias("last_seen"))
+    days = timing.within(c, None, START).where(F.col("account").isNotNull()).groupBy("account", F.floor(F.col("epoch") / 86400).alias("day")).agg(F.min("epoch").alias("first_seen"), F.max("epoch").alias("last_seen"))
     return R.last_activity(timing.within(c, START), days.drop("day"))
 
 

@@ -170,7 +170,7 @@ def d4(spark, d):
 @query("d5b_active_minutes", f"SELECT CAST(sum(c) AS BIGINT) AS conversation_minutes, count(*) AS active_minutes, round(sum(c) / count(*)::DOUBLE, 9) AS mean FROM (SELECT epoch // 60, count(DISTINCT conversation) AS c FROM calls WHERE conversation IS NOT NULL AND epoch >= {START} AND epoch < {END} GROUP BY 1)")
 def d5b(spark, d):
     """Hourly scalars for whole hours; no edges in this range."""
-    hours = S.distinct_minutes(calls(spark, d)).where((F.col("hour") >= START) & (F.col("hour") < END))
+    hours = S.distinct_minutes(timing.within(calls(spark, d), START, END))
     out = hours.agg(F.sum("conversation_minutes").alias("conversation_minutes"), F.sum("active_minutes").alias("active_minutes"))
     return out.withColumn("mean", F.round(F.col("conversation_minutes") / F.col("active_minutes"), 9))
 
@@ -186,8 +186,9 @@ def d10(spark, d):
 def d14(spark, d):
     from ..functions import status, timing
 
-    hours = R.node_hours(adapter.node_attempts(calls(spark, d))).select("proxy_key", "hour", "n")
-    grid = hours.select("proxy_key").distinct().join(F.broadcast(timing.spine(spark, START, START + 86400, 3600).withColumnRenamed("bucket", "hour")))
+    attempts = adapter.node_attempts(calls(spark, d))
+    hours = R.node_hours(timing.within(attempts, START, START + 86400)).select("proxy_key", "hour", "n")
+    grid = attempts.select("proxy_key").distinct().join(F.broadcast(timing.spine(spark, START, START + 86400, 3600).withColumnRenamed("bucket", "hour")))
     return grid.join(hours, ["proxy_key", "hour"], "left").fillna(0)
 
 
@@ -268,7 +269,7 @@ def h14(spark, d):
 
 @query("h16_horizon", f"SELECT epoch // 60 * 60 AS minute, count(*) AS n FROM calls WHERE epoch >= {NOW - 10 * 86400} GROUP BY 1")
 def h16(spark, d):
-    return calls(spark, d).where(F.col("epoch") >= NOW - 10 * 86400).groupBy(F.expr("epoch div 60 * 60").alias("minute")).agg(F.count("*").alias("n"))
+    return timing.within(calls(spark, d), NOW - 10 * 86400).groupBy(F.expr("epoch div 60 * 60").alias("minute")).agg(F.count("*").alias("n"))
 
 
 @query("i10_reconstructable", "SELECT max(x) + 1 AS since FROM range(19723, 19753) r(x) WHERE x NOT IN (SELECT epoch // 86400 FROM calls WHERE epoch // 86400 <> 19730)")

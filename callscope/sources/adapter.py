@@ -77,7 +77,7 @@ def attempts(calls: DataFrame) -> DataFrame:
 
 def node_attempts(calls: DataFrame) -> DataFrame:
     """One row per use of a node."""
-    return calls.selectExpr("id", "model route", "concat('node-', user_id % 5) proxy_key", "epoch", "status", "error_message", "event_type <> 'error' is_success", "value * 4 latency_ms", "(id - 1) % 50 = 0 is_probe", "if(event_type = 'error', status, null) failure_kind")
+    return calls.selectExpr("id", "model route", "concat('node-', user_id % 5) proxy_key", "occurred_at", "epoch", "status", "error_message", "event_type <> 'error' is_success", "value * 4 latency_ms", "(id - 1) % 50 = 0 is_probe", "if(event_type = 'error', status, null) failure_kind")
 
 
 def limit_samples(calls: DataFrame) -> DataFrame:

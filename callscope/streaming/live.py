@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import series, totals
+from ..operators import records, series, totals
 
 
 def read_calls(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
@@ -166,29 +166,27 @@ def node_weights(attempts: DataFrame, rule: int = 2) -> DataFrame:
     return ordered.select("id", "proxy_key", "is_success", "latency_ms", "is_probe").mapInPandas(lambda it: _walk(it, rule), schema)
 
 
-def _cool(batches: Iterator[pd.DataFrame], least: int, apart: int, first: int, most: int) -> Iterator[pd.DataFrame]:
-    key, streak, began, last, until, level = None, 0, 0, 0, 0, 0
-    for rows in batches:
-        out = []
-        for account, model, epoch, failed in zip(rows["account"], rows["model"], rows["epoch"], rows["failed"], strict=True):
-            if (account, model) != key:
-                key, streak, began, last, until, level = (account, model), 0, 0, 0, 0, 0
-            if failed:
-                began = epoch if not streak or epoch - last > apart else began
-                streak, last = streak + 1, epoch
-                if streak >= least or epoch - began >= apart:
-                    until, level = epoch + min(first * 2**level, most), level + 1
-            else:
-                streak = until = level = 0
-            out.append("cooling_down" if until > epoch else "degraded" if level else "healthy")
-        yield pd.DataFrame({"id": rows["id"], "state": out})
-
-
 def route_health(calls: DataFrame, least: int = 5, apart: int = 30, first: int = 15, most: int = 60) -> DataFrame:
-    """H9: state of each (account, model) after each attempt: a streak of failures cools a route down for 15 * 2^k seconds, at most 60; success resets."""
-    rows = calls.where("account is not null").select("id", "account", "model", "epoch", (F.col("event_type") == "error").alias("failed"))
-    ordered = rows.repartition("account", "model").sortWithinPartitions("account", "model", "epoch", "id")
-    return ordered.mapInPandas(lambda it: _cool(it, least, apart, first, most), "id long, state string")
+    """H9: state of each (account, model) after each attempt: a streak of failures cools a route down for 15 * 2^k seconds, at most 60; success resets.
+
+    Failures since a success are an island, known by the id of that success. From its `least`-th row on an island cools with each row, so its state is known; only
+    the first rows are looked at together, and limits inside the tasks leave no more of them than that before they meet.
+    """
+    key = ["account", "model"]
+    rows = calls.where("account is not null").select("id", *key, "epoch", (F.col("event_type") == "error").alias("failed"))
+    islands = records.last_before(rows, key, "epoch", ["id"], F.when(~F.col("failed"), F.col("id")), "island").where("failed")
+    order = Window.partitionBy(*key, "island").orderBy("epoch", "id")
+    early = islands.withColumn("streak", F.row_number().over(order)).where(F.col("streak") < least)
+    far = F.coalesce(F.col("epoch") - F.lag("epoch").over(order) > apart, F.lit(True))
+    parts = early.withColumn("part", F.sum(far.cast("int")).over(order))
+    began = F.min("epoch").over(Window.partitionBy(*key, "island", "part"))
+    cooled = parts.withColumn("cools", F.col("epoch") - began >= apart).withColumn("level", F.sum(F.col("cools").cast("int")).over(order))
+    wait = F.least(F.lit(first) * F.pow(F.lit(2), F.col("level") - 1), F.lit(most))
+    until = F.last(F.when(F.col("cools"), F.col("epoch") + wait), True).over(order)
+    state = F.when(until > F.col("epoch"), "cooling_down").when(F.col("level") > 0, "degraded").otherwise("healthy")
+    known = cooled.select(F.col("id").alias("early"), state.alias("state"))
+    late = F.when(F.col("failed"), "cooling_down").otherwise("healthy")
+    return rows.join(known, F.col("id") == F.col("early"), "left").select("id", F.coalesce("state", late).alias("state"))
 
 
 def in_progress(stream: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:

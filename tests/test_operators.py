@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from callscope import catalog
 from callscope.functions import histogram, timing
 from callscope.operators import records, selection, totals, upkeep
 from callscope.queries.registry import calls, paid
@@ -144,3 +145,42 @@ def test_stream_bodies(spark):
     df = spark.createDataFrame([(b,) for b in bodies], "body string").select(records.stream_summary(F.col("body")).alias("s"))
     got = [tuple(r["s"]) for r in df.collect()]
     assert got[0] == ('{"output_tokens":3}', "response.completed", "auto") and got[1] == ('{"output_tokens":1}', None, "default") and got[2:] == [(None, None, None)] * 3
+
+
+@pytest.mark.parametrize("bits", [3, 5, 20])
+def test_last_value_is_carried_over_cuts(spark, bits):
+    """Hot and null keys, ties of place, gaps: the same as one window over each key."""
+    r = random.Random(bits)
+    values = [(i, r.choice(["a", "a", "a", "b", None]), r.randrange(200), r.choice([None, None, r.randrange(9)])) for i in range(600)]
+    df = spark.createDataFrame(values, "id long, k string, at long, v long").repartition(4)
+    found = records.last_before(df, ["k"], "at", ["id"], F.col("v"), "before", bits)
+    last, wanted = {}, {}
+    for i, k, _, v in sorted(values, key=lambda x: (x[2], x[0])):
+        wanted[i] = last.get(k)
+        last[k] = v if v is not None else last.get(k)
+    assert {x["id"]: x["before"] for x in found.collect()} == wanted and found.columns == [*df.columns, "before"]
+
+
+def test_no_window_spans_a_conversation(spark, data):
+    """Windows of E8 and C40 lie inside cuts of a conversation."""
+    for name in ("e8_retry_after_failure", "c40_open_summary"):
+        text = plan(catalog.QUERIES[name](spark, data)).split("== Physical Plan ==")[1]
+        windows = [line for line in text.split("\n") if "windowspecdefinition" in line and "conversation" in line]
+        assert windows and all("__c" in line.split("windowspecdefinition(")[1] for line in windows), name
+
+
+PRUNED = {
+    "a3_live_and_archive": ("GreaterThanOrEqual", "LessThan"), "a6_rollup_range": ("both",), "b34_kpis": ("both",), "d5b_active_minutes": ("both",), "d13_trailing_windows": ("both",), "d14_node_day": ("both",),
+    "e1_rollup_and_tail": ("both", "both"), "e5_active_histories": ("both",), "e6_blocked_conversations": ("both", "both"), "f5_keyset_page": ("LessThan",), "g3_key_union": ("both", "both"),
+    "h16_horizon": ("GreaterThanOrEqual",), "i5_expired_archives": ("LessThan",), "i15_last_activity": ("GreaterThanOrEqual", "LessThan"), "i17_archived_node_hours": ("LessThan",),
+}
+
+
+@pytest.mark.parametrize("name", PRUNED)
+def test_ranges_are_pushed(spark, data, name):
+    """Each scan of a range has its bounds on the stored time."""
+    scans = [line for line in plan(catalog.QUERIES[name](spark, data)).split("== Physical Plan ==")[1].split("\n") if "PushedFilters" in line and "events" in line]
+    both = [s for s in scans if "GreaterThanOrEqual(ts," in s and "LessThan(ts," in s]
+    for wanted in set(PRUNED[name]):
+        found = both if wanted == "both" else [s for s in scans if f"{wanted}(ts," in s]
+        assert len(found) >= PRUNED[name].count(wanted), scans

@@ -1,5 +1,6 @@
 """Streams against their batch twins."""
 
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,28 @@ def test_route_health(spark):
 def test_changed(spark):
     df = spark.createDataFrame([(i, i * 30_000, v) for i, v in enumerate([1, 1, 2, 2, 2, 1, 1, 3])], "id long, captured long, v long")
     assert [r["id"] for r in live.changed(df, "v").orderBy("id").collect()] == [k for k, v in enumerate([1, 1, 2, 2, 2, 1, 1, 3]) if k in (0, 2, 5, 7)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_route_health_is_the_walk(spark, seed):
+    """Islands against the rule applied from attempt to attempt, with a route that fails for thousands of attempts."""
+    r, walk, wanted = random.Random(seed), [], {}
+    for account in (1, 2):
+        epoch = 1000
+        for i in range(1500):
+            epoch += r.choice([0, 0, 1, 5, 14, 29, 30, 31, 90])
+            walk.append((len(walk), account, "m", epoch, "error" if r.random() < (0.7 if account == 1 else 0.995) else "view"))
+    for account in (1, 2):
+        streak = began = last = until = level = 0
+        for i, _, _, epoch, kind in sorted((x for x in walk if x[1] == account), key=lambda x: (x[3], x[0])):
+            if kind == "error":
+                began = epoch if not streak or epoch - last > 30 else began
+                streak, last = streak + 1, epoch
+                if streak >= 5 or epoch - began >= 30:
+                    until, level = epoch + min(15 * 2**level, 60), level + 1
+            else:
+                streak = until = level = 0
+            wanted[i] = "cooling_down" if until > epoch else "degraded" if level else "healthy"
+    df = spark.createDataFrame(walk, "id long, account long, model string, epoch long, event_type string").repartition(4)
+    found = live.route_health(df)
+    assert dict(rows(found)) == wanted and "Python" not in found._jdf.queryExecution().toString()
