@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import totals as T
 from ..sources import adapter, archive
-from ..streaming import live
+from ..streaming import live, stateful
 from .registry import calls, paid, query
 from .series import SLICES, START, wall_sql
 
@@ -30,11 +30,36 @@ def h1(spark, d):
     return live.read_rollup(spark, path).select("hour", "source", "n", "success", "tokens", F.round("cost", 9).alias("cost"))
 
 
-@query("h3_streamed_minutes", "SELECT epoch // 60 * 60 AS minute, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1 HAVING epoch // 60 * 60 + 60 <= (SELECT max(epoch) FROM calls) - 600")
+#: Micro-batches of the streams with keyed state.
+BATCHES = 4
+
+
+def arriving(spark, rows, name, batch):
+    """rows as a stream of files that come one after the other: `batch` says with which, from 0 up to BATCHES."""
+    root = archive.shared_dir(spark, name)
+    numbered = rows.withColumn("__batch", batch)
+    for i in range(BATCHES + 1):
+        numbered.where(F.col("__batch") == i).drop("__batch").coalesce(1).write.mode("append").parquet(root)
+    own = stateful.session(spark)
+    return own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def quarter(rows, place):
+    """The quarter of a range that a row lies in."""
+    low, high = rows.agg(F.min(place), F.max(place)).first()
+    return F.least(F.floor((F.col(place) - F.lit(low or 0)) * BATCHES / F.lit(max(1, (high or 0) - (low or 0) + 1))), F.lit(BATCHES - 1)).cast("int")
+
+
+@query("h3_streamed_minutes", "SELECT epoch // 60 * 60 AS minute, count(*) AS n, CAST(sum(CASE WHEN id % 50 = 7 THEN 2 * total_tokens ELSE total_tokens END) AS BIGINT) AS tokens FROM calls GROUP BY 1")
 def h3(spark, d):
-    """Minutes that the watermark has closed, ten minutes before the last call."""
-    path = drained(spark, "h3", lambda out, check: live.by_batch(live.minute_series(stream(spark, d)), out, check))
-    return spark.read.parquet(path).drop("batch")
+    """All minutes, open ones, too. Every fiftieth call comes twice; in the end again, with twice its tokens, which rebuilds its minute."""
+    first = calls(spark, d).select("id", "epoch", F.timestamp_seconds("epoch").alias("at"), "total_tokens")
+    at = quarter(first, "epoch")
+    some = first.where("id % 50 = 7")
+    rows = first.withColumn("b", at).union(some.withColumn("b", at)).union(some.withColumn("total_tokens", F.col("total_tokens") * 2).withColumn("b", F.lit(BATCHES)))
+    stream_ = arriving(spark, rows, "h3-in", F.col("b"))
+    path = drained(spark, "h3", lambda out, check: live.by_batch(stateful.minutes(stream_, keep=40 * 86_400), out, check, mode="update"))
+    return stateful.read_minutes(live.latest_of(spark, path, "minute", "shard"))
 
 
 @query("h4_streamed_in_progress", """SELECT conversation, count(*) FILTER (WHERE flying) AS running, count(*) FILTER (WHERE flying AND retry) AS retried FROM (SELECT *, coalesce(last_value(CASE WHEN NOT flying THEN fclass <> 'none' END IGNORE NULLS) OVER
@@ -44,13 +69,16 @@ def h4(spark, d):
     return live.latest_of(spark, path, "conversation")
 
 
-@query("h6_streamed_activity", """, seen AS (SELECT *, epoch + CAST(floor(coalesce(t_total, 0) / 1000) AS BIGINT) AS ended FROM calls WHERE NOT flying), w AS (SELECT account, total_tokens, unnest(range(ended // 10 * 10 - 50, ended // 10 * 10 + 10, 10)) AS start FROM seen WHERE account IS NOT NULL)
- SELECT account, start, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM w GROUP BY 1, 2 HAVING start + 60 <= (SELECT max(ended) FROM seen WHERE account IS NOT NULL) - 600""")
+@query("h6_streamed_activity", """, seen AS (SELECT account, epoch + CAST(floor(coalesce(t_total, 0) / 1000) AS BIGINT) AS second, total_tokens FROM calls WHERE NOT flying AND account IS NOT NULL AND id % 20 <> 3), s AS (SELECT account, second, count(*) AS n, sum(total_tokens) AS tokens FROM seen GROUP BY 1, 2)
+ SELECT account, second, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(tokens) OVER w AS BIGINT) AS tokens FROM s WINDOW w AS (PARTITION BY account ORDER BY second RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def h6(spark, d):
-    """Windows of a minute that begin every ten seconds, of calls by the second at which their end is seen."""
-    rows = live.sliding_activity(live.observed(adapter.invocation_stream(spark, d)).where("account is not null"), step="10 seconds")
-    path = drained(spark, "h6", lambda out, check: live.by_batch(rows, out, check))
-    return spark.read.parquet(path).drop("batch")
+    """Windows of the last minute by the second at which the end of a call is seen, open ones, too; every twentieth call is taken back a batch later."""
+    ended = live.observed(calls(spark, d)).select("id", "account", F.unix_seconds("at").alias("second"), "at", "total_tokens")
+    at = quarter(ended, "second")
+    rows = ended.withColumns({"sign": F.lit(1), "b": at}).union(ended.where("id % 20 = 3").withColumns({"sign": F.lit(-1), "b": at + 1}))
+    stream_ = arriving(spark, rows, "h6-in", F.col("b"))
+    path = drained(spark, "h6", lambda out, check: live.by_batch(stateful.activity(stream_, keep=40 * 86_400), out, check, mode="update"))
+    return stateful.read_activity(live.latest_of(spark, path, "account", "second"))
 
 
 @query("h7_streamed_network", """, s AS (SELECT unnest(['global', 'source:' || source] || CASE WHEN account IS NOT NULL THEN ['account:' || account] ELSE [] END) AS scope, epoch, input_tokens FROM calls),

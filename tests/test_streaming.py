@@ -121,3 +121,46 @@ def test_route_health_is_the_walk(spark, seed):
     df = spark.createDataFrame(walk, "id long, account long, model string, epoch long, event_type string").repartition(4)
     found = live.route_health(df)
     assert dict(rows(found)) == wanted and "Python" not in found._jdf.queryExecution().toString()
+
+
+@pytest.fixture(scope="module")
+def stateful_session(spark):
+    from callscope.streaming import stateful
+
+    return stateful.session(spark)
+
+
+def replayed(session, folder, like, batches, start):
+    """What a stream over `batches` of rows, one file each, has written, and where its checkpoint lies."""
+    import os
+    import time
+
+    for i, batch in enumerate(batches):
+        session.createDataFrame(batch, like).withColumn("at", F.timestamp_seconds("second" if "second" in like else "epoch")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    assert os.path.isdir(f"{folder}/in")
+    rows_ = session.read.parquet(f"{folder}/in")
+    stream = session.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    live.by_batch(start(stream), f"{folder}/out", f"{folder}/check", mode="update").awaitTermination()
+
+
+def test_repeated_rows_rebuild_their_minute(spark, stateful_session, tmp_path):
+    """Repeats count once, corrections replace, open minutes are shown, and what the horizon has passed holds no state."""
+    from callscope.streaming import stateful
+
+    day = 86_400
+    batches = [[(1, day, 5), (2, day + 30, 7), (3, day + 61, 1)], [(2, day + 30, 70), (1, day, 5), (4, day + 59, 1)], [(5, 4 * day, 9)], [(6, 4 * day + 1, 1)]]
+    replayed(stateful_session, str(tmp_path), "id long, epoch long, total_tokens long", batches, lambda s: stateful.minutes(s, keep=day))
+    got = stateful.read_minutes(live.latest_of(spark, f"{tmp_path}/out", "minute", "shard"))
+    assert rows(got) == [(day, 3, 76), (day + 60, 1, 1), (4 * day, 2, 10)]
+    held = stateful_session.read.format("statestore").option("path", f"{tmp_path}/check").option("stateVarName", "sums").load().select("key.minute").distinct()
+    assert rows(held) == [(4 * day,)]
+
+
+def test_retractions_leave_their_window(spark, stateful_session, tmp_path):
+    from callscope.streaming import stateful
+
+    batches = [[(1, 599, 5, 1), (1, 600, 7, 1), (1, 658, 1, 1), (2, 600, 2, 1), (None, 600, 2, 1)], [(1, 659, 3, 1), (1, 600, 7, -1)], [(1, 599, 5, 1)]]
+    replayed(stateful_session, str(tmp_path), "account long, second long, total_tokens long, sign long", batches, stateful.activity)
+    got = stateful.read_activity(live.latest_of(spark, f"{tmp_path}/out", "account", "second"))
+    assert rows(got) == [(1, 599, 2, 10), (1, 658, 3, 11), (1, 659, 2, 4), (2, 600, 1, 2)]
