@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import totals as T
+from ..operators import weights
 from ..sources import adapter, archive
 from ..streaming import live, stateful
 from .registry import calls, paid, query
@@ -118,7 +119,7 @@ walk(proxy_key, rn, id, epoch, weight, failures, rate, mean) AS (SELECT DISTINCT
 
 @query("h8_node_weights", f"{WALK} SELECT id, proxy_key, round(weight, 6) AS weight, failures, round(rate, 6) AS success_rate, round(mean, 6) AS latency_mean FROM walk WHERE rn > 0", recursive=True)
 def h8(spark, d):
-    found = live.node_weights(adapter.node_attempts(calls(spark, d)))
+    found = weights.node_weights(adapter.node_attempts(calls(spark, d)))
     return found.select("id", "proxy_key", F.round("weight", 6).alias("weight"), "failures", *(F.round(c, 6).alias(c) for c in ("success_rate", "latency_mean")))
 
 
@@ -126,8 +127,8 @@ def h8(spark, d):
 def h8b(spark, d):
     """Hours of each node with positive weight at their end, from the replay of all attempts."""
     rows = adapter.node_attempts(calls(spark, d))
-    weights = live.node_weights(rows).join(rows.select("id", "epoch"), "id")
-    last = weights.groupBy("proxy_key", T.hour()).agg(F.max_by("weight", F.struct("epoch", "id")).alias("weight"))
+    known = weights.node_weights(rows).join(rows.select("id", "epoch"), "id")
+    last = known.groupBy("proxy_key", T.hour()).agg(F.max_by("weight", F.struct("epoch", "id")).alias("weight"))
     return last.select("proxy_key", "hour", F.round("weight", 6).alias("weight"), (F.col("weight") > 0).alias("positive"))
 
 

@@ -5,8 +5,6 @@ Streams are read from files of calls with a timestamp `at`; state is bounded by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,57 +113,6 @@ def read_network(spark: SparkSession, path: str) -> DataFrame:
     return found.join(F.broadcast(last), "grain").withColumn("open", (F.col("grain") == "five_minutes") & (F.col("start") == F.col("last"))).drop("last")
 
 
-#: Fixed values of the two rules that weigh nodes.
-RULES = {
-    1: {"bonus": 0.45, "divisor": 2500.0, "cap": 0.6, "gain": None, "base": 0.9, "step": 0.35, "first": 0, "most": None, "low": -12.0, "high": 12.0, "probe": 0.4, "floor": 0.6, "to": 0.3},
-    2: {"bonus": 0.55, "divisor": 9000.0, "cap": 0.35, "gain": 0.08, "base": 0.5, "step": 0.18, "first": 1, "most": 1.2, "low": -8.0, "high": 8.0, "probe": 0.55, "floor": 0.25, "to": 0.25},
-}
-NODE_STATE = (0.7, 0, None, None)  # weight, failures in a row, mean success, mean latency
-
-
-def weigh(state: tuple, success: bool, latency: float | None, probe: bool, rule: int = 2) -> tuple:
-    """The next state of a node after one attempt."""
-    weight, failures, rate, mean = state
-    r = RULES[rule]
-    rate = float(success) if rate is None else 0.9 * rate + 0.1 * success
-    if success:
-        if latency is not None and latency == latency:
-            mean = latency if mean is None else 0.8 * mean + 0.2 * latency
-        penalty = 0.0 if mean is None else min(mean / r["divisor"], r["cap"])
-        weight += r["bonus"] - penalty if r["gain"] is None else max(r["bonus"] - penalty, r["gain"])
-        failures = 0
-        if probe and weight <= 0:
-            weight = r["probe"]
-    else:
-        failures += 1
-        loss = r["base"] + r["step"] * (failures - 1 + r["first"])
-        weight -= loss if r["most"] is None else min(loss, r["most"])
-    weight = min(max(weight, r["low"]), r["high"])
-    return (max(weight, r["to"]) if success and weight < r["floor"] else weight), failures, rate, mean
-
-
-def _walk(batches: Iterator[pd.DataFrame], rule: int) -> Iterator[pd.DataFrame]:
-    states: dict[str, tuple] = {}
-    for rows in batches:
-        out = []
-        for key, success, latency, probe in zip(rows["proxy_key"], rows["is_success"], rows["latency_ms"], rows["is_probe"], strict=True):
-            state = states.get(key, NODE_STATE)
-            states = {key: weigh(state, bool(success), latency, bool(probe), rule)}  # rows come by node: one state is enough
-            out.append(states[key])
-        made = pd.DataFrame(out, columns=["weight", "failures", "success_rate", "latency_mean"])
-        yield pd.concat([rows[["id", "proxy_key"]].reset_index(drop=True), made], axis=1)
-
-
-def node_weights(attempts: DataFrame, rule: int = 2) -> DataFrame:
-    """H8: weight, failures in a row and moving means of a node after each of its attempts, in order of time.
-
-    Rows stream through in batches of bounded size with one carried state per node; the order inside a node is inherent.
-    """
-    ordered = attempts.repartition("proxy_key").sortWithinPartitions("proxy_key", "epoch", "id")
-    schema = "id long, proxy_key string, weight double, failures long, success_rate double, latency_mean double"
-    return ordered.select("id", "proxy_key", "is_success", "latency_ms", "is_probe").mapInPandas(lambda it: _walk(it, rule), schema)
-
-
 def route_health(calls: DataFrame, least: int = 5, apart: int = 30, first: int = 15, most: int = 60) -> DataFrame:
     """H9: state of each (account, model) after each attempt: a streak of failures cools a route down for 15 * 2^k seconds, at most 60; success resets.
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import series, totals
+from callscope.operators import series, totals, weights
 from callscope.sources import adapter
 from callscope.streaming import live
 
@@ -78,12 +78,12 @@ def test_in_progress(spark, source):
 @pytest.mark.parametrize("rule", [1, 2])
 def test_node_weights(spark, rule):
     attempts = adapter.node_attempts(adapter.invocations(spark, DATA))
-    got = {r["id"]: (r["weight"], r["failures"]) for r in live.node_weights(attempts, rule).collect()}
+    got = {r["id"]: (r["weight"], r["failures"]) for r in weights.node_weights(attempts, rule).collect()}
     states: dict = {}
     for r in sorted(attempts.collect(), key=lambda r: (r["epoch"], r["id"])):
-        states[r["proxy_key"]] = live.weigh(states.get(r["proxy_key"], live.NODE_STATE), r["is_success"], r["latency_ms"], r["is_probe"], rule)
-        assert got[r["id"]] == states[r["proxy_key"]][:2]
-    low, high = live.RULES[rule]["low"], live.RULES[rule]["high"]
+        states[r["proxy_key"]] = weights.weigh(states.get(r["proxy_key"], weights.START), r["is_success"], r["latency_ms"], r["is_probe"], rule)
+        assert got[r["id"]] == pytest.approx(states[r["proxy_key"]][:2], abs=1e-12)  # maps are composed in another order
+    low, high = weights.RULES[rule]["low"], weights.RULES[rule]["high"]
     assert all(low <= w <= high for w, _ in got.values())
 
 
@@ -164,3 +164,39 @@ def test_retractions_leave_their_window(spark, stateful_session, tmp_path):
     replayed(stateful_session, str(tmp_path), "account long, second long, total_tokens long, sign long", batches, stateful.activity)
     got = stateful.read_activity(live.latest_of(spark, f"{tmp_path}/out", "account", "second"))
     assert rows(got) == [(1, 599, 2, 10), (1, 658, 3, 11), (1, 659, 2, 4), (2, 600, 1, 2)]
+
+
+@pytest.mark.parametrize(("rule", "segment", "good"), [(1, 7, 0.5), (2, 64, 0.3), (2, 2048, 0.9), (1, 500, 0.12), (2, 1, 0.4)])
+def test_node_weights_over_segments(spark, monkeypatch, rule, segment, good):
+    """One node with nearly all attempts, over many tasks and segments of any length, against the rule from attempt to attempt."""
+    monkeypatch.setattr(weights, "SEGMENT", segment)
+    r = random.Random(segment)
+    given = [(i, "hot" if i % 40 else f"n{i % 3}", i // 7, r.random() < good, r.choice([None, float("nan"), 0.0, r.expovariate(0.001), 20000.0]), r.random() < 0.3) for i in range(1200)]
+    df = spark.createDataFrame(given, "id long, proxy_key string, epoch long, is_success boolean, latency_ms double, is_probe boolean").repartition(5)
+    got = {x["id"]: tuple(x[1:]) for x in weights.node_weights(df, rule).collect()}
+    states = {}
+    for i, node, _, ok, latency, probe in given:
+        states[node] = weights.weigh(states.get(node, weights.START), ok, latency, probe, rule)
+        weight, failures, rate, mean = states[node]
+        key, w, f, x, m = got[i]
+        assert key == node and f == failures and w == pytest.approx(weight, abs=1e-9) and x == pytest.approx(rate, abs=1e-12)
+        assert m is None if mean is None else m == pytest.approx(mean, rel=1e-12)
+    assert len(got) == len(given)
+
+
+def test_pieces_are_the_walk():
+    """A segment's pieces give the weight after it for any weight before it."""
+    r = random.Random(3)
+    for rule in (1, 2):
+        for n in (1, 2, 5, 40, 300):
+            ok, probe = [r.random() < 0.5 for _ in range(n)], [r.random() < 0.4 for _ in range(n)]
+            own = weights.Segment(ok, [r.expovariate(0.001) for _ in range(n)], probe, rule)
+            own.set_seeds(2, 0.5, 800.0)
+            pieces = own.pieces()
+            for w in [*(r.uniform(-12, 12) for _ in range(20)), -8.0, 0.0, 0.25, 8.0]:
+                seen, found = w, own.weights(w)
+                for i in range(n):
+                    set_ = ok[i] and probe[i] and seen + own.d[i] <= 0
+                    seen = own.saved if set_ else min(max(seen + own.d[i], own.low[i]), own.high[i])
+                    assert abs(found[i] - seen) < 1e-9
+                assert weights._weight_step((w,), {"pieces": pieces})[0] == pytest.approx(seen, abs=1e-9)
