@@ -194,12 +194,20 @@ def summary(rows: DataFrame) -> DataFrame:
     return sums.join(p95, "__all").select(*(c for c in sums.columns if c != "__all"), *shown)
 
 
-def node_profiles(attempts: DataFrame) -> DataFrame:
-    """Success rate and latency percentiles of each node, without probes."""
+#: Fixed value: the success rate of a node that no attempt has shown.
+UNSEEN_RATE = 0.65
+
+
+def node_profiles(attempts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Success rate, latency percentiles and kinds of failure (kind:count, the most frequent first) of each of `nodes`, without probes."""
     rows = attempts.where("not is_probe")
     rates = rows.groupBy("proxy_key").agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_success").cast("double")), 9).alias("success_rate"))
-    p = selection.percentiles(rows, ["proxy_key"], {"ms": F.col("latency_ms")}, (0.5, 0.95))
-    return rates.join(p, "proxy_key").select("proxy_key", "n", "success_rate", F.round(F.col("ms")[0], 6).alias("p50"), F.round(F.col("ms")[1], 6).alias("p95"))
+    p = selection.percentiles(rows, ["proxy_key"], {"ms": F.col("latency_ms")}, (0.5, 0.95)).select("proxy_key", F.round(F.col("ms")[0], 6).alias("p50"), F.round(F.col("ms")[1], 6).alias("p95"))
+    kinds = rows.where("not is_success").groupBy("proxy_key", F.coalesce("failure_kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("m"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("less"), "kind")))  # as many as there are kinds
+    said = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["kind"], (-x["less"]).cast("string"))), ",")
+    found = nodes.select("proxy_key").join(rates, "proxy_key", "left").join(p, "proxy_key", "left").join(kinds.groupBy("proxy_key").agg(said.alias("failures")), "proxy_key", "left")
+    return found.select("proxy_key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("success_rate", F.lit(UNSEEN_RATE)).alias("success_rate"), "p50", "p95", F.coalesce("failures", F.lit("")).alias("failures"))
 
 
 TRAILING = {"1m": 60, "15m": 900, "1h": 3600, "1d": 86400, "7d": 604800}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,27 @@ def subtracted(total: DataFrame, part: DataFrame, keys: list[str], sums: list[st
     return signed.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums)).where(F.col(sums[0]) != 0)
 
 
+class PartialFacts(ValueError):
+    """Days that can't be computed anew, as some of their rows are missing."""
+
+
+def refreshed(stored: DataFrame, facts: DataFrame, expected: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Daily rows (day, n, ...): those whose n is that of the facts stay, others are computed from the facts of their days.
+
+    expected: the manifest (day, n) of what the facts should be. If a stale day lacks some of it, nothing is rebuilt: PartialFacts.
+    """
+    day = F.floor(F.col("epoch") / 86400)
+    held = facts.groupBy(day.alias("day")).agg(F.count("*").alias("facts"))
+    wanted = expected.groupBy("day").agg(F.sum("n").alias("wanted"))
+    good = stored.join(wanted, "day").where("n = wanted").select(stored.columns)
+    stale = wanted.join(good.select("day"), "day", "left_anti")
+    partial = stale.join(held, "day", "left").where("facts is null or facts <> wanted").select("day").first()
+    if partial:
+        raise PartialFacts(f"day {partial[0]}")
+    anew = compute(facts.withColumn("day", day).join(stale.select("day"), "day", "left_semi").drop("day"))
+    return good.unionByName(anew.select(stored.columns))
+
+
 def backfilled(calls: DataFrame, bodies: DataFrame, usage: Column) -> DataFrame:
     """Token counts of calls that have none, from the stored bodies (id, body)."""
     found = bodies.select("id", usage.alias("u"))

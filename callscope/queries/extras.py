@@ -7,7 +7,7 @@ from ..operators import records as R
 from ..operators import series as S
 from ..operators import totals as T
 from ..operators import upkeep as U
-from ..sources import adapter, archive
+from ..sources import adapter, archive, ledger
 from ..sources.adapter import NOW
 from ..streaming import live
 from .registry import SNAPSHOT, calls, paid, query, snapshot
@@ -143,11 +143,15 @@ def i6(spark, d):
     return live.rebuilt(old, all_, old.where("hour % 7200 = 0").select("hour").distinct()).select("hour", "source", "n")
 
 
-@query("i7_missing_materialisations", "SELECT epoch // 86400 AS day, count(*) AS n FROM calls WHERE epoch // 86400 % 3 = 0 GROUP BY 1")
+@query("i7_missing_materialisations", f"SELECT epoch // 86400 AS day, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens, CASE WHEN epoch < {START} THEN 0 ELSE 1 END AS run FROM calls GROUP BY 1, 4")
 def i7(spark, d):
-    """Archive days that no rollup covers yet."""
-    days = U.manifest(calls(spark, d))
-    return days.join(days.where("day % 3 <> 0").select("day"), "day", "left_anti").select("day", "n")
+    """A rollup from archives in two runs: the second reads only the files of days that were archived after the first."""
+    rows, path, root = calls(spark, d).select("id", "epoch", "total_tokens"), archive.shared_dir(spark, "i7-archive"), archive.shared_dir(spark, "i7")
+    daily = lambda part: part.groupBy(F.floor(F.col("epoch") / 86400).alias("day")).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
+    for run, part in enumerate((rows.where(F.col("epoch") < START), rows.where(F.col("epoch") >= START))):
+        archive.write(part, path, "calls")
+        ledger.materialise(spark, path, "calls", rows.schema, root, run, daily)
+    return ledger.rollups(spark, root)
 
 
 @query("i9_reconciled", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) + CASE WHEN source = 'xy' THEN 5 ELSE 0 END AS n, source = 'proxy' AS complete FROM calls GROUP BY 1, 2")
@@ -195,15 +199,18 @@ def i14(spark, d):
 
 @query("i17_archived_node_hours", f"SELECT proxy_key, epoch // 3600 * 3600 AS hour, count(*) AS n, count(*) FILTER (WHERE is_success) AS success FROM nodes WHERE epoch < {START} GROUP BY 1, 2")
 def i17(spark, d):
-    return R.node_hours(timing.within(adapter.node_attempts(calls(spark, d)), None, START)).select("proxy_key", "hour", "n", "success")
+    """Hours of nodes from the archive of their attempts."""
+    old, path = timing.within(adapter.node_attempts(calls(spark, d)), None, START), archive.shared_dir(spark, "i17")
+    archive.write(old, path, "node_attempts")
+    return R.node_hours(archive.read(spark, path, "node_attempts", old.schema, end=START)).select("proxy_key", "hour", "n", "success")
 
 
 @query("i20_long_term_refresh", "SELECT epoch // 86400 AS day, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1")
 def i20(spark, d):
-    """Days that are complete keep their stored row, stale ones are replaced from the facts."""
-    c = calls(spark, d)
-    fresh = S.long_term(c, status.long_term_success(F.col("status"), F.col("error_message"))).where("dimension = 'overall'").select("day", "n", "tokens")
-    stored = fresh.withColumn("n", F.when(F.col("day") % 4 == 0, F.lit(0)).otherwise(F.col("n")))
-    counts = U.manifest(c).select("day", F.col("n").alias("facts"))
-    good = stored.join(counts, "day").where("n = facts").select("day", "n", "tokens")
-    return good.unionByName(fresh.join(good.select("day"), "day", "left_anti"))
+    """Stored days that lack calls which came late are computed anew from archive and live rows, all others keep their row."""
+    c, path = calls(spark, d), archive.shared_dir(spark, "i20")
+    day = lambda rows: S.long_term(rows, status.long_term_success(F.col("status"), F.col("error_message"))).where("dimension = 'overall'").select("day", "n", "tokens")
+    stored = day(c.where("id % 97 <> 0 or epoch div 86400 % 2 = 0"))
+    live, expected = archive.moved(c, path, "calls", START)
+    facts = archive.read(spark, path, "calls", c.schema).unionByName(live)
+    return U.refreshed(stored, facts, expected.unionByName(archive.manifest(live)), day)

@@ -138,9 +138,11 @@ def c31(spark, d):
     return adapter.accounts(spark).join(used, "account", "left").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "oauth").alias("oauth"), F.count_if(F.col("kind") == "api_key").alias("api_key"), F.count_if(~F.col("enabled")).alias("attention"), F.sum("n").alias("calls"))
 
 
-@query("c33_node_profiles", "SELECT proxy_key, count(*) AS n, round(avg(CASE WHEN is_success THEN 1.0 ELSE 0.0 END), 9) AS success_rate, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM nodes WHERE NOT is_probe GROUP BY 1")
+@query("c33_node_profiles", """, used AS (SELECT * FROM nodes WHERE NOT is_probe), kinds AS (SELECT proxy_key, string_agg(kind || ':' || m, ',' ORDER BY m DESC, kind) AS failures FROM (SELECT proxy_key, coalesce(failure_kind, 'unknown') AS kind, count(*) AS m FROM used WHERE NOT is_success GROUP BY 1, 2) GROUP BY 1),
+ found AS (SELECT proxy_key, count(*) AS n, round(avg(CASE WHEN is_success THEN 1.0 ELSE 0.0 END), 9) AS success_rate, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM used GROUP BY 1)
+ SELECT k.proxy_key, coalesce(n, 0) AS n, coalesce(success_rate, 0.65) AS success_rate, p50, p95, coalesce(failures, '') AS failures FROM (SELECT 'node-' || i AS proxy_key FROM range(6) r(i)) k LEFT JOIN found USING (proxy_key) LEFT JOIN kinds USING (proxy_key)""")
 def c33(spark, d):
-    return R.node_profiles(adapter.node_attempts(calls(spark, d)))
+    return R.node_profiles(adapter.node_attempts(calls(spark, d)), adapter.nodes(spark))
 
 
 @query("c34_distinct_conversations", "SELECT source, count(DISTINCT conversation) AS conversations, count(DISTINCT conversation) FILTER (WHERE flying) AS flying FROM calls GROUP BY 1")

@@ -80,6 +80,11 @@ def node_attempts(calls: DataFrame) -> DataFrame:
     return calls.selectExpr("id", "model route", "concat('node-', user_id % 5) proxy_key", "occurred_at", "epoch", "status", "error_message", "event_type <> 'error' is_success", "value * 4 latency_ms", "(id - 1) % 50 = 0 is_probe", "if(event_type = 'error', status, null) failure_kind")
 
 
+def nodes(spark: SparkSession) -> DataFrame:
+    """A small dimension: the five nodes that attempts use, and one that none has used yet."""
+    return spark.range(6).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("proxy_key"))
+
+
 def limit_samples(calls: DataFrame) -> DataFrame:
     """One sample of the usage windows per call of an account."""
     return calls.where("account is not null").selectExpr("id", "account", "epoch captured", "value % 100 short_percent", "(value * 3) % 100 long_percent", "300 short_minutes", "10080 long_minutes", f"(epoch div {DAY} + 1) * {DAY} resets")

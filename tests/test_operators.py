@@ -10,7 +10,7 @@ from callscope import catalog
 from callscope.functions import histogram, timing
 from callscope.operators import records, selection, totals, upkeep
 from callscope.queries.registry import calls, paid
-from callscope.sources import adapter, archive
+from callscope.sources import adapter, archive, ledger
 
 
 def rows(df):
@@ -172,7 +172,7 @@ def test_no_window_spans_a_conversation(spark, data):
 PRUNED = {
     "a3_live_and_archive": ("GreaterThanOrEqual", "LessThan"), "a6_rollup_range": ("both",), "b34_kpis": ("both",), "d5b_active_minutes": ("both",), "d13_trailing_windows": ("both",), "d14_node_day": ("both",),
     "e1_rollup_and_tail": ("both", "both"), "e5_active_histories": ("both",), "e6_blocked_conversations": ("both", "both"), "f5_keyset_page": ("LessThan",), "g3_key_union": ("both", "both"),
-    "h16_horizon": ("GreaterThanOrEqual",), "i5_expired_archives": ("LessThan",), "i15_last_activity": ("GreaterThanOrEqual", "LessThan"), "i17_archived_node_hours": ("LessThan",),
+    "h16_horizon": ("GreaterThanOrEqual",), "i5_expired_archives": ("LessThan",), "i15_last_activity": ("GreaterThanOrEqual", "LessThan"),
 }
 
 
@@ -184,3 +184,33 @@ def test_ranges_are_pushed(spark, data, name):
     for wanted in set(PRUNED[name]):
         found = both if wanted == "both" else [s for s in scans if f"{wanted}(ts," in s]
         assert len(found) >= PRUNED[name].count(wanted), scans
+
+
+def test_archives_are_materialised_by_file(spark):
+    """A second run reads new files alone, a third finds none, a run done again changes nothing, and a changed file is refused."""
+    path, root = archive.shared_dir(spark, "ledger-archive"), archive.shared_dir(spark, "ledger")
+    df = spark.range(3000).select("id", (F.col("id") * 100).alias("epoch"))
+    daily = lambda rows_: rows_.groupBy(F.floor(F.col("epoch") / 86400).alias("day")).agg(F.count("*").alias("n"))
+    run = lambda n: ledger.materialise(spark, path, "calls", df.schema, root, n, daily)
+    archive.write(df.where("epoch < 100000"), path, "calls")
+    first = rows(run(0).select("day", "n"))
+    archive.write(df.where("epoch >= 172800"), path, "calls")
+    second = rows(run(1).select("day", "n"))
+    assert {x[0] for x in first} == {0, 1} and {x[0] for x in second} == {2, 3} and sum(x[1] for x in first) == 1000 and sum(x[1] for x in second) == 3000 - 1728
+    assert rows(run(1).select("day", "n")) == second and run(2).count() == 0
+    want = daily(df.where("epoch < 100000 or epoch >= 172800"))
+    assert rows(ledger.rollups(spark, root).groupBy("day").agg(F.sum("n"))) == rows(want)
+    archive.write(df.where("epoch < 86400 and id % 2 = 0"), path, "calls")
+    with pytest.raises(ledger.ChangedArchive):
+        run(3)
+
+
+def test_partial_rebuilds_are_refused(spark):
+    facts = spark.range(300).select("id", (F.col("id") * 864).alias("epoch"))
+    daily = lambda rows_: rows_.groupBy(F.floor(F.col("epoch") / 86400).alias("day")).agg(F.count("*").alias("n"))
+    stored = spark.createDataFrame([(0, 100, "kept"), (1, 7, "stale")], "day long, n long, note string")
+    compute = lambda rows_: daily(rows_).withColumn("note", F.lit("new"))
+    assert rows(upkeep.refreshed(stored, facts, archive.manifest(facts), compute)) == [(0, 100, "kept"), (1, 100, "new"), (2, 100, "new")]
+    with pytest.raises(upkeep.PartialFacts):
+        upkeep.refreshed(stored, facts.where("id <> 150"), archive.manifest(facts), compute)
+    assert rows(upkeep.refreshed(stored.where("day = 0"), facts.where("id < 100 and id <> 50"), archive.manifest(facts.where("id < 100")), compute)) == [(0, 100, "kept")]
