@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer, and a reader of what it wrote.
 
-Records are sorted by ranges of page_id whose borders come from sums of payload bytes over at most `BLOCKS` equal blocks of ids, so the same pages
+Records are sorted by ranges of page_id whose borders come from prefix sums of payload bytes over at most `BLOCKS` equal blocks of ids, so the same pages
 give the same shards whatever the cluster. A block of more than a shard's bytes is cut into `FINER` equal blocks again, and one that holds a single
 page_id, or none, by the digests of its payloads. A shard rolls to a new file once its compressed size reaches `roll_bytes`. Headers and digests are
 made anew from the payload. Files are written under temporary names that carry the attempt; the manifest, a table that Spark commits, names the
@@ -19,16 +19,18 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import re
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, load, parallelism
+from .common import Stage, load, parallelism, small
 
 BLOCKS, FINER, SHARD_BYTES, ROLL_BYTES, DATE = 1 << 14, 1 << 10, 64 << 20, 16 << 20, "2024-01-01T00:00:00Z"
 _ROWS = 256
@@ -114,38 +116,48 @@ def _commit(batches):
         yield batch.drop_columns(["root"])
 
 
-def sharded(keyed: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+def _ranged(table: pa.Table, before: dict[int, int], shard_bytes: int) -> pa.Table:
+    """Shards of the blocks of a range of paths: by the sum of all sizes before, of earlier ranges and of this one."""
+    table = table.sort_by("path")
+    sizes = table["size"].to_numpy()
+    shard = (before[table["part"][0].as_py()] + np.cumsum(sizes) - sizes) // shard_bytes
+    return pa.table([table["path"], pa.array(shard, pa.int32())], ["path", "shard"])
+
+
+def sharded(keyed: DataFrame, shard_bytes: int, stage: Stage) -> tuple[DataFrame, int]:
     """keyed (page_id, sha, size) with the shard of each row, which grows with page_id, and how many shards there are.
 
-    Blocks are named by paths that sort like their pages. Only sums by block come to the driver: BLOCKS + 1 at first, then FINER (256
-    by digests) for each block that is larger than a shard, as long as there are such that hold different pages.
+    Blocks are named by paths that sort like their pages: BLOCKS at first, then FINER (256 by digests) for each that is larger than a shard, as long as
+    there are such that hold different pages. Sums by block stay on the executors; a shard is the prefix sum of its blocks over ranges of paths. What comes to the
+    driver is one sum for each of these ranges, as many as there are shuffle partitions.
     """
     spark = keyed.sparkSession
-
-    def sums(rows: DataFrame) -> dict[str, tuple[int, bool]]:
-        many = (F.min("sha") != F.max("sha")) | F.coalesce(F.min("page_id") != F.max("page_id"), F.lit(False))
-        return {path: (size, some) for path, size, some in rows.groupBy("path").agg(F.sum("size"), many).collect()}
-
+    many = (F.min("sha") != F.max("sha")) | F.coalesce(F.min("page_id") != F.max("page_id"), F.lit(False))
+    sums = lambda rows, turn: stage.keep(rows.groupBy("path").agg(F.sum("size").alias("size"), many.alias("many")), f"blocks-{turn}")
     name = lambda number: F.lpad(F.hex(F.expr(number)), 16, "0")
     low, high = (x or 0 for x in keyed.agg(F.min("page_id"), F.max("page_id")).first())
     step, turn = max(1, -(-(high - low + 1) // BLOCKS)), 0
     floor = f"page_id div {step}L - cast(page_id < 0 and page_id % {step}L <> 0 as bigint)"
     now = keyed.withColumn("path", F.coalesce(name(f"{floor} - ({low // step}L)"), F.lit("-")))
-    sizes = sums(now)
-    while (heavy := [path for path, (size, many) in sizes.items() if size > shard_bytes and many]) and turn < 20:
+    sizes = sums(now, 0)
+    while turn < 20:
+        heavy = stage.keep(sizes.where((F.col("size") > shard_bytes) & F.col("many")).select("path", F.lit(True).alias("cut")), f"heavy-{turn}")
+        if heavy.isEmpty():
+            break
         finer, digits = max(1, -(-step // FINER)), F.substring("sha", 1 + 2 * turn, 2)
         inside = F.coalesce(name(f"pmod(page_id, {step}L) div {finer}L"), digits) if step > 1 else digits
-        now = now.join(F.broadcast(spark.createDataFrame([(path, True) for path in heavy], "path string, cut boolean")), "path", "left")
+        now = now.join(small(heavy), "path", "left")
         now = now.withColumn("path", F.when(F.col("cut"), F.concat_ws("/", "path", inside)).otherwise(F.col("path")))
-        sizes = {path: x for path, x in sizes.items() if path not in set(heavy)} | sums(now.where("cut"))
-        now, step, turn = now.drop("cut"), finer, turn + 1
-    total, shard, rows = 0, 0, []
-    for path, (size, _) in sorted(sizes.items()):
-        rows.append((path, shard))
-        total += size
-        if total >= shard_bytes:
-            total, shard = 0, shard + 1
-    return now.join(F.broadcast(spark.createDataFrame(rows, "path string, shard int")), "path").drop("path"), rows[-1][1] + 1 if rows else 1
+        kept, step, turn = sizes.join(heavy, "path", "left_anti"), finer, turn + 1
+        fresh_ = sums(now.where("cut"), f"{turn}-cut")
+        sizes, now = stage.keep(kept.unionByName(fresh_), f"blocks-{turn}"), now.drop("cut")
+    # Ranges of paths are written, so that their sums and their prefixes are of the same rows.
+    ranges = stage.keep(sizes.repartitionByRange(parallelism(spark), "path").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = dict(ranges.groupBy("part").agg(F.sum("size")).collect())
+    before = dict(zip(sorted(parts), itertools.accumulate([0, *(parts[p] for p in sorted(parts))]), strict=False))
+    shards = stage.keep(ranges.groupBy("part").applyInArrow(lambda t: _ranged(t, before, shard_bytes), "path string, shard int"), "shards")
+    last = shards.agg(F.max("shard")).first()[0]
+    return now.join(small(shards), "path").drop("path"), (last or 0) + 1
 
 
 def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE, stage: Stage | None = None) -> DataFrame:
@@ -155,7 +167,7 @@ def write_archives(pages: DataFrame, root: str, least_revisit: int = 0, shard_by
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = pages.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
     firsts = stage.keep(keyed.where(F.col("size") >= least_revisit).groupBy("sha", "size").agg(F.min("page_id").alias("first")), "firsts")
-    placed, shards = sharded(keyed, shard_bytes)
+    placed, shards = sharded(keyed, shard_bytes, stage)
     placed = placed.withColumn("place", F.expr("coalesce(page_id, -9223372036854775808L)"))
     keys = ["shard", "place", "sha", "size"]
     refers = F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")).alias("refers_to")

@@ -569,7 +569,7 @@ def test_heavy_blocks_are_cut(spark, ids, monkeypatch):
     pages = [(make(i), "u", f"{i} " * 100) for i in range(400)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     keyed = df.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
-    placed, shards = warc.sharded(keyed, 10_000)
+    placed, shards = warc.sharded(keyed, 10_000, Stage(spark, "warc-shards"))
     sizes = rows(placed.groupBy("shard").agg(F.sum("size")))
     assert len(sizes) == shards >= 10 and max(n for _, n in sizes) < 20_000
     bounds = placed.where("page_id is not null").groupBy("shard").agg(F.min("page_id").alias("a"), F.max("page_id").alias("z")).orderBy("shard").collect()
