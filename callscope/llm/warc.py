@@ -139,18 +139,16 @@ def sharded(keyed: DataFrame, shard_bytes: int, stage: Stage) -> tuple[DataFrame
     step, turn = max(1, -(-(high - low + 1) // BLOCKS)), 0
     floor = f"page_id div {step}L - cast(page_id < 0 and page_id % {step}L <> 0 as bigint)"
     now = keyed.withColumn("path", F.coalesce(name(f"{floor} - ({low // step}L)"), F.lit("-")))
-    sizes = sums(now, 0)
-    while turn < 20:
-        heavy = stage.keep(sizes.where((F.col("size") > shard_bytes) & F.col("many")).select("path", F.lit(True).alias("cut")), f"heavy-{turn}")
-        if heavy.isEmpty():
-            break
+    fresh, heavy = sums(now, 0), (F.col("size") > shard_bytes) & F.col("many")
+    sizes = fresh.where(~heavy)
+    while turn < 20 and (cut := fresh.where(heavy).select("path", F.lit(True).alias("cut"))).count():
         finer, digits = max(1, -(-step // FINER)), F.substring("sha", 1 + 2 * turn, 2)
         inside = F.coalesce(name(f"pmod(page_id, {step}L) div {finer}L"), digits) if step > 1 else digits
-        now = now.join(small(heavy), "path", "left")
+        now = now.join(small(cut), "path", "left")
         now = now.withColumn("path", F.when(F.col("cut"), F.concat_ws("/", "path", inside)).otherwise(F.col("path")))
-        kept, step, turn = sizes.join(heavy, "path", "left_anti"), finer, turn + 1
-        fresh_ = sums(now.where("cut"), f"{turn}-cut")
-        sizes, now = stage.keep(kept.unionByName(fresh_), f"blocks-{turn}"), now.drop("cut")
+        step, turn = finer, turn + 1
+        fresh, now = sums(now.where("cut"), turn), now.drop("cut")
+        sizes = sizes.unionByName(fresh.where(~heavy) if turn < 20 else fresh)
     # Ranges of paths are written, so that their sums and their prefixes are of the same rows.
     ranges = stage.keep(sizes.repartitionByRange(parallelism(spark), "path").withColumn("part", F.spark_partition_id()), "ranges")
     parts = dict(ranges.groupBy("part").agg(F.sum("size")).collect())

@@ -563,7 +563,7 @@ def test_cut_archives_are_errors(spark):
 def test_heavy_blocks_are_cut(spark, ids, monkeypatch):
     """Pages that lie close together, have no id, or share one are still dealt to shards of the wanted size."""
     monkeypatch.setattr(warc, "BLOCKS", 16)
-    monkeypatch.setattr(warc, "FINER", 8)
+    monkeypatch.setattr(warc, "FINER", 64)
     r = random.Random(3)
     make = {"one far away": lambda i: i if i else 1 << 61, "full range": lambda i: r.randrange(-(1 << 63), 1 << 63), "none": lambda i: None, "all the same": lambda i: 7}[ids]
     pages = [(make(i), "u", f"{i} " * 100) for i in range(400)]
