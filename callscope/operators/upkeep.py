@@ -152,6 +152,22 @@ def refreshed(stored: DataFrame, facts: DataFrame, expected: DataFrame, compute:
     return good.unionByName(anew.select(stored.columns))
 
 
+#: What an hour of a source counts.
+HOURLY = ("n", "flying", "tokens")
+
+
+def signed_totals(rows: DataFrame) -> DataFrame:
+    """Hour and source: calls, calls in flight and tokens of rows (hour, source, flying, total_tokens, sign), those with sign -1 taken off."""
+    sign = F.col("sign").cast("long")
+    return rows.groupBy("hour", "source").agg(F.sum(sign).alias("n"), F.sum(F.when(F.col("flying"), sign).otherwise(0)).alias("flying"), F.coalesce(F.sum(sign * F.col("total_tokens")), F.lit(0)).alias("tokens"))
+
+
+def overlaid(stored: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Stored hours with signed deltas added: a call that has ended takes its row in flight back. Hours that come to nothing are left out."""
+    both = stored.select("hour", "source", *HOURLY).unionByName(deltas.select("hour", "source", *HOURLY))
+    return both.groupBy("hour", "source").agg(*(F.sum(c).alias(c) for c in HOURLY)).where(" or ".join(f"{c} <> 0" for c in HOURLY))
+
+
 def backfilled(calls: DataFrame, bodies: DataFrame, usage: Column) -> DataFrame:
     """Token counts of calls that have none, from the stored bodies (id, body)."""
     found = bodies.select("id", usage.alias("u"))

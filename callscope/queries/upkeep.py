@@ -252,13 +252,17 @@ def h11(spark, d):
     return U.stream_error_escapes(adapter.attempts(calls(spark, d)))
 
 
-@query("h12_overlay", "SELECT count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls")
+@query("h12_overlay", "SELECT epoch // 3600 * 3600 AS hour, source, count(*) AS n, count(*) FILTER (WHERE flying) AS flying, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2")
 def h12(spark, d):
-    """Stored rows and newer ones that overlap them, each counted once."""
-    c = calls(spark, d)
-    last = snapshot(c)
-    stored, fresh = c.where(F.col("id") <= last), c.where(F.col("id") > last - last // 10)
-    return stored.unionByName(fresh.join(stored.select("id"), "id", "left_anti")).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"))
+    """Stored hours of a first read, in which a tenth of the calls were still running, brought to a second read by what has changed between them."""
+    now = T.classified(calls(spark, d)).select("id", T.hour(), "source", "flying", "total_tokens")
+    last, running = snapshot(now), F.col("id") % 10 == 3
+    before = now.where(F.col("id") <= last).withColumns({"flying": F.col("flying") | running, "total_tokens": F.when(running, 0).otherwise(F.col("total_tokens"))})
+    stored = U.signed_totals(before.withColumn("sign", F.lit(1)))
+    ended = now.where((F.col("id") <= last) & running).select("id")
+    taken_back = before.join(ended, "id", "left_semi").withColumn("sign", F.lit(-1))
+    arrived = now.where((F.col("id") > last) | running).withColumn("sign", F.lit(1))
+    return U.overlaid(stored, U.signed_totals(taken_back.unionByName(arrived)))
 
 
 @query("h14_coverage", f"SELECT epoch // 3600 * 3600 AS hour, source AS scope, count(*) AS n, bool_and(id <= {SNAPSHOT}) AS complete FROM calls GROUP BY 1, 2")

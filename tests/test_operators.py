@@ -214,3 +214,11 @@ def test_partial_rebuilds_are_refused(spark):
     with pytest.raises(upkeep.PartialFacts):
         upkeep.refreshed(stored, facts.where("id <> 150"), archive.manifest(facts), compute)
     assert rows(upkeep.refreshed(stored.where("day = 0"), facts.where("id < 100 and id <> 50"), archive.manifest(facts.where("id < 100")), compute)) == [(0, 100, "kept")]
+
+
+def test_ended_calls_take_back_their_row_in_flight(spark):
+    """A call that ends in another hour, and one that is withdrawn, leave no trace of what they were."""
+    schema = "hour long, source string, flying boolean, total_tokens long, sign int"
+    stored = upkeep.signed_totals(spark.createDataFrame([(0, "a", True, 0, 1), (0, "a", False, 5, 1), (3600, "b", True, 0, 1), (0, None, False, None, 1)], schema))
+    deltas = upkeep.signed_totals(spark.createDataFrame([(0, "a", True, 0, -1), (7200, "a", False, 9, 1), (3600, "b", True, 0, -1)], schema))
+    assert rows(upkeep.overlaid(stored, deltas)) == [(0, "a", 1, 0, 5), (0, None, 1, 0, 0), (7200, "a", 1, 0, 9)]
