@@ -34,6 +34,13 @@ def _directions(width: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(width).standard_normal((width, min(width, DIRECTIONS))))[0]
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows whose squares would over- or underflow, multiplied by a power of two: angles stay as they are."""
+    exponent = np.frexp(np.abs(matrix).max(1))[1]
+    far = np.abs(exponent) > 400
+    return np.where(far[:, None], np.ldexp(matrix, -exponent[:, None]), matrix) if far.any() else matrix
+
+
 def _keys(batches):
     """vec_id, label, width, key, first projection and raw components of every row; width is null where the row can't link."""
     for batch in slices(batches):
@@ -41,6 +48,7 @@ def _keys(batches):
         width, key, place, raw = [None] * n, [None] * n, [None] * n, [None] * n
         named = np.asarray(batch.column(0).is_valid()) & np.asarray(batch.column(1).is_valid())
         for rows, matrix in usable(batch.column(2)):
+            matrix = scaled(matrix)
             length = np.linalg.norm(matrix, axis=1)
             matrix = matrix + 0.0  # one zero
             fine = named[rows] & (length > 0) & np.isfinite(length)

@@ -200,6 +200,14 @@ def test_near_vectors(spark, tile, monkeypatch):
     assert rows(near_vectors.near_duplicates(df.where("false"))) == []
 
 
+def test_norms_beyond_doubles(spark):
+    """Vectors whose squares over- or underflow link by their angles, with each other and with others."""
+    given = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1.0, 1.0]), (4, [3e-200, 3e-200]), (5, [5e-324, 5e-324]), (6, [1e300, -1e300]), (7, [0.0, 0.0]), (8, [1e308, 0.0]), (9, [2e-308, 1e-320])]
+    df = spark.createDataFrame([(*x, 1) for x in given], "vec_id long, embedding array<double>, label int")
+    got = {x[0]: tuple(x[1:]) for x in near_vectors.near_duplicates(df).collect()}
+    assert got == {1: (4, 1, True), **{i: (4, 1, False) for i in (2, 3, 4, 5)}, 6: (0, 6, True), 7: (0, 7, True), 8: (1, 8, True), 9: (1, 8, False)}
+
+
 def test_vectors_that_share_an_id(spark):
     given = [(50, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (51, [1.0, 0.01], 1), (49, [0.0, 1.0], 2), (50, [1.0, 0.0], 2), (52, [0.01, 1.0], 1), (3, [0.0, 2.0], 1)]
     df = spark.createDataFrame(given, "vec_id long, embedding array<double>, label int")
