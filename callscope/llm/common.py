@@ -81,11 +81,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the values of each span, whatever their order. Good for counts; spans of equal hash needn't be equal."""
+def inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = max(n, 1 << 16)
+        up, down = np.full(size, base, U), np.full(size, inverse(base), U)
+        up[0] = down[0] = 1
+        _POWERS[base] = (np.cumprod(up), np.cumprod(down))
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
+
+
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial hash of values[start:end] for each span, independent of where the span lies. Good for counts; spans of equal hash needn't be equal."""
+    up, down = powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, U)
-    np.cumsum(mix(values), out=total[1:])
-    return mix(total[ends] - total[starts] + U(0x632BE59BD9B4E019) * (ends - starts).astype(U))
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + U(0x632BE59BD9B4E019) * (ends - starts).astype(U))
 
 
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
