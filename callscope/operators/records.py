@@ -95,6 +95,22 @@ def retry_after_failure(calls: DataFrame) -> DataFrame:
     return found.withColumn("retry", F.coalesce("retry", F.lit(False)))
 
 
+def bound_at(calls: DataFrame, bindings: DataFrame, key: str, value: str, width: int = 86_400) -> DataFrame:
+    """calls (key, epoch, ...) with the value of the binding (id, key, start, end, value) that holds at their time: the latest begun, then the largest id.
+
+    A binding holds from start up to, but without, end; a null end is open. Bindings lie in every cut of `width` seconds that they touch, up to the last call, so a call
+    meets those of its own key and cut, as one array, and no pairs are made.
+    """
+    last = calls.agg(F.max("epoch").alias("__last"))  # one row
+    stop = F.least(F.coalesce("end", F.col("__last") + 1), F.col("__last") + 1)
+    open_ = bindings.join(F.broadcast(last)).withColumn("end", stop).where("start < end")
+    dealt = open_.withColumn("__cut", F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})")))
+    held = dealt.groupBy(F.col(key).alias("__key"), F.col("__cut").alias("__c")).agg(F.collect_list(F.struct("start", "id", "end", value)).alias("__held"))
+    met = calls.withColumn("__cut", F.expr(f"epoch div {width}")).join(held, (F.col(key) == F.col("__key")) & (F.col("__cut") == F.col("__c")), "left")
+    now = F.array_max(F.filter("__held", lambda b: (b["start"] <= F.col("epoch")) & (b["end"] > F.col("epoch"))))
+    return met.select(*(c for c in calls.columns if c != value), now[value].alias(value))
+
+
 def working_set(calls: DataFrame, now: int, window: int = 300) -> DataFrame:
     """Conversations with a call in flight or activity in the last seconds."""
     rows = classified(timing.within(calls, end=now).where(F.col("conversation").isNotNull())).groupBy("conversation").agg(

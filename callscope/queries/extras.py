@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import cost, status, timing
@@ -7,7 +10,7 @@ from ..operators import records as R
 from ..operators import series as S
 from ..operators import totals as T
 from ..operators import upkeep as U
-from ..sources import adapter, archive, ledger
+from ..sources import adapter, archive, bodies, ledger
 from ..sources.adapter import NOW
 from ..streaming import live
 from .registry import SNAPSHOT, calls, paid, query, snapshot
@@ -34,6 +37,27 @@ def a9(spark, d):
     return R.stream_events(framed).groupBy("conv_id", "turn").agg(F.count("*").cast("int").alias("lines")).select("conv_id", "turn", F.col("lines").cast("long").alias("lines"))
 
 
+def _packed(batches):
+    """Bodies as they are stored: plain, gzip, or gzip without its trailer, by conversation; a third of the packed ones in two members."""
+    for batch in batches:
+        out = []
+        for conversation, turn, body in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "body")), strict=True):
+            raw = body.encode()
+            half = len(raw) // 2 if turn % 3 == 0 else 0
+            whole = b"".join(gzip.compress(part, mtime=0) for part in ((raw[:half], raw[half:]) if half else (raw,)))
+            out.append((raw, whole, whole[:-8])[conversation % 3])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["conv_id", "turn", "content"])
+
+
+@query("a9_stored_bodies", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'stream' ELSE 'json' END AS kind, conv_id % 3 > 0 AS packed, conv_id % 3 = 2 AS truncated, CASE WHEN turn % 2 = 0 THEN 6 + length(text) ELSE 2 + length(text) END AS chars FROM conversations""")
+def a9_stored(spark, d):
+    """Bodies of both forms, stored in three ways, read back from their bytes."""
+    body = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("data: "), "text")).otherwise(F.concat(F.lit("["), "text", F.lit("]")))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", body.alias("body"))
+    stored = rows.mapInArrow(_packed, "conv_id long, turn long, content binary")
+    return bodies.with_bodies(stored).select("conv_id", "turn", "kind", "packed", "truncated", F.length("body").cast("long").alias("chars"))
+
+
 @query("a11_priced_models", "SELECT model, count(*) AS n, count(price_model) AS priced FROM priced GROUP BY 1")
 def a11(spark, d):
     prices = adapter.pricing(spark)
@@ -103,6 +127,20 @@ def e13(spark, d):
     return owner.join(adapter.accounts(spark), "account", "left").select("conversation", "account", "name")
 
 
+BINDINGS = """, bind AS (SELECT id, conversation, epoch AS s, CASE WHEN id % 3 > 0 THEN epoch + 432000 * (id % 3) END AS e, id % 7 + 1 AS manual FROM calls WHERE event_type = 'error' AND conversation IS NOT NULL),
+ met AS (SELECT c.id, c.conversation, c.epoch, arg_max(b.manual, b.s * 1000000000 + b.id) AS manual FROM calls c LEFT JOIN bind b ON b.conversation = c.conversation AND b.s <= c.epoch AND (b.e IS NULL OR b.e > c.epoch) WHERE c.conversation IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query("e13_manual_bindings", f"{BINDINGS} SELECT conversation, count(*) AS n, count(manual) AS bound, arg_max(coalesce(manual, -1), epoch * 1000000000 + id) AS manual FROM met GROUP BY 1")
+def e13_manual(spark, d):
+    """For each conversation its calls under a manual binding, and the account it is bound to at its last call; bindings overlap, end, or stay open."""
+    c = calls(spark, d).where("conversation is not null").select("id", "conversation", "epoch", "event_type")
+    bindings = c.where("event_type = 'error'").selectExpr("id", "conversation", "epoch as start", "if(id % 3 > 0, epoch + 432000 * (id % 3), null) as end", "id % 7 + 1 as manual")
+    met = R.bound_at(c, bindings, "conversation", "manual")
+    last = F.max_by(F.coalesce("manual", F.lit(-1)), F.struct("epoch", "id")).cast("long")
+    return met.groupBy("conversation").agg(F.count("*").alias("n"), F.count("manual").alias("bound"), last.alias("manual"))
+
+
 @query("f2_snapshot_page", f"SELECT id, epoch FROM calls WHERE id <= {SNAPSHOT} ORDER BY epoch DESC, id DESC LIMIT 25 OFFSET 50")
 def f2(spark, d):
     c = calls(spark, d)

@@ -1,5 +1,6 @@
 """Operators on hand-made frames, and their plans."""
 
+import gzip
 import math
 import random
 
@@ -10,7 +11,7 @@ from callscope import catalog
 from callscope.functions import histogram, timing
 from callscope.operators import records, selection, totals, upkeep
 from callscope.queries.registry import calls, paid
-from callscope.sources import adapter, archive, ledger
+from callscope.sources import adapter, archive, bodies, ledger
 
 
 def rows(df):
@@ -222,3 +223,31 @@ def test_ended_calls_take_back_their_row_in_flight(spark):
     stored = upkeep.signed_totals(spark.createDataFrame([(0, "a", True, 0, 1), (0, "a", False, 5, 1), (3600, "b", True, 0, 1), (0, None, False, None, 1)], schema))
     deltas = upkeep.signed_totals(spark.createDataFrame([(0, "a", True, 0, -1), (7200, "a", False, 9, 1), (3600, "b", True, 0, -1)], schema))
     assert rows(upkeep.overlaid(stored, deltas)) == [(0, "a", 1, 0, 5), (0, None, 1, 0, 0), (7200, "a", 1, 0, 9)]
+
+
+def test_bindings_overlap_and_end(spark):
+    given = [(1, "a", 0, 100, 7), (2, "a", 50, 60, 8), (3, "a", 50, 60, 9), (4, "a", 90, None, 5), (5, "b", 10, 10, 1), (6, None, 0, None, 2)]
+    bindings = spark.createDataFrame(given, "id long, k string, start long, end long, v long")
+    at = [("a", t) for t in (0, 49, 50, 59, 60, 89, 90, 99, 100, 500)] + [("b", 10), (None, 5), ("c", 1)]
+    calls_ = spark.createDataFrame([(i, *x) for i, x in enumerate(at)], "id long, k string, epoch long")
+    for width in (7, 86_400):
+        got = [r["v"] for r in records.bound_at(calls_, bindings, "k", "v", width).orderBy("id").collect()]
+        assert got == [7, 7, 9, 9, 7, 7, 5, 5, 5, 5, None, None, None]
+
+
+def test_bodies_are_read_as_far_as_they_go(spark, tmp_path):
+    """Plain, packed in members, cut anywhere, damaged, empty: what is there comes back, and says whether it is all."""
+    whole = 'data: {"a": "é"}\n\n' * 300
+    packed = gzip.compress(whole.encode()[:1000]) + gzip.compress(whole.encode()[1000:])
+    assert bodies.decoded(whole.encode()) == (whole, False, False) and bodies.decoded(packed) == (whole, True, False) and bodies.decoded(packed + bytes(512)) == (whole, True, False)
+    for cut in range(1, len(packed) - 1):
+        text, is_packed, truncated = bodies.decoded(packed[:cut])
+        assert whole.startswith(text) and is_packed == (cut > 1) or cut == 1
+        assert truncated or cut == 1 or len(text.encode()) == 1000
+    text, _, truncated = bodies.decoded(packed[:-20] + b"x" * 20)
+    assert truncated and text.startswith(whole[:900])
+    assert bodies.decoded("é".encode()[:1]) == ("", False, True) and bodies.decoded(b"") == ("", False, False)
+    for name, raw in (("a.gz", packed), ("b.gz", packed[:-8]), ("c.json", b' {"x": 1}'), ("d", b"")):
+        (tmp_path / name).write_bytes(raw)
+    got = {r["file"].rpartition("/")[2]: (r["kind"], r["packed"], r["truncated"], r["body"]) for r in bodies.read(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.gz": ("stream", True, False, whole), "b.gz": ("stream", True, True, whole), "c.json": ("json", False, False, ' {"x": 1}')}
