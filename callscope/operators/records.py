@@ -314,24 +314,34 @@ def usage_of(body: Column) -> Column:
     )
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), where value is evaluated once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+#: What a summary looks at in an event.
+EVENT = "type string, service_tier string, usage string, response struct<service_tier: string, usage: string>"
+
+
 def stream_summary(body: Column) -> Column:
     """struct(usage, kind, tier) of an event stream body: the last usage, the last terminal event, and the service tier of the event that says most.
 
     Terminal events say more than those of the beginning, these more than all others; among equals the last counts, but auto yields to any other tier.
+    Each event is parsed once; only the texts of the two that count are read by path.
     """
-    lines = F.filter(F.split(body, r"\r?\n"), lambda line: line.startswith("data:"))
-    of = lambda e, *paths: F.coalesce(*(F.get_json_object(e, f"$.{p}") for p in paths))
-    kind, tier = (lambda e: of(e, "type")), (lambda e: of(e, "response.service_tier", "service_tier"))
-    events = F.transform(lines, lambda line, i: F.struct(
-        kind(F.trim(F.substring(line, 6, 1 << 30))).alias("kind"), tier(F.trim(F.substring(line, 6, 1 << 30))).alias("tier"),
-        of(F.trim(F.substring(line, 6, 1 << 30)), "response.usage", "usage").alias("usage"), i.alias("place"),
+    texts = F.transform(F.filter(F.split(body, r"\r?\n"), lambda line: line.startswith("data:")), lambda line: F.trim(F.substring(line, 6, 1 << 30)))
+    parsed = F.transform(texts, lambda text, i: F.struct(  # an array has none of the fields
+        text.alias("text"), F.from_json(F.when(~text.rlike(r"^\s*\["), text), EVENT, {"allowUnquotedControlChars": "true"}).alias("e"), i.alias("place"),
     ))
+    has = lambda x, name: F.coalesce(x["e"]["response"][name], x["e"][name])
     rank = lambda k: F.when(k.isin("response.completed", "response.failed"), 2).when(k.isin("response.created", "response.in_progress"), 1).otherwise(0)
     last = lambda xs: F.try_element_at(xs, F.lit(-1))
-    best = F.array_max(F.transform(F.filter(events, lambda e: e["tier"].isNotNull()), lambda e: F.struct(rank(e["kind"]).alias("rank"), (e["tier"] != "auto").alias("named"), e["place"].alias("place"), e["tier"].alias("tier"))))
-    return F.struct(
-        last(F.filter(events, lambda e: e["usage"].isNotNull()))["usage"].alias("usage"), last(F.filter(events, lambda e: rank(e["kind"]) == 2))["kind"].alias("kind"), best["tier"].alias("tier"),
-    )
+    of = lambda e, name: _let(e, lambda e: F.coalesce(*(F.get_json_object(e, f"$.{p}") for p in (f"response.{name}", name))))
+    best = lambda xs: F.array_max(F.transform(F.filter(xs, lambda x: has(x, "service_tier").isNotNull()), lambda x: F.struct(rank(x["e"]["type"]).alias("rank"), (has(x, "service_tier") != "auto").alias("named"), x["place"].alias("place"), x["text"].alias("text"))))
+    return _let(parsed, lambda xs: F.struct(
+        of(last(F.filter(xs, lambda x: has(x, "usage").isNotNull()))["text"], "usage").alias("usage"),
+        last(F.filter(xs, lambda x: rank(x["e"]["type"]) == 2))["e"]["type"].alias("kind"), of(best(xs)["text"], "service_tier").alias("tier"),
+    ))
 
 
 def latest_quota(snapshots: DataFrame) -> DataFrame:

@@ -148,6 +148,21 @@ def test_stream_bodies(spark):
     assert got[0] == ('{"output_tokens":3}', "response.completed", "auto") and got[1] == ('{"output_tokens":1}', None, "default") and got[2:] == [(None, None, None)] * 3
 
 
+def test_stream_events_are_parsed_once(spark):
+    """Odd events, and one parse for each: paths are read only of the two that count."""
+    line = lambda *xs: "\n".join("data: " + x for x in xs)
+    cases = [
+        (line('[{"type":"response.failed","usage":1}]', '\t{"type":"response.completed"}', '{"type":"response.failed"'), (None, "response.completed", None)),
+        (line('{"usage": {"a" : 1.50}, "response": "x", "service_tier": 7}', '{"usage":null,"type":3}'), ('{"a":1.5}', None, "7")),
+        (line('{"type":"response.failed","response":{"usage":null,"service_tier":null},"usage":{"b":[1, 2]},"service_tier":"auto"}', '{"service_tier":{"x": 1}}'), ('{"b":[1,2]}', "response.failed", "auto")),
+        (line("{'type':'response.completed','usage':'s'}", "[DONE]", "5", '"x"', "null", ""), ("s", "response.completed", None)),
+    ]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i long, body string").select("i", records.stream_summary(F.col("body")).alias("s"))
+    assert [tuple(r["s"]) for r in df.orderBy("i").collect()] == [x for _, x in cases]
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("from_json(") == 1 and shown.count("get_json_object(") == 4
+
+
 @pytest.mark.parametrize("bits", [3, 5, 20])
 def test_last_value_is_carried_over_cuts(spark, bits):
     """Hot and null keys, ties of place, gaps: the same as one window over each key."""
