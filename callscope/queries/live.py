@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..operators import totals as T
 from ..operators import weights
@@ -35,14 +36,20 @@ def h1(spark, d):
 BATCHES = 4
 
 
-def arriving(spark, rows, name, batch):
-    """rows as a stream of files that come one after the other: `batch` says with which, from 0 up to BATCHES."""
-    root = archive.shared_dir(spark, name)
-    numbered = rows.withColumn("__batch", batch)
+def replayed(spark, rows, name, batch, step):
+    """The folder that a stream has written of rows that come in batches: `batch` says with which, from 0 up to BATCHES; `step` is what is done to the stream.
+
+    Batches are dealt by one job and any number of tasks; each arrives when the one before is done.
+    """
+    own, root = stateful.session(spark), archive.shared_dir(spark, name)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the next batch lets go what is due
+    rows.withColumn("__batch", batch).write.partitionBy("__batch").parquet(f"{root}/dealt")
+    dealt = own.read.schema(types.StructType([*rows.schema.fields, types.StructField("__batch", types.IntegerType())])).parquet(f"{root}/dealt")
     for i in range(BATCHES + 1):
-        numbered.where(F.col("__batch") == i).drop("__batch").coalesce(1).write.mode("append").parquet(root)
-    own = stateful.session(spark)
-    return own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        dealt.where(F.col("__batch") == i).drop("__batch").write.mode("append").parquet(f"{root}/in")
+        arrived = own.readStream.schema(rows.schema).parquet(f"{root}/in")
+        live.by_batch(step(arrived), f"{root}/out", f"{root}/check", mode="update").awaitTermination()
+    return f"{root}/out"
 
 
 def quarter(rows, place):
@@ -58,8 +65,8 @@ def h3(spark, d):
     at = quarter(first, "epoch")
     some = first.where("id % 50 = 7")
     rows = first.withColumn("b", at).union(some.withColumn("b", at)).union(some.withColumn("total_tokens", F.col("total_tokens") * 2).withColumn("b", F.lit(BATCHES)))
-    stream_ = arriving(spark, rows, "h3-in", F.col("b"))
-    path = drained(spark, "h3", lambda out, check: live.by_batch(stateful.minutes(stream_, keep=40 * 86_400), out, check, mode="update"))
+    shards = stateful.parts(first)
+    path = replayed(spark, rows, "h3", F.col("b"), lambda arrived: stateful.minutes(arrived, keep=40 * 86_400, shards=shards))
     return stateful.read_minutes(live.latest_of(spark, path, "minute", "shard"))
 
 
@@ -77,8 +84,7 @@ def h6(spark, d):
     ended = live.observed(calls(spark, d)).select("id", "account", F.unix_seconds("at").alias("second"), "at", "total_tokens")
     at = quarter(ended, "second")
     rows = ended.withColumns({"sign": F.lit(1), "b": at}).union(ended.where("id % 20 = 3").withColumns({"sign": F.lit(-1), "b": at + 1}))
-    stream_ = arriving(spark, rows, "h6-in", F.col("b"))
-    path = drained(spark, "h6", lambda out, check: live.by_batch(stateful.activity(stream_, keep=40 * 86_400), out, check, mode="update"))
+    path = replayed(spark, rows, "h6", F.col("b"), lambda arrived: stateful.activity(arrived, keep=40 * 86_400))
     return stateful.read_activity(live.latest_of(spark, path, "account", "second"))
 
 

@@ -157,6 +157,24 @@ def test_repeated_rows_rebuild_their_minute(spark, stateful_session, tmp_path):
     assert rows(held) == [(4 * day,)]
 
 
+def test_a_stretch_of_minutes_is_one_key(spark, stateful_session, tmp_path):
+    """Calls of two hours are two values of the state for each part, however many minutes and calls there are; repeats in one batch and in later ones count once."""
+    from callscope.streaming import stateful
+
+    first = [(i, 86_400 + i % 7200, i) for i in range(3000)]
+    again = [(i, epoch, 2 * tokens) for i, epoch, tokens in first if i % 9 == 4] + [(4, 86_400 + 3600, 1)]  # the last is another minute's
+    replayed(stateful_session, str(tmp_path), "id long, epoch long, total_tokens long", [first + first[:50], again], lambda s: stateful.minutes(s, shards=2))
+    got = rows(stateful.read_minutes(live.latest_of(spark, f"{tmp_path}/out", "minute", "shard")))
+    want = {}
+    for _, (epoch, tokens) in sorted(({(i, e // 60): (e, t) for i, e, t in first + again}).items()):
+        n, sum_ = want.get(epoch // 60 * 60, (0, 0))
+        want[epoch // 60 * 60] = (n + 1, sum_ + tokens)
+    assert got == sorted((m, n, s) for m, (n, s) in want.items())
+    held = stateful_session.read.format("statestore").option("path", f"{tmp_path}/check").option("stateVarName", "sums").load()
+    assert held.count() <= 4
+    assert stateful.parts(spark.range(40_000).select(F.expr("id div 20").alias("epoch"))) == 3
+
+
 def test_retractions_leave_their_window(spark, stateful_session, tmp_path):
     from callscope.streaming import stateful
 
