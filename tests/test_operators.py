@@ -95,6 +95,18 @@ def test_percentiles_hold_no_group(spark):
     assert got == df.agg(F.percentile("ms", F.array(F.lit(0.5), F.lit(0.99)))).first()[0]
 
 
+def test_no_group_is_sorted_for_its_cuts(spark):
+    """The rows of a large group meet its cuts where they lie: without a shuffle or a sort, also where nothing is broadcast by size."""
+    df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).cast("long").alias("c"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = selection._buckets(df, ["g"], [0.4, 0.6], 100)
+        assert "SortMergeJoin" not in plan(found) and found.agg(F.sum("after") - F.sum("before")).first()[0] == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_places_of_durations(spark):
     values = [None, float("nan"), -1.0, 0.0, 5.0, 5.1, 180000.0, 180000.1, float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "ms double")
