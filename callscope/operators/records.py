@@ -39,7 +39,8 @@ def with_payload(calls: DataFrame) -> DataFrame:
     """calls with the fields of PAYLOAD, blank ones null. The text is parsed once, whatever spelling its names have."""
     snake = lambda name: "".join(f"_{c.lower()}" if c.isupper() else c for c in name)
     names = [n for name, _ in PAYLOAD.values() for n in dict.fromkeys((name, snake(name)))]
-    parsed = calls.withColumn("__p", F.from_json("payload", ", ".join(f"{n} string" for n in names)))
+    # A generator, as predicates on what it makes stay above it; they would take a parse each below.
+    parsed = calls.withColumn("__p", F.explode(F.array(F.from_json("payload", ", ".join(f"{n} string" for n in names)))))
     text = lambda name: F.coalesce(*(F.nullif(F.trim(F.col(f"__p.{n}")), F.lit("")) for n in dict.fromkeys((name, snake(name)))))
     return parsed.withColumns({column: text(name).cast(kind) for column, (name, kind) in PAYLOAD.items()}).drop("__p")
 

@@ -256,7 +256,7 @@ def e14(spark, d):
  SELECT id, round(cost, 9) AS cost, (SELECT count(*) FROM met) AS total FROM met ORDER BY met.cost DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20""")
 def f1(spark, d):
     rows = T.classified(R.with_payload(paid(spark, d)))
-    shown = R.record_list(rows, "cost", number=2, size=20, source="proxy", endpoint="/v1/Responses", min_tokens=100, failure_class="none", snapshot=snapshot(rows), start=START - 5 * 86400, keyword="Conv-1")
+    shown = R.record_list(rows, "cost", number=2, size=20, source="proxy", endpoint="/v1/Responses", min_tokens=100, failure_class="none", snapshot=snapshot(calls(spark, d)), start=START - 5 * 86400, keyword="Conv-1")
     return shown.select("id", F.round("cost", 9).alias("cost"), "total")
 
 

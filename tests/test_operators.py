@@ -68,6 +68,13 @@ def test_record_filters(spark, data):
     found.unpersist()
 
 
+def test_filters_on_the_payload_parse_it_once(spark, data):
+    """Predicates on fields of the payload and on columns: the text is parsed once."""
+    rows = totals.classified(records.with_payload(paid(spark, data)))
+    met = rows.where(records._all(records.record_filters(endpoint="/v1/responses", requester_ip="10.0.0.1", keyword="conv-1", source="proxy"))).select("id")
+    assert met._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
 @pytest.mark.parametrize(("held", "accuracy"), [(1 << 18, 10_000), (50, 100), (3, 20)])
 def test_percentiles_are_exact_however_large_a_group_is(spark, held, accuracy):
     """Hot and null groups, ties, one value, no value: by one pass, and by rounds of brackets."""
